@@ -115,6 +115,15 @@ def markdown_text(d: Dialect) -> str:
         'correo a', {bs}, '@b', {bs}, '.c y ', {bs}, '# signo', chr(10), 'Fin.', chr(10), chr(10))"""
 
 
+#: content that suits the extension; every fifth typed document is broken
+REQUEST_TEXT = """CASE doc_id % 9
+    WHEN 1 THEN concat('{"doc":', doc_id, ',"meta":{"lang":"', lang, '","source":"', source, '"},"n":[', n_chars, ',true,null]',
+        CASE WHEN doc_id % 5 = 0 THEN '' ELSE '}' END)
+    WHEN 5 THEN concat('<doc id="', doc_id, '"><lang>', lang, '</lang>', CASE WHEN doc_id % 5 = 0 THEN '<' ELSE '' END, '</doc>')
+    WHEN 8 THEN concat('doc: ', doc_id, chr(10), 'server:', chr(10), '  host: ', source, CASE WHEN doc_id % 5 = 0 THEN ': [' ELSE '' END, chr(10))
+    ELSE text END"""
+
+
 def request_columns(d: Dialect) -> list[str]:
     """Requests with every validation failure; content is the document text."""
     return [
@@ -123,7 +132,7 @@ def request_columns(d: Dialect) -> list[str]:
              ELSE concat('doc_', doc_id, CASE doc_id % 9 WHEN 0 THEN '.txt' WHEN 1 THEN '.JSON' WHEN 2 THEN '.pdf'
                   WHEN 3 THEN '.PDF' WHEN 4 THEN '.mq' WHEN 5 THEN '.msgflow' WHEN 6 THEN '' WHEN 7 THEN '.bar' ELSE '.yml' END) END AS file_name""",
         f"""CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN '' WHEN doc_id % 31 = 0 THEN '***'
-             WHEN doc_id % 37 = 0 THEN '//4A' ELSE {d.base64('text')} END AS file_content""",
+             WHEN doc_id % 37 = 0 THEN '//4A' ELSE {d.base64(f"({REQUEST_TEXT})")} END AS file_content""",
         "CASE WHEN doc_id % 14 = 0 OR doc_id % 13 = 0 THEN concat('in/doc_', doc_id, '.txt') END AS s3_path",
         "CASE WHEN doc_id % 28 = 0 THEN 'bucket-a' END AS bucket_name",
         """CASE doc_id % 6 WHEN 0 THEN 'markdown_ai' WHEN 1 THEN 'plain' WHEN 2 THEN 'structured_json'
@@ -133,6 +142,19 @@ def request_columns(d: Dialect) -> list[str]:
     ]
 
 
+#: object URIs with every fault, and store error codes
+URI = """CASE doc_id % 6 WHEN 0 THEN concat('s3://bucket-', doc_id % 4, '/in/doc_', doc_id, '.txt') WHEN 1 THEN concat('S3://bucket/doc_', doc_id)
+    WHEN 2 THEN 's3:///in/x.txt' WHEN 3 THEN 's3://bucket' WHEN 4 THEN concat('s3://bucket//doc_', doc_id, '.json?v=', doc_id)
+    ELSE concat('http://example.com/', doc_id) END"""
+ERROR_CODE = """CASE doc_id % 7 WHEN 0 THEN 'NoSuchBucket' WHEN 1 THEN 'NoSuchKey' WHEN 2 THEN 'AccessDenied' WHEN 3 THEN 'InvalidBucketName'
+    WHEN 4 THEN 'PermanentRedirect' WHEN 5 THEN 'SlowDown' ELSE 'Other' END"""
+#: every output format with every combination of flags
+RENDER_OPTIONS = [
+    "CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'markdown_ai' WHEN 2 THEN 'plain' ELSE 'structured_json' END AS output_format",
+    "doc_id % 3 > 0 AS ai_optimized",
+    "doc_id % 5 > 0 AS include_metadata",
+]
+
 SHEET_ROWS = 1500
 SHEETS_PER_BOOK = 4
 
@@ -195,14 +217,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose of ``documents`` and derived reports, named and typed."""
-    both = documents(spark, sf_dir).unionByName(reports(spark, sf_dir))
-    return both.selectExpr(
-        "doc_id", "text", "concat('in/doc_', doc_id, '.txt') AS file_name", "'text_document' AS doc_type"
+    typed = lambda df, kind: df.selectExpr(
+        "doc_id", "text", "concat('in/doc_', doc_id, '.txt') AS file_name", f"'{kind}' AS doc_type"
     )
+    return typed(documents(spark, sf_dir), "text_document").unionByName(typed(reports(spark, sf_dir), "docx_document"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).selectExpr(*request_columns(SPARK))
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    return spread(table(spark, sf_dir, "documents").select(*columns)).selectExpr(*request_columns(SPARK))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +238,27 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("book", "sheet", "row_idx", f"inline(filter(array({structs}), c -> c IS NOT NULL))")
 
 
+DATASET_COLUMNS = {
+    # lineitem as an all-text dataset with blank, missing and odd cells
+    "pedido": "cast(l_orderkey AS string)",
+    "parte": "CASE WHEN l_partkey % 10 = 0 THEN NULL WHEN l_partkey % 10 = 1 THEN ' ' ELSE cast(l_partkey AS string) END",
+    "cantidad": "cast(cast(l_quantity AS decimal(18,2)) AS string)",
+    "precio": "concat('1,', lpad(cast(cast(floor(l_extendedprice) AS bigint) % 1000 AS string), 3, '0'), '.50')",
+    "fecha": "cast(cast(l_shipdate AS date) AS string)",
+    "marca": "CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE l_returnflag END",
+    "nota": "concat('linea | ', l_linestatus, ' ', l_linenumber)",
+}
+DATASET_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
+
+
+def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dataset columns plus ``_pos``, the order of its rows as a sortable struct."""
+    order = ", ".join(DATASET_ORDER)
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        *[f"{e} AS {n}" for n, e in DATASET_COLUMNS.items()], f"struct({order}) AS _pos"
+    )
+
+
 def duckdb_ctes() -> dict[str, str]:
     """The same corpora as common table expressions for the SQL check."""
     d = DUCKDB
@@ -223,9 +267,11 @@ def duckdb_ctes() -> dict[str, str]:
         for name, make in ORDER_CORPORA.items()
     }
     out["texts"] = f"""texts AS MATERIALIZED (
-        SELECT doc_id, text, concat('in/doc_', doc_id, '.txt') AS file_name, 'text_document' AS doc_type FROM (
-          SELECT doc_id, text FROM documents
-          UNION ALL SELECT o_orderkey + {REPORT_IDS_FROM}, {report_text(d)} FROM orders))"""
+        SELECT doc_id, text, concat('in/doc_', doc_id, '.txt') AS file_name, doc_type FROM (
+          SELECT doc_id, text, 'text_document' AS doc_type FROM documents
+          UNION ALL SELECT o_orderkey + {REPORT_IDS_FROM}, {report_text(d)}, 'docx_document' FROM orders))"""
+    cols = ", ".join(f"{e} AS {n}" for n, e in DATASET_COLUMNS.items())
+    out["dataset"] = f"dataset AS MATERIALIZED (SELECT {cols}, {', '.join(DATASET_ORDER)} FROM lineitem)"
     out["reqs"] = f"reqs AS MATERIALIZED (SELECT {', '.join(request_columns(d))} FROM documents)"
     keys = ", ".join(grid_keys(d))
     parts = " UNION ALL ".join(

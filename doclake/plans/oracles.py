@@ -220,5 +220,300 @@ def text_oracles() -> dict[str, str]:
     return out
 
 
+# ---- sources, routing, results ---------------------------------------------------------------
+
+REQS = CORPUS["reqs"]
+
+
+def ext_of(name: str) -> str:
+    return f"regexp_extract({name}, '(?s)^\\.*[^.].*\\.([^.]*)$', 1)"
+
+
+def values(rows: list[tuple], names: str) -> str:
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else lit(v)
+    body = ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {body}) {names}"
+
+
+REGISTRY = f"reg AS (SELECT * FROM {values(fixed.READERS, 'r(ext, reader, doc_type, fence, on_error)')})"
+BYTES = (
+    "CASE WHEN file_content IS NOT NULL THEN TRY(from_base64(regexp_replace(file_content, '[^A-Za-z0-9+/=]', '', 'g'))) END"
+)
+ROUTED = (
+    f"rq AS (SELECT *, {ext_of("('_' || file_name)")} AS raw_ext, coalesce(output_format, 'markdown') AS fmt, {BYTES} AS bytes FROM reqs), "
+    "rt AS (SELECT rq.*, lower(raw_ext) AS ext, coalesce(r.reader, 'text') AS reader, coalesce(r.doc_type, 'text_document') AS doc_type, "
+    "CASE WHEN r.ext IS NULL THEN 'text' ELSE r.fence END AS fence, coalesce(r.on_error, 'reject') AS on_error, "
+    "TRY(decode(bytes)) AS txt FROM rq LEFT JOIN reg r ON lower(rq.raw_ext) = r.ext)"
+)
+ERROR = (
+    "CASE WHEN coalesce(file_name, '') = '' THEN 'missing_file_name' "
+    "WHEN coalesce(file_content, '') = '' AND coalesce(s3_path, '') = '' THEN 'no_source' "
+    "WHEN coalesce(file_content, '') <> '' AND coalesce(s3_path, '') <> '' THEN 'two_sources' "
+    "WHEN coalesce(output_format, 'markdown') NOT IN ('markdown', 'markdown_ai', 'plain', 'structured_json') THEN 'bad_output_format' "
+    "WHEN coalesce(s3_path, '') <> '' AND coalesce(bucket_name, '') = '' THEN 'missing_bucket' END"
+)
+ADMITTED = (
+    f"er AS (SELECT *, {ERROR} AS error FROM rt), "
+    "ad AS MATERIALIZED (SELECT *, CASE WHEN error IS NOT NULL THEN error "
+    "WHEN coalesce(s3_path, '') <> '' THEN 'missing_file' WHEN bytes IS NULL THEN 'bad_base64' "
+    "WHEN octet_length(bytes) = 0 THEN 'empty_content' WHEN raw_ext = '' THEN 'no_extension' "
+    "WHEN raw_ext IN ('pdf', 'bar') THEN 'unsupported_extension' WHEN txt IS NULL THEN 'invalid_utf8' "
+    "WHEN reader = 'json' AND NOT json_valid(txt) THEN 'malformed' END AS reason FROM er)"
+)
+REASONS = f"why AS (SELECT * FROM {values(fixed.REJECT_MESSAGES, 'm(reason, status, message)')})"
+URIS = f"u AS (SELECT doc_id, {corpora.URI} AS uri, {corpora.ERROR_CODE} AS code FROM documents)"
+CODES = f"oe AS (SELECT * FROM {values(fixed.OBJECT_ERRORS, 'o(code, template)')})"
+BODIES = (
+    f"op AS (SELECT *, {', '.join(corpora.RENDER_OPTIONS)} FROM texts0), "
+    f"texts AS MATERIALIZED (SELECT * EXCLUDE (text), CASE WHEN output_format <> 'markdown_ai' AND ai_optimized AND include_metadata "
+    f"THEN concat({FRONT}, text) ELSE text END AS text FROM op)"
+)
+RECORD = f"""json_object('metadata', json_object('source_file', {BASE}, 'document_type', doc_type, 'word_count', {words('text')},
+    'char_count', {chars('text')}), 'summary', summary, 'key_metrics', metrics,
+    'sections', json_object('summary', coalesce(section_summary, ''), 'key_points', '', 'metrics', coalesce(section_metrics, ''),
+    'recommendations', coalesce(section_recommendations, '')), 'full_content', text)"""
+
+
+def ingest_oracles() -> dict[str, str]:
+    adm = (REQS, REGISTRY, ROUTED, ADMITTED)
+    return {
+        "s2_decode_text": with_(
+            REQS, select=f"""SELECT req_id, TRY(decode(b)) AS text, CASE WHEN TRY(decode(b)) IS NULL THEN 'invalid_utf8' END AS reason
+            FROM (SELECT req_id, coalesce({BYTES}, ''::BLOB) AS b FROM reqs WHERE file_name IS NOT NULL)"""),
+        "s3_scan_csv": with_(
+            CORPUS["dataset"], select="""SELECT pedido, fecha, CASE WHEN l_orderkey % 10 <> 3 THEN concat('a, "b" ', nota, chr(10), ' fin') END AS nota,
+            l_orderkey % 10 IN (3, 4) AS ragged FROM dataset"""),
+        "s4_scan_json_docs": with_(
+            CORPUS["jdocs"], select="SELECT doc_id, CASE WHEN NOT json_valid(text) THEN 'malformed' END AS reason FROM jdocs"),
+        "s7_scan_requests": with_(
+            REQS, select="SELECT req_id, file_name, file_content, s3_path, bucket_name, output_format, ai_optimized, include_metadata FROM reqs"),
+        "s8_decode_base64": with_(
+            REQS, select=f"""SELECT req_id, cast(octet_length(b) AS bigint) AS n_bytes, CASE WHEN b IS NULL THEN 'bad_base64'
+            WHEN octet_length(b) = 0 THEN 'empty_content' END AS decode_reason
+            FROM (SELECT req_id, {BYTES} AS b FROM reqs WHERE file_content IS NOT NULL)"""),
+        "s9_write_results": with_(
+            *adm, select="SELECT req_id, file_name, doc_type, cast(octet_length(bytes) AS bigint) AS length FROM ad WHERE reason IS NULL"),
+        "s10_write_rejects": with_(*adm, select="SELECT req_id, file_name, reason FROM ad WHERE reason IS NOT NULL"),
+        "p1_admit": with_(
+            REQS, REGISTRY, ROUTED, select="""SELECT req_id, raw_ext AS ext, CASE WHEN file_content IS NULL THEN 'missing_file'
+            WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'empty_file' WHEN raw_ext = '' THEN 'no_extension'
+            WHEN raw_ext IN ('pdf', 'bar') THEN 'unsupported_extension' END AS reason FROM rt WHERE file_name IS NOT NULL"""),
+        "p2_route": with_(REQS, REGISTRY, ROUTED, select="SELECT req_id, ext, reader FROM rt"),
+        "p3_supported": with_(
+            REQS, REGISTRY, select=f"""SELECT req_id, CASE WHEN file_name IS NOT NULL THEN lower({ext_of('file_name')}) IN (SELECT ext FROM reg) END AS supported
+            FROM reqs"""),
+        "p4_object_uri": with_(
+            URIS, CODES, """v AS (SELECT *, starts_with(lower(uri), 's3://') AS is_object_path, starts_with(uri, 's3://') AS scheme_ok,
+            CASE WHEN starts_with(uri, 's3://') THEN split_part(split_part(substr(uri, 6), '?', 1), '/', 1) ELSE '' END AS bucket FROM u),
+            w AS (SELECT *, CASE WHEN scheme_ok THEN ltrim(substr(split_part(substr(uri, 6), '?', 1), length(bucket) + 1), '/') ELSE '' END AS object_key FROM v)""",
+            select="""SELECT doc_id, uri, w.code, is_object_path, scheme_ok, bucket, object_key, string_split(object_key, '/')[-1] AS base_name,
+            CASE WHEN NOT scheme_ok THEN 'invalid_uri' WHEN bucket = '' THEN 'no_bucket' WHEN object_key = '' THEN 'no_key' END AS error,
+            coalesce(replace(replace(template, '{bucket}', bucket), '{key}', object_key),
+              concat('S3 error (', w.code, ') accessing s3://', bucket, '/', object_key)) AS message
+            FROM w LEFT JOIN oe ON w.code = oe.code"""),
+        "p5_validate_request": with_(REQS, select=f"SELECT req_id, {ERROR} AS error FROM reqs"),
+        "p6_resolve_options": with_(
+            REQS, select="""SELECT req_id, coalesce(output_format, 'markdown') AS output_format,
+            ai_optimized OR coalesce(output_format = 'markdown_ai', false) AS ai_optimized,
+            coalesce(include_metadata, false) OR coalesce(output_format = 'markdown_ai', false) AS include_metadata,
+            coalesce(output_format = 'markdown_ai', false) AS extract_key_sections, cast(4000 AS bigint) AS max_chunk_size,
+            false AS processing_images FROM reqs"""),
+        "p7_render_mode": with_(
+            TEXTS.replace("texts AS", "texts0 AS", 1), BODIES, LINES, SUMMARIES, METRICS, SECTIONS, SECTION_PIVOT,
+            select=f"""SELECT doc_id, output_format, CASE output_format WHEN 'markdown_ai' THEN {AI_DOCUMENT}
+            WHEN 'structured_json' THEN cast({RECORD} AS varchar) ELSE text END AS result FROM {ANALYSED}"""),
+        "t8_type_label": with_(REQS, REGISTRY, ROUTED, select="SELECT req_id, doc_type FROM rt"),
+        "t9_fence": with_(
+            *adm, select="""SELECT req_id, CASE WHEN fmt = 'markdown' AND fence IS NOT NULL
+            THEN concat('```', fence, chr(10), txt, chr(10), '```') ELSE txt END AS content FROM ad WHERE reason IS NULL"""),
+        "e1_result_row": with_(
+            *adm, select=f"""SELECT req_id, true AS success, {lit(fixed.SUCCESS_MESSAGE)} AS message, file_name, fmt AS output_format,
+            ai_optimized OR fmt = 'markdown_ai' AS ai_optimized, CASE WHEN coalesce(s3_path, '') <> '' THEN 's3' ELSE 'base64' END AS input_method,
+            s3_path, cast(octet_length(bytes) AS bigint) AS input_bytes FROM ad WHERE reason IS NULL"""),
+        "e2_reject_row": with_(
+            *adm, REASONS, select=f"""SELECT req_id, false AS success, file_name, ad.reason, cast(status AS bigint) AS status,
+            CASE WHEN status = 400 THEN '{fixed.CLIENT_ERROR_TYPE}' ELSE 'InternalError' END AS error_type, message,
+            CASE WHEN status = 400 THEN {lit(' | '.join(fixed.CLIENT_HINTS))} ELSE {lit(' | '.join(fixed.SERVER_HINTS))} END AS hints,
+            CASE WHEN status = 400 THEN {lit(', '.join(fixed.SUPPORTED_FORMATS_TEXT))} END AS supported_formats
+            FROM ad JOIN why ON ad.reason = why.reason"""),
+        "e3_capabilities": with_(
+            REQS, REGISTRY, ROUTED, select="""SELECT ext, reader, doc_type, (SELECT count(*) FROM reg) AS n_supported,
+            (SELECT count(*) FROM rt WHERE rt.ext = reg.ext) AS n_files FROM reg"""),
+        "e4_reader_fallback": with_(
+            *adm, select="""SELECT req_id, reader, CASE WHEN reader IN ('xml', 'yaml') AND req_id % 5 = 0 THEN on_error ELSE 'parsed' END AS action
+            FROM ad WHERE reason IS NULL"""),
+        "r6_reject_report": with_(*adm, select="SELECT reason, ext, count(*) AS rejects FROM ad WHERE reason IS NOT NULL GROUP BY ALL"),
+    }
+
+
+# ---- datasets and roll-ups -------------------------------------------------------------------
+
+DATASET = CORPUS["dataset"]
+NAMES = list(corpora.DATASET_COLUMNS)
+_NUMBER = (
+    "^[+-]?(?:(?:[0-9](?:_?[0-9])*(?:\\.(?:[0-9](?:_?[0-9])*)?)?|\\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?"
+    "|(?i:inf|infinity|nan))$"
+)
+_DATE = "^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})"
+
+
+def column_types_sql(source: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT cast({i} AS bigint) AS col_idx, '{n}' AS column_name, trim(replace({n}, ',', '')) AS num, trim({n}) AS v FROM {source}"
+        for i, n in enumerate(NAMES)
+    )
+    return (
+        f"cells0 AS ({parts}), ct AS (SELECT col_idx, column_name, CASE WHEN coalesce(bool_and(regexp_matches(num, {lit(_NUMBER)})) FILTER (v <> ''), true) "
+        f"THEN 'Numeric' WHEN coalesce(bool_and(regexp_matches(v, {lit(_DATE)})) FILTER (v <> ''), true) THEN 'Date' ELSE 'Text' END AS data_type "
+        "FROM cells0 GROUP BY col_idx, column_name)"
+    )
+
+
+SAMPLE = f"sample5 AS (SELECT * FROM dataset ORDER BY {', '.join(corpora.DATASET_ORDER)} LIMIT 5)"
+TABLE_LINE = "concat('| ', " + ", ' | ', ".join(f"coalesce({n}, '')" for n in NAMES) + ", ' |')"
+BLANKS = " + ".join(f"cast(coalesce(trim({n}) = '', false) AS bigint)" for n in NAMES)
+COMPLETE = (
+    f"cp AS (SELECT count(*) * {len(NAMES)} AS total_cells, cast(sum({BLANKS}) AS bigint) AS empty_cells FROM dataset), "
+    "cq AS (SELECT *, (total_cells - empty_cells) / total_cells * 100 AS completeness FROM cp)"
+)
+
+
+def dataset_oracles() -> dict[str, str]:
+    n = len(NAMES)
+    return {
+        "d1_dataset_info": with_(
+            DATASET, select=f"SELECT count(*) AS total_rows, cast({n} AS bigint) AS n_columns, '{', '.join(NAMES)}' AS headers FROM dataset"),
+        "d2_column_types": with_(DATASET, SAMPLE, column_types_sql("sample5"), select="SELECT * FROM ct"),
+        "d2_column_types_all_rows": with_(DATASET, column_types_sql("dataset"), select="SELECT * FROM ct"),
+        "d3_type_summary": with_(
+            DATASET, SAMPLE, column_types_sql("sample5"),
+            select="SELECT data_type, count(*) AS n_columns, min(col_idx) AS first_col FROM ct GROUP BY data_type"),
+        "d4_completeness": with_(DATASET, COMPLETE, select="SELECT * FROM cq"),
+        "d4_column_completeness": with_(DATASET, select=" UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) FILTER (trim({c}) = '') AS blank_cells FROM dataset" for c in NAMES)),
+        "d5_preview_table": with_(
+            DATASET, SAMPLE, column_types_sql("sample5"), COMPLETE,
+            f"top10 AS (SELECT *, {TABLE_LINE} AS line FROM dataset ORDER BY {', '.join(corpora.DATASET_ORDER)} LIMIT 10)",
+            f"body AS (SELECT string_agg(line, chr(10) ORDER BY {', '.join(corpora.DATASET_ORDER)}) AS body FROM top10)",
+            "ks AS (SELECT string_agg(concat(k, ' ', data_type), ', ' ORDER BY f) AS kinds FROM (SELECT data_type, count(*) AS k, min(col_idx) AS f FROM ct GROUP BY data_type))",
+            select=f"""SELECT concat('## 📊 Dataset Information', chr(10), '- **File:** lineitem.csv', chr(10), '- **Total Rows:** ',
+            format('{{:,}}', total_cells // {n}), ' (excluding header)', chr(10), '- **Columns:** {n}', chr(10), '- **Headers:** {', '.join(NAMES)}',
+            chr(10), chr(10), '### 📋 Data Preview', chr(10), '| {' | '.join(NAMES)} |', chr(10), '| {' | '.join('---' for _ in NAMES)} |', chr(10), body,
+            chr(10), chr(10), '### 📈 Dataset Statistics', chr(10), '- **Sample showing:** First 10 rows of ', format('{{:,}}', total_cells // {n}),
+            ' total records', chr(10), '- **Data types detected:** ', kinds, chr(10), '- **Completeness:** ', format('{{:.1f}}', completeness),
+            '% complete', chr(10), chr(10), '*Full dataset contains ', format('{{:,}}', total_cells // {n}),
+            ' rows - showing preview for AI analysis efficiency*') AS report FROM cq, body, ks"""),
+        "d6_full_table": with_(DATASET, select=f"SELECT {TABLE_LINE} AS line FROM dataset"),
+        "d7_plain_rows": with_(
+            DATASET, select="SELECT concat(" + ", ',', ".join(f"coalesce({c}, '')" for c in NAMES) + ") AS line FROM dataset"),
+    }
+
+
+def rollup_oracles() -> dict[str, str]:
+    mentions = " UNION ALL ".join(
+        f"SELECT '{k}' AS kind, doc_id, unnest(list_distinct({metric_list('text', k)})) AS metric FROM texts" for k in fixed.METRIC_PATTERNS
+    )
+    return {
+        "r1_corpus_profile": with_(
+            TEXTS, f"w AS (SELECT doc_type, {language('text')} AS lang_flag, {words('text')} AS w, {chars('text')} AS c FROM texts)",
+            select="""SELECT doc_type, lang_flag, count(*) AS docs, cast(sum(w) AS bigint) AS words, cast(sum(c) AS bigint) AS chars
+            FROM w GROUP BY ROLLUP (doc_type, lang_flag)"""),
+        "r2_metric_frequency": with_(
+            TEXTS, f"mm AS ({mentions})", "f AS (SELECT kind, metric, count(*) AS doc_freq FROM mm GROUP BY kind, metric)",
+            select="""SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_freq DESC, metric) AS rank FROM f
+            QUALIFY rank <= 20"""),
+        "r3_tag_inventory": with_(
+            ELEMENTS, select="""SELECT clean_tag, count(DISTINCT doc_id) AS docs, count(*) AS elements, cast(sum(n_attributes) AS bigint) AS attributes,
+            cast(sum(text_length) AS bigint) AS text_length FROM el GROUP BY clean_tag"""),
+        "r4_key_inventory": with_(
+            CORPUS["jdocs"], NODES, select="""SELECT regexp_replace(path, '\\[[0-9]+\\]', '[*]', 'g') AS path, kind, count(DISTINCT doc_id) AS docs,
+            count(*) AS nodes FROM nd GROUP BY ALL"""),
+        "r5_flag_agreement": f"SELECT lang, {language('text')} AS lang_flag, count(*) AS docs FROM documents GROUP BY ALL",
+    }
+
+
+# ---- trees -----------------------------------------------------------------------------------
+
+
+def nodes_of(table: str) -> str:
+    return f"""jv AS (SELECT doc_id, cast(text AS JSON) AS j FROM {table} WHERE json_valid(text)),
+    tr AS (SELECT doc_id, t.key AS tkey, t.value AS tvalue, t.type AS ttype, t.id AS tid, t.parent AS tparent, t.fullkey AS path FROM jv, json_tree(j) AS t),
+    nd AS MATERIALIZED (SELECT *, cast(len(regexp_extract_all(path, '\\.|\\[')) AS bigint) AS depth,
+      CASE ttype WHEN 'OBJECT' THEN 'Object' WHEN 'ARRAY' THEN 'Array' WHEN 'VARCHAR' THEN 'String' WHEN 'BOOLEAN' THEN 'Boolean'
+        WHEN 'NULL' THEN 'Null' ELSE 'Number' END AS kind,
+      cast(CASE ttype WHEN 'OBJECT' THEN len(json_keys(tvalue)) WHEN 'ARRAY' THEN json_array_length(tvalue) ELSE 0 END AS bigint) AS n_children FROM tr)"""
+
+
+NODES = nodes_of("jdocs")
+TREE_STATS = """ts AS (SELECT doc_id, max(depth) AS max_depth, cast(sum(CASE WHEN kind = 'Object' THEN n_children ELSE 0 END) AS bigint) AS total_keys,
+    string_agg(DISTINCT CASE WHEN kind = 'Boolean' THEN 'Number' ELSE kind END, ', ' ORDER BY CASE WHEN kind = 'Boolean' THEN 'Number' ELSE kind END) AS kinds
+    FROM nd GROUP BY doc_id)"""
+ELEMENTS = """xo AS (SELECT o_orderkey AS doc_id, o_orderkey % 6 + 1 AS n FROM orders WHERE o_orderkey % 10 <> 0),
+    xi AS (SELECT doc_id, unnest(generate_series(1, n)) AS i FROM xo),
+    el AS MATERIALIZED (
+      SELECT doc_id, cast(0 AS bigint) AS ord, cast(0 AS bigint) AS depth, 'order' AS clean_tag, cast(1 AS bigint) AS n_attributes,
+        cast(CASE WHEN doc_id % 4 = 0 THEN 4 ELSE 0 END AS bigint) AS text_length FROM xo
+      UNION ALL SELECT doc_id, 3 * i - 2, 1, 'line', 2, 0 FROM xi
+      UNION ALL SELECT doc_id, 3 * i - 1, 2, 'part', 0, length(cast((doc_id * 7 + i * 13) % 2000 AS string)) FROM xi
+      UNION ALL SELECT doc_id, 3 * i, 2, 'qty', 0, 0 FROM xi)"""
+
+
+def config_sql() -> str:
+    arms = ""
+    for name, indicators in fixed.CONFIG_PATTERNS:
+        title = name.title()
+        body = " OR ".join(f"contains(body, '{w}')" for w in indicators)
+        arms += f" WHEN contains(k, '{name}') THEN '{title} Configuration' WHEN {body} THEN 'Possible {title} Config'"
+    return f"CASE{arms} END"
+
+
+def tree_oracles() -> dict[str, str]:
+    j = CORPUS["jdocs"]
+    both = f"""jp AS (SELECT doc_id, text FROM jdocs UNION ALL SELECT event_id + {corpora.REPORT_IDS_FROM}, props FROM events)"""
+    return {
+        "s5_scan_xml_docs": """SELECT o_orderkey AS doc_id, o_orderkey % 10 <> 0 AS well_formed,
+            CASE WHEN o_orderkey % 10 <> 0 THEN 1 + 3 * (o_orderkey % 6 + 1) ELSE 0 END AS n_elements FROM orders""",
+        "s6_scan_yaml_docs": """SELECT o_orderkey AS doc_id, cast(3 AS bigint) AS max_depth, 8 + 2 * (o_orderkey % 4 + 1) AS total_keys,
+            'Array, Null, Number, Object, String' AS kinds FROM orders WHERE o_orderkey % 17 <> 0""",
+        "n1_nodes": with_(j, NODES, select="SELECT doc_id, path, depth, kind, n_children FROM nd"),
+        "n2_tree_stats": with_(j, NODES, TREE_STATS, select="SELECT * FROM ts"),
+        "n3_complexity": with_(
+            j, both, nodes_of("jp"), TREE_STATS, select="""SELECT doc_id, CASE WHEN max_depth > 4 OR total_keys > 50 THEN 'Complex'
+            WHEN max_depth > 2 OR total_keys > 10 THEN 'Moderate' ELSE 'Simple' END AS complexity FROM ts"""),
+        "n4_outline": with_(
+            "RECURSIVE " + j, NODES, "o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, tparent ORDER BY tid) - 1 AS ord FROM nd)",
+            """r AS (SELECT doc_id, tid, path, kind, n_children, tvalue, cast(0 AS bigint) AS object_depth FROM o WHERE tparent IS NULL
+              UNION ALL SELECT o.doc_id, o.tid, o.path, o.kind, o.n_children, o.tvalue, r.object_depth + cast(r.kind = 'Object' AS bigint)
+              FROM r JOIN o ON o.doc_id = r.doc_id AND o.tparent = r.tid
+              WHERE r.object_depth <= 3 AND (r.kind = 'Object' AND o.ord < 5 OR r.kind = 'Array' AND o.ord < 1))""",
+            select="""SELECT doc_id, path, object_depth, kind, CASE WHEN object_depth > 3 THEN '...'
+              WHEN kind = 'Object' AND n_children = 0 THEN '(empty object)' WHEN kind = 'Object' THEN ''
+              WHEN kind = 'Array' AND n_children = 0 THEN '(empty array)' WHEN kind = 'Array' THEN concat('Array[', n_children, ']:')
+              WHEN kind = 'String' THEN concat('"', left(tvalue->>'$', 30), CASE WHEN length(tvalue->>'$') > 30 THEN '...' ELSE '' END, '"')
+              WHEN kind = 'Null' THEN 'null' WHEN kind = 'Boolean' THEN CASE WHEN cast(tvalue AS varchar) = 'true' THEN 'True' ELSE 'False' END
+              ELSE cast(tvalue AS varchar) END AS description,
+              CASE WHEN object_depth > 3 THEN 0 WHEN kind = 'Object' THEN greatest(n_children - 5, 0) WHEN kind = 'Array' THEN greatest(n_children - 1, 0) ELSE 0 END AS left_out
+              FROM r"""),
+        "n6_config_patterns": with_(
+            j, NODES, """ky AS (SELECT doc_id, lower(tkey) AS k, CASE WHEN kind = 'Object' THEN lower(cast(tvalue AS varchar)) END AS body FROM nd
+              WHERE depth BETWEEN 1 AND 3 AND NOT ends_with(path, ']'))""",
+            select=f"SELECT DISTINCT doc_id, pattern FROM (SELECT doc_id, {config_sql()} AS pattern FROM ky) WHERE pattern IS NOT NULL"),
+        "n7_top_level": with_(
+            j, NODES, select="""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tid) - 1 AS ordinal, tkey AS key,
+            CASE WHEN kind = 'Object' THEN concat('Object with ', n_children, ' properties') WHEN kind = 'Array' THEN concat('Array with ', n_children, ' items')
+            WHEN kind = 'String' THEN 'str' WHEN kind = 'Boolean' THEN 'bool' WHEN kind = 'Null' THEN 'NoneType' WHEN ttype = 'DOUBLE' THEN 'float' ELSE 'int' END AS description
+            FROM nd WHERE depth = 1"""),
+        "x1_elements": with_(ELEMENTS, select="SELECT * FROM el"),
+        "x2_xml_stats": with_(
+            ELEMENTS, select="""SELECT doc_id, '{urn:ord}order' AS root_element, count(*) AS total_elements, count(DISTINCT clean_tag) AS unique_tags,
+            max(depth) AS max_depth, cast(sum(n_attributes) AS bigint) AS attributes, cast(sum(text_length) AS bigint) AS text_length FROM el GROUP BY doc_id"""),
+        "x3_tag_summary": with_(
+            ELEMENTS, select="""SELECT doc_id, clean_tag, count(*) AS n, bool_or(n_attributes > 0) AS has_attributes, bool_or(text_length > 0) AS has_text,
+            min(ord) AS first_ord, CASE clean_tag WHEN 'order' THEN 'line' WHEN 'line' THEN 'part, qty' ELSE '' END AS children FROM el GROUP BY doc_id, clean_tag"""),
+        "x4_namespace": """SELECT o_orderkey AS doc_id, '{urn:ord}order' AS root_element, 'urn:ord' AS namespace, 'order' AS root_tag
+            FROM orders WHERE o_orderkey % 10 <> 0""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    return {**text_oracles()}
+    return {**text_oracles(), **ingest_oracles(), **dataset_oracles(), **tree_oracles(), **rollup_oracles()}

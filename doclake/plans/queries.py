@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.operators import lines, text
+from doclake.operators import lines, results, rollups, routing, tabular, text, trees
 from doclake.plans import corpora as c
+from doclake.plans import shared
+from doclake.plans.process import admitted, process
+from doclake.sources import files as sf
+from doclake.sources import requests as rq
+from doclake.sources import sinks
+from doclake.sources import trees as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,5 +61,212 @@ def text_queries() -> dict[str, Query]:
     }
 
 
+# ---- sources, routing, results ---------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request events in the three envelopes: JSON string body, no envelope, object body."""
+    request = F.struct("*")
+    as_json = F.to_json(request)
+    value = (
+        F.when(F.col("req_id") % 3 == 0, F.to_json(F.struct(as_json.alias("body"))))
+        .when(F.col("req_id") % 3 == 1, as_json)
+        .otherwise(F.to_json(F.struct(request.alias("body"))))
+    )
+    return c.requests(spark, sf_dir).select(value.alias("value"))
+
+
+REQUEST_COLUMNS = ["req_id", "file_name", "file_content", "s3_path", "bucket_name", "output_format", "ai_optimized", "include_metadata"]
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests seen as stored files: bytes, length, missing flag."""
+    content = F.coalesce(rq.decoded(F.col("file_content")), F.lit("").cast("binary"))
+    return c.requests(spark, sf_dir).filter("file_name IS NOT NULL").select(
+        "req_id", "file_name", F.col("file_content").isNull().alias("missing"), content.alias("content"),
+        F.octet_length(content).cast("bigint").alias("length"),
+    )
+
+
+def _decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rq.decode_text(_stored(spark, sf_dir).select("req_id", "content"))
+
+
+def _decode_base64(requests: DataFrame) -> DataFrame:
+    given = requests.filter(F.col("file_content").isNotNull())
+    return rq.decode_base64(given).select("req_id", F.octet_length("bytes").cast("bigint").alias("n_bytes"), "decode_reason")
+
+
+def _csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset as CSV records: quoted notes with commas and line breaks, some short and some long rows."""
+    df = c.dataset(spark, sf_dir)
+    quoted = F.concat(F.lit('"a, ""b"" '), F.col("nota"), F.lit("\n fin\""))
+    short = F.concat_ws(",", "pedido", "fecha")
+    full = F.concat_ws(",", "pedido", "fecha", quoted)
+    long = F.concat(full, F.lit(",sobra"))
+    k = F.col("_pos.l_orderkey") % 10
+    return df.select("pedido", F.when(k == 3, short).when(k == 4, long).otherwise(full).alias("value")).drop("pedido")
+
+
+def _scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = sf.parse_csv(_csv_records(spark, sf_dir), ["pedido", "fecha", "nota"])
+    return parsed.select("pedido", "fecha", "nota", F.col("_ragged").isNotNull().alias("ragged"))
+
+
+def _scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sf.scan_files(spark, sf_dir, "*.parquet").select("file_name", "ext", "length")
+
+
+def _uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.documents(spark, sf_dir).selectExpr("doc_id", f"{c.URI} AS uri", f"{c.ERROR_CODE} AS code")
+
+
+def _object_uri(uris: DataFrame) -> DataFrame:
+    message = routing.object_error_message(F.col("code"), F.col("bucket"), F.col("object_key"))
+    return routing.parse_uri(uris).withColumn("message", message)
+
+
+def _render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts under every combination of output format and options."""
+    d = c.texts(spark, sf_dir).selectExpr("*", *c.RENDER_OPTIONS).withColumn("content", F.col("text"))
+    return routing.render(d, c.PROCESSED_AT).select("doc_id", "output_format", "result")
+
+
+def _fenced(requests: DataFrame) -> DataFrame:
+    return routing.fenced(admitted(requests).filter("reason IS NULL AND text IS NOT NULL")).select("req_id", "content")
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return process(c.requests(spark, sf_dir), c.PROCESSED_AT)
+
+
+def _written(spark: SparkSession, sf_dir: str, write, columns: list[str]) -> DataFrame:
+    path = shared.new_folder(spark)
+    write(_processed(spark, sf_dir), path)
+    return spark.read.parquet(path).select(*columns)
+
+
+def ingest_queries() -> dict[str, Query]:
+    return {
+        "s1_scan_files": _scan_files,
+        "s2_decode_text": _decode_text,
+        "s3_scan_csv": _scan_csv,
+        "s4_scan_json_docs": lambda s, d: sf.scan_json(c.order_corpus(s, d, "jdocs")).select("doc_id", "reason"),
+        "s7_scan_requests": lambda s, d: rq.scan_requests(_events(s, d)).select(*REQUEST_COLUMNS),
+        "s8_decode_base64": on(c.requests, _decode_base64),
+        "s9_write_results": lambda s, d: _written(s, d, sinks.write_results, ["req_id", "file_name", "doc_type", "length"]),
+        "s10_write_rejects": lambda s, d: _written(s, d, sinks.write_rejects, ["req_id", "file_name", "reason"]),
+        "p1_admit": lambda s, d: routing.admit(_stored(s, d)).select("req_id", "ext", "reason"),
+        "p2_route": lambda s, d: routing.route(c.requests(s, d)).select("req_id", "ext", "reader"),
+        "p3_supported": lambda s, d: c.requests(s, d).select("req_id", routing.is_supported(F.col("file_name")).alias("supported")),
+        "p4_object_uri": on(_uris, _object_uri),
+        "p5_validate_request": lambda s, d: routing.validate(c.requests(s, d)).select("req_id", "error"),
+        "p6_resolve_options": lambda s, d: routing.resolve_options(c.requests(s, d)).select(
+            "req_id", "output_format", "ai_optimized", "include_metadata", "extract_key_sections",
+            F.col("max_chunk_size").cast("bigint").alias("max_chunk_size"), "processing_images"),
+        "p7_render_mode": _render,
+        "t8_type_label": lambda s, d: routing.route(c.requests(s, d)).select("req_id", "doc_type"),
+        "t9_fence": on(c.requests, _fenced),
+        "e1_result_row": lambda s, d: results.result_rows(_processed(s, d)).drop("output_chars"),
+        "e2_reject_row": lambda s, d: results.reject_rows(_processed(s, d)),
+        "e3_capabilities": lambda s, d: results.usage(
+            c.requests(s, d).select(routing.request_extension(F.col("file_name")).alias("ext"))),
+        "e4_reader_fallback": lambda s, d: _processed(s, d).filter("reason IS NULL").select("req_id", "reader", "action"),
+        "r6_reject_report": lambda s, d: rollups.reject_report(_processed(s, d)),
+    }
+
+
+# ---- datasets and roll-ups -------------------------------------------------------------------
+
+
+def dataset_queries() -> dict[str, Query]:
+    return {
+        "d1_dataset_info": on(c.dataset, tabular.dataset_info),
+        "d2_column_types": on(c.dataset, tabular.column_types),
+        "d2_column_types_all_rows": on(c.dataset, lambda d: tabular.column_types(d, sample_rows=None)),
+        "d3_type_summary": on(c.dataset, lambda d: tabular.type_summary(tabular.column_types(d))),
+        "d4_completeness": on(c.dataset, tabular.completeness),
+        "d4_column_completeness": on(c.dataset, tabular.column_completeness),
+        "d5_preview_table": on(c.dataset, lambda d: tabular.preview(d, "lineitem.csv")),
+        "d6_full_table": on(c.dataset, tabular.table_lines),
+        "d7_plain_rows": on(c.dataset, tabular.plain_lines),
+    }
+
+
+def rollup_queries() -> dict[str, Query]:
+    return {
+        "r1_corpus_profile": on(c.texts, rollups.corpus_profile),
+        "r2_metric_frequency": on(c.texts, rollups.metric_frequency),
+        "r3_tag_inventory": lambda s, d: rollups.tag_inventory(
+            src.xml_elements(c.order_corpus(s, d, "xdocs"), ["clean_tag", "n_attributes", "text_length"])),
+        "r4_key_inventory": lambda s, d: rollups.key_inventory(src.json_nodes(c.order_corpus(s, d, "jdocs"), ["path", "kind"])),
+        "r5_flag_agreement": lambda s, d: rollups.flag_agreement(c.spread(c.table(s, d, "documents").select("lang", "text"))),
+    }
+
+
+# ---- trees -----------------------------------------------------------------------------------
+
+
+def _json_and_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = c.spread(c.table(spark, sf_dir, "events").select("event_id", "props"))
+    return c.order_corpus(spark, sf_dir, "jdocs").unionByName(
+        props.selectExpr(f"event_id + {c.REPORT_IDS_FROM} AS doc_id", "props AS text"))
+
+
+def _json(fields: list[str] | None, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: operator(src.json_nodes(c.order_corpus(s, d, "jdocs"), fields))
+
+
+def _xml(fields: list[str] | None, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: operator(src.xml_elements(c.order_corpus(s, d, "xdocs"), fields))
+
+
+def _named(corpus: str, ext: str) -> Query:
+    return lambda s, d: c.order_corpus(s, d, corpus).withColumn("file_name", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(ext)))
+
+
+def _stats(nodes: DataFrame) -> DataFrame:
+    return trees.tree_stats(nodes).withColumn("kinds", F.array_join("kinds", ", "))
+
+
+def _scan_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.order_corpus(spark, sf_dir, "xdocs")
+    found = src.xml_elements(docs, ["ord"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.col("n").isNotNull().alias("well_formed"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_elements"))
+
+
+def _scan_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.order_corpus(spark, sf_dir, "ydocs")
+    return _stats(src.yaml_nodes(docs, trees.STAT_FIELDS)).drop("complexity")
+
+
+def _outline(nodes: DataFrame) -> DataFrame:
+    return trees.outline(nodes).select("doc_id", "path", "object_depth", "kind", "description", "left_out")
+
+
+def tree_queries() -> dict[str, Query]:
+    return {
+        "s5_scan_xml_docs": _scan_xml,
+        "s6_scan_yaml_docs": _scan_yaml,
+        "n1_nodes": _json(["path", "depth", "kind", "n_children"], lambda n: n),
+        "n2_tree_stats": _json(trees.STAT_FIELDS, lambda n: _stats(n).drop("complexity")),
+        "n3_complexity": lambda s, d: trees.tree_stats(
+            src.json_nodes(_json_and_props(s, d), trees.STAT_FIELDS)).select("doc_id", "complexity"),
+        "n4_outline": _json(trees.OUTLINE_FIELDS, _outline),
+        "n5_tree_report": on(_named("jdocs", ".json"), trees.json_report),
+        "n5_yaml_report": on(_named("ydocs", ".yml"), trees.yaml_report),
+        "n6_config_patterns": _json(trees.CONFIG_FIELDS, trees.config_patterns),
+        "n7_top_level": _json(trees.TOP_FIELDS, trees.top_level),
+        "x1_elements": _xml(["ord", "depth", "clean_tag", "n_attributes", "text_length"], lambda e: e),
+        "x2_xml_stats": _xml(["depth", "tag", "clean_tag", "n_attributes", "text_length"], trees.xml_stats),
+        "x3_tag_summary": _xml(
+            ["ord", "clean_tag", "parent_tag", "n_attributes", "text_length"],
+            lambda e: trees.tag_summary(e).withColumn("children", F.array_join("children", ", "))),
+        "x4_namespace": _xml(["depth", "tag"], trees.root_namespace),
+        "x5_xml_report": on(_named("xdocs", ".xml"), trees.xml_report),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**text_queries()}
+    return {**text_queries(), **ingest_queries(), **dataset_queries(), **tree_queries(), **rollup_queries()}
