@@ -37,12 +37,14 @@ def admit(files: DataFrame) -> DataFrame:
     )
 
 
+def with_reader(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
+    """files(…, ext) + reader, document type, fence language and failure policy."""
+    return files.withColumns({n: registry.lookup(F.col("ext"), n) for n in ["reader", "doc_type", "fence", "on_error"]})
+
+
 def route(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
-    """p2, t8: files + reader, document type, fence language and failure policy."""
-    ext = request_extension(F.col("file_name"))
-    return files.withColumn("ext", F.lower(ext)).withColumns({
-        name: registry.lookup(F.col("ext"), name) for name in ["reader", "doc_type", "fence", "on_error"]
-    })
+    """p2, t8: files + lower-cased extension and the columns of ``with_reader``."""
+    return with_reader(files.withColumn("ext", F.lower(request_extension(F.col("file_name")))), registry)
 
 
 def is_supported(file_name: Column, registry: Registry = DEFAULT) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclake.functions.frames import computed
 from doclake.operators import lines, routing, trees
 from doclake.operators import text as t
+from doclake.plans import shared
 from doclake.sources import requests as rq
 from doclake.sources import trees as src
 from doclake.sources.registry import DEFAULT, Registry
@@ -30,83 +32,137 @@ def admitted(requests: DataFrame, registry: Registry = DEFAULT, files: DataFrame
     else:
         content = inline
     from_store = F.coalesce(F.col("s3_path"), F.lit("")) != ""
-    loaded = checked.withColumn("content", content).drop("stored")
-    routed = routing.route(loaded.withColumn("length", F.octet_length("content").cast("bigint")), registry)
-    raw_ext = routing.request_extension(F.col("file_name"))
-    not_text = F.col("reader").isin(*NOT_PARSED)
-    text = F.when(~not_text, rq.utf8_text(F.col("content")))
-    custom = F.startswith("reader", F.lit("custom:"))
-    reason = (
+    loaded = computed(checked, {
+        "content": content,
+        "ext": routing.request_extension(F.col("file_name")),
+    }).drop("stored", "file_content")
+    raw_ext = F.col("ext")
+    ended = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("content").isNull(), F.when(from_store, "missing_file").otherwise("bad_base64"))
-        .when(F.col("length") == 0, F.when(from_store, "empty_file").otherwise("empty_content"))
-        .otherwise(routing.admit_reason(F.lit(False), F.lit(False), F.col("length"), raw_ext))
+        .when(F.octet_length("content") == 0, F.when(from_store, "empty_file").otherwise("empty_content"))
+        .otherwise(routing.admit_reason(F.lit(False), F.lit(False), F.octet_length("content"), raw_ext))
     )
-    out = routed.withColumns({"text": text, "reason": reason}).withColumn(
-        "reason",
-        F.coalesce(
-            "reason",
-            F.when(F.col("text").isNull() & ~not_text & ~custom, "invalid_utf8")
-            .when((F.col("reader") == "json") & F.try_parse_json("text").isNull(), "malformed"),
-        ),
+    routed = routing.with_reader(loaded.withColumn("ended", ended).withColumn("ext", F.lower("ext")), registry)
+    reader = F.col("reader")
+    as_text = ~reader.isin(*NOT_PARSED) & ~F.startswith(reader, F.lit("custom:")) & F.col("ended").isNull()
+    read = computed(routed, {
+        "length": F.octet_length("content").cast("bigint"),
+        "text": F.when(as_text, rq.utf8_text(F.col("content"))),
+    })
+    unreadable = (
+        F.when(F.col("text").isNull() & as_text, "invalid_utf8")
+        .when((reader == "json") & F.col("text").isNotNull() & F.try_parse_json("text").isNull(), "malformed")
     )
-    return out.drop("error")
+    return computed(read, {"reason": F.coalesce("ended", unreadable)}).drop("error", "ended")
 
 
 def error_document(title: str, file_name: Column) -> Column:
     return F.concat(F.lit(f"## ❌ {title}\n\n**File:** "), file_name, F.lit("\n"))
 
 
-def process(
-    requests: DataFrame, processed_at: str, registry: Registry = DEFAULT, files: DataFrame | None = None
-) -> DataFrame:
-    """Requests → one row each, with ``result`` or ``reason``.
+def rejects(requests: DataFrame, registry: Registry = DEFAULT, files: DataFrame | None = None) -> DataFrame:
+    """Requests that end early, with the reason; needs no parsing of documents that pass."""
+    return admitted(requests, registry, files).filter(F.col("reason").isNotNull())
 
-    The readable requests are hashed by id once; the typed reports and their joins all reuse that exchange.
+
+def stage(readable: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the readable requests once, partitioned by reader, and read them back.
+
+    Decoding happens once, every reader's branch prunes to its own partition, and the short lineage that is left
+    survives the loss of executors.
     """
-    base = admitted(requests, registry, files)
-    docs = base.repartition("req_id").withColumn("doc_id", F.col("req_id"))
-    readable = docs.filter(F.col("reason").isNull())
-    ai, fmt = F.col("output_format") == "markdown_ai", F.col("output_format")
-
-    def of(reader: str, ai_only: bool = True) -> DataFrame:
-        rows = readable.filter(F.col("reader") == reader)
-        return rows.filter(ai) if ai_only else rows
-
-    xml_ok = src.xml_elements(of("xml", False), ["depth"]).filter(F.col("depth") == 0)
-    yaml_bad = src.yaml_errors(of("yaml", False))
-    notes = (
-        trees.json_report(of("json")).select("doc_id", "report", F.lit(None).cast("string").alias("error"), F.lit(True).alias("parsed"))
-        .unionByName(trees.xml_report(of("xml")).filter("well_formed").select("doc_id", "report", F.lit(None).cast("string").alias("error"), F.lit(True).alias("parsed")))
-        .unionByName(trees.yaml_report(of("yaml")).select("doc_id", "report", F.lit(None).cast("string").alias("error"), F.lit(True).alias("parsed")))
-        .unionByName(xml_ok.select("doc_id", F.lit(None).cast("string").alias("report"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("parsed")))
-        .unionByName(yaml_bad.select("doc_id", F.lit(None).cast("string").alias("report"), "error", F.lit(False).alias("parsed")))
-        .groupBy("doc_id").agg(F.max("report").alias("report"), F.max("error").alias("error"), F.bool_and("parsed").alias("parsed"))
+    spark = readable.sparkSession
+    folder = folder or shared.new_folder(spark)
+    readable.withColumn("doc_id", F.col("req_id")).write.mode("overwrite").partitionBy("reader").parquet(folder)
+    return spark.read.schema(
+        "req_id bigint, doc_id bigint, file_name string, s3_path string, output_format string, ai_optimized boolean, "
+        "include_metadata boolean, ext string, doc_type string, fence string, on_error string, length bigint, "
+        "text string, content binary, reader string"
+    ).parquet(folder)
+
+
+def _text_branch(rows: DataFrame) -> DataFrame:
+    """Row-local: report in the AI format, fence or plain text otherwise."""
+    ai = F.col("output_format") == "markdown_ai"
+    fenced = t.fence_expr(F.col("text"), F.col("fence"), F.col("output_format"))
+    keep = [*rows.columns]
+    analysed = lines.with_structure(
+        rows.withColumn("fenced", fenced).withColumn("text", F.when(ai, F.col("text")))
     )
-    joined = docs.join(notes, "doc_id", "left")
-    text_rows = lines.with_structure(joined.withColumn("_text", F.col("text")).withColumn("text", F.when((F.col("reader") == "text") & ai, F.col("text"))))
-    with_text = text_rows.withColumn("_report", lines.text_report_expr()).drop(
-        "text", "lines", "headings", "lists", "paragraphs", "structure_type"
-    ).withColumnRenamed("_text", "text")
-    note = F.when(F.col("error").isNotNull(), F.concat(F.lit("\n<!-- YAML Parse Error: "), F.col("error"), F.lit(" -->\n"), F.col("text")))
-    source = F.coalesce(note, F.col("text"))
-    # JSON keeps its fence in every format but plain
-    fence_format = F.when((F.col("reader") == "json") & (fmt != "plain"), "markdown").otherwise(fmt)
-    content = F.coalesce("_report", "report", t.fence_expr(source, F.col("fence"), fence_format))
-    unparsed = F.col("reader").isin(*NOT_PARSED)
-    broken = (
-        (F.col("reader") == "xml") & F.col("parsed").isNull() | (F.col("reader") == "yaml") & F.col("error").isNotNull()
+    return analysed.select(
+        *[c for c in keep if c != "text"],
+        F.when(ai, lines.text_report_expr()).otherwise(F.col("fenced")).alias("content_out"), F.lit("parsed").alias("action"),
     )
-    content = F.when(unparsed, error_document("Processing Error", F.col("file_name"))).otherwise(content)
-    ready = with_text.withColumns({"content": content, "action": F.when(unparsed, F.col("on_error")).when(broken, F.col("on_error")).otherwise("parsed")})
-    plain = (F.col("action") != "parsed")
-    shown = ready.withColumn("_raw", F.when(plain, F.col("content"))).withColumn(
-        "content", F.when(F.col("reason").isNull() & ~plain, F.col("content"))
+
+
+def _typed_branch(rows: DataFrame, ai_report, parsed: DataFrame | None, note: DataFrame | None = None) -> DataFrame:
+    """Rows of one typed reader: the AI format takes its report, the others a fence.
+
+    ``parsed`` (doc_id) lists the well-formed documents and ``note`` (doc_id, error) the others; documents that do not
+    parse keep their raw text. Only the rows that need it are parsed or joined.
+    """
+    ai = F.col("output_format") == "markdown_ai"
+    out = rows.join(ai_report(rows.filter(ai)).select("doc_id", "report"), "doc_id", "left")
+    ok = F.lit(True)
+    text = F.col("text")
+    if parsed is not None:
+        out = out.join(parsed.select("doc_id", F.lit(True).alias("ok")), "doc_id", "left")
+        ok = F.coalesce("ok", F.lit(False))
+    if note is not None:
+        out = out.join(note, "doc_id", "left")
+        ok = F.col("error").isNull()
+        text = F.concat(F.coalesce(F.concat(F.lit("\n<!-- YAML Parse Error: "), F.col("error"), F.lit(" -->\n")), F.lit("")), text)
+    # JSON keeps its fence in every format but plain
+    fence_format = F.when((F.col("reader") == "json") & (F.col("output_format") != "plain"), "markdown").otherwise(F.col("output_format"))
+    content = F.when(ok & ai, F.col("report")).otherwise(t.fence_expr(text, F.col("fence"), fence_format))
+    return out.select(
+        *[c for c in rows.columns if c != "text"], content.alias("content_out"),
+        F.when(ok, "parsed").otherwise(F.col("on_error")).alias("action"),
     )
+
+
+def process(
+    requests: DataFrame, processed_at: str, registry: Registry = DEFAULT, files: DataFrame | None = None,
+    folder: str | None = None,
+) -> DataFrame:
+    """Requests → one row with ``result`` for each that can be read; ``rejects`` has the others."""
+    readable = admitted(requests, registry, files).filter(F.col("reason").isNull())
+    columns = ["req_id", "file_name", "s3_path", "output_format", "ai_optimized", "include_metadata", "ext", "doc_type",
+               "fence", "on_error", "length", "text", "reader"]
+    binary = any(r.fn is not None for r in registry.readers)
+    content = F.when(F.col("text").isNull(), F.col("content")) if binary else F.lit(None).cast("binary")
+    staged = stage(readable.select(*columns, content.alias("content")), folder)
+    of = lambda reader: staged.filter(F.col("reader") == reader)
+    xml, yaml = of("xml"), of("yaml")
+    roots = src.xml_elements(xml, ["depth"]).filter(F.col("depth") == 0)
+    unparsed = staged.filter(F.col("reader").isin(*NOT_PARSED))
+    branches = [
+        _text_branch(of("text")),
+        _typed_branch(of("json"), trees.json_report, None),
+        _typed_branch(xml, lambda d: trees.xml_report(d).filter("well_formed"), roots),
+        _typed_branch(yaml, trees.yaml_report, None, src.yaml_errors(yaml)),
+        _text_branch(of("csv")),
+        unparsed.select(
+            *[c for c in staged.columns if c != "text"],
+            error_document("Processing Error", F.col("file_name")).alias("content_out"), F.col("on_error").alias("action"),
+        ),
+    ]
+    for r in registry.readers:
+        if r.fn is not None:
+            docs = r.fn(of(r.reader)).select("doc_id", F.col("text").alias("read"))
+            branches.append(_text_branch(
+                of(r.reader).drop("text").join(docs, "doc_id").withColumnRenamed("read", "text").select(*staged.columns)))
+    out = branches[0]
+    for b in branches[1:]:
+        out = out.unionByName(b)
+    as_is = F.col("action") != "parsed"
+    shown = out.withColumn("as_is", F.when(as_is, F.col("content_out"))).withColumn(
+        "content", F.when(~as_is, F.col("content_out"))
+    ).drop("content_out", "doc_id")
     rendered = routing.render(shown, processed_at)
-    keep = [
+    return rendered.select(
         "req_id", "file_name", "s3_path", "output_format", "ai_optimized", "include_metadata", "ext", "reader", "doc_type",
-        "on_error", "length", "reason", "action",
-    ]
-    result = F.when(F.col("reason").isNull(), F.coalesce("_raw", "result"))
-    return rendered.select(*keep, result.alias("result"))
+        "on_error", "length", "action", F.lit(None).cast("string").alias("reason"),
+        F.coalesce("as_is", "result").alias("result"),
+    )

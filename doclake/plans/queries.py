@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from doclake.operators import lines, results, rollups, routing, tabular, text, trees
 from doclake.plans import corpora as c
 from doclake.plans import shared
-from doclake.plans.process import admitted, process
+from doclake.plans.process import admitted, process, rejects
 from doclake.sources import files as sf
 from doclake.sources import requests as rq
 from doclake.sources import sinks
@@ -140,10 +140,14 @@ def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process(c.requests(spark, sf_dir), c.PROCESSED_AT)
 
 
-def _written(spark: SparkSession, sf_dir: str, write, columns: list[str]) -> DataFrame:
-    path = shared.new_folder(spark)
-    write(_processed(spark, sf_dir), path)
-    return spark.read.parquet(path).select(*columns)
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejects(c.requests(spark, sf_dir))
+
+
+def _written(rows: DataFrame, write, columns: list[str]) -> DataFrame:
+    path = shared.new_folder(rows.sparkSession)
+    write(rows, path)
+    return rows.sparkSession.read.parquet(path).select(*columns)
 
 
 def ingest_queries() -> dict[str, Query]:
@@ -154,8 +158,8 @@ def ingest_queries() -> dict[str, Query]:
         "s4_scan_json_docs": lambda s, d: sf.scan_json(c.order_corpus(s, d, "jdocs")).select("doc_id", "reason"),
         "s7_scan_requests": lambda s, d: rq.scan_requests(_events(s, d)).select(*REQUEST_COLUMNS),
         "s8_decode_base64": on(c.requests, _decode_base64),
-        "s9_write_results": lambda s, d: _written(s, d, sinks.write_results, ["req_id", "file_name", "doc_type", "length"]),
-        "s10_write_rejects": lambda s, d: _written(s, d, sinks.write_rejects, ["req_id", "file_name", "reason"]),
+        "s9_write_results": lambda s, d: _written(_processed(s, d), sinks.write_results, ["req_id", "file_name", "doc_type", "length"]),
+        "s10_write_rejects": lambda s, d: _written(_rejected(s, d), sinks.write_rejects, ["req_id", "file_name", "reason"]),
         "p1_admit": lambda s, d: routing.admit(_stored(s, d)).select("req_id", "ext", "reason"),
         "p2_route": lambda s, d: routing.route(c.requests(s, d)).select("req_id", "ext", "reader"),
         "p3_supported": lambda s, d: c.requests(s, d).select("req_id", routing.is_supported(F.col("file_name")).alias("supported")),
@@ -168,11 +172,11 @@ def ingest_queries() -> dict[str, Query]:
         "t8_type_label": lambda s, d: routing.route(c.requests(s, d)).select("req_id", "doc_type"),
         "t9_fence": on(c.requests, _fenced),
         "e1_result_row": lambda s, d: results.result_rows(_processed(s, d)).drop("output_chars"),
-        "e2_reject_row": lambda s, d: results.reject_rows(_processed(s, d)),
+        "e2_reject_row": lambda s, d: results.reject_rows(_rejected(s, d)),
         "e3_capabilities": lambda s, d: results.usage(
             c.requests(s, d).select(routing.request_extension(F.col("file_name")).alias("ext"))),
-        "e4_reader_fallback": lambda s, d: _processed(s, d).filter("reason IS NULL").select("req_id", "reader", "action"),
-        "r6_reject_report": lambda s, d: rollups.reject_report(_processed(s, d)),
+        "e4_reader_fallback": lambda s, d: _processed(s, d).select("req_id", "reader", "action"),
+        "r6_reject_report": lambda s, d: rollups.reject_report(_rejected(s, d)),
     }
 
 
