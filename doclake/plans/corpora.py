@@ -182,6 +182,10 @@ GRID_CELLS = [
     (5, "row_idx > 1 AND o_orderkey % 11 <> 0 AND o_orderkey % 3 <> 0",
      "CASE WHEN o_orderkey % 4 = 0 THEN concat('=A', row_idx) ELSE 'a  \"b\" c' END", "'text'"),
     (6, "row_idx > 1 AND o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0", "cast(cast(o_totalprice AS decimal(18,2)) AS string)", "'number'"),
+    (7, "row_idx > 1 AND o_orderkey % 13 = 0", "cast(36526 + o_orderkey % 3000 AS string)", "'datetime'"),
+    (7, "row_idx > 1 AND o_orderkey % 13 = 1", "'5.0'", "'number'"),
+    (8, "row_idx > 1 AND o_orderkey % 13 = 2", "''", "'text'"),
+    (9, "row_idx > 1 AND o_orderkey % 13 = 3 AND o_orderkey % 1500 < 40", "'0'", "'number'"),
 ]
 
 ORDER_CORPORA = {"jdocs": json_text, "xdocs": xml_text, "ydocs": yaml_text, "mdocs": markdown_text}

@@ -515,5 +515,87 @@ def tree_oracles() -> dict[str, str]:
     }
 
 
+# ---- grids -----------------------------------------------------------------------------------
+
+CELLS = CORPUS["cells"]
+SHOWN = """CASE WHEN kind = 'number' AND try_cast(value AS double) = floor(try_cast(value AS double)) THEN cast(cast(value AS double)::bigint AS varchar)
+    WHEN kind = 'datetime' THEN strftime(DATE '1899-12-30' + cast(value AS integer), '%Y-%m-%d 00:00:00')
+    WHEN kind = 'boolean' THEN CASE WHEN value = 'true' THEN 'True' ELSE 'False' END ELSE value END"""
+KEPT = f"""kc AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY book, sheet ORDER BY row_idx) AS row_no, {SHOWN} AS shown
+    FROM cells WHERE row_idx <= 1000 AND kind <> 'empty')"""
+DIMS = """dm AS MATERIALIZED (SELECT book, sheet, max(row_idx) AS max_row, max(col_idx) AS max_col,
+    count(DISTINCT CASE WHEN row_idx <= 1000 THEN row_idx END) AS processed_rows FROM cells GROUP BY book, sheet)"""
+
+
+def escape_cell(x: str, limit: int) -> str:
+    e = f"regexp_replace(trim(replace(replace({x}, '|', '\\|'), '\"', '\\\"')), '[ \n\r]+', ' ', 'g')"
+    return (
+        f"CASE WHEN length({e}) > {limit} THEN CASE WHEN length({e}) > 20 THEN concat(left({e}, {limit - 3}), '...') "
+        f"ELSE left({e}, {limit}) END ELSE {e} END"
+    )
+
+
+_DATE_LIKE = "length(trim(value)) >= 6 AND (" + " OR ".join(f"contains(trim(value), '{w}')" for w in fixed.DATE_INDICATORS) + ")"
+CENSUS = f"""ck AS (SELECT kc.*, least(max_col, 10) AS w, CASE WHEN value = '' THEN 'empty' WHEN kind = 'datetime' THEN 'date'
+      WHEN kind = 'text' AND {_DATE_LIKE} THEN 'date' ELSE kind END AS k FROM kc JOIN dm USING (book, sheet) WHERE row_no <= 20 AND col_idx <= 10),
+    cc AS (SELECT book, sheet, count(*) FILTER (k = 'text') AS text, count(*) FILTER (k = 'number') AS number, count(*) FILTER (k = 'date') AS date,
+      count(*) FILTER (k = 'boolean') AS boolean FROM ck WHERE (row_no - 1) * w + col_idx <= 100 GROUP BY book, sheet),
+    cs AS (SELECT cc.*, least(least(processed_rows, 20) * least(max_col, 10), 100) - text - number - date - boolean AS empty FROM cc JOIN dm USING (book, sheet))"""
+_TRUTHY = "(trim(value) <> '' AND NOT (kind = 'number' AND coalesce(try_cast(value AS double) = 0, false)) AND NOT (kind = 'boolean' AND value = 'false'))"
+HEADER_CHECK = f"""hk AS (SELECT book, sheet, count(*) FILTER {_TRUTHY} AS meaningful, count(*) FILTER ({_TRUTHY} AND kind = 'text' AND length(trim(value)) > 1
+      AND NOT regexp_matches(trim(value), '^[0-9]+$') AND trim(value) <> '-') AS text_cells FROM kc WHERE row_no = 1 GROUP BY book, sheet),
+    hx AS (SELECT *, meaningful > 0 AND text_cells >= meaningful * 0.6 AS is_header FROM hk)"""
+SMART = f"""sc AS (SELECT book, sheet, unnest(generate_series(1, least(max_col, 12))) AS col_idx FROM dm),
+    f1 AS (SELECT book, sheet, col_idx, value, kind, shown FROM kc WHERE row_no = 1),
+    sh AS (SELECT sc.*, CASE WHEN {_TRUTHY} AND length(trim(shown)) > 2 AND NOT regexp_matches(trim(shown), '^[0-9]+$') THEN trim(shown)
+      ELSE concat('Col', sc.col_idx) END AS header FROM sc LEFT JOIN f1 USING (book, sheet, col_idx))"""
+TABLE_ROWS = f"""rr AS (SELECT DISTINCT book, sheet, row_no FROM kc WHERE col_idx <= 12),
+    rg AS (SELECT rr.*, sc.col_idx FROM rr JOIN sc USING (book, sheet)),
+    tr AS (SELECT book, sheet, row_no, concat('| ', string_agg(CASE WHEN coalesce(shown, '') = '' THEN '-' ELSE {escape_cell('shown', 120)} END, ' | ' ORDER BY col_idx), ' |') AS line
+      FROM rg LEFT JOIN kc USING (book, sheet, row_no, col_idx) GROUP BY book, sheet, row_no)"""
+
+
+def grid_oracles() -> dict[str, str]:
+    return {
+        "g1_rows": with_(CELLS, KEPT, select="SELECT DISTINCT book, sheet, row_idx, row_no FROM kc"),
+        "g2_cell_census": with_(CELLS, KEPT, DIMS, CENSUS, select="SELECT * FROM cs"),
+        "g3_header_check": with_(CELLS, KEPT, HEADER_CHECK, select="SELECT * FROM hx"),
+        "g4_smart_headers": with_(CELLS, KEPT, DIMS, SMART, select="SELECT * FROM sh"),
+        "g5_escape_cell": with_(
+            CELLS, select=f"SELECT book, sheet, row_idx, col_idx, {escape_cell('value', 12)} AS short, {escape_cell('value', 100)} AS cell FROM cells"),
+        "g6_escape_markdown": with_(
+            CELLS, "v AS (SELECT value FROM cells UNION ALL SELECT text FROM documents)",
+            select="SELECT value, " + _nested_replace("value") + " AS escaped FROM v"),
+        "g7_table_rows": with_(CELLS, KEPT, DIMS, SMART, TABLE_ROWS, select="SELECT * FROM tr"),
+        "g8_sheet_preview": with_(
+            CELLS, KEPT, DIMS, SMART, TABLE_ROWS, HEADER_CHECK,
+            "pc AS (SELECT book, sheet, unnest(generate_series(1, max_col)) AS col_idx FROM dm)",
+            """pl AS (SELECT book, sheet, row_no, string_agg(coalesce(shown, ''), chr(9) ORDER BY col_idx) AS line
+              FROM (SELECT DISTINCT book, sheet, row_no FROM kc WHERE row_no <= 50) JOIN pc USING (book, sheet)
+              LEFT JOIN kc USING (book, sheet, row_no, col_idx) GROUP BY book, sheet, row_no)""",
+            select="""SELECT book, sheet, 'ai' AS mode, row_no, line FROM tr JOIN hx USING (book, sheet) WHERE row_no <= 15 AND (row_no > 1 OR NOT is_header)
+              UNION ALL SELECT book, sheet, 'standard', row_no, line FROM tr WHERE row_no BETWEEN 2 AND 8
+              UNION ALL SELECT book, sheet, 'plain', row_no, line FROM pl"""),
+        "g9_sheet_summary": with_(
+            CELLS, KEPT, DIMS, CENSUS, select="""SELECT book, sheet, concat(max_row, ' x ', max_col) AS dimensions, processed_rows,
+            array_to_string(list_filter([CASE WHEN text > 0 THEN 'text' END, CASE WHEN number > 0 THEN 'number' END, CASE WHEN date > 0 THEN 'date' END,
+              CASE WHEN boolean > 0 THEN 'boolean' END], lambda x: x IS NOT NULL), ', ') AS main_types,
+            CASE WHEN max_row > 1000 THEN concat('Mostrando primeras 1000 filas de ', max_row, ' total') END AS note FROM dm JOIN cs USING (book, sheet)"""),
+        "g10_formula_scan": with_(
+            CELLS, """fm AS (SELECT *, row_number() OVER (PARTITION BY book, sheet ORDER BY row_idx, col_idx) AS formula_no FROM cells
+              WHERE kind = 'text' AND starts_with(value, '=') AND row_idx <= 100 AND col_idx <= 50)""",
+            select="SELECT book, sheet, formula_no, concat(chr(cast(64 + col_idx AS integer)), row_idx) AS cell, value AS formula FROM fm WHERE formula_no <= 10"),
+        "g11_normalise_value": with_(CELLS, select=f"SELECT book, sheet, row_idx, col_idx, {SHOWN} AS shown FROM cells"),
+    }
+
+
+def _nested_replace(x: str) -> str:
+    for ch in fixed.MARKDOWN_SPECIALS:
+        x = f"replace({x}, {lit(ch)}, {lit(chr(92) + ch)})"
+    return x
+
+
 def all_oracles() -> dict[str, str]:
-    return {**text_oracles(), **ingest_oracles(), **dataset_oracles(), **tree_oracles(), **rollup_oracles()}
+    return {
+        **text_oracles(), **ingest_oracles(), **dataset_oracles(), **tree_oracles(), **grid_oracles(), **rollup_oracles(),
+    }

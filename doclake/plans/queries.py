@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.operators import lines, results, rollups, routing, tabular, text, trees
+from doclake.functions import cells as cl
+from doclake.operators import grid, lines, results, rollups, routing, tabular, text, trees
 from doclake.plans import corpora as c
 from doclake.plans import shared
 from doclake.plans.process import admitted, process, rejects
@@ -272,5 +273,35 @@ def tree_queries() -> dict[str, Query]:
     }
 
 
+# ---- grids -----------------------------------------------------------------------------------
+
+
+def _escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = c.cells(spark, sf_dir).select("value").unionByName(c.documents(spark, sf_dir).select(F.col("text").alias("value")))
+    return value.select("value", cl.escape_markdown(F.col("value")).alias("escaped"))
+
+
+def grid_queries() -> dict[str, Query]:
+    shown = cl.normalise(F.col("value"), F.col("kind"))
+    return {
+        "g1_rows": on(c.cells, grid.rows),
+        "g2_cell_census": on(c.cells, grid.census),
+        "g3_header_check": on(c.cells, grid.header_check),
+        "g4_smart_headers": on(c.cells, grid.smart_headers),
+        "g5_escape_cell": on(c.cells, lambda d: d.select(
+            "book", "sheet", "row_idx", "col_idx", cl.escape_cell(F.col("value"), 12).alias("short"),
+            cl.escape_cell(F.col("value"), 100).alias("cell"))),
+        "g6_escape_markdown": _escaped,
+        "g7_table_rows": on(c.cells, grid.table_rows),
+        "g8_sheet_preview": on(c.cells, grid.preview),
+        "g9_sheet_summary": on(c.cells, grid.sheet_summary),
+        "g10_formula_scan": on(c.cells, grid.formulas),
+        "g11_normalise_value": on(c.cells, lambda d: d.select("book", "sheet", "row_idx", "col_idx", shown.alias("shown"))),
+        "g12_workbook_report": on(c.cells, grid.workbook_report),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**text_queries(), **ingest_queries(), **dataset_queries(), **tree_queries(), **rollup_queries()}
+    return {
+        **text_queries(), **ingest_queries(), **dataset_queries(), **tree_queries(), **grid_queries(), **rollup_queries(),
+    }
