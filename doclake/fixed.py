@@ -160,3 +160,27 @@ TITLE_LEVEL_ONE = ["INTRODUCCIÓN", "DESCRIPCIÓN", "ESPECIFICACIÓN"]
 PROMOTE_SPECIALS = r"[{}()\[\]\"|:]"
 CODE_BLOCK_LINES = 50
 MAX_HEADER_LEVEL = 6
+TOC_TITLE = "## Contenido"
+TOC_ENTRY = r"^\[.*\]\(#.*\)$"
+SIMPLE_BLOCK_LENGTH = 50
+COMPLEX_CODE = ["{", "}", "[", "]", ":", "=", "=>", "->", "&&", "||"]
+TABLE_HEADERS = [r"__[^_]+__.*__[^_]+__", r"\*[^*]+\*.*\*[^*]+\*"]
+UNDERLINED, STARRED = r"__([^_]+)__", r"\*([^*]+)\*"
+SEPARATOR_MARKS = ["---", ":-:", ":--"]
+BARE_URL = r"(?<![\[\(])(https?://[^\s<>\)]+)(?![\]\)])"
+SPACED_LINK = r"\[([^\]]+)\]\s*\(([^)]+)\)"
+CODE_STARTS = [
+    r"^\s*[\{\[]",
+    r"^\s*<[a-zA-Z][^>]*>",
+    r"^(POST|GET|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+/",
+    r"^HTTP/[0-9]\.[0-9]",
+    r"^[A-Za-z][-\w]*:\s+.+",
+    r'^\s*"[^"]+"\s*:\s*',
+]
+CODE_HTTP = r"^(POST|GET|PUT|DELETE|PATCH)\s+"
+DOC_TITLE = "## 📝 Word Document Analysis"
+LINT_COLUMNS = "Inconsistencia en número de columnas de tabla"
+LINT_PIPES = "Tabla con formato incorrecto (pipes insuficientes)"
+LINT_LEVEL = "Header nivel {level} no válido (máximo 6)"
+LINT_SPACE = "Falta espacio después de # en header"
+LINT_FENCE = "Bloque de código mal formado"

@@ -15,3 +15,9 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [c for c in df.columns if c not in columns]
     row = F.struct(*[e.alias(n) for n, e in columns.items()])
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: an expression named inside a lambda is otherwise evaluated again
+    for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

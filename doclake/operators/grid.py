@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from doclake import fixed
 from doclake.functions import cells as cl
+from doclake.functions import text as tx
 
 SHEET = ["book", "sheet"]
 
@@ -19,7 +20,7 @@ SHEET = ["book", "sheet"]
 def filled(cells: DataFrame, blank_is_empty: bool = False) -> DataFrame:
     """Cells that keep a row alive; for the legacy format blank text does not."""
     out = cells.filter(F.col("kind") != "empty")
-    return out.filter(F.trim("value") != "") if blank_is_empty else out
+    return out.filter(tx.strip(F.col("value")) != "") if blank_is_empty else out
 
 
 def head_cells(cells: DataFrame, rows: int, columns: int | None = None, blank_is_empty: bool = False) -> DataFrame:
@@ -72,7 +73,7 @@ def census(cells: DataFrame, dims: DataFrame | None = None) -> DataFrame:
 
 def header_check(cells: DataFrame) -> DataFrame:
     """g3: whether the first kept row of each sheet looks like a header."""
-    s = F.trim("value")
+    s = tx.strip(F.col("value"))
     truthy = cl.is_truthy(F.col("value"), F.col("kind"))
     text = truthy & (F.col("kind") == "text") & (F.char_length(s) > 1) & ~cl.is_digits(s) & (s != "-")
     return (
@@ -92,7 +93,7 @@ def smart_headers(cells: DataFrame, dims: DataFrame | None = None) -> DataFrame:
         *SHEET, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("max_col", F.lit(fixed.HEADER_COLUMNS)))).alias("col_idx")
     )
     first = head_cells(cells, 1, fixed.HEADER_COLUMNS).select(*SHEET, "col_idx", "value", "kind")
-    s = F.trim(cl.normalise(F.col("value"), F.col("kind")))
+    s = tx.strip(cl.normalise(F.col("value"), F.col("kind")))
     telling = cl.is_truthy(F.col("value"), F.col("kind")) & (F.char_length(s) > 2) & ~cl.is_digits(s)
     header = F.when(telling, s).otherwise(F.concat(F.lit("Col"), F.col("col_idx").cast("string")))
     return columns.join(first, [*SHEET, "col_idx"], "left").select(*SHEET, "col_idx", header.alias("header"))

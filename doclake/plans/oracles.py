@@ -595,7 +595,114 @@ def _nested_replace(x: str) -> str:
     return x
 
 
+# ---- markdown --------------------------------------------------------------------------------
+
+MDOCS = CORPUS["mdocs"] + f""", md AS MATERIALIZED (SELECT doc_id, text FROM mdocs
+    UNION ALL SELECT doc_id + {corpora.REPORT_IDS_FROM}, text FROM documents)"""
+MLINES = lines_of("md")
+MS = f"ml AS MATERIALIZED (SELECT doc_id, pos, line, {strip('line')} AS s FROM l)"
+
+
+def replaced(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, {lit(pattern)}, {lit(by)}, 'g')"
+
+
+def rejoined(case: str) -> str:
+    return f"SELECT doc_id, string_agg({case}, chr(10) ORDER BY pos) AS text FROM ml GROUP BY doc_id"
+
+
+def pipes(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, '|', '')))"
+
+
+def clean_sql(x: str) -> str:
+    x = f"replace({x}, chr(160), ' ')"
+    for pattern, by in [
+        (r"\\([().,;:{}\[\]])", r"\1"), (r"\\([-.])", r"\1"), (r"\\#([^#\s]|$)", r"#\1"), (r"[ \t]+", " "), (r"(?m)[ \t]+$", ""),
+    ]:
+        x = replaced(x, pattern, by)
+    return x
+
+
+def header_sql() -> str:
+    title = "replace(trim(regexp_extract(s, '^(#+)\\s*(.+)', 2)), chr(92), '')"
+    return f"""CASE WHEN starts_with(s, '#') THEN CASE WHEN regexp_matches(s, '^(#+)\\s*(.+)')
+        THEN concat(regexp_extract(s, '^(#+)\\s*(.+)', 1), ' ', {title}) ELSE line END
+      WHEN s <> '' AND length(s) <= 80 AND NOT ends_with(s, '.') AND regexp_matches(s, '^\\p{{Lu}}')
+        AND len(regexp_extract_all(s, {lit(fixed.PROMOTE_SPECIALS)})) <= 2 AND NOT starts_with(coalesce(nx, ''), '#')
+        THEN concat(CASE WHEN regexp_matches(upper(s), '{"|".join(fixed.TITLE_LEVEL_ONE)}') THEN '# ' ELSE '## ' END, s)
+      ELSE line END"""
+
+
+PIPE_TABLES = f"""t0 AS (SELECT *, contains(line, '|') AS p, {pipes('s')} >= 2 AND length(s) > 5 AS st FROM ml),
+    t1 AS (SELECT *, count(*) FILTER (NOT p) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM t0),
+    t2 AS (SELECT *, min(CASE WHEN st AND p THEN pos END) OVER (PARTITION BY doc_id, run, p) AS first_pos,
+      max(pos) OVER (PARTITION BY doc_id, run, p) AS last_pos FROM t1),
+    t3 AS (SELECT *, p AND first_pos IS NOT NULL AND pos >= first_pos AND last_pos > first_pos AS inside FROM t2),
+    t4 AS (SELECT *, lag(inside) OVER (PARTITION BY doc_id ORDER BY pos) AS was_inside,
+      max(CASE WHEN inside AND pos <= first_pos + 2 AND (contains(line, '---') OR contains(line, ':-:') OR contains(line, ':--')) THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id, run, p) AS ruled,
+      trim({replaced(replaced(replaced('line', r'\\([*_])', r'\1'), r'\s+', ' '), r'\s*\|\s*', ' | ')}) AS tidy,
+      {pipes('s')} + CASE WHEN starts_with(s, '|') AND ends_with(s, '|') THEN -1 ELSE 1 END AS cols FROM t3),
+    t5 AS (SELECT doc_id, pos, CASE WHEN inside AND pos = first_pos AND ruled = 0
+        THEN concat(tidy, chr(10), '| ', array_to_string(list_transform(generate_series(1, cols), lambda i: '---'), ' | '), ' |')
+        WHEN inside THEN tidy ELSE line END AS out FROM t4 WHERE NOT (NOT inside AND s = '' AND coalesce(was_inside, false)))"""
+LINT = f"""i0 AS (SELECT *, contains(line, '|') AND NOT starts_with(s, '```') AS row,
+      NOT contains(line, '|') AND NOT contains(line, '---') AND s <> '' AS ends,
+      {pipes('line')} - (length(line) - length(replace(line, chr(92) || '|', ''))) // 2 AS np,
+      length(regexp_extract(line, '^(#*)', 1)) AS level FROM ml),
+    i1 AS (SELECT *, count(*) FILTER (ends) OVER (PARTITION BY doc_id ORDER BY pos) AS region FROM i0),
+    i2 AS (SELECT *, min(CASE WHEN row THEN pos END) OVER (PARTITION BY doc_id, region, ends) AS first_pos FROM i1),
+    i3 AS (SELECT *, first(np) OVER (PARTITION BY doc_id, region, ends, row ORDER BY pos) AS cols,
+      NOT row AND NOT ends AND first_pos IS NOT NULL AND pos > first_pos AND contains(line, '---') AS skipped FROM i2),
+    issues AS (
+      SELECT doc_id, pos AS line_no, {lit(fixed.LINT_COLUMNS)} AS issue FROM i3 WHERE row AND pos > first_pos AND np <> cols AND np > 0
+      UNION ALL SELECT doc_id, pos, {lit(fixed.LINT_PIPES)} FROM i3 WHERE row AND np < 2
+      UNION ALL SELECT doc_id, pos, replace({lit(fixed.LINT_LEVEL)}, '{{level}}', cast(level AS varchar)) FROM i3 WHERE NOT skipped AND level > 6
+      UNION ALL SELECT doc_id, pos, {lit(fixed.LINT_SPACE)} FROM i3 WHERE NOT skipped AND level > 0 AND length(line) > level AND line[level + 1] <> ' '
+      UNION ALL SELECT doc_id, pos, {lit(fixed.LINT_FENCE)} FROM i3 WHERE NOT skipped AND starts_with(s, '```')
+        AND length(line) - length(replace(line, '```', '')) <> 3)"""
+
+
+def markdown_oracles() -> dict[str, str]:
+    base = (MDOCS, MLINES, MS)
+    quality = (
+        f"q AS (SELECT doc_id, text, {words('text')} AS words, {pipes('text')} // 4 AS tables FROM md), "
+        "hq AS (SELECT doc_id, count(*) FILTER (starts_with(s, '#')) AS headings FROM ml GROUP BY doc_id)"
+    )
+    top = f"concat({lit(fixed.DOC_TITLE)}, chr(10), '- **File:** doc_', doc_id, '.docx', chr(10), '- **Content:** ~', format('{{:,}}', words))"
+    tail = "concat(chr(10), chr(10), '### 📖 Document Content', chr(10))"
+    return {
+        "m1_clean_chars": with_(MDOCS, select=f"SELECT doc_id, {clean_sql('text')} AS text FROM md"),
+        "m2_headers": with_(
+            *base, "mn AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM ml)",
+            select=rejoined(header_sql()).replace("FROM ml", "FROM mn")),
+        "m6_pipe_tables": with_(*base, PIPE_TABLES, select="SELECT doc_id, string_agg(out, chr(10) ORDER BY pos) AS text FROM t5 GROUP BY doc_id"),
+        "m7_lists": with_(*base, select=rejoined(
+            """CASE WHEN regexp_matches(s, '^([0-9]+)\\\\\\.\\s*(.+)') THEN regexp_replace(s, '^([0-9]+)\\\\\\.\\s*(.+)', '\\1. \\2')
+            WHEN regexp_matches(s, '^[•·]') THEN concat(repeat(' ', length(line) - length(ltrim(line))), '- ', regexp_replace(s, '^[•·]\\s*', '')) ELSE line END""")),
+        "m10_escapes": with_(*base, select=rejoined(
+            f"""CASE WHEN starts_with(s, '#') THEN line WHEN contains(line, 'http') OR contains(line, 'www.')
+            THEN {replaced(replaced('line', r'\\([#.@])', r'\1'), r'\\([:/])', r'\1')} ELSE {replaced('line', r'\\([#.@])', r'\1')} END""")),
+        "m11_final": with_(
+            MDOCS, select=f"SELECT doc_id, rtrim(regexp_replace(text, '\\n\\n\\n+', chr(10) || chr(10), 'g'), {lit(WHITESPACE)}) AS text FROM md"),
+        "m13_doc_quality": with_(
+            *base, quality, select=f"""SELECT doc_id, words, headings, tables,
+            concat({top}, ' words processed with premium Mammoth', {tail}) AS basic_header,
+            concat({top}, ' words, ', headings, ' headings, ~', tables, ' tables', chr(10), '- **Processing:** Premium Mammoth converter with advanced post-processing',
+              chr(10), '- **Quality:** High-fidelity markdown with table detection and code formatting', {tail}) AS full_header
+            FROM q JOIN hq USING (doc_id)"""),
+        "m14_markdown_lint": with_(*base, LINT, select="SELECT * FROM issues"),
+        "m14_markdown_verdict": with_(
+            *base, LINT, "ic AS (SELECT doc_id, count(*) AS n FROM issues GROUP BY doc_id)",
+            "lc AS (SELECT doc_id, count(*) AS total_lines FROM ml GROUP BY doc_id)",
+            select="""SELECT doc_id, coalesce(n, 0) = 0 AS valid, coalesce(n, 0) AS n_issues, total_lines, contains(text, '|') AS tables_found
+            FROM md JOIN lc USING (doc_id) LEFT JOIN ic USING (doc_id)"""),
+    }
+
+
 def all_oracles() -> dict[str, str]:
     return {
-        **text_oracles(), **ingest_oracles(), **dataset_oracles(), **tree_oracles(), **grid_oracles(), **rollup_oracles(),
+        **text_oracles(), **ingest_oracles(), **dataset_oracles(), **tree_oracles(), **grid_oracles(),
+        **markdown_oracles(), **rollup_oracles(),
     }

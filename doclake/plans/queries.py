@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doclake.functions import cells as cl
 from doclake.operators import grid, lines, results, rollups, routing, tabular, text, trees
+from doclake.operators import markdown as md
 from doclake.plans import corpora as c
 from doclake.plans import shared
 from doclake.plans.process import admitted, process, rejects
@@ -301,7 +302,45 @@ def grid_queries() -> dict[str, Query]:
     }
 
 
+# ---- markdown --------------------------------------------------------------------------------
+
+
+def _markdown(rule) -> Query:
+    """A text rule over the markdown corpus and the real documents."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return md.apply(rule)(_markdown_docs(spark, sf_dir)).select("doc_id", "text")
+
+    return query
+
+
+def _markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = c.documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + c.REPORT_IDS_FROM)
+    both = c.order_corpus(spark, sf_dir, "mdocs").unionByName(shifted)
+    return both.withColumn("file_name", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".docx")))
+
+
+def markdown_queries() -> dict[str, Query]:
+    return {
+        "m1_clean_chars": _markdown(md.clean_characters),
+        "m2_headers": _markdown(md.headers),
+        "m3_toc": _markdown(md.contents_list),
+        "m4_merge_fences": _markdown(md.merge_fences),
+        "m5_text_tables": _markdown(md.text_tables),
+        "m6_pipe_tables": _markdown(md.pipe_tables),
+        "m7_lists": _markdown(md.lists),
+        "m8_links": _markdown(md.links),
+        "m9_code_blocks": lambda s, d: md.code_blocks(_markdown_docs(s, d)).select("doc_id", "text"),
+        "m10_escapes": _markdown(md.escapes),
+        "m11_final": _markdown(md.final_format),
+        "m12_normalise": lambda s, d: md.normalise(_markdown_docs(s, d)).select("doc_id", "text"),
+        "m13_doc_quality": on(_markdown_docs, md.quality),
+        "m14_markdown_lint": on(_markdown_docs, md.lint),
+        "m14_markdown_verdict": on(_markdown_docs, md.verdict),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     return {
-        **text_queries(), **ingest_queries(), **dataset_queries(), **tree_queries(), **grid_queries(), **rollup_queries(),
+        **text_queries(), **ingest_queries(), **dataset_queries(), **tree_queries(), **grid_queries(),
+        **markdown_queries(), **rollup_queries(),
     }
