@@ -701,8 +701,16 @@ def markdown_oracles() -> dict[str, str]:
     }
 
 
+def stream_oracles() -> dict[str, str]:
+    return {
+        "st1_request_stream": with_(REQS, REGISTRY, ROUTED, ADMITTED, select="SELECT req_id, file_name, doc_type, reason FROM ad"),
+        "st2_file_arrival": f"""SELECT cast(sum(len(list_filter(string_split(text, chr(10)), lambda x: {strip('x')} <> ''))) AS bigint) AS non_empty_lines,
+            cast(sum({words('text')}) AS bigint) AS total_words FROM documents""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
     return {
         **text_oracles(), **ingest_oracles(), **dataset_oracles(), **tree_oracles(), **grid_oracles(),
-        **markdown_oracles(), **rollup_oracles(),
+        **markdown_oracles(), **rollup_oracles(), **stream_oracles(),
     }

@@ -17,6 +17,7 @@ from doclake.sources import files as sf
 from doclake.sources import requests as rq
 from doclake.sources import sinks
 from doclake.sources import trees as src
+from doclake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -339,8 +340,33 @@ def markdown_queries() -> dict[str, Query]:
     }
 
 
+# ---- streams ---------------------------------------------------------------------------------
+
+
+def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.new_folder(spark)
+    _events(spark, sf_dir).write.text(f"{folder}/in")
+    jobs.request_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", c.PROCESSED_AT).awaitTermination()
+    columns = ["req_id", "file_name", "doc_type", "reason"]
+    results_, rejects_ = (spark.read.parquet(f"{folder}/out/{kind}").select(*columns) for kind in ["results", "rejects"])
+    return results_.unionByName(rejects_)
+
+
+def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.new_folder(spark)
+    c.documents(spark, sf_dir).select("text").write.text(f"{folder}/in")
+    jobs.file_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", "*.txt").awaitTermination()
+    docs = spark.read.parquet(f"{folder}/out").select(F.col("path").alias("doc_id"), "text")
+    return lines.line_stats(docs).agg(
+        F.sum("non_empty_lines").alias("non_empty_lines"), F.sum("total_words").alias("total_words"))
+
+
+def stream_queries() -> dict[str, Query]:
+    return {"st1_request_stream": _request_stream, "st2_file_arrival": _file_stream}
+
+
 def all_queries() -> dict[str, Query]:
     return {
         **text_queries(), **ingest_queries(), **dataset_queries(), **tree_queries(), **grid_queries(),
-        **markdown_queries(), **rollup_queries(),
+        **markdown_queries(), **rollup_queries(), **stream_queries(),
     }
