@@ -53,8 +53,7 @@ def unflagged(line: Column) -> Column:
 
 def glued(parts: Column) -> Column:
     """Text of parts that each end with a newline; the last newline goes."""
-    whole = F.array_join(parts, "")
-    return F.substr(whole, F.lit(1), F.char_length(whole) - 1)
+    return let(F.array_join(parts, ""), lambda whole: F.substr(whole, F.lit(1), F.char_length(whole) - 1))
 
 
 def tail(items: Column) -> Column:
@@ -66,6 +65,15 @@ def is_block(part: Column) -> Column:
     return F.locate("\n", part) < F.char_length(part)
 
 
+def where(test: Callable[[Column], Column], rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """``rule`` for the texts that pass a cheap test; the others cannot change and are left alone."""
+    return lambda text: F.when(test(text), rule(text)).otherwise(text)
+
+
+def has(*words: str) -> Callable[[Column], Column]:
+    return lambda text: tx.contains_any(text, words)
+
+
 def per_line(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda text: tx.joined(F.transform(tx.lines_of(text), rule))
 
@@ -87,27 +95,27 @@ def headers(text: Column) -> Column:
     """m2: tidy header lines, and promote short capitalised lines that are not followed by a header."""
     header = _regex(r"^(#+)\s*(.+)")
 
-    def rule(x: Column, following: Column) -> Column:
-        s = tx.strip(x)
+    def rule(x: Column, s: Column, following: Column) -> Column:
         title = F.replace(tx.strip(F.regexp_extract(s, header, 2)), F.lit("\\"), F.lit(""))
         tidy = F.when(s.rlike(header), F.concat(F.regexp_extract(s, header, 1), F.lit(" "), title)).otherwise(x)
         promoted = (
             s.rlike(r"^\p{IsUppercase}") & (F.char_length(s) <= 80) & ~F.endswith(s, F.lit("."))
             & (F.regexp_count(s, F.lit(fixed.PROMOTE_SPECIALS)) <= 2) & ~F.startswith(tx.strip(following), F.lit("#"))
         )
-        level = F.when(tx.contains_any(F.upper(s), fixed.TITLE_LEVEL_ONE), "# ").otherwise("## ")
+        level = F.when(s.rlike("(?iu)" + "|".join(fixed.TITLE_LEVEL_ONE)), "# ").otherwise("## ")
         return F.when(F.startswith(s, F.lit("#")), tidy).when(promoted, F.concat(level, s)).otherwise(x)
 
-    return let(
-        tx.lines_of(text),
-        lambda lines: tx.joined(F.transform(lines, lambda x, i: rule(x, F.coalesce(F.get(lines, i + 1), F.lit(""))))),
-    )
+    def each(lines: Column) -> Column:
+        following = lambda i: F.coalesce(F.get(lines, i + 1), F.lit(""))
+        return tx.joined(F.transform(lines, lambda x, i: let(tx.strip(x), lambda s: rule(x, s, following(i)))))
+
+    return let(tx.lines_of(text), each)
 
 
 # ---- m3, m4: fenced blocks -------------------------------------------------------------------
 
 
-def contents_list(text: Column) -> Column:
+def _contents_list(text: Column) -> Column:
     """m3: a ``json`` fence that starts with ``[x](#a)`` entries becomes a contents list."""
     def flag(x: Column) -> Column:
         s = tx.strip(x)
@@ -130,7 +138,10 @@ def contents_list(text: Column) -> Column:
     return glued(F.transform(parts, rewrite))
 
 
-def merge_fences(text: Column) -> Column:
+contents_list = where(has("```json"), _contents_list)
+
+
+def _merge_fences(text: Column) -> Column:
     """m4: consecutive ``json``/``yaml`` fences of one type become one; a fence around one plain line goes.
 
     A chain of fences separated by blank lines is one block; a fold over its fences decides which belong together.
@@ -202,6 +213,9 @@ def merge_fences(text: Column) -> Column:
     return glued(let(parts, lambda ps: F.transform(ps, lambda part, i: rewrite(part, i == F.size(ps) - 1))))
 
 
+merge_fences = where(has("```json", "```yaml"), _merge_fences)
+
+
 # ---- m5, m6: tables --------------------------------------------------------------------------
 
 
@@ -213,31 +227,38 @@ def table_headers(s: Column) -> Column:
     """Column names of a text-table header line (stripped); fewer than two if it is none."""
     pick = lambda p: _filled(F.regexp_extract_all(s, F.lit(p), F.lit(1)))
     names = F.when(F.contains(s, F.lit("__")), pick(fixed.UNDERLINED)).when(count_of(s, "*") >= 4, pick(fixed.STARRED))
-    looks = tx.any_of(s.rlike(p) for p in fixed.TABLE_HEADERS)
-    return F.when(looks & (F.size(names) >= 2), names)
+    looks = (F.contains(s, F.lit("__")) | F.contains(s, F.lit("*"))) & tx.any_of(s.rlike(p) for p in fixed.TABLE_HEADERS)
+    return F.when(looks, let(names, lambda v: F.when(F.size(v) >= 2, v)))
 
 
 def row_values(s: Column) -> Column:
     """Cells of a text-table row (stripped), null if it is none; the first way that gives two cells counts."""
-    ways = [
-        F.transform(F.regexp_extract_all(s, F.lit(fixed.STARRED), F.lit(1)), tx.strip),
-        _filled(F.split(s, rf"{tx.WS}{{3,}}|\t+")),
-        F.when(F.contains(s, F.lit("|")), _filled(F.split(s, r"\|"))),
-        F.when(F.contains(s, F.lit("  ")), _filled(F.split(s, rf"{tx.WS}{{2,}}"))),
+    wide, double = rf"{tx.WS}{{3,}}|\t+", rf"{tx.WS}{{2,}}"
+    ways = [  # the cheap test in front keeps the costly split to the lines that need it
+        (s.rlike(r"(?s)\*[^*]+\*.*?\*[^*]+\*"), F.transform(F.regexp_extract_all(s, F.lit(fixed.STARRED), F.lit(1)), tx.strip)),
+        (s.rlike(wide), _filled(F.split(s, wide))),
+        (F.contains(s, F.lit("|")), _filled(F.split(s, r"\|"))),
+        (F.contains(s, F.lit("  ")), _filled(F.split(s, double))),
     ]
-    return F.when(s != "", F.coalesce(*[F.when(F.size(w) >= 2, w) for w in ways]))
+    two = lambda w: let(w, lambda v: F.when(F.size(v) >= 2, v))
+    return F.when(s != "", F.coalesce(*[F.when(test, two(w)) for test, w in ways]))
 
 
 def row_of(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n"))
 
 
-def text_tables(text: Column) -> Column:
+def _text_tables(text: Column) -> Column:
     """m5: a header line of marked names and the rows that follow become a pipe table."""
     def flag(x: Column) -> Column:
-        s = tx.strip(x)
-        header, row = table_headers(s).isNotNull(), row_values(s).isNotNull()
-        return F.when(header & row, "b").when(header, "h").when(row, "r").when(s == "", "e").otherwise("n")
+        def kind(s: Column) -> Column:
+            row = row_values(s).isNotNull()
+            return (
+                F.when(s == "", "e").when(table_headers(s).isNotNull(), F.when(row, "b").otherwise("h"))
+                .when(row, "r").otherwise("n")
+            )
+
+        return let(tx.strip(x), kind)
 
     table = rf"[hb]{LINE}(?:[rb]{LINE})++(?:e{LINE})?+"
     parts = blocks(flagged(tx.lines_of(text), flag), table)
@@ -257,7 +278,10 @@ def text_tables(text: Column) -> Column:
     return glued(F.transform(parts, rewrite))
 
 
-def pipe_tables(text: Column) -> Column:
+text_tables = where(lambda text: tx.any_of(text.rlike(p) for p in fixed.TABLE_HEADERS), _text_tables)
+
+
+def _pipe_tables(text: Column) -> Column:
     """m6: pipe tables get a separator row and evenly spaced pipes; the blank line after them goes."""
     def flag(x: Column) -> Column:
         s = tx.strip(x)
@@ -287,6 +311,9 @@ def pipe_tables(text: Column) -> Column:
     return glued(F.transform(parts, rewrite))
 
 
+pipe_tables = where(has("|"), _pipe_tables)
+
+
 # ---- m7, m8 ----------------------------------------------------------------------------------
 
 
@@ -302,7 +329,7 @@ def list_line(x: Column) -> Column:
     )
 
 
-lists = per_line(list_line)
+lists = where(has("•", "·", "\\."), per_line(list_line))
 
 
 def links(text: Column) -> Column:
@@ -317,9 +344,12 @@ CHUNK = 1024
 
 def code_features(x: Column) -> Column:
     """What the code scan needs to know of a line."""
-    s = tx.strip(x)
+    return let(tx.strip(x), _stripped_features)
+
+
+def _stripped_features(s: Column) -> Column:
     starts = (F.char_length(s) >= 2) & (
-        tx.any_of(s.rlike(_regex(p)) for p in fixed.CODE_STARTS)
+        s.rlike("|".join(_regex(p) for p in fixed.CODE_STARTS))
         | (F.contains(s, F.lit(":")) & (count_of(s, '"') >= 2))
     )
     lang = (
@@ -328,10 +358,15 @@ def code_features(x: Column) -> Column:
     )
     return F.struct(
         F.startswith(s, F.lit("```")).alias("fence"), F.when(starts, lang).alias("starts"), (s == "").alias("blank"),
-        (count_of(s, "{") - count_of(s, "}")).alias("braces"), (count_of(s, "[") - count_of(s, "]")).alias("brackets"),
+        balance(s, "{", "}").alias("braces"), balance(s, "[", "]").alias("brackets"),
     )
 
 
+def balance(s: Column, opening: str, closing: str) -> Column:
+    count = count_of(s, opening) - count_of(s, closing)
+    return F.when(tx.contains_any(s, [opening, closing]), count).otherwise(F.lit(0).cast("bigint"))
+
+
 LANGUAGES = {"j": "json", "m": "xml", "h": "http", "y": "yaml", "o": ""}
 
 
@@ -400,12 +435,15 @@ def code_blocks_from(lines: Column, codes: Column) -> Column:
 def code_blocks(docs: DataFrame) -> DataFrame:
     """m9: fence lines that look like JSON, XML, HTTP or headers."""
     rest = [c for c in docs.columns if c != "text"]
-    lines = F.col("_lines")
-    scanned = docs.select(*rest, tx.lines_of(F.col("text")).alias("_lines")).withColumn(
+    lines, features = F.col("_lines"), F.col("_features")
+    may_start = F.col("text").rlike(r"[:{\[<]|HTTP/|POST|GET|PUT|DELETE|PATCH|HEAD|OPTIONS")
+    scanned = docs.withColumn("_lines", F.when(may_start, tx.lines_of(F.col("text")))).withColumn(
         "_features", F.transform(lines, code_features)
     )
-    coded = scanned.withColumn("_codes", F.split(code_codes(F.col("_features")), ""))
-    return coded.select(*rest, code_blocks_from(lines, F.col("_codes")).alias("text"))
+    found = F.coalesce(F.exists(features, lambda f: f["starts"].isNotNull()), F.lit(False))
+    coded = scanned.withColumn("_codes", F.when(found, F.split(code_codes(features), "")))
+    text = F.when(F.col("_codes").isNotNull(), code_blocks_from(lines, F.col("_codes"))).otherwise(F.col("text"))
+    return coded.select(*rest, text.alias("text"))
 
 
 # ---- m10 to m14 ------------------------------------------------------------------------------
@@ -421,7 +459,7 @@ def escape_line(x: Column) -> Column:
     ).otherwise(c)
 
 
-escapes = per_line(escape_line)
+escapes = where(has("\\"), per_line(escape_line))
 
 
 def final_format(text: Column) -> Column:

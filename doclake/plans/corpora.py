@@ -258,7 +258,7 @@ DATASET_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quan
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dataset columns plus ``_pos``, the order of its rows as a sortable struct."""
     order = ", ".join(DATASET_ORDER)
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(
         *[f"{e} AS {n}" for n, e in DATASET_COLUMNS.items()], f"struct({order}) AS _pos"
     )
 
