@@ -14,6 +14,7 @@ OUTLINE_FIELDS = [
     "node_id", "path", "depth", "object_depth", "key", "ordinal", "kind", "parent_kind", "n_children", "value",
     "key_rank", "item_rank", "last_id", "branch_depth",
 ]
+REPORT_FIELDS = [f for f in OUTLINE_FIELDS if f != "path"] + ["type_name"]
 TOP_FIELDS = ["depth", "key", "ordinal", "kind", "parent_kind", "type_name", "n_children"]
 CONFIG_FIELDS = ["depth", "key", "kind", "parent_kind", "object_text"]
 
@@ -51,19 +52,20 @@ def preview(c: Column) -> Column:
     return F.concat(F.lit('"'), F.when(F.char_length(c) > fixed.OUTLINE_PREVIEW, cut).otherwise(c), F.lit('"'))
 
 
-def outline(nodes: DataFrame) -> DataFrame:
-    """n4: the shown part of each tree, with a description and the number of entries left out below the node.
-
-    A node is shown if every key on its way is among the first five and every array position is the first. Both are
-    columns of the node table, so this is one filter without windows or joins.
-    """
+def is_shown() -> Column:
+    """Whether the outline shows a node: every key on its way is among the first five and every array position is the
+    first. Below the depth limit only the node that stands for a subtree is left, not the items inside it."""
     too_deep = F.col("object_depth") > fixed.OUTLINE_DEPTH
-    shown = nodes.filter(
+    return (
         (F.col("key_rank") < fixed.OUTLINE_KEYS) & (F.col("item_rank") == 0)
         & (F.col("object_depth") <= fixed.OUTLINE_DEPTH + 1)
-        # below the limit only the node that replaces a subtree is left, not the items inside it
-        & ~(too_deep & (F.col("parent_kind") != "Object"))
+        & ~(too_deep & (F.coalesce("parent_kind", F.lit("Object")) != "Object"))
     )
+
+
+def described(nodes: DataFrame) -> DataFrame:
+    """nodes + ``description`` and ``left_out``, the number of entries the outline leaves out below the node."""
+    too_deep = F.col("object_depth") > fixed.OUTLINE_DEPTH
     kind, n = F.col("kind"), F.col("n_children")
     description = (
         F.when(too_deep, "...")
@@ -77,15 +79,17 @@ def outline(nodes: DataFrame) -> DataFrame:
     )
     limit = F.when(kind == "Object", fixed.OUTLINE_KEYS).when(kind == "Array", 1).otherwise(0)
     left_out = F.when(too_deep, 0).otherwise(F.greatest(n - limit, F.lit(0))).cast("bigint")
-    return shown.withColumns({"description": description, "left_out": left_out})
+    return nodes.withColumns({"description": description, "left_out": left_out})
 
 
-def outline_text(outlined: DataFrame) -> DataFrame:
-    """One indented text per document from the rows of ``outline``.
+def outline(nodes: DataFrame) -> DataFrame:
+    """n4: the shown part of each tree. One filter over node columns, without windows or joins."""
+    return described(nodes.filter(is_shown()))
 
-    Each node contributes an opening piece at its place and, when entries are left out, a closing piece after its
-    last descendant; sorting the pieces of a document gives the text.
-    """
+
+def outline_pieces() -> Column:
+    """What a described node adds to the outline text: an opening piece at its place and, when entries are left out, a
+    closing piece after its last descendant. The pieces of a document in order are its outline."""
     indent = lambda level: F.repeat(F.lit("  "), level.cast("int"))
     depth, kind, n = F.col("object_depth"), F.col("kind"), F.col("n_children")
     keyed = F.col("parent_kind") == "Object"
@@ -111,13 +115,18 @@ def outline_text(outlined: DataFrame) -> DataFrame:
     ).when(
         (F.col("left_out") > 0) & (kind == "Array"), F.concat(F.lit(" (and "), left_out, F.lit(" more)"))
     )
-    pieces = F.array(
-        F.struct(F.col("node_id").alias("at"), F.lit(0).alias("closes"), F.lit(0).cast("bigint").alias("level"), opening.alias("piece")),
-        F.struct(F.col("last_id").alias("at"), F.lit(1).alias("closes"), (-F.col("depth")).alias("level"), closing.alias("piece")),
+    piece = lambda at, closes, level, text: F.struct(
+        at.alias("at"), F.lit(closes).alias("closes"), level.cast("bigint").alias("level"), text.alias("piece")
     )
-    each = outlined.select("doc_id", F.inline(pieces)).filter(F.col("piece").isNotNull())
-    ordered = F.array_sort(F.collect_list(F.struct("at", "closes", "level", "piece")))
-    return each.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("outline"))
+    first = piece(F.col("node_id"), 0, F.lit(0), opening)
+    last = piece(F.col("last_id"), 1, -F.col("depth"), closing)
+    return F.when(closing.isNotNull(), F.array(first, last)).otherwise(F.array(first))
+
+
+def outline_text() -> Column:
+    """Aggregate of described nodes: the outline of a document as one text. Hidden nodes add nothing."""
+    ordered = F.array_sort(F.flatten(F.collect_list(F.when(is_shown(), outline_pieces()))))
+    return F.array_join(F.transform(ordered, lambda p: p["piece"]), "")
 
 
 def top_level(nodes: DataFrame) -> DataFrame:
@@ -150,14 +159,15 @@ def _bulleted(items: Column) -> Column:
     return F.concat(F.lit("- "), F.array_join(items, "\n- "), F.lit("\n"))
 
 
-def json_report(docs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """n5 for JSON: structure header, outline and content. Malformed documents have no report."""
-    nodes = nodes if nodes is not None else src.json_nodes(docs, sorted({*OUTLINE_FIELDS, "type_name"}))
-    root = F.max(F.when(F.col("depth") == 0, F.col("type_name")))
+def json_report(docs: DataFrame) -> DataFrame:
+    """n5 for JSON: structure header, outline and content, from one grouping. Malformed documents have no report."""
+    nodes = described(src.json_nodes(docs, REPORT_FIELDS))
     keys = F.sum(F.when(F.col("kind") == "Object", F.col("n_children")).otherwise(0))
     stats = nodes.groupBy("doc_id").agg(
-        root.alias("root_type"), F.max("depth").alias("max_depth"), keys.alias("total_keys"),
+        F.max(F.when(F.col("depth") == 0, F.col("type_name"))).alias("root_type"),
+        F.max("depth").alias("max_depth"), keys.alias("total_keys"),
         F.array_sort(F.collect_set(reported_kind(F.col("kind")))).alias("kinds"),
+        outline_text().alias("outline"),
     )
     header = F.concat(
         F.lit("## 📊 JSON Structure Analysis\n- **File:** "), tx.base_name(F.col("file_name")),
@@ -170,8 +180,7 @@ def json_report(docs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         F.lit("\n\n### 📋 JSON Content\n```json\n"), F.col("text"), F.lit("\n```"),
     )
     return (
-        docs.select("doc_id", "file_name", "text").join(stats, "doc_id").join(outline_text(outline(nodes)), "doc_id")
-        .select("doc_id", header.alias("report"))
+        docs.select("doc_id", "file_name", "text").join(stats, "doc_id").select("doc_id", header.alias("report"))
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,82 +52,89 @@ ELEMENT_FIELDS = {
 _SPARK_TYPES = {pa.int64(): "bigint", pa.string(): "string"}
 
 
-def kind_of(v) -> str:
-    if isinstance(v, dict):
-        return "Object"
-    if isinstance(v, list):
-        return "Array"
-    if isinstance(v, str):
-        return "String"
-    if isinstance(v, bool):
-        return "Boolean"
-    if isinstance(v, (int, float)):
-        return "Number"
-    return "Null" if v is None else "Other"
-
-
-def step(path: str, key) -> str:
-    if isinstance(key, int):
-        return f"{path}[{key}]"
-    name = str(key)
-    return f"{path}.{name}" if name.replace("_", "a").isalnum() else f'{path}."{name}"'
-
-
-def node_rows(root) -> list[dict]:
-    """Flat rows of one value tree, in document order."""
-    rows: list[dict] = []
-    stack = [(root, {"parent_id": None, "path": "$", "depth": 0, "object_depth": 0, "key": None, "ordinal": 0,
-                     "parent_kind": None, "key_rank": 0, "item_rank": 0})]
+_KINDS = {dict: "Object", list: "Array", str: "String", bool: "Boolean", int: "Number", float: "Number", type(None): "Null"}
+
+
+def step(path: str, key: str) -> str:
+    return f"{path}.{key}" if key.replace("_", "a").isalnum() else f'{path}."{key}"'
+
+
+def node_columns(root, out: dict[str, list]) -> int:
+    """Append the nodes of one value tree, in document order, to the wanted columns; returns their number."""
+    paths, texts = "path" in out, "object_text" in out
+    nodes: list[tuple] = []
+    children_of: list[int] = []
+    stack = [(root, None, "$", 0, 0, None, 0, None, 0, 0)]
     while stack:
-        v, row = stack.pop()
-        kind = kind_of(v)
-        nested = kind in ("Object", "Array")
-        row |= {"node_id": len(rows), "kind": kind, "type_name": type(v).__name__, "n_children": len(v) if nested else 0,
-                "value": None if nested or v is None else str(v), "object_text": None}
-        if kind == "Object" and row["parent_kind"] == "Object" and row["depth"] <= SHALLOW:
-            row["object_text"] = str(v)
-        rows.append(row)
-        if nested:
-            in_object = kind == "Object"
-            children = v.items() if in_object else enumerate(v)
+        node = stack.pop()
+        v, _, path, depth, object_depth, _, _, _, key_rank, item_rank = node
+        me = len(nodes)
+        nodes.append(node)
+        if type(v) is dict:
+            children_of.append(len(v))
             stack.extend(reversed([
-                (child, {
-                    "parent_id": row["node_id"], "path": step(row["path"], str(key) if in_object else key),
-                    "depth": row["depth"] + 1, "object_depth": row["object_depth"] + in_object,
-                    "key": str(key) if in_object else None, "ordinal": i, "parent_kind": kind,
-                    "key_rank": max(row["key_rank"], i) if in_object else row["key_rank"],
-                    "item_rank": row["item_rank"] if in_object else max(row["item_rank"], i),
-                })
-                for i, (key, child) in enumerate(children)
+                (c, me, step(path, str(k)) if paths else None, depth + 1, object_depth + 1, str(k), i, "Object",
+                 i if i > key_rank else key_rank, item_rank)
+                for i, (k, c) in enumerate(v.items())
             ]))
-    for row in reversed(rows):
-        i, n = row["node_id"], row["n_children"]
-        row["last_id"] = max(row.get("last_id", i), i)
-        if row["parent_id"] is not None:
-            up = rows[row["parent_id"]]
-            up["last_id"] = max(up.get("last_id", 0), row["last_id"])
-        branching = row["kind"] == "Object" and n > 1
-        row["branch_depth"] = row["object_depth"] if branching else rows[i + 1]["branch_depth"] if n else None
-    return rows
-
-
-def json_rows(text: str) -> list[dict]:
+        elif type(v) is list:
+            children_of.append(len(v))
+            stack.extend(reversed([
+                (c, me, f"{path}[{i}]" if paths else None, depth + 1, object_depth, None, i, "Array",
+                 key_rank, i if i > item_rank else item_rank)
+                for i, c in enumerate(v)
+            ]))
+        else:
+            children_of.append(0)
+    values, parents, node_paths, depths, object_depths, keys, ordinals, parent_kinds, key_ranks, item_ranks = zip(*nodes)
+    plain = {
+        "parent_id": parents, "path": node_paths, "depth": depths, "object_depth": object_depths, "key": keys,
+        "ordinal": ordinals, "parent_kind": parent_kinds, "key_rank": key_ranks, "item_rank": item_ranks,
+        "n_children": children_of, "node_id": range(len(nodes)),
+    }
+    for name in out.keys() & plain.keys():
+        out[name].extend(plain[name])
+    if "kind" in out:
+        out["kind"].extend([_KINDS.get(type(v), "Other") for v in values])
+    if "type_name" in out:
+        out["type_name"].extend([type(v).__name__ for v in values])
+    if "value" in out:
+        out["value"].extend([None if v is None or type(v) in (dict, list) else str(v) for v in values])
+    if texts:
+        out["object_text"].extend([
+            str(v) if type(v) is dict and p == "Object" and d <= SHALLOW else None
+            for v, p, d in zip(values, parent_kinds, depths)
+        ])
+    if "last_id" in out or "branch_depth" in out:
+        last, branch = list(range(len(nodes))), [None] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):
+            n = children_of[i]
+            if parents[i] is not None and last[parents[i]] < last[i]:
+                last[parents[i]] = last[i]
+            branch[i] = object_depths[i] if n > 1 and type(values[i]) is dict else branch[i + 1] if n else None
+        for name, column in (("last_id", last), ("branch_depth", branch)):
+            if name in out:
+                out[name].extend(column)
+    return len(nodes)
+
+
+def json_columns(text: str, out: dict[str, list]) -> int:
     try:
-        return node_rows(json.loads(text))
+        root = json.loads(text)
     except (ValueError, RecursionError):
-        return []
+        return 0
+    return node_columns(root, out)
 
 
-def yaml_rows(text: str) -> list[dict]:
-    """Like ``json_rows``. A key near the root that is not text makes the document unreadable."""
+def yaml_columns(text: str, out: dict[str, list]) -> int:
+    """Like ``json_columns``. A key near the root that is not text makes the document unreadable."""
     import yaml
 
     try:
         root = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-        rows = node_rows(root)
     except (yaml.YAMLError, ValueError, RecursionError):
-        return []
-    return [] if _odd_key(root, 0) else rows
+        return 0
+    return 0 if _odd_key(root, 0) else node_columns(root, out)
 
 
 def _odd_key(v, depth: int) -> bool:
@@ -138,51 +145,49 @@ def _odd_key(v, depth: int) -> bool:
     return isinstance(v, list) and any(_odd_key(c, depth + 1) for c in v)
 
 
-def xml_rows(text: str) -> list[dict]:
-    """Flat rows of the elements of one document, in document order; none when malformed."""
+def xml_columns(text: str, out: dict[str, list]) -> int:
+    """Append the elements of one document, in document order; none when malformed."""
     try:
         root = ET.fromstring(text)
     except ET.ParseError:
-        return []
-    rows: list[dict] = []
-    stack = [(root, None, 0)]
+        return 0
+    rows: list[tuple] = []
+    stack = [(root, None, None, 0)]
     while stack:
-        e, parent, depth = stack.pop()
+        e, parent, parent_tag, depth = stack.pop()
         clean = e.tag.split("}", 1)[-1]
-        rows.append({
-            "ord": len(rows), "parent_ord": parent["ord"] if parent else None, "depth": depth, "tag": e.tag, "clean_tag": clean,
-            "parent_tag": parent and parent["clean_tag"], "n_attributes": len(e.attrib),
-            "text_length": len((e.text or "").strip()),
-        })
-        stack.extend((child, rows[-1], depth + 1) for child in reversed(e))
-    return rows
-
-
-def _exploded(docs: DataFrame, rows_of: Callable[[str], Iterable[dict]], fields: dict) -> DataFrame:
-    """Apply ``rows_of`` to every text, in Arrow batches of bounded size."""
+        rows.append((parent, depth, e.tag, clean, parent_tag, len(e.attrib), len((e.text or "").strip())))
+        me = len(rows) - 1
+        stack.extend([(child, me, clean, depth + 1) for child in reversed(e)])
+    columns = dict(zip(["parent_ord", "depth", "tag", "clean_tag", "parent_tag", "n_attributes", "text_length"], zip(*rows)))
+    columns["ord"] = range(len(rows))
+    for name in out:
+        out[name].extend(columns[name])
+    return len(rows)
+
+
+def _exploded(docs: DataFrame, append: Callable[[str, dict[str, list]], int], fields: dict) -> DataFrame:
+    """Apply ``append`` to every text and emit what it gathers in Arrow batches of bounded size."""
     names = list(fields)
     schema = pa.schema([("doc_id", pa.int64())] + [(n, fields[n]) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
-        cols: list[list] = [[] for _ in names]
+        columns: dict[str, list] = {n: [] for n in names}
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([ids, *cols], schema.types)], schema=schema)
-            for v in (ids, *cols):
+            data = [ids, *columns.values()]
+            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(data, schema.types)], schema=schema)
+            for v in data:
                 v.clear()
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                if not text.is_valid:
-                    continue
-                rows = rows_of(text.as_py())
-                ids.extend([doc_id.as_py()] * len(rows))
-                for name, values in zip(names, cols):
-                    values.extend([r[name] for r in rows])
-                if len(ids) >= FLUSH_ROWS:
-                    yield flush()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if text.is_valid:
+                    ids.extend([doc_id] * append(text.as_py(), columns))
+                    if len(ids) >= FLUSH_ROWS:
+                        yield flush()
         if ids:
             yield flush()
 
@@ -192,28 +197,29 @@ def _exploded(docs: DataFrame, rows_of: Callable[[str], Iterable[dict]], fields:
 
 def json_nodes(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """n1: one row per node of every JSON document; only the named fields are built."""
-    return _exploded(docs, json_rows, {n: NODE_FIELDS[n] for n in fields or NODE_FIELDS})
+    return _exploded(docs, json_columns, {n: NODE_FIELDS[n] for n in fields or NODE_FIELDS})
 
 
 def yaml_nodes(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """s6: the same table for YAML documents."""
-    return _exploded(docs, yaml_rows, {n: NODE_FIELDS[n] for n in fields or NODE_FIELDS})
+    return _exploded(docs, yaml_columns, {n: NODE_FIELDS[n] for n in fields or NODE_FIELDS})
 
 
 def xml_elements(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """s5, x1: one row per element of every well-formed XML document."""
-    return _exploded(docs, xml_rows, {n: ELEMENT_FIELDS[n] for n in fields or ELEMENT_FIELDS})
+    return _exploded(docs, xml_columns, {n: ELEMENT_FIELDS[n] for n in fields or ELEMENT_FIELDS})
 
 
 def yaml_errors(docs: DataFrame) -> DataFrame:
     """s6: the malformed YAML documents with the parser's message."""
     import yaml
 
-    def rows_of(text: str) -> list[dict]:
+    def append(text: str, out: dict[str, list]) -> int:
         try:
             yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-            return []
+            return 0
         except yaml.YAMLError as e:
-            return [{"error": str(e)}]
+            out["error"].append(str(e))
+            return 1
 
-    return _exploded(docs, rows_of, {"error": pa.string()})
+    return _exploded(docs, append, {"error": pa.string()})
