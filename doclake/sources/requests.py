@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions import text as tx
+from doclake.functions.frames import let
 
 REQUEST_FIELDS = (
     "req_id bigint, file_name string, file_content string, s3_path string, bucket_name string, output_format string, "
@@ -29,8 +30,20 @@ def scan_requests(events: DataFrame) -> DataFrame:
 
 
 def decoded(content: Column) -> Column:
-    """s8: base64 → bytes, null when invalid. Characters outside the alphabet are ignored."""
-    return F.try_to_binary(F.regexp_replace(content, "[^A-Za-z0-9+/=]", ""), F.lit("base64"))
+    """s8: base64 → bytes, null when invalid. Characters outside the alphabet are ignored, what follows complete padding
+    too, and missing padding is an error (Spark alone would accept it)."""
+    def padded(clean: Column) -> Column:
+        data = F.substring_index(clean, "=", 1)
+        rest = F.substr(clean, F.octet_length(data) + 1)
+        left = F.octet_length(data) % 4
+        return (
+            F.when((left == 0) & (F.replace(rest, F.lit("="), F.lit("")) == ""), data)
+            .when((left == 2) & F.startswith(rest, F.lit("==")), F.concat(data, F.lit("==")))
+            .when((left == 3) & F.startswith(rest, F.lit("=")), F.concat(data, F.lit("=")))
+        )
+
+    clean = F.regexp_replace(content, "[^A-Za-z0-9+/=]", "")
+    return F.try_to_binary(let(clean, padded), F.lit("base64"))
 
 
 def decode_base64(requests: DataFrame) -> DataFrame:
