@@ -124,6 +124,15 @@ REQUEST_TEXT = """CASE doc_id % 9
     ELSE text END"""
 
 
+def csv_text(d: Dialect) -> str:
+    """CSV files: quoted cells, a blank cell, short and long rows, 1 to 15 data rows."""
+    row = (
+        "concat((o_orderkey * 7 + i * 13) % 2000, ',', CASE WHEN i % 4 = 3 THEN ' ' ELSE concat('2024-01-', lpad(cast(i AS string), 2, '0')) END, "
+        "CASE WHEN i % 7 = 6 THEN '' WHEN i % 5 = 4 THEN concat(',\"a, \"\"', i, '\"\"', chr(10), 'b\",extra') ELSE concat(',n', i) END)"
+    )
+    return f"concat('clave,fecha,nota', chr(10), {d.repeat(row, 'o_orderkey % 15 + 1', 'chr(10)')}, chr(10))"
+
+
 def request_columns(d: Dialect) -> list[str]:
     """Requests with every validation failure; content is the document text."""
     return [
@@ -188,7 +197,7 @@ GRID_CELLS = [
     (9, "row_idx > 1 AND o_orderkey % 13 = 3 AND o_orderkey % 1500 < 40", "'0'", "'number'"),
 ]
 
-ORDER_CORPORA = {"jdocs": json_text, "xdocs": xml_text, "ydocs": yaml_text, "mdocs": markdown_text}
+ORDER_CORPORA = {"jdocs": json_text, "xdocs": xml_text, "ydocs": yaml_text, "mdocs": markdown_text, "cdocs": csv_text}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -409,6 +409,22 @@ def dataset_oracles() -> dict[str, str]:
     }
 
 
+CSV_ROWS = """cr AS (SELECT o_orderkey AS doc_id, unnest(generate_series(1, o_orderkey % 15 + 1)) AS i FROM orders),
+    cl AS (SELECT doc_id, i, CASE WHEN i % 4 = 3 THEN ' ' ELSE concat('2024-01-', lpad(cast(i AS string), 2, '0')) END AS fecha,
+      cast((doc_id * 7 + i * 13) % 2000 AS string) AS clave, CASE WHEN i % 7 = 6 THEN NULL WHEN i % 5 = 4 THEN concat('a, "', i, '"', chr(10), 'b')
+      ELSE concat('n', i) END AS nota, i % 5 = 4 AND i % 7 <> 6 AS extra FROM cr)"""
+
+
+def csv_oracles() -> dict[str, str]:
+    return {
+        "d2_csv_documents": with_(CSV_ROWS, select="""SELECT doc_id, count(*) AS total_rows, 'clave, fecha, nota' AS headers,
+            '1 Numeric, 1 Date, 1 Text' AS types, 3 * count(*) AS total_cells, count(*) FILTER (fecha = ' ') AS empty_cells FROM cl GROUP BY doc_id"""),
+        "d6_csv_documents": with_(CSV_ROWS, select="""SELECT doc_id, concat('| clave | fecha | nota |', chr(10), '| --- | --- | --- |', chr(10),
+            string_agg(concat('| ', clave, ' | ', fecha, CASE WHEN nota IS NULL THEN '' ELSE concat(' | ', nota) END, CASE WHEN extra THEN ' | extra' ELSE '' END, ' |'),
+              chr(10) ORDER BY i)) AS report FROM cl GROUP BY doc_id"""),
+    }
+
+
 def rollup_oracles() -> dict[str, str]:
     mentions = " UNION ALL ".join(
         f"SELECT '{k}' AS kind, doc_id, unnest(list_distinct({metric_list('text', k)})) AS metric FROM texts" for k in fixed.METRIC_PATTERNS
@@ -711,6 +727,6 @@ def stream_oracles() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     return {
-        **text_oracles(), **ingest_oracles(), **dataset_oracles(), **tree_oracles(), **grid_oracles(),
+        **text_oracles(), **ingest_oracles(), **dataset_oracles(), **csv_oracles(), **tree_oracles(), **grid_oracles(),
         **markdown_oracles(), **rollup_oracles(), **stream_oracles(),
     }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions.frames import computed
-from doclake.operators import lines, routing, trees
+from doclake.operators import csvdocs, lines, routing, trees
 from doclake.operators import text as t
 from doclake.plans import shared
 from doclake.sources import requests as rq
@@ -96,6 +96,14 @@ def _text_branch(rows: DataFrame) -> DataFrame:
     )
 
 
+def _csv_branch(rows: DataFrame) -> DataFrame:
+    """Row-local: table, plain rows or dataset report."""
+    return csvdocs.profile(rows).select(
+        *[c for c in rows.columns if c != "text"],
+        csvdocs.content_expr(F.col("output_format")).alias("content_out"), F.lit("parsed").alias("action"),
+    )
+
+
 def _typed_branch(rows: DataFrame, ai_report, parsed: DataFrame | None, note: DataFrame | None = None) -> DataFrame:
     """Rows of one typed reader: the AI format takes its report, the others a fence.
 
@@ -142,7 +150,7 @@ def process(
         _typed_branch(of("json"), trees.json_report, None),
         _typed_branch(xml, lambda d: trees.xml_report(d).filter("well_formed"), roots),
         _typed_branch(yaml, trees.yaml_report, None, src.yaml_errors(yaml)),
-        _text_branch(of("csv")),
+        _csv_branch(of("csv")),
         unparsed.select(
             *[c for c in staged.columns if c != "text"],
             error_document("Processing Error", F.col("file_name")).alias("content_out"), F.col("on_error").alias("action"),

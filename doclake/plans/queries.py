@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.functions import cells as cl
-from doclake.operators import grid, lines, results, rollups, routing, tabular, text, trees
+from doclake.operators import csvdocs, grid, lines, results, rollups, routing, tabular, text, trees
 from doclake.operators import markdown as md
 from doclake.plans import corpora as c
 from doclake.plans import shared
@@ -197,9 +197,23 @@ def dataset_queries() -> dict[str, Query]:
         "d5_preview_table": on(c.dataset, lambda d: tabular.preview(d, "lineitem.csv")),
         "d6_full_table": on(c.dataset, tabular.table_lines),
         "d7_plain_rows": on(c.dataset, tabular.plain_lines),
+        "d2_csv_documents": _csv_profile,
+        "d6_csv_documents": _csv_tables,
     }
 
 
+def _csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = csvdocs.profile(c.order_corpus(spark, sf_dir, "cdocs"))
+    return p.select(
+        "doc_id", F.size("data").cast("bigint").alias("total_rows"), F.array_join("header", ", ").alias("headers"),
+        csvdocs.type_summary(F.col("types")).alias("types"), "total_cells", "empty_cells")
+
+
+def _csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.order_corpus(spark, sf_dir, "cdocs").withColumn("file_name", F.concat(F.lit("d_"), F.col("doc_id"), F.lit(".csv")))
+    return csvdocs.report(docs, "markdown")
+
+
 def rollup_queries() -> dict[str, Query]:
     return {
         "r1_corpus_profile": on(c.texts, rollups.corpus_profile),

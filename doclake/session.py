@@ -18,6 +18,8 @@ def local_session(app: str, cpus: str | int = "*", shuffle_partitions: int | Non
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))  # bounds batches of large texts
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column expression
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from doclake.operators import results, routing, tabular
+from doclake.operators import csvdocs, results, routing, tabular
 from doclake.plans.process import process, rejects
 from doclake.sources import files, requests, sinks
 from doclake.sources.registry import DEFAULT
@@ -113,6 +113,19 @@ def test_rejects(reqs):
     assert got == [(w, 400, "ErrorValidacion") for w in ["empty_content", "bad_base64", "invalid_utf8", "malformed", "missing_file"]]
 
 
+def test_csv_documents(docs_of, value_of):
+    body = 'a,b\n1,"x, ""y""\nz"\n\n2\n3,p"q,,\n"4",""\n,"open'
+    p = csvdocs.profile(docs_of(body)).collect()[0]
+    assert p.header == ["a", "b"]
+    assert p.data == [["1", 'x, "y"\nz'], [], ["2"], ["3", 'p"q', "", ""], ["4", ""], ["", "open"]]
+    assert (p.types, p.total_cells, p.empty_cells) == (["Numeric", "Text"], 12, 4)
+    many = "n,d\n" + "".join(f"{i},2024-01-01\n" for i in range(12))
+    report = value_of(csvdocs.report(docs_of(many, ext="csv")), "report")[0]
+    assert "- **Total Rows:** 12 (excluding header)\n" in report and "| 9 | 2024-01-01 |\n\n### 📈" in report
+    assert "- **Data types detected:** 1 Numeric, 1 Date\n- **Completeness:** 100.0% complete\n" in report
+    assert value_of(csvdocs.report(docs_of("a,b\n1,2", "x"), "plain"), "report") == ["a,b\n1,2", "x"]
+
+
 def test_base64_padding(spark):
     values = ["aG9sYQ==", "aG9s YQ=\n=", "aG9sYQ", "aG9sYQ=", "aG9sYQ==zz", "aG9s", "aG9s====", "a", "", "aGk="]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
