@@ -171,26 +171,47 @@ def _merge_fences(text: Column) -> Column:
     def brackets(lines: Column) -> Column:
         return F.exists(F.slice(lines, 1, 2), lambda x: x.rlike(r"[{\[]"))
 
-    def belongs(group: Column, nxt: Column) -> Column:
-        have, add = group["content"], nxt["content"]
-        filled = F.filter(F.slice(have, 1, 3), lambda x: ~tx.is_blank(x))
+    def belongs(state: Column, nxt: Column) -> Column:
+        head, add = state["head"], nxt["content"]
+        filled = F.filter(head, lambda x: ~tx.is_blank(x))
         links = F.forall(filled, lambda x: F.startswith(tx.strip(x), F.lit("[")) & F.contains(x, F.lit("](")))
         return (
-            (group["type"] == nxt["type"]) & (F.size(have) > 0) & (F.size(add) > 0) & ~links & (brackets(have) == brackets(add))
+            (state["type"] == nxt["type"]) & (F.size(head) > 0) & (F.size(add) > 0) & ~links & (brackets(head) == brackets(add))
         )
 
-    def grouped(fences: Column) -> Column:
-        def add(groups: Column, nxt: Column) -> Column:
-            last = F.element_at(groups, -1)
-            merged = F.struct(
-                last["type"].alias("type"), F.concat(last["content"], nxt["content"]).alias("content"),
-                F.concat(last["raw"], nxt["raw"]).alias("raw"), (last["n"] + nxt["n"]).alias("n"),
-            )
-            return F.when(belongs(last, nxt), F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(merged))).otherwise(
-                F.concat(groups, F.array(nxt))
+    def group_codes(fences: Column) -> Column:
+        """``s`` for each fence that starts a group, ``c`` for one that joins it. The first three lines of a group
+        decide, so the state stays small however long the chain is."""
+        def step(state: Column, nxt: Column) -> Column:
+            top = F.slice(nxt["content"], 1, 3)
+            joins = F.struct(
+                state["type"].alias("type"), F.slice(F.concat(state["head"], top), 1, 3).alias("head"),
+                F.concat(state["codes"], F.lit("c")).alias("codes"),
             )
+            starts = F.struct(nxt["type"].alias("type"), top.alias("head"), F.concat(state["codes"], F.lit("s")).alias("codes"))
+            return F.when(belongs(state, nxt), joins).otherwise(starts)
+
+        start = F.struct(F.lit("").alias("type"), F.array().cast("array<string>").alias("head"), F.lit("").alias("codes"))
+        return F.split(F.aggregate(fences, start, step, lambda state: state["codes"]), "")
+
+    def grouped(fences: Column) -> Column:
+        """Fences → groups with their joint content."""
+        def cut(codes: Column) -> Column:
+            at = F.filter(F.transform(codes, lambda c, i: F.when(c == "s", i)), lambda i: i.isNotNull())
+
+            def group(starts: Column) -> Column:
+                def one(i: Column, k: Column) -> Column:
+                    n = F.coalesce(F.get(starts, k + 1), F.size(fences)) - i
+                    return let(F.slice(fences, i + 1, n), lambda members: F.struct(
+                        F.get(members, F.lit(0))["type"].alias("type"), F.flatten(F.transform(members, lambda m: m["content"])).alias("content"),
+                        F.get(members, F.lit(0))["raw"].alias("raw"), F.get(members, F.lit(0))["n"].alias("n"),
+                    ))
+
+                return F.transform(starts, one)
+
+            return let(at, group)
 
-        return F.aggregate(tail(fences), F.slice(fences, 1, 1), add)
+        return let(group_codes(fences), cut)
 
     def shown(group: Column, at_end: Column) -> Column:
         content = group["content"]
@@ -199,13 +220,14 @@ def _merge_fences(text: Column) -> Column:
             (F.size(content) == 1) & (F.char_length(tx.strip(only)) < fixed.SIMPLE_BLOCK_LENGTH)
             & ~tx.contains_any(only, fixed.COMPLEX_CODE)
         )
+        # a fence without content, or cut off by the end of the text, is alone in its group
         as_is = (F.size(content) == 0) | (at_end & (group["n"] < 3))
         fenced = F.concat(F.lit("```"), group["type"], F.lit("\n"), tx.joined(content), F.lit("\n```\n"))
         return F.when(as_is, group["raw"]).when(simple, F.concat(only, F.lit("\n"))).otherwise(fenced)
 
     def rewrite(part: Column, last_part: Column) -> Column:
         texts = let(
-            grouped(F.transform(F.regexp_extract_all(part, F.lit(fence), F.lit(0)), parsed)),
+            let(F.transform(F.regexp_extract_all(part, F.lit(fence), F.lit(0)), parsed), grouped),
             lambda groups: F.array_join(F.transform(groups, lambda g, k: shown(g, last_part & (k == F.size(groups) - 1))), ""),
         )
         return F.when(F.startswith(part, F.lit("o")), texts).otherwise(unflagged(part))
