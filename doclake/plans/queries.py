@@ -298,7 +298,6 @@ def _escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_queries() -> dict[str, Query]:
-    shown = cl.normalise(F.col("value"), F.col("kind"))
     return {
         "g1_rows": on(c.cells, grid.rows),
         "g2_cell_census": on(c.cells, grid.census),
@@ -312,7 +311,8 @@ def grid_queries() -> dict[str, Query]:
         "g8_sheet_preview": on(c.cells, grid.preview),
         "g9_sheet_summary": on(c.cells, grid.sheet_summary),
         "g10_formula_scan": on(c.cells, grid.formulas),
-        "g11_normalise_value": on(c.cells, lambda d: d.select("book", "sheet", "row_idx", "col_idx", shown.alias("shown"))),
+        "g11_normalise_value": on(c.cells, lambda d: d.select(
+            "book", "sheet", "row_idx", "col_idx", cl.normalise(F.col("value"), F.col("kind")).alias("shown"))),
         "g12_workbook_report": on(c.cells, grid.workbook_report),
     }
 
