@@ -519,6 +519,25 @@ def tree_oracles() -> dict[str, str]:
             CASE WHEN kind = 'Object' THEN concat('Object with ', n_children, ' properties') WHEN kind = 'Array' THEN concat('Array with ', n_children, ' items')
             WHEN kind = 'String' THEN 'str' WHEN kind = 'Boolean' THEN 'bool' WHEN kind = 'Null' THEN 'NoneType' WHEN ttype = 'DOUBLE' THEN 'float' ELSE 'int' END AS description
             FROM nd WHERE depth = 1"""),
+        "n5_yaml_report": with_(
+            CORPUS["ydocs"], select="""SELECT doc_id, concat('## ⚙️ YAML Configuration Analysis', chr(10), '- **File:** doc_', doc_id, '.yml', chr(10),
+            '- **Data Type:** dict', chr(10), '- **Complexity:** Moderate', chr(10), '- **Structure Depth:** 3 levels', chr(10),
+            '- **Total Keys:** ', 8 + 2 * (doc_id % 4 + 1), chr(10), '- **Data Types:** Array, Null, Number, Object, String', chr(10), chr(10),
+            '### 🔧 Detected Configuration Types', chr(10), '- Database Configuration', chr(10), chr(10), '### 🗂️ Top-Level Structure', chr(10),
+            '- **pedido:** int', chr(10), '- **estado:** str', chr(10), '- **database:** Object with 2 properties', chr(10), '- **abierto:** bool', chr(10),
+            '- **nada:** NoneType', chr(10), '- **partes:** Array with ', doc_id % 4 + 1, ' items', chr(10), chr(10),
+            '### 📋 YAML Content', chr(10), '```yaml', chr(10), text, chr(10), '```') AS report FROM ydocs WHERE doc_id % 17 <> 0"""),
+        "x5_xml_report": with_(
+            CORPUS["xdocs"], ELEMENTS, """xt AS (SELECT doc_id, count(*) AS total, sum(n_attributes) AS attributes, sum(text_length) AS text_length,
+              max(text_length) FILTER (clean_tag = 'order') AS own FROM el GROUP BY doc_id)""",
+            select="""SELECT doc_id, xt.doc_id IS NOT NULL AS well_formed, CASE WHEN xt.doc_id IS NULL THEN text ELSE concat('## 🔧 XML Document Analysis', chr(10),
+            '- **File:** doc_', doc_id, '.xml', chr(10), '- **Root Element:** {urn:ord}order', chr(10), '- **Namespace:** urn:ord', chr(10),
+            '- **Total Elements:** ', total, chr(10), '- **Unique Tags:** 4', chr(10), '- **Max Depth:** 2', chr(10), '- **Attributes:** ', attributes, chr(10),
+            '- **Text Content:** ', text_length, ' characters', chr(10), chr(10), '### 🗂️ XML Structure Overview', chr(10),
+            '- **order** (1x) (with attributes)', CASE WHEN own > 0 THEN ' (contains text)' ELSE '' END, ' → line', chr(10),
+            '- **line** (', (total - 1) // 3, 'x) (with attributes) → part, qty', chr(10), '- **part** (', (total - 1) // 3, 'x) (contains text)', chr(10),
+            '- **qty** (', (total - 1) // 3, 'x)', chr(10), chr(10), '### 📋 Raw XML Content', chr(10), '```xml', chr(10), text, chr(10), '```') END AS report
+            FROM xdocs LEFT JOIN xt USING (doc_id)"""),
         "x1_elements": with_(ELEMENTS, select="SELECT * FROM el"),
         "x2_xml_stats": with_(
             ELEMENTS, select="""SELECT doc_id, '{urn:ord}order' AS root_element, count(*) AS total_elements, count(DISTINCT clean_tag) AS unique_tags,
