@@ -25,16 +25,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, -1), "")
 
 
-def _gram(words_: Column, position: Column, size) -> Column:
-    return F.array_join(F.slice(words_, position, F.lit(size) if isinstance(size, int) else size), " ")
+def _window(items: Column, position: Column, size: int) -> list[Column]:
+    """The elements of one window, one by one: ``slice`` would copy the whole array for each window."""
+    return [F.get(items, position + (i - 1)) for i in range(size)]
+
+
+def _gram(words_: Column, position: Column, size: int) -> Column:
+    return F.concat_ws(" ", *_window(words_, position, size))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(size, gram, item_id), distinct: every window of every item; an item shorter than a window is one itself."""
     own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    size = F.least(F.size("w"), F.lit(window))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: _gram(F.col("w"), i, size))
-    return own.select(size.alias("size"), F.explode(F.array_distinct(grams)).alias("gram"), "item_id").distinct()
+    w = F.col("w")
+    whole = F.size("w") < window
+    grams = F.when(whole, F.array(F.array_join(w, " "))).otherwise(F.transform(_positions(w, window), lambda i: _gram(w, i, window)))
+    return own.select(F.least(F.size("w"), F.lit(window)).alias("size"), F.explode(grams).alias("gram"), "item_id").distinct()
 
 
 def _positions(w: Column, size: int) -> Column:
@@ -46,17 +52,17 @@ def _windows(w: Column, positions: Column, size: int) -> Column:
     return F.transform(positions, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), _gram(w, i, size).alias("gram")))
 
 
-def _hash_of(grams: list[str], spark) -> list[int]:
-    rows = spark.createDataFrame([(g,) for g in grams], "g string").select(
-        F.xxhash64(F.transform(F.split("g", " "), lambda x: F.xxhash64(x))).alias("h"))
-    return [r.h for r in rows.collect()]
+def _hash(grams: Column, size: int) -> Column:
+    """Hash of a window as the scan makes it: of the hashes of its words."""
+    parts = F.split(grams, " ")
+    return F.xxhash64(*[F.xxhash64(F.get(parts, F.lit(i))) for i in range(size)])
 
 
 def _candidates(w: Column, ids: Column, grams: dict[int, tuple[list[int], list[str]]]) -> Column:
     """array<struct<pos, size, gram>> of windows that are in the set: looked up by hash, verified by their words."""
 
     def of(size: int, hashes: list[int], texts: list[str]) -> Column:
-        by_hash = F.filter(_positions(w, size), lambda i: F.xxhash64(F.slice(ids, i, F.lit(size))).isin(hashes))
+        by_hash = F.filter(_positions(w, size), lambda i: F.xxhash64(*_window(ids, i, size)).isin(hashes))
         return F.filter(_windows(w, by_hash, size), lambda s: s["gram"].isin(texts))
 
     found = [of(size, *lists) for size, lists in sorted(grams.items())]
@@ -73,26 +79,26 @@ def _covered(hits: Column) -> Column:
     ))["n"]
 
 
-def _window_set(windows: DataFrame, bound: int) -> dict[int, tuple[list[int], list[str]]] | None:
+def _window_set(windows: DataFrame, window: int, bound: int) -> dict[int, tuple[list[int], list[str]]] | None:
     """The distinct windows by size, or None where there are more than ``bound``."""
-    found = windows.select("size", "gram").distinct().limit(bound + 1).collect()
+    hashed = F.lit(None).cast("bigint")
+    for size in range(1, window + 1):
+        hashed = F.when(F.col("size") == size, _hash(F.col("gram"), size)).otherwise(hashed)
+    found = windows.select("size", "gram").distinct().limit(bound + 1).withColumn("hash", hashed).collect()
     if len(found) > bound:
         return None
-    out: dict[int, tuple[list[int], list[str]]] = {}
-    for size in sorted({r["size"] for r in found}):
-        texts = [r["gram"] for r in found if r["size"] == size]
-        out[size] = (_hash_of(texts, windows.sparkSession), texts)
-    return out
+    return {size: ([r["hash"] for r in found if r["size"] == size], [r["gram"] for r in found if r["size"] == size])
+            for size in sorted({r["size"] for r in found})}
 
 
-def scan(docs: DataFrame, windows: DataFrame, bound: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, windows: DataFrame, window: int = WINDOW, bound: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` with ``__words`` and ``__hits`` (array<struct<pos, size, gram>>), the verified windows of each document.
 
     Up to ``bound`` distinct windows nothing is shuffled: the set travels with the plan. Beyond it, all windows of the
     documents are joined with the items' by a shuffle that AQE splits where a window is hot, and the hits come back by row.
     """
     base = computed(docs, {"__words": words(F.col("text"))})
-    grams = _window_set(windows, bound)
+    grams = _window_set(windows, window, bound)
     if grams is not None:
         hashed = computed(base, {"__ids": F.transform("__words", lambda x: F.xxhash64(x))})
         return computed(hashed, {"__hits": _candidates(F.col("__words"), F.col("__ids"), grams)}).drop("__ids")
@@ -117,7 +123,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bound: i
     with equal texts all count; a null item_id never names an item. Empty tables give no rows or no hits; other columns are ignored.
     """
     windows = item_windows(benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull()), window)
-    scanned = scan(docs.select("doc_id", "text"), windows, bound).select(
+    scanned = scan(docs.select("doc_id", "text"), windows, window, bound).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.size("__words").cast("bigint").alias("n_words"),
         _covered(F.col("__hits")).alias("n_hit"),
         F.array_distinct(F.transform("__hits", lambda s: s["gram"])).alias("grams"),
@@ -142,7 +148,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", windo
     Null and wordless texts stay as they are.
     """
     windows = item_windows(benchmark.select("item_id", "text"), window)
-    scanned = scan(docs, windows, bound)
+    scanned = scan(docs, windows, window, bound)
     if mode == "documents":
         return scanned.filter(F.size("__hits") == 0).select(*docs.columns)
     if mode != "spans":

@@ -57,7 +57,7 @@ lost AS (
   WHERE {_lacks('line', '#*$%&<>')} * 100 > n * {q.SYMBOL_PERCENT}
      OR ({_lacks('line', '|»›•·')} >= {q.NAVIGATION_MIN} AND {_lacks('line', '|»›•·')} * 100 > n * {q.NAVIGATION_PERCENT})
      OR (n >= {q.SHOUTING_MIN_WORDS} AND {_lacks('line', '!')} * 100 >= n * {q.SHOUTING_PERCENT} AND low <> line AND upper(line) = line)
-     OR (n <= {q.BOILERPLATE_MAX_WORDS} AND ({_PHRASES}))
+     OR (n <= {q.BOILERPLATE_MAX_WORDS} AND length(line) <= {q.BOILERPLATE_MAX_CHARS} AND ({_PHRASES}))
      OR (n >= {q.PUNCTUATION_MIN_WORDS} AND NOT regexp_matches(line, '\p{{P}}'))
   GROUP BY r),
 counts AS (

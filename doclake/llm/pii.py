@@ -39,26 +39,30 @@ _GATE = r"@|[0-9]{2}|[0-9]\.[0-9]"
 
 def _feistel(values: Column, radices: Column, kind: str, key: str) -> Column:
     """Keyed permutation of vectors with given radices: halves are shifted in turn by a hash of the other half."""
-    half = F.floor((F.size(values) + 1) / 2).cast("int")
-    rest = F.size(values) - half
-    rad_l, rad_r = F.slice(radices, F.lit(1), half), F.slice(radices, half + 1, rest)
 
-    def stream(other: Column, number: Column, length: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), F.size(values).cast("string"),
+    def stream(other: Column, number: Column, size: Column, length: Column) -> Column:
+        seed = F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), size.cast("string"),
                            F.array_join(other.cast("array<string>"), ","))
         last = F.floor(F.greatest(length - 1, F.lit(0)) / PER_HASH).cast("int")
         return let(seed, lambda s: F.array_join(F.transform(
             F.sequence(F.lit(0), last), lambda b: F.sha2(F.concat(s, F.lit("|"), b.cast("string")).cast("binary"), 512)), ""))
 
-    def shifted(own: Column, rad: Column, other: Column, number: Column) -> Column:
-        return let(stream(other, number, F.size(own)), lambda s: F.transform(own, lambda v, j: F.pmod(
+    def shifted(own: Column, rad: Column, other: Column, number: Column, size: Column) -> Column:
+        return let(stream(other, number, size, F.size(own)), lambda s: F.transform(own, lambda v, j: F.pmod(
             v + F.conv(F.substring(s, j * HEX + 1, F.lit(HEX)), 16, 10).cast("bigint"), F.get(rad, j))))
 
-    start = F.struct(F.slice(values, F.lit(1), half).alias("l"), F.slice(values, half + 1, rest).alias("r"))
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, lambda a, n: F.when(
-        n % 2 == 0, F.struct(shifted(a["l"], rad_l, a["r"], n).alias("l"), a["r"].alias("r"))
-    ).otherwise(F.struct(a["l"].alias("l"), shifted(a["r"], rad_r, a["l"], n).alias("r"))))
-    return F.concat(done["l"], done["r"])
+    def halves(array: Column) -> Column:
+        half = F.floor((F.size(array) + 1) / 2).cast("int")
+        return F.struct(F.slice(array, F.lit(1), half).alias("l"), F.slice(array, half + 1, F.size(array) - half).alias("r"))
+
+    def rounds(start: Column, rad: Column) -> Column:
+        size = F.size(start["l"]) + F.size(start["r"])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, lambda a, n: F.when(
+            n % 2 == 0, F.struct(shifted(a["l"], rad["l"], a["r"], n, size).alias("l"), a["r"].alias("r"))
+        ).otherwise(F.struct(a["l"].alias("l"), shifted(a["r"], rad["r"], a["l"], n, size).alias("r"))))
+
+    return let(halves(values), lambda start: let(halves(radices), lambda rad: let(
+        rounds(start, rad), lambda done: F.concat(done["l"], done["r"]))))
 
 
 def _chars(s: Column) -> Column:
@@ -78,7 +82,9 @@ def _permuted_text(s: Column, kind: str, key: str) -> Column:
         return out
 
     def by_chars(chars: Column) -> Column:
-        codes = F.transform(chars, lambda c: F.ascii(c))
+        return let(F.transform(chars, lambda c: F.ascii(c)), lambda codes: by_codes(chars, codes))
+
+    def by_codes(chars: Column, codes: Column) -> Column:
         radix = F.transform(codes, lambda c: of(c, lambda a: F.lit(1) if a is None else a[1]).cast("bigint"))
         value = F.transform(codes, lambda c: (c - of(c, lambda a: c if a is None else a[0])).cast("bigint"))
         return F.array_join(F.zip_with(chars, _feistel(value, radix, kind, key), lambda c, v: let(

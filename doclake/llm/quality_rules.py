@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from doclake.functions.frames import computed, let
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 #: Words of which a document needs at least so many, and the largest percentage of them in repeated windows.
@@ -31,8 +30,8 @@ BOILERPLATE = (
     "cookie policy", "we use cookies", "accept cookies", "enable javascript", "subscribe to our", "sign up for our",
     "click here to", "share this article", "follow us on", "powered by",
 )
-#: A boilerplate line is short: at most so many words.
-BOILERPLATE_MAX_WORDS = 25
+#: A boilerplate line is short: at most so many words and characters.
+BOILERPLATE_MAX_WORDS, BOILERPLATE_MAX_CHARS = 25, 400
 #: The percentage of its words that a document may lose.
 MAX_LOST_PERCENT = 50
 
@@ -42,45 +41,56 @@ def words(text: Column) -> Column:
 
 
 def _repeated_words(w: Column) -> Column:
-    """Words inside three-word windows that are found twice or more: windows are sorted with their starts, equal neighbours
-    are the repeated ones, and the distance to the next start tells how many new words each covers."""
-    windows = F.when(F.size(w) >= 4, F.transform(
-        F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.struct(F.array_join(F.slice(w, i, F.lit(3)), " ").alias("g"), i.alias("i"))))
-    ordered = F.sort_array(windows)
-
-    def starts(s: Column) -> Column:
-        same = lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False))
-        return F.sort_array(F.transform(F.filter(
-            F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), (
-                same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))).alias("twice"))), lambda x: x["twice"]), lambda x: x["i"]))
+    """Words inside three-word windows that are found twice or more.
+
+    A text whose windows have as many different hashes as there are windows repeats nothing. Otherwise the windows are sorted by
+    hash with their starts; neighbours with equal words are the repeated ones, and the distance to the next start tells how many
+    new words each covers.
+    """
+
+    def starts(hashes: Column) -> Column:
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        alike = lambda a, b: F.coalesce((a["h"] == b["h"]) & (F.get(w, a["i"]) == F.get(w, b["i"])) & (
+            F.get(w, a["i"] + 1) == F.get(w, b["i"] + 1)) & (F.get(w, a["i"] + 2) == F.get(w, b["i"] + 2)), F.lit(False))
+        return let(ordered, lambda s: F.sort_array(F.transform(F.filter(
+            s, lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1))), lambda x: x["i"])))
 
     def total(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - i, F.lit(3)))),
                            F.lit(0).cast("bigint"), lambda a, n: a + n)
 
-    return F.when(F.size(w) >= 4, let(ordered, lambda s: let(starts(s), total))).otherwise(F.lit(0).cast("bigint"))
+    def of(hashes: Column) -> Column:
+        none = F.lit(0).cast("bigint")
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(let(starts(hashes), total))
+
+    windows = lambda ids: F.transform(F.sequence(F.lit(0), F.size(ids) - 3), lambda i: F.xxhash64(F.get(ids, i), F.get(ids, i + 1), F.get(ids, i + 2)))
+    hashed = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
+    return F.when(F.size(w) >= 4, let(hashed, of)).otherwise(F.lit(0).cast("bigint"))
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]", ""))
+
 
+def line_failure(line: Column, symbols: Column, separators: Column) -> Column:
+    """The rule a line fails, or null. ``symbols`` and ``separators`` tell whether its text has any.
 
-def line_failure(line: Column) -> Column:
-    """The rule a line fails, or null."""
+    What the whole text lacks needs no look at its lines, and lines that no rule can touch are not split into words.
+    """
     n = F.size(words(line))
-    symbols = _count(line, "#*$%&<>")
-    bars = _count(line, "|»›•·")
     low = F.lower(line)
-    shouting = (n >= SHOUTING_MIN_WORDS) & (_count(line, "!") * 100 >= n * SHOUTING_PERCENT) & (low != line) & (F.upper(line) == line)
+    bars, marks = _count(line, "|»›•·"), _count(line, "!")
     boilerplate = low.contains(BOILERPLATE[0])
     for phrase in BOILERPLATE[1:]:
         boilerplate = boilerplate | low.contains(phrase)
     return (
-        F.when(symbols * 100 > n * SYMBOL_PERCENT, "symbols")
-        .when((bars >= NAVIGATION_MIN) & (bars * 100 > n * NAVIGATION_PERCENT), "navigation")
-        .when(shouting, "shouting")
-        .when((n <= BOILERPLATE_MAX_WORDS) & boilerplate, "boilerplate")
-        .when((n >= PUNCTUATION_MIN_WORDS) & ~F.regexp_like(line, F.lit(r"[\p{P}]")), "punctuation")
+        F.when(symbols & (_count(line, "#*$%&<>") * 100 > n * SYMBOL_PERCENT), "symbols")
+        .when(separators & (bars >= NAVIGATION_MIN) & (bars * 100 > n * NAVIGATION_PERCENT), "navigation")
+        .when(line.contains("!") & (marks * 100 >= n * SHOUTING_PERCENT) & (n >= SHOUTING_MIN_WORDS)
+              & (low != line) & (F.upper(line) == line), "shouting")
+        .when((F.length(line) <= BOILERPLATE_MAX_CHARS) & boilerplate & (n <= BOILERPLATE_MAX_WORDS), "boilerplate")
+        .when((F.length(line) >= 2 * PUNCTUATION_MIN_WORDS - 1) & ~F.regexp_like(line, F.lit(r"\p{P}")) & (n >= PUNCTUATION_MIN_WORDS),
+              "punctuation")
     )
 
 
@@ -94,15 +104,17 @@ def judged(docs: DataFrame, text_column: str = "text") -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost_words", "kept"]
     kept = [c for c in docs.columns if c not in made]
     text = F.coalesce(F.col(text_column), F.lit(""))
-    has_word = lambda line: F.length(F.translate(line, SPACES, "")) > 0
-    split = computed(docs.select(*kept), {"__w": words(text), "__l": F.transform(
-        F.filter(F.split(text, "\n", -1), has_word), lambda x: F.struct(x.alias("line"), line_failure(x).alias("failed")))})
+    has_word = lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))
+    gates = computed(docs.select(*kept), {
+        "__symbols": F.regexp_like(text, F.lit("[#*$%&<>]")), "__bars": F.regexp_like(text, F.lit("[|»›•·]"))})
+    split = computed(gates, {"__w": words(text), "__l": F.transform(
+        F.filter(F.split(text, "\n", -1), has_word), lambda x: F.struct(x.alias("line"), line_failure(x, F.col("__symbols"), F.col("__bars")).alias("failed")))})
     line_texts = F.transform("__l", lambda x: x["line"])
     n = F.size("__w").cast("bigint")
     good = F.filter("__l", lambda x: x["failed"].isNull())
     lost = F.aggregate(F.filter("__l", lambda x: x["failed"].isNotNull()), F.lit(0).cast("bigint"), lambda a, x: a + F.size(words(x["line"])))
     counted = split.select(
-        *kept, n.alias("n_words"), F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
+        *kept, n.alias("n_words"), F.length(F.array_join("__w", "")).cast("bigint").alias("word_chars"),
         _count(text, SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct(line_texts))).cast("bigint").alias("n_dup_lines"),
         _repeated_words(F.col("__w")).alias("n_repeat_words"),
