@@ -9,17 +9,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, decontaminate, pii, queries
+from doclake.llm import bpe, decontaminate, near_dedup, pii, quality_model, queries
 from doclake.llm.common import table, written
 
 
+def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the labels it learns from belong to the table."""
+    return quality_model.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.deduplicate(docs)
+
+
 def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms; ``n_chars`` follows the text."""
+    """Texts with pseudonyms. They are as long as what they replace, so ``n_chars`` stays right."""
     return pii.pseudonymise(docs, queries.PII_KEY).select(*docs.columns)
 
 
@@ -29,6 +39,8 @@ def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("quality", good_text),
+    ("near_dedup", one_of_each),
     ("decontaminate", clean_benchmark),
     ("pii", hide_personal_data),
     ("bpe", token_digests),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,15 @@ def row_key(id_column: str, text_column: str) -> list[Column]:
     ]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One record batch in, one out."""
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, z) of every row of ``docs``: its key, and its text (null: empty) compressed for the way through a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raw = [z.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k1"), b.column("k2"), b.column("doc_id"), pa.array(raw, pa.binary())], names=["k1", "k2", "doc_id", "z"])
+
+    own = docs.select(*row_key("doc_id", "text"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return own.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, z binary")
