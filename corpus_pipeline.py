@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from doclake.llm import bpe, decontaminate, near_dedup, pii, quality_model, queries
 from doclake.llm.common import table, written
@@ -29,8 +30,10 @@ def clean_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms. They are as long as what they replace, so ``n_chars`` stays right."""
-    return pii.pseudonymise(docs, queries.PII_KEY).select(*docs.columns)
+    """Texts with pseudonyms; where one was put in, ``n_chars`` is counted anew."""
+    out = pii.pseudonymise(docs, queries.PII_KEY)
+    counted = F.when(F.size("pii") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", counted).select(*docs.columns)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

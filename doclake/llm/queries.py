@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, decontaminate, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup
+from doclake.llm import bpe, decontaminate, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup, suffix_dedup
 from doclake.llm.common import table
 
 #: Key of the pseudonyms in the registered queries; a deployment passes its own.
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
@@ -50,5 +54,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first query of each number is the operator over its whole table."""
-    own = (op1_decontaminate, op2_near_dedup, op3_pii, op4_quality_rules, op6_bpe, op7_sharding, op9_quality_model, op10_substring_dedup)
+    own = (op1_decontaminate, op2_near_dedup, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_bpe, op7_sharding,
+           op9_quality_model, op10_substring_dedup)
     return {f.__name__: f for f in own}

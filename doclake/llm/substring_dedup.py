@@ -216,7 +216,7 @@ def report(docs: DataFrame) -> DataFrame:
     nothing to cut, a null text counts as empty.
     """
     own = docs.select("doc_id", "text")
-    packed = written(packed_rows(own))
+    packed = packed_rows(own)
     lines = repeated_paragraphs(own, packed).groupBy("k1", "k2").agg(
         F.array_sort(F.collect_set(F.struct("line", "comp"))).alias("lines"))
     matched = repeated_sentences(own).groupBy("k1", "k2").agg(F.collect_set("sentence").alias("matched"))
