@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import bpe, decontaminate, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup, suffix_dedup
+from doclake.llm import (
+    bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup, suffix_dedup,
+)
 from doclake.llm.common import table
 
 #: Key of the pseudonyms in the registered queries; a deployment passes its own.
@@ -44,6 +46,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,5 +61,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first query of each number is the operator over its whole table."""
     own = (op1_decontaminate, op2_near_dedup, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_bpe, op7_sharding,
-           op9_quality_model, op10_substring_dedup)
+           op8_html_extract, op9_quality_model, op10_substring_dedup)
     return {f.__name__: f for f in own}
