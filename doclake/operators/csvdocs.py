@@ -54,6 +54,9 @@ def type_summary(types: Column) -> Column:
     return F.array_join(F.transform(F.array_distinct(types), lambda k: F.concat(count(k), F.lit(" "), k)), ", ")
 
 
+PROFILE_COLUMNS = ["header", "data", "types", "total_cells", "empty_cells"]
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """docs + header, data rows, column types, cell and blank counts."""
     keep = docs.columns

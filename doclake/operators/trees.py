@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake import fixed
 from doclake.functions import text as tx
+from doclake.functions.frames import computed, let
 from doclake.sources import trees as src
 
 STAT_FIELDS = ["depth", "kind", "n_children"]
@@ -17,6 +20,10 @@ OUTLINE_FIELDS = [
 REPORT_FIELDS = [f for f in OUTLINE_FIELDS if f != "path"] + ["type_name"]
 TOP_FIELDS = ["depth", "key", "ordinal", "kind", "parent_kind", "type_name", "n_children"]
 CONFIG_FIELDS = ["depth", "key", "kind", "parent_kind", "object_text"]
+YAML_FIELDS = sorted({*STAT_FIELDS, *TOP_FIELDS, *CONFIG_FIELDS})
+
+#: A node field by its name: a column of a node table, or a field of an element of ``nodes``.
+Of = Callable[[str], Column]
 
 
 def reported_kind(kind: Column) -> Column:
@@ -52,172 +59,195 @@ def preview(c: Column) -> Column:
     return F.concat(F.lit('"'), F.when(F.char_length(c) > fixed.OUTLINE_PREVIEW, cut).otherwise(c), F.lit('"'))
 
 
-def is_shown() -> Column:
+def is_shown(of: Of = F.col) -> Column:
     """Whether the outline shows a node: every key on its way is among the first five and every array position is the
     first. Below the depth limit only the node that stands for a subtree is left, not the items inside it."""
-    too_deep = F.col("object_depth") > fixed.OUTLINE_DEPTH
+    too_deep = of("object_depth") > fixed.OUTLINE_DEPTH
     return (
-        (F.col("key_rank") < fixed.OUTLINE_KEYS) & (F.col("item_rank") == 0)
-        & (F.col("object_depth") <= fixed.OUTLINE_DEPTH + 1)
-        & ~(too_deep & (F.coalesce("parent_kind", F.lit("Object")) != "Object"))
+        (of("key_rank") < fixed.OUTLINE_KEYS) & (of("item_rank") == 0)
+        & (of("object_depth") <= fixed.OUTLINE_DEPTH + 1)
+        & ~(too_deep & (F.coalesce(of("parent_kind"), F.lit("Object")) != "Object"))
     )
 
 
-def described(nodes: DataFrame) -> DataFrame:
-    """nodes + ``description`` and ``left_out``, the number of entries the outline leaves out below the node."""
-    too_deep = F.col("object_depth") > fixed.OUTLINE_DEPTH
-    kind, n = F.col("kind"), F.col("n_children")
-    description = (
+def description(of: Of = F.col) -> Column:
+    """What the outline says of a node."""
+    too_deep = of("object_depth") > fixed.OUTLINE_DEPTH
+    kind, n = of("kind"), of("n_children")
+    return (
         F.when(too_deep, "...")
         .when((kind == "Object") & (n == 0), "(empty object)")
         .when(kind == "Object", "")
         .when((kind == "Array") & (n == 0), "(empty array)")
         .when(kind == "Array", F.concat(F.lit("Array["), n.cast("string"), F.lit("]:")))
-        .when(kind == "String", preview(F.col("value")))
+        .when(kind == "String", preview(of("value")))
         .when(kind == "Null", "null")
-        .otherwise(F.col("value"))
+        .otherwise(of("value"))
     )
+
+
+def left_out(of: Of = F.col) -> Column:
+    """How many entries the outline leaves out below a node."""
+    kind = of("kind")
     limit = F.when(kind == "Object", fixed.OUTLINE_KEYS).when(kind == "Array", 1).otherwise(0)
-    left_out = F.when(too_deep, 0).otherwise(F.greatest(n - limit, F.lit(0))).cast("bigint")
-    return nodes.withColumns({"description": description, "left_out": left_out})
+    below = F.greatest(of("n_children") - limit, F.lit(0))
+    return F.when(of("object_depth") > fixed.OUTLINE_DEPTH, 0).otherwise(below).cast("bigint")
 
 
 def outline(nodes: DataFrame) -> DataFrame:
     """n4: the shown part of each tree. One filter over node columns, without windows or joins."""
-    return described(nodes.filter(is_shown()))
+    return nodes.filter(is_shown()).withColumns({"description": description(), "left_out": left_out()})
 
 
-def outline_pieces() -> Column:
-    """What a described node adds to the outline text: an opening piece at its place and, when entries are left out, a
+def outline_pieces(of: Of) -> Column:
+    """What a node adds to the outline text: an opening piece at its place and, when entries are left out, a
     closing piece after its last descendant. The pieces of a document in order are its outline."""
     indent = lambda level: F.repeat(F.lit("  "), level.cast("int"))
-    depth, kind, n = F.col("object_depth"), F.col("kind"), F.col("n_children")
-    keyed = F.col("parent_kind") == "Object"
-    inner = F.col("description")
+    depth, kind, n = of("object_depth"), of("kind"), of("n_children")
+    keyed = of("parent_kind") == "Object"
+    inner = description(of)
     own_indent = F.when(
         (depth <= fixed.OUTLINE_DEPTH) & ((kind == "Array") | ((kind == "Object") & (n == 0))), indent(depth)
     ).otherwise("")
     value = F.concat(own_indent, inner, F.when((kind == "Array") & (n > 0) & (depth <= fixed.OUTLINE_DEPTH), " ").otherwise(""))
     broken = (kind == "String") & F.contains(inner, F.lit("\n"))
-    multi_line = broken | F.coalesce(F.col("branch_depth") <= fixed.OUTLINE_DEPTH, F.lit(False))
+    multi_line = broken | F.coalesce(of("branch_depth") <= fixed.OUTLINE_DEPTH, F.lit(False))
     opening = F.when(
         keyed,
         F.concat(
-            F.when(F.col("ordinal") > 0, "\n").otherwise(""),
-            indent(depth - 1), F.lit("- **"), F.col("key"), F.lit(":**"),
+            F.when(of("ordinal") > 0, "\n").otherwise(""),
+            indent(depth - 1), F.lit("- **"), of("key"), F.lit(":**"),
             F.when(multi_line, "\n").otherwise(" "), value,
         ),
     ).otherwise(value)
-    left_out = F.col("left_out").cast("string")
+    more = left_out(of)
     closing = F.when(
-        (F.col("left_out") > 0) & (kind == "Object"),
-        F.concat(F.lit("\n"), indent(depth), F.lit("- ... ("), left_out, F.lit(" more keys)")),
+        (more > 0) & (kind == "Object"),
+        F.concat(F.lit("\n"), indent(depth), F.lit("- ... ("), more.cast("string"), F.lit(" more keys)")),
     ).when(
-        (F.col("left_out") > 0) & (kind == "Array"), F.concat(F.lit(" (and "), left_out, F.lit(" more)"))
+        (more > 0) & (kind == "Array"), F.concat(F.lit(" (and "), more.cast("string"), F.lit(" more)"))
     )
     piece = lambda at, closes, level, text: F.struct(
         at.alias("at"), F.lit(closes).alias("closes"), level.cast("bigint").alias("level"), text.alias("piece")
     )
-    first = piece(F.col("node_id"), 0, F.lit(0), opening)
-    last = piece(F.col("last_id"), 1, -F.col("depth"), closing)
+    first = piece(of("node_id"), 0, F.lit(0), opening)
+    last = piece(of("last_id"), 1, -of("depth"), closing)
     return F.when(closing.isNotNull(), F.array(first, last)).otherwise(F.array(first))
 
 
-def outline_text() -> Column:
-    """Aggregate of described nodes: the outline of a document as one text. Hidden nodes add nothing."""
-    ordered = F.array_sort(F.flatten(F.collect_list(F.when(is_shown(), outline_pieces()))))
+def outline_text(nodes: Column) -> Column:
+    """The outline of a document's nodes as one text. Hidden nodes add nothing."""
+    shown = F.filter(nodes, lambda x: is_shown(lambda n: x[n]))
+    ordered = F.array_sort(F.flatten(F.transform(shown, lambda x: outline_pieces(lambda n: x[n]))))
     return F.array_join(F.transform(ordered, lambda p: p["piece"]), "")
 
 
+def is_top(of: Of = F.col) -> Column:
+    return (of("depth") == 1) & (of("parent_kind") == "Object")
+
+
+def top_description(of: Of = F.col) -> Column:
+    n = of("n_children").cast("string")
+    return (
+        F.when(of("kind") == "Object", F.concat(F.lit("Object with "), n, F.lit(" properties")))
+        .when(of("kind") == "Array", F.concat(F.lit("Array with "), n, F.lit(" items")))
+        .otherwise(of("type_name"))
+    )
+
+
 def top_level(nodes: DataFrame) -> DataFrame:
     """n7: the root keys of each document and what they hold."""
-    n = F.col("n_children").cast("string")
-    return nodes.filter((F.col("depth") == 1) & (F.col("parent_kind") == "Object")).select(
-        "doc_id", "ordinal", "key",
-        F.when(F.col("kind") == "Object", F.concat(F.lit("Object with "), n, F.lit(" properties")))
-        .when(F.col("kind") == "Array", F.concat(F.lit("Array with "), n, F.lit(" items")))
-        .otherwise(F.col("type_name")).alias("description"),
-    )
+    return nodes.filter(is_top()).select("doc_id", "ordinal", "key", top_description().alias("description"))
 
 
-def config_patterns(nodes: DataFrame) -> DataFrame:
-    """n6: configuration types met in each document, distinct. The first matching pattern of a key wins."""
-    key, body = F.lower("key"), F.lower("object_text")
+def config_pattern(of: Of = F.col) -> Column:
+    """Configuration type a node stands for, or null. The first matching pattern of a key wins."""
+    key, body = F.lower(of("key")), F.lower(of("object_text"))
     found = None
     for name, indicators in fixed.CONFIG_PATTERNS:
         title = name.title()
         by_key, by_value = F.contains(key, F.lit(name)), tx.contains_any(body, indicators)
         found = F.when(by_key, f"{title} Configuration") if found is None else found.when(by_key, f"{title} Configuration")
         found = found.when(by_value, f"Possible {title} Config")
-    shallow = (F.col("parent_kind") == "Object") & (F.col("depth") <= fixed.CONFIG_KEY_DEPTH + 1)
-    return (
-        nodes.filter(shallow).select("doc_id", found.alias("pattern")).filter(F.col("pattern").isNotNull()).distinct()
-    )
+    return F.when((of("parent_kind") == "Object") & (of("depth") <= fixed.CONFIG_KEY_DEPTH + 1), found)
+
+
+def config_patterns(nodes: DataFrame) -> DataFrame:
+    """n6: configuration types met in each document, distinct."""
+    return nodes.select("doc_id", config_pattern().alias("pattern")).filter(F.col("pattern").isNotNull()).distinct()
 
 
 def _bulleted(items: Column) -> Column:
     return F.concat(F.lit("- "), F.array_join(items, "\n- "), F.lit("\n"))
 
 
-def json_report(docs: DataFrame) -> DataFrame:
-    """n5 for JSON: structure header, outline and content, from one grouping. Malformed documents have no report."""
-    nodes = described(src.json_nodes(docs, REPORT_FIELDS))
-    keys = F.sum(F.when(F.col("kind") == "Object", F.col("n_children")).otherwise(0))
-    stats = nodes.groupBy("doc_id").agg(
-        F.max(F.when(F.col("depth") == 0, F.col("type_name"))).alias("root_type"),
-        F.max("depth").alias("max_depth"), keys.alias("total_keys"),
-        F.array_sort(F.collect_set(reported_kind(F.col("kind")))).alias("kinds"),
-        outline_text().alias("outline"),
-    )
-    header = F.concat(
+def _present(array: Column) -> Column:
+    return F.filter(array, lambda x: x.isNotNull())
+
+
+def array_stats(nodes: Column) -> dict[str, Column]:
+    """n2, n3 of one document from its array of nodes."""
+    keys = F.aggregate(nodes, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["kind"] == "Object", x["n_children"]).otherwise(0))
+    return {
+        "root_type": F.get(nodes, F.lit(0))["type_name"],
+        "max_depth": F.array_max(F.transform(nodes, lambda x: x["depth"])),
+        "total_keys": keys,
+        "kinds": F.array_sort(F.array_distinct(_present(F.transform(nodes, lambda x: reported_kind(x["kind"]))))),
+    }
+
+
+def with_structure(rows: DataFrame, when: Column | None = None) -> DataFrame:
+    """rows + ``_t``, the statistics of ``nodes``, once per row; null where ``when`` does not hold."""
+    stats = F.struct(*[e.alias(n) for n, e in array_stats(F.col("nodes")).items()])
+    return computed(rows, {"_t": stats if when is None else F.when(when, stats)})
+
+
+def json_report_expr() -> Column:
+    """n5 for JSON: structure header, outline and content, from ``_t``, ``nodes``, ``file_name`` and ``text``."""
+    t = F.col("_t")
+    return F.concat(
         F.lit("## 📊 JSON Structure Analysis\n- **File:** "), tx.base_name(F.col("file_name")),
-        F.lit("\n- **Root Type:** "), F.col("root_type"),
-        F.lit("\n- **Complexity:** "), complexity(F.col("max_depth"), F.col("total_keys")),
-        F.lit("\n- **Depth Levels:** "), F.col("max_depth").cast("string"),
-        F.lit("\n- **Total Keys:** "), F.col("total_keys").cast("string"),
-        F.lit("\n- **Data Types:** "), F.array_join("kinds", ", "),
-        F.lit("\n\n### 🗂️ Key Structure Overview\n"), F.col("outline"),
+        F.lit("\n- **Root Type:** "), t["root_type"],
+        F.lit("\n- **Complexity:** "), complexity(t["max_depth"], t["total_keys"]),
+        F.lit("\n- **Depth Levels:** "), t["max_depth"].cast("string"),
+        F.lit("\n- **Total Keys:** "), t["total_keys"].cast("string"),
+        F.lit("\n- **Data Types:** "), F.array_join(t["kinds"], ", "),
+        F.lit("\n\n### 🗂️ Key Structure Overview\n"), outline_text(F.col("nodes")),
         F.lit("\n\n### 📋 JSON Content\n```json\n"), F.col("text"), F.lit("\n```"),
     )
-    return (
-        docs.select("doc_id", "file_name", "text").join(stats, "doc_id").select("doc_id", header.alias("report"))
-    )
 
 
-def yaml_report(docs: DataFrame) -> DataFrame:
+def yaml_report_expr() -> Column:
     """n5 for YAML: structure header, configuration types, top level and content."""
-    nodes = src.yaml_nodes(docs, sorted({*STAT_FIELDS, *TOP_FIELDS, *CONFIG_FIELDS}))
-    keys = F.sum(F.when(F.col("kind") == "Object", F.col("n_children")).otherwise(0))
-    stats = nodes.groupBy("doc_id").agg(
-        F.max(F.when(F.col("depth") == 0, F.col("type_name"))).alias("root_type"),
-        F.max("depth").alias("max_depth"), keys.alias("total_keys"),
-        F.array_sort(F.collect_set(reported_kind(F.col("kind")))).alias("kinds"),
-    )
-    patterns = config_patterns(nodes).groupBy("doc_id").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"))
-    tops = top_level(nodes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "key", "description"))).alias("tops"))
-    top_lines = F.transform("tops", lambda t: F.concat(F.lit("**"), t["key"], F.lit(":** "), t["description"]))
-    report = F.concat(
+    t, nodes = F.col("_t"), F.col("nodes")
+    found = F.array_sort(F.array_distinct(_present(F.transform(nodes, lambda x: config_pattern(lambda n: x[n])))))
+    tops = F.array_sort(F.transform(F.filter(nodes, lambda x: is_top(lambda n: x[n])), lambda x: F.struct(
+        x["ordinal"].alias("ordinal"), x["key"].alias("key"), top_description(lambda n: x[n]).alias("description"))))
+    top_lines = F.transform(tops, lambda p: F.concat(F.lit("**"), p["key"], F.lit(":** "), p["description"]))
+    part = lambda title, items: let(items, lambda i: F.when(
+        F.size(i) > 0, F.concat(F.lit(title + "\n"), _bulleted(i), F.lit("\n"))).otherwise(""))
+    return F.concat(
         F.lit("## ⚙️ YAML Configuration Analysis\n- **File:** "), tx.base_name(F.col("file_name")),
-        F.lit("\n- **Data Type:** "), F.col("root_type"),
-        F.lit("\n- **Complexity:** "), complexity(F.col("max_depth"), F.col("total_keys")),
-        F.lit("\n- **Structure Depth:** "), F.col("max_depth").cast("string"),
-        F.lit(" levels\n- **Total Keys:** "), F.col("total_keys").cast("string"),
-        F.lit("\n- **Data Types:** "), F.array_join("kinds", ", "), F.lit("\n\n"),
-        F.when(
-            F.col("patterns").isNotNull(),
-            F.concat(F.lit("### 🔧 Detected Configuration Types\n"), _bulleted(F.col("patterns")), F.lit("\n")),
-        ).otherwise(""),
-        F.when(
-            F.col("tops").isNotNull(),
-            F.concat(F.lit("### 🗂️ Top-Level Structure\n"), _bulleted(top_lines), F.lit("\n")),
-        ).otherwise(""),
+        F.lit("\n- **Data Type:** "), t["root_type"],
+        F.lit("\n- **Complexity:** "), complexity(t["max_depth"], t["total_keys"]),
+        F.lit("\n- **Structure Depth:** "), t["max_depth"].cast("string"),
+        F.lit(" levels\n- **Total Keys:** "), t["total_keys"].cast("string"),
+        F.lit("\n- **Data Types:** "), F.array_join(t["kinds"], ", "), F.lit("\n\n"),
+        part("### 🔧 Detected Configuration Types", found), part("### 🗂️ Top-Level Structure", top_lines),
         F.lit("### 📋 YAML Content\n```yaml\n"), F.col("text"), F.lit("\n```"),
     )
-    return (
-        docs.select("doc_id", "file_name", "text").join(stats, "doc_id")
-        .join(patterns, "doc_id", "left").join(tops, "doc_id", "left")
-        .select("doc_id", report.alias("report"))
-    )
+
+
+def json_report(docs: DataFrame) -> DataFrame:
+    """n5 for JSON, row by row. Malformed documents have no report."""
+    parsed = src.with_trees(docs, "json", node_fields=REPORT_FIELDS, element_fields=["depth"]).filter("status = 'ok'")
+    return with_structure(parsed).select("doc_id", json_report_expr().alias("report"))
+
+
+def yaml_report(docs: DataFrame) -> DataFrame:
+    """n5 for YAML, row by row. Unreadable documents have no report."""
+    parsed = src.with_trees(docs, "yaml", node_fields=YAML_FIELDS, element_fields=["depth"]).filter("status = 'ok'")
+    return with_structure(parsed).select("doc_id", yaml_report_expr().alias("report"))
 
 
 # ---- XML -------------------------------------------------------------------------------------
@@ -282,36 +312,64 @@ def tag_summary(elements: DataFrame) -> DataFrame:
     )
 
 
-def xml_report(docs: DataFrame) -> DataFrame:
-    """x5: report of every XML document; malformed ones keep their raw text in a fence, without enrichment."""
-    elements = src.xml_elements(docs)
-    stats = xml_stats(elements)
-    line = F.concat(
-        F.lit("- **"), F.col("clean_tag"), F.lit("** ("), F.col("n").cast("string"), F.lit("x)"),
-        F.when(F.col("has_attributes"), " (with attributes)").otherwise(""),
-        F.when(F.col("has_text"), " (contains text)").otherwise(""),
-        F.when(F.size("children") > 0, F.concat(F.lit(" → "), F.array_join("children", ", "))).otherwise(""),
-    )
-    tags = (
-        tag_summary(elements).select("doc_id", "first_ord", line.alias("line"))
-        .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_ord", "line"))).alias("tags"))
+def _tag_lines(elements: Column) -> Column:
+    """x3 as lines of one document, in order of appearance.
+
+    Elements are sorted by tag as themselves and by their parent's tag as children; a fold over that order closes a line whenever
+    the tag changes, so the work does not grow with the number of tags times the number of elements.
+    """
+    own = F.transform(elements, lambda e: F.struct(
+        e["clean_tag"].alias("t"), F.lit(0).alias("k"), e["ord"].alias("o"), (e["n_attributes"] > 0).alias("attrs"),
+        (e["text_length"] > 0).alias("text"), F.lit("").alias("child")))
+    children = F.array_distinct(F.transform(F.filter(elements, lambda e: e["parent_tag"].isNotNull()), lambda e: F.struct(
+        e["parent_tag"].alias("t"), F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("o"), F.lit(False).alias("attrs"), F.lit(False).alias("text"),
+        e["clean_tag"].alias("child"))))
+    ordered = F.sort_array(F.concat(own, children))
+    # first of each tag, number of its elements, and where its children are
+    firsts = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(
+        x["o"].alias("o"), i.alias("i"), x["t"].alias("t"),
+        F.coalesce(F.get(s, i - 1)["t"] != x["t"], F.lit(True)).alias("new"))), lambda x: x["new"])
+
+    def lines(s: Column) -> Column:
+        return let(firsts(s), lambda f: F.transform(f, lambda x, j: let(
+            F.slice(s, x["i"] + 1, F.coalesce(F.get(f, j + 1)["i"], F.size(s)) - x["i"]), lambda group: F.struct(x["o"].alias("o"), _tag_line(group).alias("line")))))
+
+    return F.transform(F.array_sort(let(ordered, lines)), lambda x: x["line"])
+
+
+def _tag_line(group: Column) -> Column:
+    children = F.transform(F.filter(group, lambda x: x["k"] == 1), lambda x: x["child"])
+    return F.concat(
+        F.lit("- **"), F.get(group, F.lit(0))["t"], F.lit("** ("), F.size(F.filter(group, lambda x: x["k"] == 0)).cast("string"), F.lit("x)"),
+        F.when(F.exists(group, lambda x: x["attrs"]), " (with attributes)").otherwise(""),
+        F.when(F.exists(group, lambda x: x["text"]), " (contains text)").otherwise(""),
+        F.when(F.size(children) > 0, F.concat(F.lit(" → "), F.array_join(children, ", "))).otherwise(""),
     )
-    ns = namespace_of(F.col("root_element"))
-    enriched = F.concat(
+
+
+def xml_report_expr() -> Column:
+    """x5 of a well-formed document from ``elements``, ``file_name`` and ``text``."""
+    e = F.col("elements")
+    total = lambda field: F.aggregate(e, F.lit(0).cast("bigint"), lambda a, x: a + x[field])
+    root = F.get(e, F.lit(0))["tag"]
+    ns = namespace_of(root)
+    return F.concat(
         F.lit("## 🔧 XML Document Analysis\n- **File:** "), tx.base_name(F.col("file_name")),
-        F.lit("\n- **Root Element:** "), F.col("root_element"),
+        F.lit("\n- **Root Element:** "), root,
         F.lit("\n- **Namespace:** "), F.when(ns == "", "None").otherwise(ns),
-        F.lit("\n- **Total Elements:** "), F.col("total_elements").cast("string"),
-        F.lit("\n- **Unique Tags:** "), F.col("unique_tags").cast("string"),
-        F.lit("\n- **Max Depth:** "), F.col("max_depth").cast("string"),
-        F.lit("\n- **Attributes:** "), F.col("attributes").cast("string"),
-        F.lit("\n- **Text Content:** "), F.col("text_length").cast("string"),
+        F.lit("\n- **Total Elements:** "), F.size(e).cast("string"),
+        F.lit("\n- **Unique Tags:** "), F.size(F.array_distinct(F.transform(e, lambda x: x["clean_tag"]))).cast("string"),
+        F.lit("\n- **Max Depth:** "), F.array_max(F.transform(e, lambda x: x["depth"])).cast("string"),
+        F.lit("\n- **Attributes:** "), total("n_attributes").cast("string"),
+        F.lit("\n- **Text Content:** "), total("text_length").cast("string"),
         F.lit(" characters\n\n### 🗂️ XML Structure Overview\n"),
-        F.array_join(F.transform("tags", lambda t: t["line"]), "\n"),
+        F.array_join(_tag_lines(e), "\n"),
         F.lit("\n\n### 📋 Raw XML Content\n```xml\n"), F.col("text"), F.lit("\n```"),
     )
-    return (
-        docs.select("doc_id", "file_name", "text").join(stats, "doc_id", "left").join(tags, "doc_id", "left")
-        .select("doc_id", F.col("root_element").isNotNull().alias("well_formed"),
-                F.when(F.col("root_element").isNotNull(), enriched).otherwise(F.col("text")).alias("report"))
-    )
+
+
+def xml_report(docs: DataFrame) -> DataFrame:
+    """x5: report of every XML document, row by row; malformed ones keep their raw text, without enrichment."""
+    parsed = src.with_trees(docs, "xml", node_fields=["kind"])
+    ok = F.col("status") == "ok"
+    return parsed.select("doc_id", F.coalesce(ok, F.lit(False)).alias("well_formed"), F.when(ok, xml_report_expr()).otherwise(F.col("text")).alias("report"))

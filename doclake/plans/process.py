@@ -1,4 +1,9 @@
-"""The whole way of a request: validate → decode → admit → route → read → render, with a reason where it ends early."""
+"""The whole way of a request: validate → decode → admit → route → read → render, with a reason where it ends early.
+
+Every step is computed from the row itself. One parser pass reads JSON, YAML and XML beside the text, so nothing is joined,
+grouped or staged, and requests need no id. Only files named by requests (one join on their place) and custom readers (a join on
+a row number of their own rows) are exceptions.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions.frames import computed
-from doclake.operators import csvdocs, lines, routing, trees
+from doclake.operators import csvdocs, grid, lines, routing, trees
 from doclake.operators import text as t
 from doclake.plans import shared
 from doclake.sources import requests as rq
@@ -14,19 +19,37 @@ from doclake.sources import trees as src
 from doclake.sources.registry import DEFAULT, Registry
 
 NOT_PARSED = ("excel", "docx")
+NODE_FIELDS = sorted({*trees.REPORT_FIELDS, *trees.YAML_FIELDS})
+
+
+def _place(uri: Column) -> Column:
+    """Bucket and key of an object path, whatever connector its scheme names."""
+    return F.regexp_replace(uri, r"^s3[an]?://", "s3://")
+
+
+def _with_text(rows: DataFrame) -> DataFrame:
+    """rows + ``text`` of readers that read text. XML is decoded as it declares, everything else is UTF-8."""
+    utf8 = rq.utf8_text(F.col("content"))
+    as_text = ~F.col("reader").isin(*NOT_PARSED) & ~F.startswith("reader", F.lit("custom:")) & F.col("ended").isNull()
+    read = computed(rows, {"length": F.octet_length("content").cast("bigint"), "text": F.when(as_text, utf8), "as_text": as_text})
+    other = F.when((F.col("reader") == "xml") & F.col("as_text") & F.col("text").isNull(), F.col("content"))
+    return src.decoded_xml(computed(read, {"undecoded": other}), "undecoded").drop("undecoded")
 
 
 def admitted(requests: DataFrame, registry: Registry = DEFAULT, files: DataFrame | None = None) -> DataFrame:
-    """Requests with options, route, bytes length, ``text`` and ``reason`` (null when readable).
+    """Requests with options, route, bytes length, ``text``, parsed trees and ``reason`` (null when readable).
 
-    ``files`` (path, content) supplies the objects named by ``s3_path``; without it those requests are missing files.
+    ``files`` (path, content) supplies the objects named by ``s3_path``, under s3, s3a or s3n paths; without it those requests are
+    missing files. A missing ``req_id`` column reads as null.
     """
+    if "req_id" not in requests.columns:
+        requests = requests.withColumn("req_id", F.lit(None).cast("bigint"))
     checked = routing.resolve_options(routing.validate(requests))
     inline = rq.decoded(F.when(F.col("file_content") != "", F.col("file_content")))
     if files is not None:
         uri = F.concat(F.lit("s3://"), F.col("bucket_name"), F.lit("/"), F.col("s3_path"))
         checked = checked.withColumn("uri", uri).join(
-            files.select(F.col("path").alias("uri"), F.col("content").alias("stored")), "uri", "left"
+            files.select(_place(F.col("path")).alias("uri"), F.col("content").alias("stored")), "uri", "left"
         ).drop("uri")
         content = F.coalesce("stored", inline)
     else:
@@ -43,134 +66,101 @@ def admitted(requests: DataFrame, registry: Registry = DEFAULT, files: DataFrame
         .when(F.octet_length("content") == 0, F.when(from_store, "empty_file").otherwise("empty_content"))
         .otherwise(routing.admit_reason(F.lit(False), F.lit(False), F.octet_length("content"), raw_ext))
     )
-    routed = routing.with_reader(loaded.withColumn("ended", ended).withColumn("ext", F.lower("ext")), registry)
-    reader = F.col("reader")
-    as_text = ~reader.isin(*NOT_PARSED) & ~F.startswith(reader, F.lit("custom:")) & F.col("ended").isNull()
-    read = computed(routed, {
-        "length": F.octet_length("content").cast("bigint"),
-        "text": F.when(as_text, rq.utf8_text(F.col("content"))),
-    })
-    unreadable = (
-        F.when(F.col("text").isNull() & as_text, "invalid_utf8")
-        .when((reader == "json") & F.col("text").isNotNull() & F.try_parse_json("text").isNull(), "malformed")
+    routed = routing.with_reader(
+        loaded.withColumn("ended", ended).withColumn("ext", F.lower("ext")).drop("error"), registry)
+    read = _with_text(routed).withColumn("ai", F.col("output_format") == "markdown_ai")
+    parsed = src.with_trees(read, wanted="ai", node_fields=NODE_FIELDS)
+    refused = (
+        F.when(F.col("text").isNull() & F.col("as_text"), "invalid_utf8")
+        .when(F.col("reader").isin("json", "yaml") & (F.col("status") == "malformed"), "malformed")
     )
-    return computed(read, {"reason": F.coalesce("ended", unreadable)}).drop("error", "ended")
-
-
-def error_document(title: str, file_name: Column) -> Column:
-    return F.concat(F.lit(f"## ❌ {title}\n\n**File:** "), file_name, F.lit("\n"))
+    return computed(parsed, {"reason": F.coalesce("ended", refused)}).drop("ended", "as_text")
 
 
 def rejects(requests: DataFrame, registry: Registry = DEFAULT, files: DataFrame | None = None) -> DataFrame:
-    """Requests that end early, with the reason; needs no parsing of documents that pass."""
+    """Requests that end early, with the reason."""
     return admitted(requests, registry, files).filter(F.col("reason").isNotNull())
 
 
-def stage(readable: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the readable requests once, partitioned by reader, and read them back.
-
-    Decoding happens once, every reader's branch prunes to its own partition, and the short lineage that is left
-    survives the loss of executors.
-    """
-    spark = readable.sparkSession
-    folder = folder or shared.new_folder(spark)
-    readable.withColumn("doc_id", F.col("req_id")).write.mode("overwrite").partitionBy("reader").parquet(folder)
-    return spark.read.schema(
-        "req_id bigint, doc_id bigint, file_name string, s3_path string, output_format string, ai_optimized boolean, "
-        "include_metadata boolean, ext string, doc_type string, fence string, on_error string, length bigint, "
-        "text string, content binary, reader string"
-    ).parquet(folder)
-
-
-def _text_branch(rows: DataFrame) -> DataFrame:
-    """Row-local: report in the AI format, fence or plain text otherwise."""
-    ai = F.col("output_format") == "markdown_ai"
-    fenced = t.fence_expr(F.col("text"), F.col("fence"), F.col("output_format"))
-    keep = [*rows.columns]
+def _custom(rows: DataFrame, registry: Registry) -> DataFrame | None:
+    """Rows of custom readers with the text that their reader makes, as it is."""
+    own = [r for r in registry.readers if r.fn is not None]
+    if not own:
+        return None
+    folder = shared.new_folder(rows.sparkSession)
+    kept = rows.filter(F.startswith("reader", F.lit("custom:"))).drop("nodes", "elements").withColumn("doc_id", F.monotonically_increasing_id())
+    kept.write.parquet(folder)  # the row numbers must not change between the reader and the join
+    staged = rows.sparkSession.read.schema(kept.schema).parquet(folder)
+    out = None
+    for r in own:
+        mine = staged.filter(F.col("reader") == r.reader)
+        docs = r.fn(mine).select("doc_id", F.col("text").alias("content_out"))
+        one = mine.drop("text", "content").join(docs, "doc_id").drop("doc_id")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("action", F.lit("parsed"))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """rows + ``content_out`` and ``action`` of the built-in readers."""
+    ai, reader = F.col("ai"), F.col("reader")
+    parsed = F.coalesce(F.col("status") == "ok", F.lit(False))
+    with_tree = reader.isin("json", "yaml") & ai & parsed
+    prepared = trees.with_structure(rows, with_tree)
+    prepared = csvdocs.profile(prepared.withColumn("whole", F.col("text")).withColumn(
+        "text", F.when(reader == "csv", F.col("text"))))
+    csv_out = computed(prepared, {"csv_out": F.when(reader == "csv", csvdocs.content_expr(F.col("output_format")))})
+    plain = csv_out.select(*[c for c in prepared.columns if c not in ("text", "whole", *csvdocs.PROFILE_COLUMNS)], "csv_out", F.col("whole").alias("text"))
+    # JSON keeps its fence in every format but plain; a YAML text that is no YAML gets a note
+    fence_format = F.when((reader == "json") & (F.col("output_format") != "plain"), "markdown").otherwise(F.col("output_format"))
+    noted = F.when(reader == "yaml", F.concat(F.lit("\n<!-- YAML Parse Error: "), F.col("error"), F.lit(" -->\n")))
+    fenced = t.fence_expr(F.concat(F.coalesce(noted, F.lit("")), F.col("text")), F.col("fence"), fence_format)
+    as_text = reader == "text"
     analysed = lines.with_structure(
-        rows.withColumn("fenced", fenced).withColumn("text", F.when(ai, F.col("text")))
-    )
-    return analysed.select(
-        *[c for c in keep if c != "text"],
-        F.when(ai, lines.text_report_expr()).otherwise(F.col("fenced")).alias("content_out"), F.lit("parsed").alias("action"),
+        plain.withColumn("fenced", fenced).withColumn("raw", F.col("text")).withColumn("text", F.when(as_text & ai, F.col("text"))))
+    report = F.when(as_text & ai, lines.text_report_expr())
+    reported = analysed.select(*[c for c in plain.columns if c != "text"], "fenced", report.alias("text_report"), F.col("raw").alias("text"))
+    content = (
+        F.when(reader == "csv", F.col("csv_out"))
+        .when(as_text, F.coalesce("text_report", "fenced"))
+        .when(reader == "excel", grid.workbook_error(F.col("file_name"), F.lit(NOT_READ)))
+        .when(reader.isin(*NOT_PARSED), error_document("Processing Error", F.col("file_name")))
+        .when(parsed & ai & (reader == "json"), trees.json_report_expr())
+        .when(parsed & ai & (reader == "yaml"), trees.yaml_report_expr())
+        .when(parsed & ai & (reader == "xml"), trees.xml_report_expr())
+        .otherwise(F.col("fenced"))
     )
+    ok = F.when(reader.isin(*NOT_PARSED), F.lit(False)).when(reader.isin("json", "yaml", "xml"), parsed).otherwise(F.lit(True))
+    return reported.select(
+        *[c for c in rows.columns if c not in ("text", "content", "nodes", "elements")],
+        content.alias("content_out"), F.when(ok, "parsed").otherwise(F.col("on_error")).alias("action"))
 
 
-def _csv_branch(rows: DataFrame) -> DataFrame:
-    """Row-local: table, plain rows or dataset report."""
-    return csvdocs.profile(rows).select(
-        *[c for c in rows.columns if c != "text"],
-        csvdocs.content_expr(F.col("output_format")).alias("content_out"), F.lit("parsed").alias("action"),
-    )
+NOT_READ = "Binary workbooks are not read"
 
 
-def _typed_branch(rows: DataFrame, ai_report, parsed: DataFrame | None, note: DataFrame | None = None) -> DataFrame:
-    """Rows of one typed reader: the AI format takes its report, the others a fence.
+def error_document(title: str, file_name: Column) -> Column:
+    return F.concat(F.lit(f"## ❌ {title}\n\n**File:** "), file_name, F.lit("\n"))
 
-    ``parsed`` (doc_id) lists the well-formed documents and ``note`` (doc_id, error) the others; documents that do not
-    parse keep their raw text. Only the rows that need it are parsed or joined.
-    """
-    ai = F.col("output_format") == "markdown_ai"
-    out = rows.join(ai_report(rows.filter(ai)).select("doc_id", "report"), "doc_id", "left")
-    ok = F.lit(True)
-    text = F.col("text")
-    if parsed is not None:
-        out = out.join(parsed.select("doc_id", F.lit(True).alias("ok")), "doc_id", "left")
-        ok = F.coalesce("ok", F.lit(False))
-    if note is not None:
-        out = out.join(note, "doc_id", "left")
-        ok = F.col("error").isNull()
-        text = F.concat(F.coalesce(F.concat(F.lit("\n<!-- YAML Parse Error: "), F.col("error"), F.lit(" -->\n")), F.lit("")), text)
-    # JSON keeps its fence in every format but plain
-    fence_format = F.when((F.col("reader") == "json") & (F.col("output_format") != "plain"), "markdown").otherwise(F.col("output_format"))
-    content = F.when(ok & ai, F.col("report")).otherwise(t.fence_expr(text, F.col("fence"), fence_format))
-    return out.select(
-        *[c for c in rows.columns if c != "text"], content.alias("content_out"),
-        F.when(ok, "parsed").otherwise(F.col("on_error")).alias("action"),
-    )
+
+RESULT_COLUMNS = [
+    "req_id", "file_name", "s3_path", "output_format", "ai_optimized", "include_metadata", "ext", "reader", "doc_type", "on_error", "length", "action",
+]
 
 
 def process(
     requests: DataFrame, processed_at: str, registry: Registry = DEFAULT, files: DataFrame | None = None,
-    folder: str | None = None,
 ) -> DataFrame:
-    """Requests → one row with ``result`` for each that can be read; ``rejects`` has the others."""
+    """Requests → one row with ``result`` for each that can be read; ``rejects`` has the others.
+
+    ``req_id`` is carried as it is, whatever its type; it may be null or repeated.
+    """
     readable = admitted(requests, registry, files).filter(F.col("reason").isNull())
-    columns = ["req_id", "file_name", "s3_path", "output_format", "ai_optimized", "include_metadata", "ext", "doc_type",
-               "fence", "on_error", "length", "text", "reader"]
-    binary = any(r.fn is not None for r in registry.readers)
-    content = F.when(F.col("text").isNull(), F.col("content")) if binary else F.lit(None).cast("binary")
-    staged = stage(readable.select(*columns, content.alias("content")), folder)
-    of = lambda reader: staged.filter(F.col("reader") == reader)
-    xml, yaml = of("xml"), of("yaml")
-    roots = src.xml_elements(xml, ["depth"]).filter(F.col("depth") == 0)
-    unparsed = staged.filter(F.col("reader").isin(*NOT_PARSED))
-    branches = [
-        _text_branch(of("text")),
-        _typed_branch(of("json"), trees.json_report, None),
-        _typed_branch(xml, lambda d: trees.xml_report(d).filter("well_formed"), roots),
-        _typed_branch(yaml, trees.yaml_report, None, src.yaml_errors(yaml)),
-        _csv_branch(of("csv")),
-        unparsed.select(
-            *[c for c in staged.columns if c != "text"],
-            error_document("Processing Error", F.col("file_name")).alias("content_out"), F.col("on_error").alias("action"),
-        ),
-    ]
-    for r in registry.readers:
-        if r.fn is not None:
-            docs = r.fn(of(r.reader)).select("doc_id", F.col("text").alias("read"))
-            branches.append(_text_branch(
-                of(r.reader).drop("text").join(docs, "doc_id").withColumnRenamed("read", "text").select(*staged.columns)))
-    out = branches[0]
-    for b in branches[1:]:
-        out = out.unionByName(b)
+    out = _read(readable.filter(~F.startswith("reader", F.lit("custom:"))))
+    custom = _custom(readable, registry)
+    if custom is not None:
+        out = out.select(*RESULT_COLUMNS, "content_out").unionByName(custom.select(*RESULT_COLUMNS, "content_out"))
     as_is = F.col("action") != "parsed"
-    shown = out.withColumn("as_is", F.when(as_is, F.col("content_out"))).withColumn(
-        "content", F.when(~as_is, F.col("content_out"))
-    ).drop("content_out", "doc_id")
+    shown = out.select(*RESULT_COLUMNS, F.when(as_is, F.col("content_out")).alias("as_is"), F.when(~as_is, F.col("content_out")).alias("content"))
     rendered = routing.render(shown, processed_at)
     return rendered.select(
-        "req_id", "file_name", "s3_path", "output_format", "ai_optimized", "include_metadata", "ext", "reader", "doc_type",
-        "on_error", "length", "action", F.lit(None).cast("string").alias("reason"),
-        F.coalesce("as_is", "result").alias("result"),
-    )
+        *RESULT_COLUMNS, F.lit(None).cast("string").alias("reason"), F.coalesce("as_is", "result").alias("result"))

@@ -9,6 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder under the cluster's shared ``spark.checkpoint.dir``.
+
+    A session on one machine may do without that setting and gets a local folder; on a cluster other executors would not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/doclake-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="run-") + "/data"
+    if base:
+        return f"{base.rstrip('/')}/doclake-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="run-") + "/data"

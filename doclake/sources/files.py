@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclake.functions import text as tx
+from doclake.sources import trees
 
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -66,6 +67,6 @@ def parse_csv(records: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scan_json(docs: DataFrame) -> DataFrame:
-    """s4: docs + parsed value (null when malformed) and reason."""
-    value: Column = F.try_parse_json("text")
-    return docs.withColumn("value", value).withColumn("reason", F.when(F.col("value").isNull(), "malformed"))
+    """s4: docs + reason, null where the text is JSON by the parser that makes the nodes (``trees.json_nodes``)."""
+    parsed = trees.with_trees(docs, "json", node_fields=["kind"], element_fields=["depth"])
+    return parsed.select(*docs.columns, F.when(F.coalesce(parsed["status"] != "ok", F.lit(True)), "malformed").alias("reason"))

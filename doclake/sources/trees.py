@@ -9,14 +9,25 @@ document leave the task that read it, next to each other, so grouping by documen
 from __future__ import annotations
 
 import json
+import re
+import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 FLUSH_ROWS = 50_000
 
+
+class Unreadable(Exception):
+    """A document that cannot be read, with the reason. ``noted``: the text is still shown, with the reason as a note."""
+
+    def __init__(self, message: str, noted: bool = False):
+        super().__init__(message)
+        self.noted = noted
+
 NODE_FIELDS = {
     "node_id": pa.int64(),       # document order, root 0
     "parent_id": pa.int64(),
@@ -59,8 +70,17 @@ def step(path: str, key: str) -> str:
     return f"{path}.{key}" if key.replace("_", "a").isalnum() else f'{path}."{key}"'
 
 
-def node_columns(root, out: dict[str, list]) -> int:
-    """Append the nodes of one value tree, in document order, to the wanted columns; returns their number."""
+def sound(text: str) -> str:
+    """The text with lone surrogates replaced, which no column can hold."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def node_columns(root, out: dict[str, list], budget: int) -> int:
+    """Append the nodes of one value tree, in document order, to the wanted columns; returns their number.
+
+    ``budget`` is the number of nodes the text can spell out. References to earlier parts can make more of them, without end
+    where a part holds itself; such a document is unreadable.
+    """
     paths, texts = "path" in out, "object_text" in out
     nodes: list[tuple] = []
     children_of: list[int] = []
@@ -69,13 +89,15 @@ def node_columns(root, out: dict[str, list]) -> int:
         node = stack.pop()
         v, _, path, depth, object_depth, _, _, _, key_rank, item_rank = node
         me = len(nodes)
+        if me > budget:
+            raise Unreadable("references repeat more than the text spells out")
         nodes.append(node)
         if type(v) is dict:
             children_of.append(len(v))
             stack.extend(reversed([
-                (c, me, step(path, str(k)) if paths else None, depth + 1, object_depth + 1, str(k), i, "Object",
+                (c, me, step(path, k) if paths else None, depth + 1, object_depth + 1, k, i, "Object",
                  i if i > key_rank else key_rank, item_rank)
-                for i, (k, c) in enumerate(v.items())
+                for i, (k, c) in enumerate((sound(str(k)), c) for k, c in v.items())
             ]))
         elif type(v) is list:
             children_of.append(len(v))
@@ -99,10 +121,10 @@ def node_columns(root, out: dict[str, list]) -> int:
     if "type_name" in out:
         out["type_name"].extend([type(v).__name__ for v in values])
     if "value" in out:
-        out["value"].extend([None if v is None or type(v) in (dict, list) else str(v) for v in values])
+        out["value"].extend([None if v is None or type(v) in (dict, list) else sound(str(v)) for v in values])
     if texts:
         out["object_text"].extend([
-            str(v) if type(v) is dict and p == "Object" and d <= SHALLOW else None
+            sound(str(v)) if type(v) is dict and p == "Object" and d <= SHALLOW else None
             for v, p, d in zip(values, parent_kinds, depths)
         ])
     if "last_id" in out or "branch_depth" in out:
@@ -118,23 +140,41 @@ def node_columns(root, out: dict[str, list]) -> int:
     return len(nodes)
 
 
+def _yaml_loader():
+    import yaml
+
+    return getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
 def json_columns(text: str, out: dict[str, list]) -> int:
+    """Append the nodes of a JSON text. Repeated keys (the last one counts), NaN and integers of any length are read."""
+    sys.set_int_max_str_digits(0)
     try:
         root = json.loads(text)
-    except (ValueError, RecursionError):
-        return 0
-    return node_columns(root, out)
+    except ValueError as e:
+        raise Unreadable(str(e)) from None
+    except RecursionError:
+        raise Unreadable("nested too deeply") from None
+    return node_columns(root, out, len(text) + 1)
 
 
 def yaml_columns(text: str, out: dict[str, list]) -> int:
-    """Like ``json_columns``. A key near the root that is not text makes the document unreadable."""
+    """Append the nodes of a YAML text. A key near the root that is not text makes the document unreadable, as does a value that
+    its own type refuses (a date that does not exist)."""
     import yaml
 
+    sys.set_int_max_str_digits(0)
     try:
-        root = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-    except (yaml.YAMLError, ValueError, RecursionError):
-        return 0
-    return 0 if _odd_key(root, 0) else node_columns(root, out)
+        root = yaml.load(text, Loader=_yaml_loader())
+    except yaml.YAMLError as e:
+        raise Unreadable(sound(str(e)), noted=True) from None
+    except RecursionError:
+        raise Unreadable("nested too deeply") from None
+    except (ValueError, TypeError, OverflowError, AttributeError, KeyError) as e:
+        raise Unreadable(sound(str(e))) from None
+    if _odd_key(root, 0):
+        raise Unreadable("a key is not text")
+    return node_columns(root, out, len(text) + 1)
 
 
 def _odd_key(v, depth: int) -> bool:
@@ -145,20 +185,44 @@ def _odd_key(v, depth: int) -> bool:
     return isinstance(v, list) and any(_odd_key(c, depth + 1) for c in v)
 
 
-def xml_columns(text: str, out: dict[str, list]) -> int:
-    """Append the elements of one document, in document order; none when malformed."""
+_DECLARED = re.compile(rb"^\s*<\?xml[^>]*encoding\s*=\s*[\"']([A-Za-z0-9._-]+)")
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def xml_text(raw: bytes) -> str | None:
+    """Text of XML bytes in the encoding they declare or begin with; None where the bytes are not in it."""
+    declared = _DECLARED.match(raw)
+    name = next((n for mark, n in _MARKS if raw.startswith(mark)), declared[1].decode() if declared else "utf-8")
     try:
-        root = ET.fromstring(text)
-    except ET.ParseError:
-        return 0
+        return raw.decode(name).replace("\r\n", "\n").replace("\r", "\n")
+    except (UnicodeDecodeError, LookupError):
+        return None
+
+
+def _root(text: str):
+    # a decoded text has no bytes left that its declaration could be about
+    bare = re.sub(r"^\s*<\?xml[^>]*\?>", "", text.removeprefix("\ufeff"), count=1)
+    try:
+        return ET.fromstring(bare if bare != text else text)
+    except (ET.ParseError, ValueError) as e:
+        raise Unreadable(str(e)) from None
+
+
+def _elements(text: str) -> list[tuple]:
     rows: list[tuple] = []
-    stack = [(root, None, None, 0)]
+    stack = [(_root(text), None, None, 0)]
     while stack:
         e, parent, parent_tag, depth = stack.pop()
         clean = e.tag.split("}", 1)[-1]
         rows.append((parent, depth, e.tag, clean, parent_tag, len(e.attrib), len((e.text or "").strip())))
         me = len(rows) - 1
         stack.extend([(child, me, clean, depth + 1) for child in reversed(e)])
+    return rows
+
+
+def xml_columns(text: str, out: dict[str, list]) -> int:
+    """Append the elements of one document, in document order."""
+    rows = _elements(text)
     columns = dict(zip(["parent_ord", "depth", "tag", "clean_tag", "parent_tag", "n_attributes", "text_length"], zip(*rows)))
     columns["ord"] = range(len(rows))
     for name in out:
@@ -166,6 +230,9 @@ def xml_columns(text: str, out: dict[str, list]) -> int:
     return len(rows)
 
 
+READERS: dict[str, Callable[[str, dict[str, list]], int]] = {"json": json_columns, "yaml": yaml_columns, "xml": xml_columns}
+
+
 def _exploded(docs: DataFrame, append: Callable[[str, dict[str, list]], int], fields: dict) -> DataFrame:
     """Apply ``append`` to every text and emit what it gathers in Arrow batches of bounded size."""
     names = list(fields)
@@ -185,7 +252,10 @@ def _exploded(docs: DataFrame, append: Callable[[str, dict[str, list]], int], fi
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if text.is_valid:
-                    ids.extend([doc_id] * append(text.as_py(), columns))
+                    try:
+                        ids.extend([doc_id] * append(text.as_py(), columns))
+                    except Unreadable:
+                        continue
                     if len(ids) >= FLUSH_ROWS:
                         yield flush()
         if ids:
@@ -196,7 +266,7 @@ def _exploded(docs: DataFrame, append: Callable[[str, dict[str, list]], int], fi
 
 
 def json_nodes(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """n1: one row per node of every JSON document; only the named fields are built."""
+    """n1: one row per node of every JSON document; only the named fields are built. ``with_trees`` tells which had none and why."""
     return _exploded(docs, json_columns, {n: NODE_FIELDS[n] for n in fields or NODE_FIELDS})
 
 
@@ -210,16 +280,73 @@ def xml_elements(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return _exploded(docs, xml_columns, {n: ELEMENT_FIELDS[n] for n in fields or ELEMENT_FIELDS})
 
 
-def yaml_errors(docs: DataFrame) -> DataFrame:
-    """s6: the malformed YAML documents with the parser's message."""
-    import yaml
+def with_trees(rows: DataFrame, reader: str = "reader", wanted: str | None = None, node_fields: list[str] | None = None,
+               element_fields: list[str] | None = None) -> DataFrame:
+    """``rows`` (text and any other columns) with what one parser pass finds, beside each text:
 
-    def append(text: str, out: dict[str, list]) -> int:
-        try:
-            yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-            return 0
-        except yaml.YAMLError as e:
-            out["error"].append(str(e))
-            return 1
+    ``status`` (``ok``, ``noted``, ``malformed``; null for readers without a tree), ``error``, and ``nodes`` or ``elements`` as arrays in document
+    order. ``reader`` is a column or one of the reader names; where the column ``wanted`` is false, only status and error are
+    found. Nothing is joined or shuffled, so ids may be null or repeated.
+    """
+    nodes, elements = node_fields or list(NODE_FIELDS), element_fields or list(ELEMENT_FIELDS)
+    types = {"nodes": {n: NODE_FIELDS[n] for n in nodes}, "elements": {n: ELEMENT_FIELDS[n] for n in elements}}
+    ddl = lambda fields: "array<struct<" + ",".join(f"{n}:{_SPARK_TYPES[t]}" for n, t in fields.items()) + ">>"
+    added = T.StructType.fromDDL("status string, error string, " + ", ".join(f"{n} {ddl(f)}" for n, f in types.items()))
+    kept = [c for c in rows.columns if c not in added.names]
 
-    return _exploded(docs, append, {"error": pa.string()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            readers = batch.column(reader).to_pylist() if reader in kept else [reader] * n
+            asked = batch.column(wanted).to_pylist() if wanted else [True] * n
+            status: list = [None] * n
+            error: list = [None] * n
+            columns = {kind: {f: [] for f in fields} for kind, fields in types.items()}
+            sizes = {kind: [None] * n for kind in types}
+            for i, text in enumerate(batch.column("text")):
+                if not text.is_valid or readers[i] not in READERS:
+                    continue
+                kind = "elements" if readers[i] == "xml" else "nodes"
+                try:
+                    found = READERS[readers[i]](text.as_py(), columns[kind] if asked[i] else {})
+                    status[i], sizes[kind][i] = "ok", found if asked[i] else None
+                except Unreadable as e:
+                    status[i], error[i] = "noted" if e.noted else "malformed", str(e)
+            arrays = []
+            for kind, fields in types.items():
+                offsets = [0]
+                for size in sizes[kind]:
+                    offsets.append(offsets[-1] + (size or 0))
+                values = pa.StructArray.from_arrays([pa.array(columns[kind][f], t) for f, t in fields.items()], names=list(fields))
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([size is None for size in sizes[kind]])))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], pa.array(status, pa.string()), pa.array(error, pa.string()), *arrays], names=[*kept, *added.names])
+
+    return rows.select(*kept).mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, *added.fields]))
+
+
+def decoded_xml(rows: DataFrame, column: str) -> DataFrame:
+    """rows with ``text`` of XML bytes in ``column`` (null elsewhere) decoded as they declare; no pass over rows without such bytes
+    but the one that Arrow makes."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(column)
+            if raw.null_count < b.num_rows:
+                texts = [xml_text(r.as_py()) if r.is_valid else x.as_py() for r, x in zip(raw, b.column("text"))]
+                b = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
+            yield b
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def document_status(docs: DataFrame, reader: str) -> DataFrame:
+    """(doc_id, status, error) of every document: what the node and element tables leave out, and why."""
+    return with_trees(docs.select("doc_id", "text"), reader, node_fields=["kind"], element_fields=["depth"]).select("doc_id", "status", "error")
+
+
+def yaml_errors(docs: DataFrame) -> DataFrame:
+    """s6: the malformed YAML documents with the parser's message; ``document_status`` has every other reason, too."""
+    found = with_trees(docs.select("doc_id", "text"), "yaml", node_fields=["kind"], element_fields=["depth"])
+    return found.filter("status = 'noted'").select("doc_id", "error")

@@ -12,9 +12,10 @@ from doclake.sources.registry import DEFAULT, Registry
 
 
 def request_stream(
-    spark: SparkSession, source: str, target: str, checkpoint: str, processed_at: str, registry: Registry = DEFAULT
+    spark: SparkSession, source: str, target: str, checkpoint: str, processed_at: str, registry: Registry = DEFAULT,
+    files: DataFrame | None = None,
 ) -> StreamingQuery:
-    """st1: JSON lines of requests → ``target/results`` and ``target/rejects``.
+    """st1: JSON lines of requests → ``target/results`` and ``target/rejects``; ``files`` (path, content) holds stored objects.
 
     Every micro-batch owns its output folders and overwrites them, so a batch that is run again after a failure
     leaves the same rows once.
@@ -22,9 +23,9 @@ def request_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         requests = rq.scan_requests(batch).persist()
         try:
-            done = process(requests, processed_at, registry, folder=f"{target}/staged/batch={batch_id}")
+            done = process(requests, processed_at, registry, files)
             done.write.mode("overwrite").parquet(f"{target}/results/batch={batch_id}")
-            rejects(requests, registry).write.mode("overwrite").parquet(f"{target}/rejects/batch={batch_id}")
+            rejects(requests, registry, files).write.mode("overwrite").parquet(f"{target}/rejects/batch={batch_id}")
         finally:
             requests.unpersist()
 
