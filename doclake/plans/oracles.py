@@ -163,6 +163,22 @@ AI_DOCUMENT = (
 ANALYSED = "texts t JOIN s USING (doc_id) JOIN me USING (doc_id) LEFT JOIN sp USING (doc_id)"
 
 
+TEXT_REPORT = f"""SELECT t.doc_id, concat({lit(fixed.TEXT_TITLE)}, chr(10), '- **File:** ', {BASE}, chr(10),
+    '- **Structure Type:** ', CASE structure_type WHEN 'structured' THEN 'Structured'
+       WHEN 'semi_structured' THEN 'Semi Structured' ELSE 'Unstructured' END, chr(10),
+    '- **Lines:** ', total_lines, ' total, ', non_empty_lines, ' with content', chr(10),
+    '- **Words:** ', format('{{:,}}', {words('text')}), chr(10),
+    '- **Characters:** ', format('{{:,}}', {chars('text')}), chr(10),
+    '- **Paragraphs:** ', n_paragraphs, chr(10), chr(10),
+    CASE WHEN n_headings > 0 THEN concat({lit(fixed.TEXT_STRUCTURE_TITLE)}, chr(10), '- ', shown, chr(10),
+       CASE WHEN n_headings > 10 THEN concat('- ... and ', n_headings - 10, ' more sections', chr(10)) ELSE '' END, chr(10)) ELSE '' END,
+    CASE WHEN n_lists > 0 THEN concat({lit(fixed.TEXT_LISTS_TITLE)}, chr(10), 'Found ', n_lists,
+       ' structured lists in the document.', chr(10), chr(10)) ELSE '' END,
+    {lit(fixed.TEXT_CONTENT_TITLE)}, chr(10), chr(10),
+    CASE WHEN structure_type = 'structured' THEN rw.content ELSE pw.content END) AS report
+    FROM texts t JOIN st USING (doc_id) JOIN ls USING (doc_id) JOIN rw USING (doc_id) JOIN pw USING (doc_id)"""
+
+
 def text_oracles() -> dict[str, str]:
     out = {
         "t1_counts": with_(TEXTS, select=f"SELECT doc_id, {words('text')} AS word_count, {chars('text')} AS char_count FROM texts"),
@@ -200,21 +216,7 @@ def text_oracles() -> dict[str, str]:
         "l8_heading_rewrite": with_(TEXTS, LINES, REWRITTEN, select="SELECT doc_id, content FROM rw"),
         "l9_paragraph_rewrite": with_(TEXTS, LINES, PARAGRAPHS, PARA_REWRITTEN, select="SELECT doc_id, content FROM pw"),
         "l10_text_report": with_(
-            TEXTS, LINES, HEADINGS, LISTS, STRUCTURE, LINE_STATS, REWRITTEN, PARAGRAPHS, PARA_REWRITTEN,
-            select=f"""SELECT t.doc_id, concat({lit(fixed.TEXT_TITLE)}, chr(10), '- **File:** ', {BASE}, chr(10),
-              '- **Structure Type:** ', CASE structure_type WHEN 'structured' THEN 'Structured'
-                 WHEN 'semi_structured' THEN 'Semi Structured' ELSE 'Unstructured' END, chr(10),
-              '- **Lines:** ', total_lines, ' total, ', non_empty_lines, ' with content', chr(10),
-              '- **Words:** ', format('{{:,}}', {words('text')}), chr(10),
-              '- **Characters:** ', format('{{:,}}', {chars('text')}), chr(10),
-              '- **Paragraphs:** ', n_paragraphs, chr(10), chr(10),
-              CASE WHEN n_headings > 0 THEN concat({lit(fixed.TEXT_STRUCTURE_TITLE)}, chr(10), '- ', shown, chr(10),
-                 CASE WHEN n_headings > 10 THEN concat('- ... and ', n_headings - 10, ' more sections', chr(10)) ELSE '' END, chr(10)) ELSE '' END,
-              CASE WHEN n_lists > 0 THEN concat({lit(fixed.TEXT_LISTS_TITLE)}, chr(10), 'Found ', n_lists,
-                 ' structured lists in the document.', chr(10), chr(10)) ELSE '' END,
-              {lit(fixed.TEXT_CONTENT_TITLE)}, chr(10), chr(10),
-              CASE WHEN structure_type = 'structured' THEN rw.content ELSE pw.content END) AS report
-              FROM texts t JOIN st USING (doc_id) JOIN ls USING (doc_id) JOIN rw USING (doc_id) JOIN pw USING (doc_id)""",
+            TEXTS, LINES, HEADINGS, LISTS, STRUCTURE, LINE_STATS, REWRITTEN, PARAGRAPHS, PARA_REWRITTEN, select=TEXT_REPORT,
         ),
     }
     return out
@@ -274,6 +276,28 @@ RECORD = f"""json_object('metadata', json_object('source_file', {BASE}, 'documen
     'recommendations', coalesce(section_recommendations, '')), 'full_content', text)"""
 
 
+#: Results of requests read as text, and of trees in the formats that show them in a fence.
+_SHOWN = with_(
+    REQS, REGISTRY, ROUTED, ADMITTED, select="""SELECT req_id AS doc_id, txt AS text, file_name, doc_type, fmt, reader, fence,
+    ai_optimized OR fmt = 'markdown_ai' AS ai_optimized, include_metadata OR fmt = 'markdown_ai' AS include_metadata FROM ad
+    WHERE reason IS NULL AND (reader = 'text' OR (reader IN ('json', 'xml', 'yaml') AND fmt <> 'markdown_ai'
+    AND NOT (reader IN ('xml', 'yaml') AND req_id % 5 = 0)))""")
+_REPORTED = with_(
+    f"texts AS MATERIALIZED (SELECT * FROM ({_SHOWN}) WHERE fmt = 'markdown_ai')", LINES, HEADINGS, LISTS, STRUCTURE, LINE_STATS, REWRITTEN,
+    PARAGRAPHS, PARA_REWRITTEN, select=TEXT_REPORT)
+_FENCED = "concat('```', fence, chr(10), text, chr(10), '```')"
+_CONTENT = (
+    f"texts0 AS (SELECT s.* EXCLUDE (text), CASE WHEN fmt = 'markdown_ai' THEN report WHEN reader = 'json' AND fmt <> 'plain' THEN {_FENCED} "
+    f"WHEN fmt = 'markdown' AND fence IS NOT NULL THEN {_FENCED} ELSE text END AS text FROM ({_SHOWN}) s LEFT JOIN ({_REPORTED}) r USING (doc_id)), "
+    "texts AS MATERIALIZED (SELECT * EXCLUDE (text), CASE WHEN fmt <> 'markdown_ai' AND ai_optimized AND include_metadata "
+    f"THEN concat({FRONT}, text) ELSE text END AS text FROM texts0)"
+)
+RESULT_TEXT = with_(
+    _CONTENT, LINES, SUMMARIES, METRICS, SECTIONS, SECTION_PIVOT,
+    select=f"""SELECT doc_id AS req_id, fmt AS output_format, reader, CASE fmt WHEN 'markdown_ai' THEN {AI_DOCUMENT}
+    WHEN 'structured_json' THEN CAST({RECORD} AS VARCHAR) ELSE text END AS result FROM {ANALYSED}""")
+
+
 def ingest_oracles() -> dict[str, str]:
     adm = (REQS, REGISTRY, ROUTED, ADMITTED)
     return {
@@ -330,6 +354,7 @@ def ingest_oracles() -> dict[str, str]:
             *adm, select=f"""SELECT req_id, true AS success, {lit(fixed.SUCCESS_MESSAGE)} AS message, file_name, fmt AS output_format,
             ai_optimized OR fmt = 'markdown_ai' AS ai_optimized, CASE WHEN coalesce(s3_path, '') <> '' THEN 's3' ELSE 'base64' END AS input_method,
             s3_path, cast(octet_length(bytes) AS bigint) AS input_bytes FROM ad WHERE reason IS NULL"""),
+        "e1_result_text": RESULT_TEXT,
         "e2_reject_row": with_(
             *adm, REASONS, select=f"""SELECT req_id, false AS success, file_name, ad.reason, cast(status AS bigint) AS status,
             CASE WHEN status = 400 THEN '{fixed.CLIENT_ERROR_TYPE}' ELSE 'InternalError' END AS error_type, message,

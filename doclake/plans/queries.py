@@ -143,6 +143,13 @@ def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process(c.requests(spark, sf_dir), c.PROCESSED_AT)
 
 
+def _result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered results: all formats of text, and of trees those that show them in a fence."""
+    fenced = F.col("reader").isin("json", "xml", "yaml") & (F.col("output_format") != "markdown_ai")
+    return _processed(spark, sf_dir).filter((F.col("action") == "parsed") & ((F.col("reader") == "text") | fenced)).select(
+        "req_id", "output_format", "reader", "result")
+
+
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects(c.requests(spark, sf_dir))
 
@@ -175,6 +182,7 @@ def ingest_queries() -> dict[str, Query]:
         "t8_type_label": lambda s, d: routing.route(c.requests(s, d)).select("req_id", "doc_type"),
         "t9_fence": on(c.requests, _fenced),
         "e1_result_row": lambda s, d: results.result_rows(_processed(s, d)).drop("output_chars"),
+        "e1_result_text": _result_text,
         "e2_reject_row": lambda s, d: results.reject_rows(_rejected(s, d)),
         "e3_capabilities": lambda s, d: results.usage(
             c.requests(s, d).select(routing.request_extension(F.col("file_name")).alias("ext"))),
