@@ -208,3 +208,69 @@ def test_file_stream(spark, tmp_path):
     run()
     got = {r.file_name: (r.text, r.reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a.txt": ("uno\ndos", None), "b.txt": (None, "invalid_utf8")}
+
+
+def test_requests_need_no_id_and_may_share_one(spark, reqs):
+    rows = reqs(("d.json", b64('{"a":1}'), None, None, "markdown_ai"), ("c.yml", b64("a: 1\n"), None, None, "markdown_ai"), ("f.msgflow", b64(FLOW), None, None, "markdown_ai"))
+    want = sorted(r.result for r in process(rows, "T").collect())
+    for ids in (F.lit(None).cast("bigint"), F.lit(7), F.concat(F.lit("x"), "req_id")):
+        got = process(rows.withColumn("req_id", ids), "T")
+        assert sorted(r.result for r in got.collect()) == want and dict(got.dtypes)["req_id"] == dict(rows.select(ids.alias("i")).dtypes)["i"]
+        assert {r.action for r in got.collect()} == {"parsed"}
+    assert sorted(r.result for r in process(rows.drop("req_id"), "T").collect()) == want
+    plan = process(rows, "T")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_every_unreadable_document_has_a_reason(reqs):
+    bomb = "a0: &a0 [x]\n" + "".join(f"a{i}: &a{i} [{', '.join([f'*a{i - 1}'] * 9)}]\n" for i in range(1, 12))
+    rows = reqs(
+        ("a.yml", b64("fecha: 2024-02-30\n")), ("a.yml", b64("1: uno\n")), ("a.yml", b64("a: &a [*a]\n")), ("a.yml", b64(bomb)),
+        ("a.json", b64('{"a":1,"a":2,"b":NaN,"c":' + "9" * 5000 + "}"), None, None, "markdown_ai"), ("a.json", b64('"\\ud800"'), None, None, "markdown_ai"),
+        ("a.json", b64("[" * 100_000)), ("a.json", b64("{")),
+    )
+    ok = {r.req_id: r.result for r in process(rows, "T").collect()}
+    bad = {r.req_id: r.reason for r in rejects(rows).collect()}
+    assert bad == dict.fromkeys([1, 2, 3, 4, 7, 8], "malformed") and set(ok) == {5, 6}
+    assert "9" * 5000 in ok[5] and "- **a:** 2" in ok[5]
+
+
+def test_stored_objects_by_any_connector_and_declared_encodings(spark, reqs):
+    latin = '<?xml version="1.0" encoding="ISO-8859-1"?><r>año</r>'
+    rows = reqs(("a.txt", None, "in/a.txt", "b", "plain"), ("b.xml", None, "in/b.xml", "b", "markdown_ai"), ("c.xml", None, "in/c.xml", "b", "plain"))
+    stored = spark.createDataFrame([
+        ("s3a://b/in/a.txt", bytearray(b"hola")), ("s3n://b/in/b.xml", bytearray(latin.encode("latin-1"))),
+        ("s3://b/in/c.xml", bytearray("<r>ñ</r>".encode("utf-16")))], "path string, content binary")
+    got = {r.req_id: (r.action, r.result) for r in process(rows, "T", files=stored).collect()}
+    assert got[1] == ("parsed", "hola") and got[3] == ("parsed", "<r>ñ</r>")
+    assert got[2][0] == "parsed" and "- **Text Content:** 3 characters" in got[2][1] and "año" in got[2][1]
+
+
+def test_request_stream_reads_stored_objects(spark, reqs, tmp_path):
+    stored = spark.createDataFrame([("s3a://b/k.txt", bytearray(b"hola"))], "path string, content binary")
+    (tmp_path / "in").mkdir()
+    reqs(("k.txt", None, "k.txt", "b", "plain")).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(str(tmp_path / "in"))
+    jobs.request_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "T", files=stored).awaitTermination()
+    assert [r.result for r in spark.read.parquet(str(tmp_path / "out" / "results")).collect()] == ["hola"]
+    assert not (tmp_path / "out" / "staged").exists()
+
+
+def test_shared_folder_is_needed_on_a_cluster_only(spark, monkeypatch):
+    from doclake.plans import shared
+
+    assert shared.new_folder(spark)
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.new_folder(Elsewhere)
+    Elsewhere.conf = type("C", (), {"get": staticmethod(lambda k, d=None: "s3a://b/cp/")})
+    assert shared.new_folder(Elsewhere).startswith("s3a://b/cp/doclake-")
+
+
+def test_custom_text_is_rendered_as_it_is(reqs):
+    registry = DEFAULT.register("rev", "reversed", lambda f: f.select("doc_id", F.lit("TITULO\n- a\n- b").alias("text")))
+    got = process(reqs(("z.rev", b64("abc"))), "T", registry).collect()
+    assert [r.result for r in got] == ["TITULO\n- a\n- b"]
