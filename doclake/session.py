@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,25 @@ def local_session(app: str, cpus: str | int = "*", shuffle_partitions: int | Non
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to Python workers that cannot import it by themselves; once for each Spark application.
+
+    Nothing is sent where it is installed or on ``PYTHONPATH``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    on_path = any(os.path.abspath(p) == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)
+    context = spark.sparkContext
+    if on_path or "site-packages" in root or getattr(context, "_doclake_sent", False):
+        return spark
+    folder = tempfile.mkdtemp(prefix="doclake-")
+    path = os.path.join(folder, "doclake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(os.path.join(root, "doclake")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+    context.addPyFile(path)
+    context._doclake_sent = True
+    return spark
