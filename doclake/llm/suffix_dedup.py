@@ -219,9 +219,11 @@ def _contexts(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
 
 
 def _shards(contexts: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, start, n, fp, digest): repeated runs of starts (digest null), and for spread anchors each string (n = 0) with its digest.
+    """(k1, k2, start, n, fp, bucket, strings): repeated runs of starts; and for spread anchors, packed by buckets of digests, one place
+    of each different string of the shard.
 
-    Rows of one (anchor, salt) stand together; suffix arrays are built over about SHARD_BYTES of contexts and end between anchors.
+    Rows of one (anchor, salt) stand together; suffix arrays are built over about SHARD_BYTES of contexts and end between anchors. An
+    anchor has as many buckets as shards, so a bucket of all shards holds about as many strings as one shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,61 +254,79 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
             hit = equal[at : at + n]
             if r["single"] and hit.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                out += [(r["k1"], r["k2"], r["a"] + int(x), int(y - x), r["fp"], None) for x, y in zip(edges[::2], edges[1::2])]
-        names = ["k1", "k2", "start", "n", "fp", "digest"]
-        columns = [np.array(c, object) for c in zip(*out)] if out else [np.zeros(0, object)] * 6
+                out += [(r["k1"], r["k2"], r["a"] + int(x), int(y - x), r["fp"], None, None) for x, y in zip(edges[::2], edges[1::2])]
         spread = np.repeat([r["salts"] > 1 for r in rows], sizes) & valid
         if spread.any():
-            # one place for each different string of this shard
             at = np.flatnonzero(spread)
             at = at[np.unique(rank[at], return_index=True)[1]]
             row = np.searchsorted(begin, at, side="right") - 1
             of = lambda name: np.array([r[name] for r in rows], np.int64)[row]
-            more = [of("k1"), of("k2"), of("a") + at - begin[row], np.zeros(len(at), np.int64), of("fp"),
-                    window_hashes(data, length).view(np.int64)[at]]
-            columns = [np.concatenate([c, m.astype(object)]) for c, m in zip(columns, more)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            digest = window_hashes(data, length)[at]
+            fp, bucket = of("fp"), (digest % of("salts").astype(np.uint64)).astype(np.int64)
+            table = np.stack([digest.view(np.int64), of("k1"), of("k2"), of("a") + at - begin[row]])
+            turn = np.lexsort((bucket, fp))
+            cuts = np.flatnonzero((np.diff(fp[turn]) != 0) | (np.diff(bucket[turn]) != 0)) + 1
+            out += [(None, None, None, None, int(fp[g[0]]), int(bucket[g[0]]), np.ascontiguousarray(table[:, g]).tobytes()) for g in np.split(turn, cuts)]
+        names = ["k1", "k2", "start", "n", "fp", "bucket", "strings"]
+        columns = list(zip(*out)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.binary()])], names=names)
 
     dealt = contexts.repartition("fp", "salt").sortWithinPartitions("fp", "salt")
-    return dealt.mapInArrow(run, "k1 bigint, k2 bigint, start bigint, n bigint, fp bigint, digest bigint")
+    return dealt.mapInArrow(run, "k1 bigint, k2 bigint, start bigint, n bigint, fp bigint, bucket bigint, strings binary")
 
 
-def _across(strings: DataFrame) -> DataFrame:
-    """(k1, k2, start, n = 1) of strings (k1, k2, start, fp, digest) that another place has, too: the digests of a part are sorted, and each
-    is found in them by binary search from both sides."""
+def _across(packs: DataFrame) -> DataFrame:
+    """(k1, k2, start, n) of strings that another shard of their anchor has, too.
+
+    ``packs`` (fp, bucket, strings) of one bucket, one from each shard, meet in a task; the digests of all are sorted and each is
+    found in them by binary search from both sides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        both = pa.Table.from_batches(parts)
-        fp, digest = (both.column(c).to_numpy() for c in ("fp", "digest"))
-        key = mixed(fp.astype(np.int64).view(np.uint64)) + digest.astype(np.int64).view(np.uint64)
-        ordered = np.sort(key)
-        twice = np.searchsorted(ordered, key, side="right") - np.searchsorted(ordered, key, side="left") > 1
-        hit = both.select(["k1", "k2", "start"]).filter(pa.array(twice))
-        for b in hit.append_column("n", pa.array(np.ones(hit.num_rows, np.int64))).combine_chunks().to_batches():
-            yield b
+        key, held = None, []
+        for b in batches:
+            for fp, bucket, strings in zip(b.column("fp").to_pylist(), b.column("bucket").to_pylist(), b.column("strings").to_pylist()):
+                if held and (fp, bucket) != key:
+                    yield merged_shards(held)
+                    held = []
+                key = (fp, bucket)
+                held.append(np.frombuffer(strings, np.int64).reshape(4, -1))
+        if held:
+            yield merged_shards(held)
+
+    def merged_shards(tables: list[np.ndarray]) -> pa.RecordBatch:
+        digest, k1, k2, start = np.concatenate(tables, axis=1)
+        ordered = np.sort(digest)
+        twice = np.searchsorted(ordered, digest, side="right") - np.searchsorted(ordered, digest, side="left") > 1
+        k1, k2, start = k1[twice], k2[twice], start[twice]
+        turn = np.lexsort((start, k2, k1))
+        k1, k2, start = k1[turn], k2[turn], start[turn]
+        first = np.ones(len(start), bool)
+        first[1:] = (np.diff(k1) != 0) | (np.diff(k2) != 0) | (np.diff(start) != 1)
+        n = np.diff(np.append(np.flatnonzero(first), len(start)))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k1[first], k2[first], start[first], n)], names=["k1", "k2", "start", "n"])
 
-    return strings.repartition("fp", "digest").mapInArrow(run, "k1 bigint, k2 bigint, start bigint, n bigint")
+    dealt = packs.repartition("fp", "bucket").sortWithinPartitions("fp", "bucket")
+    return dealt.mapInArrow(run, "k1 bigint, k2 bigint, start bigint, n bigint")
 
 
 def repeats(docs: DataFrame, packed: DataFrame, length: int = LENGTH, per_shard: int = SHARD_CONTEXTS) -> DataFrame:
     """(k1, k2, start, n): runs of starts of repeated strings."""
     anchors = written(_anchors(docs, length))
-    met_again = anchors.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    # written, as AQE can split a hot anchor in a join of two tables but not where one side is still grouped
+    met_again = written(anchors.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"))
     anchors = written(anchors.join(met_again, "fp"))
     contexts = anchors.groupBy("fp", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "a", "n")).alias("one"))
     contexts = written(contexts)
-    known = contexts.join(contexts.groupBy("fp").agg(F.count("*").alias("kinds")), "fp")
-    copied = contexts.filter("copies > 1").select("fp", "ctx")
+    known = contexts.join(written(contexts.groupBy("fp").agg(F.count("*").alias("kinds"))), "fp")
+    copied = contexts.filter("copies > 1").select("fp", "ctx")  # of a written table, for the same reason
     whole = anchors.join(copied, ["fp", "ctx"]).select("k1", "k2", F.col("a").alias("start"), "n")
     salts = F.ceil(F.col("kinds") / per_shard).cast("bigint")
     open_ones = known.filter("kinds > 1").select(
         "one.*", "fp", F.pmod(F.col("ctx"), salts).alias("salt"), salts.alias("salts"), (F.col("copies") == 1).alias("single"))
     sharded = written(_shards(_contexts(open_ones, packed, length), length))
-    inside = sharded.filter("digest IS NULL").select("k1", "k2", "start", "n")
-    across = _across(sharded.filter("digest IS NOT NULL").select("k1", "k2", "start", "fp", "digest"))
+    inside = sharded.filter("strings IS NULL").select("k1", "k2", "start", "n")
+    across = _across(sharded.filter("strings IS NOT NULL").select("fp", "bucket", "strings"))
     return whole.unionByName(inside).unionByName(across)
 
 
