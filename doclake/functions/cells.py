@@ -20,9 +20,11 @@ def normalise(value: Column, kind: Column) -> Column:
     stamp = F.date_format(
         F.timestamp_seconds(F.round((shifted - _EPOCH_SERIAL) * 86400).cast("bigint")), "yyyy-MM-dd HH:mm:ss"
     )
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    large = value.try_cast("decimal(38,0)")  # exact where a double and its picture have too few digits
+    whole = number == F.floor(number)
     return (
-        F.when((kind == "number") & whole, number.cast("bigint").cast("string"))
+        F.when((kind == "number") & whole & (F.abs(number) < 1e15), number.cast("bigint").cast("string"))
+        .when((kind == "number") & whole & large.isNotNull(), large.cast("string"))
         .when((kind == "datetime") & days.isNotNull(), stamp)
         .when(kind == "boolean", F.when(F.lower(value).isin("true", "1"), "True").otherwise("False"))
         .otherwise(value)
@@ -71,8 +73,9 @@ def escape_markdown(value: Column) -> Column:
 
 
 def address(row_idx: Column, col_idx: Column) -> Column:
-    """A1 reference of a cell in the first 702 columns."""
+    """A1 reference of a cell: columns count in letters, A to Z, then AA; three letters name 18,278 columns."""
     letter = lambda n: F.chr((n + 65).cast("bigint"))
-    tens = F.floor((col_idx - 27) / 26)
-    prefix = F.when(col_idx > 26, letter(tens)).otherwise("")
-    return F.concat(prefix, letter((col_idx - 1) % 26), row_idx.cast("string"))
+    n = col_idx - 1
+    third = F.when(n >= 702, letter(F.floor((n - 702) / 676) % 26)).otherwise("")
+    second = F.when(n >= 26, letter(F.floor((n - 26) / 26) % 26)).otherwise("")
+    return F.concat(third, second, letter(n % 26), row_idx.cast("string"))

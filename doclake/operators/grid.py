@@ -1,7 +1,8 @@
 """Spreadsheet contents as a cells table (``g*``): cells(book, sheet, row_idx, col_idx, value, kind), 1-based.
 
-A sheet may be huge, but every operator first filters to the rows the feature shows (at most 1,000), or reduces the
-sheet to one row with a combining aggregate. Ranks are top-k filters, which Spark applies before the shuffle as well.
+Previews filter to the rows they show before anything else, and statistics reduce a sheet to one row with a combining aggregate.
+``rows``, ``smart_headers`` and ``table_rows`` cover every row and column unless they are given a limit. Ranks of previews are top-k
+filters, which Spark applies before the shuffle as well.
 """
 
 from __future__ import annotations
@@ -23,22 +24,27 @@ def filled(cells: DataFrame, blank_is_empty: bool = False) -> DataFrame:
     return out.filter(tx.strip(F.col("value")) != "") if blank_is_empty else out
 
 
-def head_cells(cells: DataFrame, rows: int, columns: int | None = None, blank_is_empty: bool = False) -> DataFrame:
-    """Cells of the first ``rows`` kept rows of each sheet, with their row number among the kept rows.
+def _within(cells: DataFrame, row_limit: int | None) -> DataFrame:
+    return cells if row_limit is None else cells.filter(F.col("row_idx") <= row_limit)
+
+
+def head_cells(
+    cells: DataFrame, rows: int | None, columns: int | None = None, blank_is_empty: bool = False, row_limit: int | None = fixed.SHEET_ROW_LIMIT,
+) -> DataFrame:
+    """Cells of the first ``rows`` kept rows of each sheet (``None``: all), with their row number among the kept rows.
 
     The physical row limit applies first, then empty rows are dropped.
     """
     w = Window.partitionBy(*SHEET).orderBy("row_idx")
-    kept = filled(cells, blank_is_empty).filter(F.col("row_idx") <= fixed.SHEET_ROW_LIMIT)
-    ranked = kept.withColumn("row_no", F.dense_rank().over(w).cast("bigint")).filter(F.col("row_no") <= rows)
+    kept = _within(filled(cells, blank_is_empty), row_limit)
+    ranked = kept.withColumn("row_no", F.dense_rank().over(w).cast("bigint"))
+    ranked = ranked if rows is None else ranked.filter(F.col("row_no") <= rows)
     return ranked if columns is None else ranked.filter(F.col("col_idx") <= columns)
 
 
-def rows(cells: DataFrame, blank_is_empty: bool = False) -> DataFrame:
-    """g1: kept rows of each sheet, numbered."""
-    distinct_rows = (
-        filled(cells, blank_is_empty).filter(F.col("row_idx") <= fixed.SHEET_ROW_LIMIT).select(*SHEET, "row_idx").distinct()
-    )
+def rows(cells: DataFrame, blank_is_empty: bool = False, row_limit: int | None = None) -> DataFrame:
+    """g1: kept rows of each sheet, numbered; a sheet format holds about a million rows at most."""
+    distinct_rows = _within(filled(cells, blank_is_empty), row_limit).select(*SHEET, "row_idx").distinct()
     w = Window.partitionBy(*SHEET).orderBy("row_idx")
     return distinct_rows.withColumn("row_no", F.row_number().over(w).cast("bigint"))
 
@@ -86,34 +92,35 @@ def header_check(cells: DataFrame) -> DataFrame:
     )
 
 
-def smart_headers(cells: DataFrame, dims: DataFrame | None = None) -> DataFrame:
-    """g4: one header per column (at most 12): the first row's text if telling, else ``ColN``."""
+def smart_headers(cells: DataFrame, dims: DataFrame | None = None, columns: int | None = None) -> DataFrame:
+    """g4: one header per column (the first ``columns``, ``None``: all): the first row's text if telling, else ``ColN``."""
     dims = dims if dims is not None else dimensions(cells)
-    columns = dims.select(
-        *SHEET, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("max_col", F.lit(fixed.HEADER_COLUMNS)))).alias("col_idx")
-    )
-    first = head_cells(cells, 1, fixed.HEADER_COLUMNS).select(*SHEET, "col_idx", "value", "kind")
+    last = F.col("max_col") if columns is None else F.least("max_col", F.lit(columns))
+    wanted = dims.select(*SHEET, F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("col_idx"))
+    first = head_cells(cells, 1, columns).select(*SHEET, "col_idx", "value", "kind")
     s = tx.strip(cl.normalise(F.col("value"), F.col("kind")))
     telling = cl.is_truthy(F.col("value"), F.col("kind")) & (F.char_length(s) > 2) & ~cl.is_digits(s)
     header = F.when(telling, s).otherwise(F.concat(F.lit("Col"), F.col("col_idx").cast("string")))
-    return columns.join(first, [*SHEET, "col_idx"], "left").select(*SHEET, "col_idx", header.alias("header"))
+    return wanted.join(first, [*SHEET, "col_idx"], "left").select(*SHEET, "col_idx", header.alias("header"))
 
 
-def header_rows(cells: DataFrame, dims: DataFrame | None = None) -> DataFrame:
+def header_rows(cells: DataFrame, dims: DataFrame | None = None, columns: int | None = fixed.HEADER_COLUMNS) -> DataFrame:
     """Header and separator line of each sheet's table, and how many columns it has."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "header"))), lambda h: h["header"])
     shown = F.transform("headers", lambda h: cl.escape_cell(h, fixed.HEADER_CELL_LENGTH))
     line = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
     return (
-        smart_headers(cells, dims).groupBy(*SHEET).agg(ordered.alias("headers"))
+        smart_headers(cells, dims, columns).groupBy(*SHEET).agg(ordered.alias("headers"))
         .select(*SHEET, F.size("headers").alias("n_headers"), line(shown).alias("header_line"),
                 line(F.transform("headers", lambda h: F.lit("---"))).alias("separator_line"))
     )
 
 
-def table_rows(cells: DataFrame, limit: int = fixed.SHEET_ROW_LIMIT, dims: DataFrame | None = None) -> DataFrame:
-    """g7: kept rows as table lines, padded or cut to the header width; missing cells are ``-``."""
-    head = head_cells(cells, limit, fixed.HEADER_COLUMNS)
+def table_rows(
+    cells: DataFrame, limit: int | None = None, dims: DataFrame | None = None, columns: int | None = None, row_limit: int | None = None,
+) -> DataFrame:
+    """g7: kept rows as table lines, padded or cut to the header width; missing cells are ``-``. ``None``: all rows, all columns."""
+    head = head_cells(cells, limit, columns, row_limit=row_limit)
     text = cl.normalise(F.col("value"), F.col("kind"))
     cell = F.when(text == "", "-").otherwise(cl.escape_cell(text, fixed.BODY_CELL_LENGTH))
     by_row = head.select(*SHEET, "row_no", "col_idx", cell.alias("cell")).groupBy(*SHEET, "row_no").agg(
@@ -124,7 +131,7 @@ def table_rows(cells: DataFrame, limit: int = fixed.SHEET_ROW_LIMIT, dims: DataF
         lambda i: F.coalesce(F.try_element_at("row", i), F.lit("-")),
     )
     return (
-        by_row.join(header_rows(cells, dims), SHEET)
+        by_row.join(header_rows(cells, dims, columns), SHEET)
         .select(*SHEET, "row_no", F.concat(F.lit("| "), F.array_join(shown, " | "), F.lit(" |")).alias("line"))
     )
 
@@ -135,7 +142,7 @@ def preview(cells: DataFrame) -> DataFrame:
     ``ai``: 14 rows after a header row, else the first 15; ``standard``: rows 2 to 8; ``plain``: 50 tab-joined rows.
     """
     n = F.col("row_no")
-    tables = table_rows(cells, 15).join(header_check(cells).select(*SHEET, "is_header"), SHEET)
+    tables = table_rows(cells, 15, columns=fixed.HEADER_COLUMNS, row_limit=fixed.SHEET_ROW_LIMIT).join(header_check(cells).select(*SHEET, "is_header"), SHEET)
     modes = F.array_compact(F.array(
         F.when(~F.col("is_header") | (n > 1), "ai"), F.when((n >= 2) & (n <= 8), "standard"),
     ))

@@ -205,9 +205,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input is a handful of files; many files already give enough tasks."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Rows dealt to as many tasks as ``spark.doclake.spread`` says; as they come where it is unset.
+
+    The given tables are single files of one row group, which one task reads; the local session sets it to its cores. Real
+    inputs have many files and leave it unset.
+    """
+    tasks = df.sparkSession.conf.get("spark.doclake.spread", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,7 +303,7 @@ def ingest_oracles() -> dict[str, str]:
     return {
         "s2_decode_text": with_(
             REQS, select=f"""SELECT req_id, TRY(decode(b)) AS text, CASE WHEN TRY(decode(b)) IS NULL THEN 'invalid_utf8' END AS reason
-            FROM (SELECT req_id, coalesce({BYTES}, ''::BLOB) AS b FROM reqs WHERE file_name IS NOT NULL)"""),
+            FROM (SELECT req_id, coalesce({BYTES}, ''::BLOB) AS b FROM reqs)"""),
         "s3_scan_csv": with_(
             CORPUS["dataset"], select="""SELECT pedido, fecha, CASE WHEN l_orderkey % 10 <> 3 THEN concat('a, "b" ', nota, chr(10), ' fin') END AS nota,
             l_orderkey % 10 IN (3, 4) AS ragged FROM dataset"""),
@@ -314,14 +314,14 @@ def ingest_oracles() -> dict[str, str]:
         "s8_decode_base64": with_(
             REQS, select=f"""SELECT req_id, cast(octet_length(b) AS bigint) AS n_bytes, CASE WHEN b IS NULL THEN 'bad_base64'
             WHEN octet_length(b) = 0 THEN 'empty_content' END AS decode_reason
-            FROM (SELECT req_id, {BYTES} AS b FROM reqs WHERE file_content IS NOT NULL)"""),
+            FROM (SELECT req_id, {BYTES} AS b FROM reqs)"""),
         "s9_write_results": with_(
             *adm, select="SELECT req_id, file_name, doc_type, cast(octet_length(bytes) AS bigint) AS length FROM ad WHERE reason IS NULL"),
         "s10_write_rejects": with_(*adm, select="SELECT req_id, file_name, reason FROM ad WHERE reason IS NOT NULL"),
         "p1_admit": with_(
             REQS, REGISTRY, ROUTED, select="""SELECT req_id, raw_ext AS ext, CASE WHEN file_content IS NULL THEN 'missing_file'
             WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'empty_file' WHEN raw_ext = '' THEN 'no_extension'
-            WHEN raw_ext IN ('pdf', 'bar') THEN 'unsupported_extension' END AS reason FROM rt WHERE file_name IS NOT NULL"""),
+            WHEN raw_ext IN ('pdf', 'bar') THEN 'unsupported_extension' END AS reason FROM rt"""),
         "p2_route": with_(REQS, REGISTRY, ROUTED, select="SELECT req_id, ext, reader FROM rt"),
         "p3_supported": with_(
             REQS, REGISTRY, select=f"""SELECT req_id, CASE WHEN file_name IS NOT NULL THEN lower({ext_of('file_name')}) IN (SELECT ext FROM reg) END AS supported
@@ -544,6 +544,24 @@ def tree_oracles() -> dict[str, str]:
             CASE WHEN kind = 'Object' THEN concat('Object with ', n_children, ' properties') WHEN kind = 'Array' THEN concat('Array with ', n_children, ' items')
             WHEN kind = 'String' THEN 'str' WHEN kind = 'Boolean' THEN 'bool' WHEN kind = 'Null' THEN 'NoneType' WHEN ttype = 'DOUBLE' THEN 'float' ELSE 'int' END AS description
             FROM nd WHERE depth = 1"""),
+        "n5_tree_report": with_(
+            CORPUS["jdocs"], """j AS (SELECT *, doc_id % 12 + 1 AS n, doc_id % 19 = 0 AS small, doc_id % 5 = 0 AS deep,
+              CASE WHEN doc_id % 19 = 0 THEN 2 WHEN doc_id % 5 = 0 THEN 14 + 5 * (doc_id % 12 + 1) ELSE 7 + 5 * (doc_id % 12 + 1) END AS keys
+              FROM jdocs WHERE doc_id % 17 <> 0)""",
+            select="""SELECT doc_id, concat('## 📊 JSON Structure Analysis', chr(10), '- **File:** doc_', doc_id, '.json', chr(10), '- **Root Type:** dict', chr(10),
+            '- **Complexity:** ', CASE WHEN small THEN 'Simple' WHEN deep OR keys > 50 THEN 'Complex' ELSE 'Moderate' END, chr(10),
+            '- **Depth Levels:** ', CASE WHEN small THEN 1 WHEN deep THEN 5 ELSE 4 END, chr(10), '- **Total Keys:** ', keys, chr(10),
+            '- **Data Types:** ', CASE WHEN small THEN 'Number, Object' ELSE 'Array, Null, Number, Object, String' END, chr(10), chr(10),
+            '### 🗂️ Key Structure Overview', chr(10),
+            CASE WHEN small THEN concat('- **k:** ', doc_id, chr(10), '- **b:** True') ELSE concat('- **order:** ', doc_id, chr(10),
+              '- **status:** "', regexp_extract(text, '"status":"([^"]*)"', 1), '"', chr(10), '- **server:**', chr(10),
+              '  - **host:** "h', doc_id % 7, '"', chr(10), '  - **port:** null', chr(10),
+              '- **open:** ', CASE WHEN contains(text, '"open":true') THEN 'True' ELSE 'False' END, chr(10),
+              CASE WHEN deep THEN concat('- **api_list:**   (empty array)', chr(10), '- ... (3 more keys)') ELSE concat(
+                '- **lines:**', chr(10), '  Array[', n, ']:   - **n:** 1', chr(10), '  - **part:**', chr(10),
+                '    - **key:** ', regexp_extract(text, '"key":([0-9]+)', 1), chr(10), '    - **flag:** "', regexp_extract(text, '"flag":"([^"]*)"', 1), '"', chr(10),
+                '  - **qty:** ', regexp_extract(text, '"qty":([0-9]+)', 1), CASE WHEN n > 1 THEN concat(' (and ', n - 1, ' more)') ELSE '' END) END) END,
+            chr(10), chr(10), '### 📋 JSON Content', chr(10), '```json', chr(10), text, chr(10), '```') AS report FROM j"""),
         "n5_yaml_report": with_(
             CORPUS["ydocs"], select="""SELECT doc_id, concat('## ⚙️ YAML Configuration Analysis', chr(10), '- **File:** doc_', doc_id, '.yml', chr(10),
             '- **Data Type:** dict', chr(10), '- **Complexity:** Moderate', chr(10), '- **Structure Depth:** 3 levels', chr(10),
@@ -583,6 +601,7 @@ SHOWN = """CASE WHEN kind = 'number' AND try_cast(value AS double) = floor(try_c
     WHEN kind = 'boolean' THEN CASE WHEN value = 'true' THEN 'True' ELSE 'False' END ELSE value END"""
 KEPT = f"""kc AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY book, sheet ORDER BY row_idx) AS row_no, {SHOWN} AS shown
     FROM cells WHERE row_idx <= 1000 AND kind <> 'empty')"""
+KEPT_ALL = KEPT.replace("row_idx <= 1000 AND ", "")
 DIMS = """dm AS MATERIALIZED (SELECT book, sheet, max(row_idx) AS max_row, max(col_idx) AS max_col,
     count(DISTINCT CASE WHEN row_idx <= 1000 THEN row_idx END) AS processed_rows FROM cells GROUP BY book, sheet)"""
 
@@ -618,6 +637,7 @@ TABLE_ROWS = f"""rr AS (SELECT DISTINCT book, sheet, row_no FROM kc WHERE col_id
 def grid_oracles() -> dict[str, str]:
     return {
         "g1_rows": with_(CELLS, KEPT, select="SELECT DISTINCT book, sheet, row_idx, row_no FROM kc"),
+        "g1_rows_all": with_(CELLS, KEPT_ALL, select="SELECT DISTINCT book, sheet, row_idx, row_no FROM kc"),
         "g2_cell_census": with_(CELLS, KEPT, DIMS, CENSUS, select="SELECT * FROM cs"),
         "g3_header_check": with_(CELLS, KEPT, HEADER_CHECK, select="SELECT * FROM hx"),
         "g4_smart_headers": with_(CELLS, KEPT, DIMS, SMART, select="SELECT * FROM sh"),
@@ -627,6 +647,8 @@ def grid_oracles() -> dict[str, str]:
             CELLS, "v AS (SELECT value FROM cells UNION ALL SELECT text FROM documents)",
             select="SELECT value, " + _nested_replace("value") + " AS escaped FROM v"),
         "g7_table_rows": with_(CELLS, KEPT, DIMS, SMART, TABLE_ROWS, select="SELECT * FROM tr"),
+        "g7_table_rows_all": with_(
+            CELLS, KEPT_ALL, DIMS, SMART.replace("least(max_col, 12)", "max_col"), TABLE_ROWS.replace(" WHERE col_idx <= 12", ""), select="SELECT * FROM tr"),
         "g8_sheet_preview": with_(
             CELLS, KEPT, DIMS, SMART, TABLE_ROWS, HEADER_CHECK,
             "pc AS (SELECT book, sheet, unnest(generate_series(1, max_col)) AS col_idx FROM dm)",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclake import fixed
 from doclake.functions import cells as cl
 from doclake.operators import csvdocs, grid, lines, results, rollups, routing, tabular, text, trees
 from doclake.operators import markdown as md
@@ -85,7 +86,7 @@ REQUEST_COLUMNS = ["req_id", "file_name", "file_content", "s3_path", "bucket_nam
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests seen as stored files: bytes, length, missing flag."""
     content = F.coalesce(rq.decoded(F.col("file_content")), F.lit("").cast("binary"))
-    return c.requests(spark, sf_dir).filter("file_name IS NOT NULL").select(
+    return c.requests(spark, sf_dir).select(
         "req_id", "file_name", F.col("file_content").isNull().alias("missing"), content.alias("content"),
         F.octet_length(content).cast("bigint").alias("length"),
     )
@@ -96,8 +97,7 @@ def _decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decode_base64(requests: DataFrame) -> DataFrame:
-    given = requests.filter(F.col("file_content").isNotNull())
-    return rq.decode_base64(given).select("req_id", F.octet_length("bytes").cast("bigint").alias("n_bytes"), "decode_reason")
+    return rq.decode_base64(requests).select("req_id", F.octet_length("bytes").cast("bigint").alias("n_bytes"), "decode_reason")
 
 
 def _csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,15 +307,17 @@ def _escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_queries() -> dict[str, Query]:
     return {
-        "g1_rows": on(c.cells, grid.rows),
+        "g1_rows": on(c.cells, lambda d: grid.rows(d, row_limit=fixed.SHEET_ROW_LIMIT)),
+        "g1_rows_all": on(c.cells, grid.rows),
         "g2_cell_census": on(c.cells, grid.census),
         "g3_header_check": on(c.cells, grid.header_check),
-        "g4_smart_headers": on(c.cells, grid.smart_headers),
+        "g4_smart_headers": on(c.cells, lambda d: grid.smart_headers(d, columns=fixed.HEADER_COLUMNS)),
         "g5_escape_cell": on(c.cells, lambda d: d.select(
             "book", "sheet", "row_idx", "col_idx", cl.escape_cell(F.col("value"), 12).alias("short"),
             cl.escape_cell(F.col("value"), 100).alias("cell"))),
         "g6_escape_markdown": _escaped,
-        "g7_table_rows": on(c.cells, grid.table_rows),
+        "g7_table_rows": on(c.cells, lambda d: grid.table_rows(d, columns=fixed.HEADER_COLUMNS, row_limit=fixed.SHEET_ROW_LIMIT)),
+        "g7_table_rows_all": on(c.cells, grid.table_rows),
         "g8_sheet_preview": on(c.cells, grid.preview),
         "g9_sheet_summary": on(c.cells, grid.sheet_summary),
         "g10_formula_scan": on(c.cells, grid.formulas),

@@ -16,6 +16,7 @@ def local_session(app: str, cpus: str | int = "*", shuffle_partitions: int | Non
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(parts))
+        .config("spark.doclake.spread", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

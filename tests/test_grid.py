@@ -19,7 +19,8 @@ def sheet(spark):
 
 def test_row_limit_applies_before_empty_rows_are_dropped(sheet):
     cells = sheet((2, 1, "a", "text"), (3, 1, "", "empty"), (999, 1, "b", "text"), (1001, 1, "c", "text"))
-    assert [(r.row_idx, r.row_no) for r in grid.rows(cells).orderBy("row_no").collect()] == [(2, 1), (999, 2)]
+    numbered = lambda **k: [(r.row_idx, r.row_no) for r in grid.rows(cells, **k).orderBy("row_no").collect()]
+    assert numbered(row_limit=1000) == [(2, 1), (999, 2)] and numbered() == [(2, 1), (999, 2), (1001, 3)]
     done = grid.sheet_summary(cells).collect()[0]
     assert (done.dimensions, done.processed_rows) == ("1001 x 1", 2) and done.note.endswith("de 1001 total")
 
@@ -72,5 +73,5 @@ def test_report(sheet):
 
 
 def test_addresses(spark):
-    df = spark.range(1).select(*[cl.address(F.lit(7), F.lit(c)).alias(f"c{c}") for c in (1, 26, 27, 50)])
-    assert list(df.collect()[0]) == ["A7", "Z7", "AA7", "AX7"]
+    df = spark.range(1).select(*[cl.address(F.lit(7), F.lit(c)).alias(f"c{c}") for c in (1, 26, 27, 50, 702, 703, 16384)])
+    assert list(df.collect()[0]) == ["A7", "Z7", "AA7", "AX7", "ZZ7", "AAA7", "XFD7"]
