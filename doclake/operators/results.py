@@ -57,8 +57,3 @@ def usage(files: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     return table.join(counted, "ext", "left").select(
         "ext", "reader", "doc_type", "n_supported", F.coalesce("n_files", F.lit(0)).cast("bigint").alias("n_files")
     )
-
-
-def fallback_action(on_error: Column, parsed_ok: Column) -> Column:
-    """e4: what becomes of a document: parsed, raw text, error document or reject."""
-    return F.when(parsed_ok, "parsed").otherwise(on_error)

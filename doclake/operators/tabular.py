@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from doclake import fixed
 from doclake.functions import predicates as pr
 from doclake.functions import text as tx
+from doclake.operators import csvdocs
 
 
 def headers(df: DataFrame) -> list[str]:
@@ -104,31 +105,32 @@ def plain_lines(df: DataFrame) -> DataFrame:
 def preview(df: DataFrame, file_name: str, order_by: str = "_pos") -> DataFrame:
     """d5: report of a dataset as one row: information, first rows, types and completeness.
 
-    Only the preview rows are gathered; the statistics are one-row aggregates joined to them.
+    Two scans: one aggregate for the counts, one top-k for the rows that are shown, whose first rows also give the types. Both are
+    single rows, brought together by an aggregate over their union.
     """
     names, k = headers(df), fixed.PREVIEW_ROWS
-    first = df.orderBy(order_by).limit(k).select(F.col(order_by).alias("at"), table_line(names).alias("line"))
-    body = first.agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"))
-    kinds = type_summary(column_types(df, order_by=order_by)).agg(
-        F.array_sort(F.collect_list(F.struct("first_col", F.concat(F.col("n_columns").cast("string"), F.lit(" "), F.col("data_type")).alias("t")))).alias("kinds")
-    )
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    stats = one(dataset_info(df)).join(one(completeness(df)), "_one").join(one(kinds), "_one").join(one(body), "_one")
-    rows = tx.thousands(F.col("total_rows"))
+    counts = completeness(df).select(F.struct("*").alias("c"))
+    shown = df.orderBy(order_by).limit(k).select(F.struct(
+        F.col(order_by).alias("at"), table_line(names).alias("line"), F.array(*names).alias("cells")).alias("r"))
+    body = shown.agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    both = counts.select("c").withColumn("rows", F.lit(None).cast(body.schema["rows"].dataType)).unionByName(
+        body.select(F.lit(None).cast(counts.schema["c"].dataType).alias("c"), "rows"))
+    one = both.agg(F.first("c", ignorenulls=True).alias("c"), F.first("rows", ignorenulls=True).alias("rows")).select("c.*", "rows")
+    kinds = csvdocs.column_types(F.array(*[F.lit(n) for n in names]), F.transform("rows", lambda r: r["cells"]))
+    total = F.col("total_cells") / len(names)
+    rows = tx.thousands(total.cast("bigint"))
     footer = F.concat(
         F.lit("\n\n### 📈 Dataset Statistics\n- **Sample showing:** First 10 rows of "), rows,
-        F.lit(" total records\n- **Data types detected:** "),
-        F.array_join(F.transform("kinds", lambda x: x["t"]), ", "),
+        F.lit(" total records\n- **Data types detected:** "), csvdocs.type_summary(kinds),
         F.lit("\n- **Completeness:** "), F.format_string("%.1f", F.col("completeness")),
         F.lit("% complete\n\n*Full dataset contains "), rows,
         F.lit(" rows - showing preview for AI analysis efficiency*"),
     )
     text = F.concat(
         F.lit(f"## 📊 Dataset Information\n- **File:** {file_name}\n- **Total Rows:** "), rows,
-        F.lit(" (excluding header)\n- **Columns:** "), F.col("n_columns").cast("string"),
-        F.lit("\n- **Headers:** "), F.col("headers"),
+        F.lit(f" (excluding header)\n- **Columns:** {len(names)}\n- **Headers:** {', '.join(names)}"),
         F.lit(f"\n\n### 📋 Data Preview\n{header_lines(names)}\n"),
         F.array_join(F.transform("rows", lambda r: r["line"]), "\n"),
-        F.when(F.col("total_rows") > k, footer).otherwise(""),
+        F.when(total > k, footer).otherwise(""),
     )
-    return stats.select(text.alias("report"))
+    return one.select(text.alias("report"))
