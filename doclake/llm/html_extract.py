@@ -217,7 +217,8 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.withColumn("__host", _host(F.col("url")))
     own = keyed.select(F.col("__host").alias("host"), F.xxhash64("page_id", "html").alias("page_key"), "html")
     templates = occurrence_classes(own).withColumnRenamed("host", "__host").withColumnRenamed("template", "__template")
-    joined = keyed.join(templates, "__host", "left").select(*kept, "html", "__template")
+    # as a merge join, so that AQE splits a host with very many pages
+    joined = keyed.join(templates.hint("merge"), "__host", "left").select(*kept, "html", "__template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
