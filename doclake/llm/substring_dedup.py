@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from doclake.llm import shingles
 from doclake.llm.common import packed_rows, row_key, written
-from doclake.llm.linking import connect
+from doclake.llm.linking import connect, shared_buckets
 
 #: Words of a paragraph or of a run of sentences that counts as a passage; words of a sentence that can be matched by itself.
 MIN_WORDS, MIN_SENTENCE = 40, 5
@@ -151,15 +151,15 @@ def similar_pairs(pairs: DataFrame, items: DataFrame, threshold: float) -> DataF
 
 def repeated_paragraphs(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """(k1, k2, line, comp) of every paragraph that is not the first of its class."""
-    members = written(_bands(docs))
-    hot = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    wanted = members.join(hot, "bucket", "left_semi").select(F.col("id").alias("item")).distinct()
+    members = shared_buckets(written(_bands(docs)))
+    wanted = members.select(F.col("id").alias("item")).distinct()
     lines = written(_lines(docs))
     firsts = lines.join(wanted, "item", "left_semi").groupBy("item").agg(F.min(F.struct("k1", "k2", "line")).alias("f")).select("item", "f.*")
     items = written(_with_paragraphs(firsts, packed))
     comps = connect(members, lambda pairs: similar_pairs(pairs, items, THRESHOLD)).withColumnRenamed("id", "item")
-    named = lines.join(comps, "item", "left").select("k1", "k2", "line", F.coalesce("comp", "item").alias("comp"))
-    heads = named.groupBy("comp").agg(F.min(F.struct("k1", "k2", "line")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    named = written(lines.join(comps, "item", "left").select("k1", "k2", "line", F.coalesce("comp", "item").alias("comp")))
+    # tables on both sides, so that AQE can split a hot class
+    heads = written(named.groupBy("comp").agg(F.min(F.struct("k1", "k2", "line")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     return named.join(heads, "comp").filter(F.struct("k1", "k2", "line") != F.col("head")).select("k1", "k2", "line", "comp")
 
 
@@ -177,7 +177,7 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
 
     rows = written(docs.select(*row_key("doc_id", "text"), "text").mapInArrow(run, "k1 bigint, k2 bigint, sentence bigint, h bigint"))
     ends = rows.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
-    firsts = ends.filter(F.col("lo") != F.col("hi")).select("h", "lo")
+    firsts = written(ends.filter(F.col("lo") != F.col("hi")).select("h", "lo"))
     return rows.join(firsts, "h").filter(F.struct("k1", "k2") != F.col("lo")).select("k1", "k2", "sentence")
 
 

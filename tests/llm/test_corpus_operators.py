@@ -52,7 +52,7 @@ def test_connect_finds_every_link_of_a_bucket(spark):
     """Members are similar to their neighbours on a line only, so no leader sees all of them."""
     members = spark.createDataFrame([(7, i) for i in range(30)] + [(8, i) for i in range(100, 106)] + [(9, 500)], "bucket bigint, id bigint")
     near = lambda pairs: pairs.filter("b - a <= 2 AND a < 100")
-    got = dict(tuple(x) for x in linking.connect(members, near).collect())
+    got = dict(tuple(x) for x in linking.connect(linking.shared_buckets(members), near).collect())
     assert got == {i: 0 for i in range(30)}
 
 
