@@ -1,15 +1,18 @@
 """Main text of web pages by templates of equivalence classes.
 
-Tokens of a page are its tags by their place in the element tree, and its text blocks. Over the pages of one host, tokens with the
-same occurrence vector (the same count in every page) form a class; large classes found in most pages, whose tokens occur once a page and
-nest properly, are the host's template. What lies between template tokens are slots. Slots inside menus, headers, footers, notices,
-adverts, forms and comments go, text blocks of the template outside the article go, and the remaining slots are the text.
+Tokens of a page are its tags by their place in the element tree, and its text blocks, those of the same place and words told apart by
+their number. Over the pages of one host, tokens with the same occurrence vector (the same count in every page) form a class; large
+classes found in enough pages, whose tokens occur once a page, are the host's template. On a page a class counts where its tokens stand in
+the order of the class and nest with the larger classes. What lies between template tokens are slots. The template decides first, inside an
+article and outside: its text blocks go. Slots inside menus, headers, footers, notices, adverts, forms and comments go after it, and the
+remaining slots are the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 
 from doclake.llm.common import with_fields
 
-#: A template is learnt from hosts with so many pages, of tokens that so large a share of them have, in classes of so many tokens.
-MIN_PAGES, MIN_SHARE, MIN_CLASS = 4, 0.5, 3
+#: A template is learnt from tokens that so many pages of a host have, three different ones among them, in classes of so many tokens. A class
+#: whose texts stand only inside articles may be an article that the host has several times; it counts where so large a share of its pages has it.
+MIN_PAGES, MIN_CLASS, MIN_SHARE = 4, 3, 0.5
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose content is no markup.
@@ -145,14 +149,16 @@ def _digest(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def tokens(found: list[tuple[str, str, bool, bool]]) -> list[int]:
-    """Tokens of a page in order: each place when it is entered, and each text block at its place."""
-    out, last = [], None
-    for place, text, _, _ in found:
+def tokens(found: list[tuple[str, str, bool, bool]]) -> list[tuple[int, bool, bool]]:
+    """(token, is a text block, inside an article) in page order: each place when it is entered, and each text block at its place."""
+    out, last, met = [], None, Counter()
+    for place, text, _, inside in found:
         if place != last:
-            out.append(_digest("<" + place))
+            out.append((_digest("<" + place), False, inside))
             last = place
-        out.append(_digest(place + ">" + text))
+        own = place + ">" + text
+        met[own] += 1
+        out.append((_digest(own if met[own] == 1 else f"{own}\0{met[own]}"), True, inside))
     return out
 
 
@@ -161,61 +167,81 @@ def _host(url):
 
 
 def occurrence_classes(pages: DataFrame) -> DataFrame:
-    """(host, template): tokens of the host's valid classes, in template order.
+    """(host, template): the host's classes, the ones of most pages first; each is the array of its tokens in their order.
 
-    Counts are combined before they are shuffled. A token's occurrence vector is kept as a sum of hashes of (page, count). At most
-    1 / MIN_SHARE times the tokens of an average page can be in a template, so gathering them by host is bounded by a page.
+    Counts are combined before they are shuffled. A token's occurrence vector is kept as a sum of hashes of (page, count). Two pages and
+    their copies make no template: a sum of no more than two different hashes is a mixture of the least and the greatest of them. Classes are
+    formed before they are gathered by host.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, keys, counts, places, ids = [], [], [], [], []
+            hosts, keys, counts, places, ids, inner = [], [], [], [], [], []
             for host, page_id, page in zip(b.column("host").to_pylist(), b.column("page_key").to_pylist(), b.column("html")):
                 own = tokens(blocks(page.as_py() or ""))
-                first = {t: i for i, t in reversed(list(enumerate(own)))}
-                for t, n in Counter(own).items():
-                    hosts.append(host), keys.append(t), counts.append(n), places.append(first[t] / len(own)), ids.append(page_id)
+                first = {t: (i, inside or not is_text) for i, (t, is_text, inside) in reversed(list(enumerate(own)))}
+                for t, n in Counter(t for t, _, _ in own).items():
+                    hosts.append(host), keys.append(t), counts.append(n), places.append(first[t][0] / len(own)), ids.append(page_id)
+                    inner.append(first[t][1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.float64()), pa.array(ids, pa.int64())],
-                names=["host", "token", "n", "place", "page_key"])
+                [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.float64()),
+                 pa.array(ids, pa.int64()), pa.array(inner, pa.bool_())],
+                names=["host", "token", "n", "place", "page_key", "inner"])
 
-    seen = pages.mapInArrow(run, "host string, token bigint, n bigint, place double, page_key bigint")
+    seen = pages.mapInArrow(run, "host string, token bigint, n bigint, place double, page_key bigint, inner boolean")
+    hashed = F.xxhash64("page_key", "n").cast("decimal(19,0)")
     vectors = seen.groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.max("n").alias("most"), F.avg("place").alias("place"),
-        F.sum(F.xxhash64("page_key", "n").cast("decimal(38,0)")).alias("vector"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    frequent = vectors.join(sizes, "host").filter((F.col("support") >= F.col("pages") * MIN_SHARE) & (F.col("most") == 1))
-    one_host = frequent.groupBy("host").agg(F.collect_list(F.struct("vector", "support", "place", "token")).alias("all"))
-    same = F.transform("all", lambda x: F.struct(
-        x["place"].alias("place"), x["token"].alias("token"), F.size(F.filter("all", lambda y: y["vector"] == x["vector"])).alias("peers")))
-    return one_host.select("host", F.transform(F.array_sort(F.filter(same, lambda x: x["peers"] >= MIN_CLASS)), lambda x: x["token"]).alias("template"))
-
-
-def _text(page: str, template: list[int] | None) -> str:
-    """Text of the slots of one page. A template token counts while it stands in template order, else it is content."""
+        F.count("*").alias("support"), F.max("n").alias("most"), F.avg("place").alias("place"), F.bool_and("inner").alias("inner"),
+        F.sum(hashed.cast("decimal(38,0)")).alias("vector"), F.min(hashed).alias("lo"), F.max(hashed).alias("hi"))
+    least = (F.col("support").cast("decimal(19,0)") * F.col("lo")).cast("decimal(38,0)")
+    several = F.when(F.col("lo") != F.col("hi"), (F.col("vector") - least) % (F.col("hi") - F.col("lo")) != 0).otherwise(False)
+    frequent = vectors.filter((F.col("support") >= MIN_PAGES) & (F.col("most") == 1) & several)
+    classes = frequent.groupBy("host", "vector", "support").agg(
+        F.array_sort(F.collect_list(F.struct("place", "token"))).alias("all"), F.bool_and("inner").alias("inner")).filter(F.size("all") >= MIN_CLASS)
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    valid = classes.join(sizes, "host").filter(~F.col("inner") | (F.col("support") >= F.col("pages") * MIN_SHARE))
+    return valid.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(
+        "support", F.size("all").alias("n"), F.transform("all", lambda x: x["token"]).alias("tokens"))), asc=False).alias("c")).select(
+            "host", F.transform("c", lambda x: x["tokens"]).alias("template"))
+
+
+def _nested(inner: list[int], outer: list[int]) -> bool:
+    """Whether all places of one class lie in one slot of the other."""
+    return bisect(outer, inner[0]) == bisect(outer, inner[-1])
+
+
+def template_tokens(found: list[int], template: list[list[int]]) -> set[int]:
+    """Those tokens of a page that belong to a class of the template that is valid in the page: its tokens are all there, in the order of
+    the class, and it nests with every class that was valid before it."""
+    at = {t: i for i, t in enumerate(found)}
+    valid: list[list[int]] = []
+    for own in template:
+        if own[0] not in at:
+            continue
+        places = [at.get(t, -1) for t in own]
+        if places[0] >= 0 and all(x < y for x, y in zip(places, places[1:])) and all(_nested(places, v) or _nested(v, places) for v in valid):
+            valid.append(places)
+    return {found[i] for places in valid for i in places}
+
+
+def _text(page: str, template: list[list[int]] | None) -> str:
+    """Text of the slots of one page."""
     found = blocks(page)
-    article = any(wanted and inside for _, _, wanted, inside in found)
-    order = {t: i for i, t in enumerate(template or ())}
-    kept, reached = [], -1
-    for place, text, wanted, inside in found:
-        token = _digest(place + ">" + text)
-        fixed = order.get(token, -1) > reached
-        if fixed:
-            reached = order[token]
-        if wanted and (inside if article else not fixed):
-            kept.append(text)
-    return "\n\n".join(kept)
+    own = tokens(found)
+    fixed = template_tokens([t for t, _, _ in own], template or [])
+    texts = [t for t, is_text, _ in own if is_text]
+    return "\n\n".join(text for (_, text, wanted, _), t in zip(found, texts) if wanted and t not in fixed)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, …) with ``text`` and ``n_chars``; own columns of these names are replaced, ``html`` is left out.
 
-    A null or empty page has an empty text. Pages without a readable host share one template. Repeated rows count as one page of their
-    host's template for each row, and null ids are told apart by their html.
+    A null or empty page has an empty text. Pages without a readable host share one template. Copies of one page, whatever their
+    ids, make no template by themselves.
     """
     kept = [c for c in pages.columns if c not in ("text", "n_chars", "html")]
     keyed = pages.withColumn("__host", _host(F.col("url")))
-    own = keyed.select(F.col("__host").alias("host"), F.xxhash64("page_id", "html").alias("page_key"), "html")
+    own = keyed.select(F.col("__host").alias("host"), F.xxhash64("html").alias("page_key"), "html")
     templates = occurrence_classes(own).withColumnRenamed("host", "__host").withColumnRenamed("template", "__template")
     # as a merge join, so that AQE splits a host with very many pages
     joined = keyed.join(templates.hint("merge"), "__host", "left").select(*kept, "html", "__template")

@@ -186,6 +186,35 @@ def test_template_text_goes_where_no_article_is_marked(spark):
     assert all(got[i] == f"Story {i} begins.\n\nAnd {i} ends." for i in range(8)) and got[99].startswith("Site name")
 
 
+def test_template_decides_inside_articles_and_outside(spark):
+    menu = "<div><p>Site name</p><p>Motto of it</p></div>"
+    inside = lambda i: (f"<body>{menu}<article><p>Share this story</p><p>Story {i} begins.</p><p>And {i} ends.</p><p>Share this story</p></article>"
+                        "<div><p>Bottom line</p></div></body>")
+    beside = lambda i: f"<body>{menu}<article><p>Teaser {i}</p></article><div><p>Long story {i}.</p></div></body>"
+    # a share of its host far under half, an article that the host has five times with other menus, copies of one page
+    few = lambda i: f"<body><div><p>Shop</p><p>Cart</p><p>Till</p></div><div><p>Article {i}</p></div></body>"
+    again = lambda i: f"<body><div><p>Menu {i}</p></div><article><p>One.</p><p>Two {i}.</p><h2>Three.</h2><p>Four.</p></article></body>"
+    copied = "<body><div><p>A</p><p>B</p><p>C</p></div></body>"
+    pages = spark.createDataFrame(
+        [(i, "https://a.example/p", inside(i)) for i in range(8)] + [(10 + i, "https://b.example/", beside(i)) for i in range(6)]
+        + [(20 + i, "https://c.example/", few(i) if i < 6 else f"<p>Other {i}") for i in range(40)]
+        + [(70 + i, "https://d.example/", again(i) if i < 5 else f"<p>Other {i}") for i in range(15)]
+        + [(100 + i, "https://e.example/", copied) for i in range(5)], "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.report(pages).collect()}
+    assert all(got[i] == f"Story {i} begins.\n\nAnd {i} ends." for i in range(8))
+    assert all(got[10 + i] == f"Teaser {i}\n\nLong story {i}." for i in range(6))
+    assert all(got[20 + i] == (f"Article {i}" if i < 6 else f"Other {i}") for i in range(40))
+    assert all(f"One.\n\nTwo {i}.\n\nThree.\n\nFour." in got[70 + i] for i in range(5))
+    assert all(got[100 + i] == "A\n\nB\n\nC" for i in range(5))
+
+
+def test_classes_count_where_they_are_ordered_and_nested():
+    tokens = html_extract.template_tokens
+    assert tokens([1, 9, 4, 5, 6, 8, 2, 3], [[1, 2, 3], [4, 5, 6]]) == {1, 2, 3, 4, 5, 6}
+    assert tokens([1, 4, 2, 5, 3, 6], [[1, 2, 3], [4, 5, 6]]) == {1, 2, 3}
+    assert tokens([2, 1, 3, 4, 5, 6], [[1, 2, 3], [4, 5, 6]]) == {4, 5, 6} and tokens([1, 2], [[1, 2, 3]]) == set()
+
+
 # ---- 9 ----------------------------------------------------------------------------------------
 
 
