@@ -5,7 +5,8 @@ their number. Over the pages of one host, tokens with the same occurrence vector
 classes found in enough pages, whose tokens occur once a page, are the host's template. On a page a class counts where its tokens stand in
 the order of the class and nest with the larger classes. What lies between template tokens are slots. The template decides first, inside an
 article and outside: its text blocks go. Slots inside menus, headers, footers, notices, adverts, forms and comments go after it, and the
-remaining slots are the text.
+remaining slots are the text. Tags are sure, names in class, id and role are evidence: an element that holds most of what is left of a
+page's articles, or of the whole page where no article has text, is kept whatever its name.
 """
 
 from __future__ import annotations
@@ -38,12 +39,18 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html",
           "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th",
           "thead", "tr", "ul"}
-#: Words in class, id or role that mark an element as no part of the article.
+#: Names in class, id or role that mark an element as no part of the article, alone or with words of place and form.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie",
          "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "menubar",
          "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "aside", "complementary", "widget", "widgets", "related", "recommended", "share", "sharing",
          "social", "newsletter", "subscribe", "subscription", "signup", "login", "search", "form", "comment", "comments", "disqus", "replies",
          "respond", "footer", "footnav", "copyright", "header", "masthead", "topbar", "toolbar", "skip", "contentinfo", "toc"}
+#: Words that do not change what a marking name says.
+PLACES = {"site", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "upper", "lower", "sticky", "mobile", "desktop", "js",
+          "box", "container", "wrap", "wrapper", "inner", "outer", "block", "area", "bar", "list", "item", "items", "links", "link", "buttons", "button",
+          "icons", "slot", "unit", "zone", "panel", "posts", "articles", "stories", "thread", "section", "row", "col", "group"}
+#: Marks that say nothing inside an article, where notes, headings and tables of contents are text.
+ARTICLE_PARTS = {"header", "notice", "notices", "alert", "form", "search", "banner", "aside", "toc", "overlay", "promotion"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -59,36 +66,46 @@ def _marks(tag: str, attributes: str) -> str:
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element surely holds no text of the page: by its tag, or as it is hidden."""
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    return bool(attributes) and tag not in ("html", "body", "article", "main") and bool(_HIDDEN.search(attributes))
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether a whole name in class, id or role marks an element."""
+    if not attributes or tag in ("html", "body", "article", "main") or (in_article and tag == "header"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    words = {w.lower() for _, a, b, c in _ATTRIBUTE.findall(attributes) for w in _WORDS.findall(a or b or c)}
-    return bool(words & MARKS) and not (in_article and tag == "header")
+    marks = MARKS - ARTICLE_PARTS if in_article else MARKS
+    for _, a, b, c in _ATTRIBUTE.findall(attributes):
+        for name in (a or b or c).split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & marks and words <= MARKS | PLACES and (not in_article or not words & ARTICLE_PARTS):
+                return True
+    return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(place, text, wanted, inside an article or main element) of every text block of a page, in page order.
+def blocks(page: str) -> list[tuple[str, str, bool, bool, tuple[int, ...]]]:
+    """(place, text, wanted, inside an article or main element, numbers of the marked elements around it) of every text block of a page, in
+    page order.
 
     The place is the chain of open block elements. Text inside an unwanted element is marked so, not left out. Unclosed, crossed and cut tags
     are read as a browser would roughly do: an end tag closes what is open inside its element, one without a start is ignored.
     """
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, wanted, in article
+    out: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, name, wanted, in article, marked
     held: list[str] = []
+    top, n_marked = (True, False, ()), 0
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                wanted, inside = (stack[-1][2], stack[-1][3]) if stack else (True, False)
-                out.append(("/".join(n for t, n, _, _ in stack if t in BLOCKS), text, wanted, inside))
+                out.append(("/".join(x[1] for x in stack if x[0] in BLOCKS), text, *(stack[-1][2:] if stack else top)))
             held.clear()
 
     def close(depth: int) -> None:
-        flush_needed = any(t in BLOCKS or t in RAW for t, _, _, _ in stack[depth:]) or (stack and not stack[-1][2])
+        flush_needed = any(x[0] in BLOCKS or x[0] in RAW for x in stack[depth:]) or (stack and (not stack[-1][2] or stack[-1][4]))
         if flush_needed:
             flush()
         del stack[depth:]
@@ -118,20 +135,20 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag == "br":
             held.append(" ")
             continue
-        parent_wanted, parent_inside = (stack[-1][2], stack[-1][3]) if stack else (True, False)
-        wanted = parent_wanted and not _unwanted(tag, attributes, parent_inside)
-        if tag in BLOCKS or wanted != parent_wanted:
+        parent_wanted, parent_inside, around = stack[-1][2:] if stack else top
+        wanted, marked = parent_wanted and not _unwanted(tag, attributes, parent_inside), _marked(tag, attributes, parent_inside)
+        if tag in BLOCKS or wanted != parent_wanted or marked:
             flush()
         if tag in BLOCKS:
-            open_tags = [t for t, _, _, _ in stack]
+            open_tags = [x[0] for x in stack]
             for depth in range(len(open_tags) - 1, -1, -1):
                 if open_tags[depth] == "p" or open_tags[depth] in _CLOSES.get(tag, ()):
                     close(depth)
                     break
                 if open_tags[depth] in BLOCKS:
                     break
-            parent_wanted, parent_inside = (stack[-1][2], stack[-1][3]) if stack else (True, False)
-            wanted = parent_wanted and not _unwanted(tag, attributes, parent_inside)
+            parent_wanted, parent_inside, around = stack[-1][2:] if stack else top
+            wanted, marked = parent_wanted and not _unwanted(tag, attributes, parent_inside), _marked(tag, attributes, parent_inside)
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
         if tag in RAW:
@@ -139,7 +156,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             at = stop.end() if stop else len(page)
             continue
         inside = parent_inside or (tag in ("article", "main") and wanted)
-        stack.append((tag, _marks(tag, attributes), wanted, inside))
+        n_marked += marked
+        stack.append((tag, _marks(tag, attributes), wanted, inside, (*around, n_marked) if marked else around))
     flush()
     return out
 
@@ -149,10 +167,10 @@ def _digest(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def tokens(found: list[tuple[str, str, bool, bool]]) -> list[tuple[int, bool, bool]]:
+def tokens(found: list[tuple[str, str, bool, bool, tuple[int, ...]]]) -> list[tuple[int, bool, bool]]:
     """(token, is a text block, inside an article) in page order: each place when it is entered, and each text block at its place."""
     out, last, met = [], None, Counter()
-    for place, text, _, inside in found:
+    for place, text, _, inside, _ in found:
         if place != last:
             out.append((_digest("<" + place), False, inside))
             last = place
@@ -230,7 +248,14 @@ def _text(page: str, template: list[list[int]] | None) -> str:
     own = tokens(found)
     fixed = template_tokens([t for t, _, _ in own], template or [])
     texts = [t for t, is_text, _ in own if is_text]
-    return "\n\n".join(text for (_, text, wanted, _), t in zip(found, texts) if wanted and t not in fixed)
+    slots = [x for x, t in zip(found, texts) if x[2] and t not in fixed]
+    judged = [x for x in slots if x[3]] or slots
+    sizes: Counter[int] = Counter()
+    for _, text, _, _, around in judged:
+        for k in around:
+            sizes[k] += len(text)
+    most = sum(len(x[1]) for x in judged) / 2
+    return "\n\n".join(text for _, text, _, _, around in slots if all(sizes[k] > most for k in around))
 
 
 def extract(pages: DataFrame) -> DataFrame:

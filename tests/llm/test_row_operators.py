@@ -215,6 +215,16 @@ def test_classes_count_where_they_are_ordered_and_nested():
     assert tokens([2, 1, 3, 4, 5, 6], [[1, 2, 3], [4, 5, 6]]) == {4, 5, 6} and tokens([1, 2], [[1, 2, 3]]) == set()
 
 
+def test_names_are_evidence_only():
+    text = lambda page: html_extract._text(page, None)
+    for opened in ('<div class="content has-sidebar">', '<div id="search-page">', '<section class="related-work">', '<div class="sidebar">', '<div id=modal>'):
+        assert text(f"<body>{opened}<article><p>Long story.</p></article><div class=sidebar>More</div></div>") == "Long story.", opened
+        assert text(f"<body>{opened}<p>Long story told.</p></div><div class='share-buttons'>Share</div>") == "Long story told.", opened
+    assert text('<article><div class="entry-header"><h1>T</h1></div><p class="notice">Note.</p><p>Body.</p><div class="relatedPosts">R</div></article>') == "T\n\nNote.\n\nBody."
+    assert text('<div class="site-header">S</div><main>Body</main><ul class="comment-list"><li>C</ul><p class="cookie-banner">K') == "Body"
+    assert text('<article>Body <span class="ad">Buy</span> text</article>') == "Body\n\ntext"
+
+
 # ---- 9 ----------------------------------------------------------------------------------------
 
 
