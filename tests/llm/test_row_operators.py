@@ -103,6 +103,26 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonymise(docs, KEY).columns == ["doc_id", "text", "n_pii", "pii"] and pii.report(docs.limit(0), KEY).count() == 0
 
 
+def test_values_beside_other_numbers_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    bare = card.replace(" ", "")
+    cases = [(f"{card} 12/27", [card]), (f"Visa {bare} 100 EUR", [bare]), (f"Order 12 {bare}", [bare]), (f"{bare} 555-123-4567", [bare, "555-123-4567"]),
+             (f"{iban} ON 3 May", [iban]), (f"{iban.replace(' ', '')} 2024-01-02", [iban.replace(" ", ""), "2024-01-02"]),
+             (f"1234 {card} 5678", [card]), (f"{bare} 5500000000000004", [bare, "5500000000000004"]), (f"AB12 {card}", [card]),
+             (f"{bare} 12.05.2024", [bare, "12.05.2024"]), ("3782-822463-10005 7", ["3782-822463-10005"]), (f"12 345 {card}", [card]),
+             (f"{bare}@mail.example.com", [f"{bare}@mail.example.com"]), ("41111111111111111234567", []), (f"{card[:-1]}2 12", [])]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, (t, _) in enumerate(cases)] + [(100 + i, v) for i, v in enumerate([card, bare, iban])], DOCS)
+    got = {r.doc_id: r for r in pii.report(docs, KEY).collect()}
+    for i, (t, values) in enumerate(cases):
+        assert got[i].n_pii == len(values), (t, got[i].text)
+        pattern = re.escape(f"x {t} y")
+        for v in values:
+            assert v not in got[i].text, (t, got[i].text)
+            pattern = pattern.replace(re.escape(v), "(.{%d})" % len(v))
+        assert re.fullmatch(pattern, got[i].text), (t, got[i].text)
+    assert got[100].text in got[0].text and got[101].text in got[1].text and got[102].text in got[4].text
+
+
 def test_pseudonyms_are_a_permutation(spark):
     numbers = spark.range(0, 900).selectExpr("id AS doc_id", "concat('2001-01-01 ', date_format(date_add(date'2000-01-01', cast(id AS int)), 'yyyy-MM-dd')) AS text")
     assert pii.report(numbers, KEY).select("text").distinct().count() == 900
