@@ -150,6 +150,24 @@ def _result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "req_id", "output_format", "reader", "result")
 
 
+def _all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests, and CSV, JSON, XML, YAML and text documents as requests in every output format."""
+    out = c.requests(spark, sf_dir)
+    formats = "element_at(array('markdown', 'markdown_ai', 'plain', 'structured_json'), cast(doc_id % 4 AS int) + 1)"
+    for k, (corpus, ext) in enumerate([("cdocs", "csv"), ("jdocs", "json"), ("xdocs", "xml"), ("ydocs", "yml"), ("mdocs", "txt")], 1):
+        out = out.unionByName(c.order_corpus(spark, sf_dir, corpus).selectExpr(
+            f"doc_id + {k} * {c.REPORT_IDS_FROM} AS req_id", f"concat('doc_', doc_id, '.{ext}') AS file_name",
+            "base64(encode(text, 'UTF-8')) AS file_content", "cast(NULL AS string) AS s3_path", "cast(NULL AS string) AS bucket_name",
+            f"{formats} AS output_format", "doc_id % 3 > 0 AS ai_optimized", "doc_id % 5 > 0 AS include_metadata"))
+    return out
+
+
+def _result_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered result of every request that can be read, whatever its reader, format and action; SQL cannot express them all."""
+    return process(_all_kinds(spark, sf_dir), c.PROCESSED_AT).select(
+        "req_id", "output_format", "reader", "action", "result", F.char_length("result").cast("bigint").alias("output_chars"))
+
+
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects(c.requests(spark, sf_dir))
 
@@ -169,6 +187,7 @@ def ingest_queries() -> dict[str, Query]:
         "s7_scan_requests": lambda s, d: rq.scan_requests(_events(s, d)).select(*REQUEST_COLUMNS),
         "s8_decode_base64": on(c.requests, _decode_base64),
         "s9_write_results": lambda s, d: _written(_processed(s, d), sinks.write_results, ["req_id", "file_name", "doc_type", "length"]),
+        "s9_written_results": lambda s, d: _written(_processed(s, d), sinks.write_results, ["req_id", "doc_type", "output_format", "result"]),
         "s10_write_rejects": lambda s, d: _written(_rejected(s, d), sinks.write_rejects, ["req_id", "file_name", "reason"]),
         "p1_admit": lambda s, d: routing.admit(_stored(s, d)).select("req_id", "ext", "reason"),
         "p2_route": lambda s, d: routing.route(c.requests(s, d)).select("req_id", "ext", "reader"),
@@ -183,6 +202,8 @@ def ingest_queries() -> dict[str, Query]:
         "t9_fence": on(c.requests, _fenced),
         "e1_result_row": lambda s, d: results.result_rows(_processed(s, d)).drop("output_chars"),
         "e1_result_text": _result_text,
+        "e1_result_all": _result_all,
+        "e1_result_sizes": lambda s, d: results.result_rows(_processed(s, d)),
         "e2_reject_row": lambda s, d: results.reject_rows(_rejected(s, d)),
         "e3_capabilities": lambda s, d: results.usage(
             c.requests(s, d).select(routing.request_extension(F.col("file_name")).alias("ext"))),
@@ -367,15 +388,25 @@ def markdown_queries() -> dict[str, Query]:
 # ---- streams ---------------------------------------------------------------------------------
 
 
-def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of what the request stream wrote."""
     folder = shared.new_folder(spark)
     _events(spark, sf_dir).write.text(f"{folder}/in")
     jobs.request_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", c.PROCESSED_AT).awaitTermination()
+    return f"{folder}/out"
+
+
+def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _streamed(spark, sf_dir)
     columns = ["req_id", "file_name", "doc_type", "reason"]
-    results_, rejects_ = (spark.read.parquet(f"{folder}/out/{kind}").select(*columns) for kind in ["results", "rejects"])
+    results_, rejects_ = (spark.read.parquet(f"{out}/{kind}").select(*columns) for kind in ["results", "rejects"])
     return results_.unionByName(rejects_)
 
 
+def _stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/results").select("req_id", "output_format", "result")
+
+
 def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.new_folder(spark)
     c.documents(spark, sf_dir).select("text").write.text(f"{folder}/in")
@@ -386,7 +417,7 @@ def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_queries() -> dict[str, Query]:
-    return {"st1_request_stream": _request_stream, "st2_file_arrival": _file_stream}
+    return {"st1_request_stream": _request_stream, "st1_stream_results": _stream_results, "st2_file_arrival": _file_stream}
 
 
 def all_queries() -> dict[str, Query]:

@@ -274,3 +274,26 @@ def test_custom_text_is_rendered_as_it_is(reqs):
     registry = DEFAULT.register("rev", "reversed", lambda f: f.select("doc_id", F.lit("TITULO\n- a\n- b").alias("text")))
     got = process(reqs(("z.rev", b64("abc"))), "T", registry).collect()
     assert [r.result for r in got] == ["TITULO\n- a\n- b"]
+
+
+def test_every_result_is_registered_and_written_as_it_is_rendered(spark):
+    from conftest import SF_DIR
+
+    from doclake.plans.queries import all_queries
+
+    queries = all_queries()
+    got = queries["e1_result_all"](spark, SF_DIR).collect()
+    assert all(r.output_chars == len(r.result) for r in got)
+    assert {r.action for r in got} == {r.action for r in queries["e4_reader_fallback"](spark, SF_DIR).collect()}
+    shown = {(r.reader, r.output_format) for r in got}
+    formats = {"markdown", "markdown_ai", "plain", "structured_json"}
+    assert all((reader, f) in shown for reader in ("text", "json", "xml", "yaml", "csv") for f in formats), repr(sorted(shown))[:2000]
+    for r in got:
+        if r.output_format == "structured_json" and r.action == "parsed":
+            assert {"metadata", "sections", "full_content"} <= set(json.loads(r.result))
+    want = {r.req_id: r.result for r in got}
+    sizes = {r.req_id: r.output_chars for r in queries["e1_result_sizes"](spark, SF_DIR).collect()}
+    assert sizes and all(len(want[i]) == n for i, n in sizes.items())
+    for name in ("s9_written_results", "st1_stream_results"):
+        rows = queries[name](spark, SF_DIR).collect()
+        assert len(rows) == len(sizes) and all(want[r.req_id] == r.result for r in rows), name
