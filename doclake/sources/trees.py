@@ -174,7 +174,36 @@ def yaml_columns(text: str, out: dict[str, list]) -> int:
         raise Unreadable(sound(str(e))) from None
     if _odd_key(root, 0):
         raise Unreadable("a key is not text")
-    return node_columns(root, out, len(text) + 1)
+    size, most = spelled_out(root), max(SPELLED_OUT, SPELLED_TIMES * len(text))
+    if size is None or size > most:
+        raise Unreadable("references repeat more than the text spells out")
+    return node_columns(root, out, most)
+
+
+#: A YAML text may spell out so many nodes and characters by its references, or so many times its length where that is more.
+SPELLED_OUT, SPELLED_TIMES = 100_000, 20
+
+
+def spelled_out(root) -> int | None:
+    """Nodes and characters of a value tree with its references written out, None where a part holds itself; each part is met once."""
+    sizes: dict[int, int | None] = {}  # None while a container is open
+    stack = [(root, False)]
+    parts = lambda v: v.values() if type(v) is dict else v
+    scalar = lambda v: 1 + (len(v) if isinstance(v, (str, bytes)) else 0)
+    while stack:
+        v, done = stack.pop()
+        if type(v) not in (dict, list):
+            continue
+        if done:
+            keys = sum(len(str(k)) for k in v) if type(v) is dict else 0
+            sizes[id(v)] = 1 + keys + sum(sizes[id(c)] if type(c) in (dict, list) else scalar(c) for c in parts(v))
+        elif id(v) not in sizes:
+            sizes[id(v)] = None
+            stack.append((v, True))
+            stack.extend((c, False) for c in parts(v))
+        elif sizes[id(v)] is None and any(o is v and d for o, d in stack):
+            return None
+    return sizes.get(id(root), 1)
 
 
 def _odd_key(v, depth: int) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from doclake.operators import trees
 from doclake.sources import trees as src
 
@@ -76,3 +78,15 @@ def test_xml(docs_of, value_of):
     assert "- **b** (2x) (with attributes) → c\n- **c** (1x) (contains text)\n" in reports[0] and reports[1] == "<a><b></a>"
     root = trees.root_namespace(elements).collect()[0]
     assert (root.namespace, root.root_tag) == ("urn:x", "a")
+
+
+def test_yaml_anchors_may_spell_out_more_than_the_text():
+    from doclake.sources import trees as src
+
+    text = "base: &x {" + ", ".join(f"k{i}: {i % 10}" for i in range(40)) + "}\n" + "".join(f"s{i}: *x\n" for i in range(20))
+    out = {"path": []}
+    assert src.yaml_columns(text, out) == 862 > len(text) and len(out["path"]) == 862
+    bomb = "a0: &a0 [x]\n" + "".join(f"a{i}: &a{i} [{', '.join([f'*a{i - 1}'] * 9)}]\n" for i in range(1, 12))
+    for bad in (bomb, "a: &a [*a]\n", "a: &a {b: {c: [1, *a]}}\n"):
+        with pytest.raises(src.Unreadable):
+            src.yaml_columns(bad, {"path": []})
