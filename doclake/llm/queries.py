@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm import (
-    bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, sharding, substring_dedup, suffix_dedup,
+    bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, sharding, simhash, substring_dedup,
+    suffix_dedup,
 )
 from doclake.llm.common import table
 
@@ -58,8 +59,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first query of each number is the operator over its whole table."""
     own = (op1_decontaminate, op2_near_dedup, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_bpe, op7_sharding,
-           op8_html_extract, op9_quality_model, op10_substring_dedup)
+           op8_html_extract, op9_quality_model, op10_substring_dedup, op13_simhash)
     return {f.__name__: f for f in own}
