@@ -27,7 +27,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = shared.new_folder(spark)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(id_column: str, text_column: str) -> list[Column]:

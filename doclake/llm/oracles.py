@@ -70,5 +70,58 @@ judged AS (
 SELECT *, NOT base_failed AND lost_words * 100 <= n_words * {q.MAX_LOST_PERCENT} AS kept FROM judged"""
 
 
+#: CRC-32 of a decimal, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP11 = f"""
+WITH numbered AS (
+  SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(turn ORDER BY i) AS turns, {_CRC} % 6 AS h FROM numbered GROUP BY c),
+rebuilt AS (
+  SELECT own.c, list_concat(list_slice(coalesce(b.turns, []), 1, own.h), list_slice(own.turns, own.h + 1, len(own.turns))) AS turns
+  FROM own LEFT JOIN own b ON b.c = own.c - own.c % 100),
+prefixes AS (
+  SELECT c, d, len(turns) AS n, turns, md5(to_json(list_slice(turns, 1, d))) AS key,
+         CASE WHEN d > 0 THEN md5(to_json(list_slice(turns, 1, d - 1))) END AS above
+  FROM (SELECT *, unnest(generate_series(0, len(turns))) AS d FROM rebuilt)),
+nodes AS (
+  SELECT key, any_value(above) AS above, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(turns) AS turns,
+         any_value(CASE WHEN d > 0 THEN length(turns[d].t) ELSE 0 END) AS chars,
+         string_agg(CASE WHEN d = n THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends
+  FROM prefixes GROUP BY key),
+children AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+weights AS (
+  SELECT turns, depth, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * chars AS saved
+  FROM nodes LEFT JOIN children USING (key)),
+sums AS (
+  SELECT md5(to_json(list_slice(turns, 1, k))) AS key, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS k FROM weights) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.above = p.key LEFT JOIN children c ON c.key = n.key JOIN sums s ON s.key = n.key"""
+
+OP12 = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a, usable b WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER near AS INTEGER) AS rank, n.id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+WINDOW near AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER near <= 10"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op4_quality_rules": OP4}
+    return {"op1_decontaminate": OP1, "op4_quality_rules": OP4, "op11_prefix_trie": OP11, "op12_hard_negatives": OP12}

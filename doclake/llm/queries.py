@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm import (
-    bpe, decontaminate, html_extract, near_dedup, pii, quality_model, quality_rules, sharding, simhash, substring_dedup,
+    bpe, conversations, decontaminate, hard_negatives, html_extract, near_dedup, pii, quality_model, quality_rules, sharding, simhash, substring_dedup,
     suffix_dedup,
 )
 from doclake.llm.common import table
@@ -59,6 +59,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -66,5 +74,6 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first query of each number is the operator over its whole table."""
     own = (op1_decontaminate, op2_near_dedup, op3_pii, op4_quality_rules, op5_suffix_dedup, op6_bpe, op7_sharding,
-           op8_html_extract, op9_quality_model, op10_substring_dedup, op13_simhash)
+           op8_html_extract, op9_quality_model, op10_substring_dedup, op11_prefix_trie,
+           op12_hard_negatives, op13_simhash)
     return {f.__name__: f for f in own}
