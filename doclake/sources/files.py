@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclake.functions import text as tx
-from doclake.sources import trees
+from doclake.sources import csvfiles, trees
 
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -41,16 +41,17 @@ def csv_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_ragged"]])
 
 
-def scan_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | list[str], columns: list[str], multi_line: bool = True, header: bool = True) -> DataFrame:
     """s3: CSV rows as strings, plus ``_ragged`` (the raw record of rows with too few or too many cells).
 
-    ``multi_line=True`` allows line breaks inside quotes but reads each file in one task; pass ``False`` for big
-    files without such breaks so that Spark can split them.
+    Large files are read by many tasks either way. ``multi_line=True`` allows line breaks inside quotes and finds the records by two passes
+    (``csvfiles``); pass ``False`` for files without such breaks, which then take one.
     """
+    if multi_line:
+        return parse_csv(csvfiles.csv_records(spark, path, header), columns)
     return (
         spark.read.schema(csv_schema(columns))
-        .option("header", True)
-        .option("multiLine", multi_line)
+        .option("header", header)
         .option("escape", '"')
         .option("columnNameOfCorruptRecord", "_ragged")
         .option("enforceSchema", True)
