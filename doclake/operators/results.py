@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake import fixed
+from doclake.operators import routing
 from doclake.sources.registry import DEFAULT, Registry
 
 
@@ -31,12 +32,16 @@ def by_reason(reason: Column, field: int) -> Column:
 
 
 def reject_rows(processed: DataFrame) -> DataFrame:
-    """e2: one row per document that failed, with status, message and hints."""
+    """e2: one row per document that failed, with status, message and hints; an object that cannot be read has its store's message."""
     status = by_reason(F.col("reason"), 1).cast("bigint")
+    message = by_reason(F.col("reason"), 2)
+    if "object_error" in processed.columns:
+        stored = routing.object_error_message(F.col("object_error"), F.col("bucket_name"), F.col("s3_path"))
+        message = F.when(F.col("object_error").isNotNull(), stored).otherwise(message)
     return processed.filter(F.col("reason").isNotNull()).select(
         "req_id", F.lit(False).alias("success"), "file_name", "reason", status.alias("status"),
         F.when(status == 400, fixed.CLIENT_ERROR_TYPE).otherwise("InternalError").alias("error_type"),
-        by_reason(F.col("reason"), 2).alias("message"),
+        message.alias("message"),
         F.when(status == 400, " | ".join(fixed.CLIENT_HINTS)).otherwise(" | ".join(fixed.SERVER_HINTS)).alias("hints"),
         F.when(status == 400, ", ".join(fixed.SUPPORTED_FORMATS_TEXT)).alias("supported_formats"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from doclake.functions import text as tx
 from doclake.operators import text as t
+from doclake.sources import trees
 
 
 def corpus_profile(docs: DataFrame) -> DataFrame:
@@ -27,24 +28,15 @@ def metric_frequency(docs: DataFrame, k: int = 20) -> DataFrame:
     return freq.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def tag_inventory(elements: DataFrame) -> DataFrame:
-    """r3: tags over all XML documents. Counting per document first makes the distinct document count a plain count."""
-    return (
-        elements.groupBy("clean_tag", "doc_id")
-        .agg(F.count("*").alias("n"), F.sum("n_attributes").alias("attributes"), F.sum("text_length").alias("text_length"))
-        .groupBy("clean_tag")
-        .agg(F.count("*").alias("docs"), F.sum("n").alias("elements"), F.sum("attributes").alias("attributes"),
-             F.sum("text_length").alias("text_length"))
-    )
+def tag_inventory(docs: DataFrame) -> DataFrame:
+    """r3: tags over all XML documents, counted by the parser; a row for each tag and task is shuffled."""
+    return trees.xml_tag_counts(docs).groupBy("clean_tag").agg(
+        *[F.sum(c).alias(c) for c in ("docs", "elements", "attributes", "text_length")])
 
 
-def key_inventory(nodes: DataFrame) -> DataFrame:
-    """r4: node paths (array positions dropped) and kinds over all documents."""
-    return (
-        nodes.select("doc_id", F.regexp_replace("path", r"\[[0-9]+\]", "[*]").alias("path"), "kind")
-        .groupBy("path", "kind", "doc_id").agg(F.count("*").alias("n"))
-        .groupBy("path", "kind").agg(F.count("*").alias("docs"), F.sum("n").alias("nodes"))
-    )
+def key_inventory(docs: DataFrame) -> DataFrame:
+    """r4: node paths (array positions dropped) and kinds over all JSON documents, counted by the parser."""
+    return trees.json_path_counts(docs).groupBy("path", "kind").agg(F.sum("docs").alias("docs"), F.sum("nodes").alias("nodes"))
 
 
 def flag_agreement(docs: DataFrame) -> DataFrame:

@@ -298,15 +298,20 @@ RESULT_TEXT = with_(
     WHEN 'structured_json' THEN CAST({RECORD} AS VARCHAR) ELSE text END AS result FROM {ANALYSED}""")
 
 
+CSV_RECORDS = with_(
+    CORPUS["dataset"], select="""SELECT pedido, fecha, CASE WHEN l_orderkey % 10 <> 3 THEN concat('a, "b" ', nota, chr(10), ' fin') END AS nota,
+    l_orderkey % 10 IN (3, 4) AS ragged FROM dataset""")
+_FOUND = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
 def ingest_oracles() -> dict[str, str]:
     adm = (REQS, REGISTRY, ROUTED, ADMITTED)
     return {
         "s2_decode_text": with_(
             REQS, select=f"""SELECT req_id, TRY(decode(b)) AS text, CASE WHEN TRY(decode(b)) IS NULL THEN 'invalid_utf8' END AS reason
             FROM (SELECT req_id, coalesce({BYTES}, ''::BLOB) AS b FROM reqs)"""),
-        "s3_scan_csv": with_(
-            CORPUS["dataset"], select="""SELECT pedido, fecha, CASE WHEN l_orderkey % 10 <> 3 THEN concat('a, "b" ', nota, chr(10), ' fin') END AS nota,
-            l_orderkey % 10 IN (3, 4) AS ragged FROM dataset"""),
+        "s3_scan_csv": CSV_RECORDS,
+        "s3_scan_csv_files": CSV_RECORDS,
         "s4_scan_json_docs": with_(
             CORPUS["jdocs"], select="SELECT doc_id, CASE WHEN NOT json_valid(text) THEN 'malformed' END AS reason FROM jdocs"),
         "s7_scan_requests": with_(
@@ -317,6 +322,7 @@ def ingest_oracles() -> dict[str, str]:
             FROM (SELECT req_id, {BYTES} AS b FROM reqs)"""),
         "s9_write_results": with_(
             *adm, select="SELECT req_id, file_name, doc_type, cast(octet_length(bytes) AS bigint) AS length FROM ad WHERE reason IS NULL"),
+        "s9_text_files": RESULT_TEXT,
         "s10_write_rejects": with_(*adm, select="SELECT req_id, file_name, reason FROM ad WHERE reason IS NOT NULL"),
         "p1_admit": with_(
             REQS, REGISTRY, ROUTED, select="""SELECT req_id, raw_ext AS ext, CASE WHEN file_content IS NULL THEN 'missing_file'
@@ -361,6 +367,9 @@ def ingest_oracles() -> dict[str, str]:
             CASE WHEN status = 400 THEN {lit(' | '.join(fixed.CLIENT_HINTS))} ELSE {lit(' | '.join(fixed.SERVER_HINTS))} END AS hints,
             CASE WHEN status = 400 THEN {lit(', '.join(fixed.SUPPORTED_FORMATS_TEXT))} END AS supported_formats
             FROM ad JOIN why ON ad.reason = why.reason"""),
+        "e2_stored_objects": f"""SELECT doc_id AS req_id, CASE WHEN doc_id % 7 IN (3, 5) THEN 'missing_file' WHEN coalesce(text, '') = '' THEN 'empty_file' END AS reason,
+            CASE doc_id % 7 WHEN 3 THEN 'NoSuchKey' WHEN 5 THEN 'NoSuchBucket' END AS object_error,
+            CASE WHEN doc_id % 7 NOT IN (3, 5) AND text <> '' THEN {_FOUND} END AS result FROM documents""",
         "e3_capabilities": with_(
             REQS, REGISTRY, ROUTED, select="""SELECT ext, reader, doc_type, (SELECT count(*) FROM reg) AS n_supported,
             (SELECT count(*) FROM rt WHERE rt.ext = reg.ext) AS n_files FROM reg"""),
@@ -634,6 +643,21 @@ TABLE_ROWS = f"""rr AS (SELECT DISTINCT book, sheet, row_no FROM kc WHERE col_id
       FROM rg LEFT JOIN kc USING (book, sheet, row_no, col_idx) GROUP BY book, sheet, row_no)"""
 
 
+def _nested_replace(x: str) -> str:
+    for ch in fixed.MARKDOWN_SPECIALS:
+        x = f"replace({x}, {lit(ch)}, {lit(chr(92) + ch)})"
+    return x
+
+
+SUMMARY = """SELECT book, sheet, concat(max_row, ' x ', max_col) AS dimensions, processed_rows,
+            array_to_string(list_filter([CASE WHEN text > 0 THEN 'text' END, CASE WHEN number > 0 THEN 'number' END, CASE WHEN date > 0 THEN 'date' END,
+              CASE WHEN boolean > 0 THEN 'boolean' END], lambda x: x IS NOT NULL), ', ') AS main_types,
+            CASE WHEN max_row > 1000 THEN concat('Mostrando primeras 1000 filas de ', max_row, ' total') END AS note FROM dm JOIN cs USING (book, sheet)"""
+FORMULAS = """fm AS (SELECT *, row_number() OVER (PARTITION BY book, sheet ORDER BY row_idx, col_idx) AS formula_no,
+      concat(chr(cast(64 + col_idx AS integer)), row_idx) AS cell
+    FROM cells WHERE kind = 'text' AND starts_with(value, '=') AND row_idx <= 100 AND col_idx <= 50)"""
+
+
 def grid_oracles() -> dict[str, str]:
     return {
         "g1_rows": with_(CELLS, KEPT, select="SELECT DISTINCT book, sheet, row_idx, row_no FROM kc"),
@@ -659,24 +683,32 @@ def grid_oracles() -> dict[str, str]:
               UNION ALL SELECT book, sheet, 'standard', row_no, line FROM tr WHERE row_no BETWEEN 2 AND 8
               UNION ALL SELECT book, sheet, 'plain', row_no, line FROM pl"""),
         "g9_sheet_summary": with_(
-            CELLS, KEPT, DIMS, CENSUS, select="""SELECT book, sheet, concat(max_row, ' x ', max_col) AS dimensions, processed_rows,
-            array_to_string(list_filter([CASE WHEN text > 0 THEN 'text' END, CASE WHEN number > 0 THEN 'number' END, CASE WHEN date > 0 THEN 'date' END,
-              CASE WHEN boolean > 0 THEN 'boolean' END], lambda x: x IS NOT NULL), ', ') AS main_types,
-            CASE WHEN max_row > 1000 THEN concat('Mostrando primeras 1000 filas de ', max_row, ' total') END AS note FROM dm JOIN cs USING (book, sheet)"""),
+            CELLS, KEPT, DIMS, CENSUS, select=SUMMARY),
         "g10_formula_scan": with_(
-            CELLS, """fm AS (SELECT *, row_number() OVER (PARTITION BY book, sheet ORDER BY row_idx, col_idx) AS formula_no FROM cells
-              WHERE kind = 'text' AND starts_with(value, '=') AND row_idx <= 100 AND col_idx <= 50)""",
-            select="SELECT book, sheet, formula_no, concat(chr(cast(64 + col_idx AS integer)), row_idx) AS cell, value AS formula FROM fm WHERE formula_no <= 10"),
+            CELLS, FORMULAS, select="SELECT book, sheet, formula_no, cell, value AS formula FROM fm WHERE formula_no <= 10"),
         "g11_normalise_value": with_(CELLS, select=f"SELECT book, sheet, row_idx, col_idx, {SHOWN} AS shown FROM cells"),
+        "g12_workbook_report": with_(
+            CELLS, KEPT, DIMS, CENSUS, SMART, TABLE_ROWS, HEADER_CHECK, FORMULAS, f"sm AS ({SUMMARY})",
+            f"""hl AS (SELECT book, sheet, concat('| ', string_agg({escape_cell('header', 150)}, ' | ' ORDER BY col_idx), ' |') AS header_line,
+              concat('| ', string_agg('---', ' | '), ' |') AS separator_line FROM sh GROUP BY book, sheet)""",
+            """al AS (SELECT book, sheet, string_agg(line, chr(10) ORDER BY row_no) AS lines FROM tr JOIN hx USING (book, sheet)
+              WHERE row_no <= 15 AND (row_no > 1 OR NOT is_header) GROUP BY book, sheet)""",
+            f"""ff AS (SELECT book, sheet, count(*) AS n, string_agg(concat('- ', {_nested_replace('cell')}, ': `', {_nested_replace('value')}, '`', chr(10)), ''
+              ORDER BY formula_no) FILTER (formula_no <= 3) AS texts FROM fm WHERE formula_no <= 10 GROUP BY book, sheet)""",
+            f"""st AS (SELECT book, sheet, concat('- **', {_nested_replace('sheet')}, '**: ', {_nested_replace('dimensions')}, ' (', sm.processed_rows, ' filas procesadas)',
+              CASE WHEN main_types <> '' THEN concat(' (Tipos: ', {_nested_replace('main_types')}, ')') ELSE '' END,
+              CASE WHEN note IS NOT NULL THEN concat(' - ', {_nested_replace('note')}) ELSE '' END, chr(10)) AS entry,
+              concat('### 📄 Hoja: ', {_nested_replace('sheet')}, chr(10), CASE WHEN n > 0 THEN concat('**Fórmulas encontradas:** ', n, chr(10), texts, chr(10)) ELSE '' END,
+                CASE WHEN lines IS NOT NULL THEN concat(header_line, chr(10), separator_line, chr(10), lines, chr(10), CASE WHEN sm.processed_rows > 15
+                  THEN concat(chr(10), '*Mostrando primeras 15 filas de ', sm.processed_rows, ' total*', chr(10)) ELSE '' END)
+                ELSE concat('*No hay datos para mostrar*', chr(10)) END) AS section
+              FROM sm JOIN hl USING (book, sheet) LEFT JOIN al USING (book, sheet) LEFT JOIN ff USING (book, sheet))""",
+            select=f"""SELECT book, concat('## 📊 Excel Workbook Analysis', chr(10), '- **Archivo:** ', {_nested_replace('book')}, chr(10), '- **Hojas:** ', count(*), chr(10), chr(10),
+              '### 📋 Estructura de Hojas', chr(10), string_agg(entry, '' ORDER BY sheet), chr(10), string_agg(section, chr(10) ORDER BY sheet)) AS report
+              FROM st GROUP BY book"""),
     }
 
 
-def _nested_replace(x: str) -> str:
-    for ch in fixed.MARKDOWN_SPECIALS:
-        x = f"replace({x}, {lit(ch)}, {lit(chr(92) + ch)})"
-    return x
-
-
 # ---- markdown --------------------------------------------------------------------------------
 
 MDOCS = CORPUS["mdocs"] + f""", md AS MATERIALIZED (SELECT doc_id, text FROM mdocs
@@ -786,6 +818,8 @@ def markdown_oracles() -> dict[str, str]:
 def stream_oracles() -> dict[str, str]:
     return {
         "st1_request_stream": with_(REQS, REGISTRY, ROUTED, ADMITTED, select="SELECT req_id, file_name, doc_type, reason FROM ad"),
+        "st1_stream_text": RESULT_TEXT,
+        "st2_arrived_documents": f"SELECT doc_id, {_FOUND} AS text, cast(NULL AS varchar) AS reason FROM documents",
         "st2_file_arrival": f"""SELECT cast(sum(len(list_filter(string_split(text, chr(10)), lambda x: {strip('x')} <> ''))) AS bigint) AS non_empty_lines,
             cast(sum({words('text')}) AS bigint) AS total_words FROM documents""",
     }

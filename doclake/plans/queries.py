@@ -13,11 +13,12 @@ from doclake.operators import csvdocs, grid, lines, results, rollups, routing, t
 from doclake.operators import markdown as md
 from doclake.plans import corpora as c
 from doclake.plans import shared
-from doclake.plans.process import admitted, process, rejects
+from doclake.plans.process import admitted, outcomes, process, rejects
 from doclake.sources import files as sf
 from doclake.sources import requests as rq
-from doclake.sources import sinks
+from doclake.sources import sinks, textfiles
 from doclake.sources import trees as src
+from doclake.sources.objects import Store
 from doclake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +117,14 @@ def _scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("pedido", "fecha", "nota", F.col("_ragged").isNotNull().alias("ragged"))
 
 
+def _scan_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as files with line breaks inside quotes, read back by many tasks."""
+    path = shared.new_folder(spark)
+    _csv_records(spark, sf_dir).write.text(path)
+    parsed = sf.scan_csv(spark, path, ["pedido", "fecha", "nota"], header=False)
+    return parsed.select("pedido", "fecha", "nota", F.col("_ragged").isNotNull().alias("ragged"))
+
+
 def _scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sf.scan_files(spark, sf_dir, "*.parquet").select("file_name", "ext", "length")
 
@@ -143,11 +152,35 @@ def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process(c.requests(spark, sf_dir), c.PROCESSED_AT)
 
 
-def _result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered results: all formats of text, and of trees those that show them in a fence."""
+def _expressible(processed: DataFrame) -> DataFrame:
+    """All formats of text, and of trees those that show them in a fence: SQL can express these results."""
     fenced = F.col("reader").isin("json", "xml", "yaml") & (F.col("output_format") != "markdown_ai")
-    return _processed(spark, sf_dir).filter((F.col("action") == "parsed") & ((F.col("reader") == "text") | fenced)).select(
-        "req_id", "output_format", "reader", "result")
+    return processed.filter((F.col("action") == "parsed") & ((F.col("reader") == "text") | fenced))
+
+
+def _result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expressible(_processed(spark, sf_dir)).select("req_id", "output_format", "reader", "result")
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result written as a file of its own and read back; of these the rows whose text SQL can express."""
+    path = shared.new_folder(spark)
+    sinks.write_texts(_processed(spark, sf_dir), path)
+    found = textfiles.read_documents(spark, path, "req_id bigint, output_format string, reader string, action string")
+    return _expressible(found).select("req_id", "output_format", "reader", F.col("body").alias("result"))
+
+
+def _stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as objects of a store; requests for them, some for keys and buckets that are not there."""
+    place = shared.new_folder(spark)
+    texts = c.documents(spark, sf_dir).select(F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("body"), "doc_id")
+    textfiles.write_documents(texts, f"{place}/bucket")
+    asked = textfiles.read_index(spark, f"{place}/bucket", "doc_id bigint").selectExpr(
+        "doc_id AS req_id", "concat('doc_', doc_id, '.txt') AS file_name", "cast(NULL AS string) AS file_content",
+        "if(doc_id % 7 = 3, concat(file, '.gone'), file) AS s3_path", "if(doc_id % 7 = 5, 'nowhere', 'bucket') AS bucket_name",
+        "'plain' AS output_format", "false AS ai_optimized", "false AS include_metadata")
+    out = outcomes(asked, c.PROCESSED_AT, store=Store(f"{place}/{{bucket}}/{{key}}"))
+    return out.select("req_id", "reason", "object_error", "result")
 
 
 def _all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +216,12 @@ def ingest_queries() -> dict[str, Query]:
         "s1_scan_files": _scan_files,
         "s2_decode_text": _decode_text,
         "s3_scan_csv": _scan_csv,
+        "s3_scan_csv_files": _scan_csv_files,
         "s4_scan_json_docs": lambda s, d: sf.scan_json(c.order_corpus(s, d, "jdocs")).select("doc_id", "reason"),
         "s7_scan_requests": lambda s, d: rq.scan_requests(_events(s, d)).select(*REQUEST_COLUMNS),
         "s8_decode_base64": on(c.requests, _decode_base64),
         "s9_write_results": lambda s, d: _written(_processed(s, d), sinks.write_results, ["req_id", "file_name", "doc_type", "length"]),
+        "s9_text_files": _text_files,
         "s9_written_results": lambda s, d: _written(_processed(s, d), sinks.write_results, ["req_id", "doc_type", "output_format", "result"]),
         "s10_write_rejects": lambda s, d: _written(_rejected(s, d), sinks.write_rejects, ["req_id", "file_name", "reason"]),
         "p1_admit": lambda s, d: routing.admit(_stored(s, d)).select("req_id", "ext", "reason"),
@@ -205,6 +240,7 @@ def ingest_queries() -> dict[str, Query]:
         "e1_result_all": _result_all,
         "e1_result_sizes": lambda s, d: results.result_rows(_processed(s, d)),
         "e2_reject_row": lambda s, d: results.reject_rows(_rejected(s, d)),
+        "e2_stored_objects": _stored_objects,
         "e3_capabilities": lambda s, d: results.usage(
             c.requests(s, d).select(routing.request_extension(F.col("file_name")).alias("ext"))),
         "e4_reader_fallback": lambda s, d: _processed(s, d).select("req_id", "reader", "action"),
@@ -247,9 +283,8 @@ def rollup_queries() -> dict[str, Query]:
     return {
         "r1_corpus_profile": on(c.texts, rollups.corpus_profile),
         "r2_metric_frequency": on(c.texts, rollups.metric_frequency),
-        "r3_tag_inventory": lambda s, d: rollups.tag_inventory(
-            src.xml_elements(c.order_corpus(s, d, "xdocs"), ["clean_tag", "n_attributes", "text_length"])),
-        "r4_key_inventory": lambda s, d: rollups.key_inventory(src.json_nodes(c.order_corpus(s, d, "jdocs"), ["path", "kind"])),
+        "r3_tag_inventory": lambda s, d: rollups.tag_inventory(c.order_corpus(s, d, "xdocs")),
+        "r4_key_inventory": lambda s, d: rollups.key_inventory(c.order_corpus(s, d, "jdocs")),
         "r5_flag_agreement": lambda s, d: rollups.flag_agreement(c.spread(c.table(s, d, "documents").select("lang", "text"))),
     }
 
@@ -399,12 +434,27 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
 def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _streamed(spark, sf_dir)
     columns = ["req_id", "file_name", "doc_type", "reason"]
-    results_, rejects_ = (spark.read.parquet(f"{out}/{kind}").select(*columns) for kind in ["results", "rejects"])
+    results_, rejects_ = (jobs.read_batches(spark, out, kind).select(*columns) for kind in ["results", "rejects"])
     return results_.unionByName(rejects_)
 
 
 def _stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{_streamed(spark, sf_dir)}/results").select("req_id", "output_format", "result")
+    return jobs.read_batches(spark, _streamed(spark, sf_dir), "results").select("req_id", "output_format", "result")
+
+
+def _stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the stream's results those whose text SQL can express."""
+    return _expressible(jobs.read_batches(spark, _streamed(spark, sf_dir), "results")).select("req_id", "output_format", "reader", "result")
+
+
+def _arrived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its own, and the text that the stream has of it."""
+    folder = shared.new_folder(spark)
+    texts = c.documents(spark, sf_dir).select(F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("body"))
+    textfiles.write_documents(texts, f"{folder}/in")
+    jobs.file_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", "*.txt").awaitTermination()
+    doc_id = F.regexp_extract("file_name", r"doc_(-?\d+)\.txt$", 1).cast("bigint")
+    return spark.read.parquet(f"{folder}/out").select(doc_id.alias("doc_id"), "text", "reason")
 
 
 def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +467,8 @@ def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_queries() -> dict[str, Query]:
-    return {"st1_request_stream": _request_stream, "st1_stream_results": _stream_results, "st2_file_arrival": _file_stream}
+    return {"st1_request_stream": _request_stream, "st1_stream_results": _stream_results, "st1_stream_text": _stream_text,
+            "st2_file_arrival": _file_stream, "st2_arrived_documents": _arrived_documents}
 
 
 def all_queries() -> dict[str, Query]:

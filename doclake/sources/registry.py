@@ -12,6 +12,10 @@ from doclake import fixed
 
 DocsReader = Callable[[DataFrame], DataFrame]
 
+#: What a reader of one's own makes of its files: text that is shown as it is; markdown of a Word document; JSON, YAML or XML text; or
+#: cells (doc_id, sheet, row_idx, col_idx, value, kind) of workbooks. All but text get the reports of their kind.
+OUTPUTS = ("text", "markdown", "json", "yaml", "xml", "cells")
+
 
 @dataclass(frozen=True)
 class Reader:
@@ -20,18 +24,21 @@ class Reader:
     doc_type: str
     fence: str | None = None
     on_error: str = "reject"
-    fn: DocsReader | None = None  # files of this extension → docs(doc_id, text)
+    fn: DocsReader | None = None  # files of this extension (doc_id, content, …) → docs(doc_id, text), or cells
+    output: str = "text"
 
 
 @dataclass(frozen=True)
 class Registry:
     readers: tuple[Reader, ...] = tuple(Reader(*row) for row in fixed.READERS)
 
-    def register(self, ext: str, doc_type: str, fn: DocsReader, fence: str | None = None) -> "Registry":
-        """A new registry in which ``fn`` reads files of this extension."""
+    def register(self, ext: str, doc_type: str, fn: DocsReader, fence: str | None = None, output: str = "text") -> "Registry":
+        """A new registry in which ``fn`` reads files of this extension; ``output`` tells what it makes of them."""
+        if output not in OUTPUTS:
+            raise ValueError(f"output must be one of {', '.join(OUTPUTS)}")
         ext = ext.lower()
         kept = tuple(r for r in self.readers if r.ext != ext)
-        return replace(self, readers=kept + (Reader(ext, f"custom:{ext}", doc_type, fence, "reject", fn),))
+        return replace(self, readers=kept + (Reader(ext, f"custom:{ext}", doc_type, fence, "reject", fn, output),))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """The registry as a table; its size is that of the driver-side list."""

@@ -16,8 +16,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doclake.functions.frames import computed
+
 FLUSH_ROWS = 50_000
 
 
@@ -146,16 +149,20 @@ def _yaml_loader():
     return getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
 
-def json_columns(text: str, out: dict[str, list]) -> int:
-    """Append the nodes of a JSON text. Repeated keys (the last one counts), NaN and integers of any length are read."""
+def json_value(text: str):
+    """The value of a JSON text. Repeated keys (the last one counts), NaN and integers of any length are read."""
     sys.set_int_max_str_digits(0)
     try:
-        root = json.loads(text)
+        return json.loads(text)
     except ValueError as e:
         raise Unreadable(str(e)) from None
     except RecursionError:
         raise Unreadable("nested too deeply") from None
-    return node_columns(root, out, len(text) + 1)
+
+
+def json_columns(text: str, out: dict[str, list]) -> int:
+    """Append the nodes of a JSON text."""
+    return node_columns(json_value(text), out, len(text) + 1)
 
 
 def yaml_columns(text: str, out: dict[str, list]) -> int:
@@ -309,65 +316,165 @@ def xml_elements(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return _exploded(docs, xml_columns, {n: ELEMENT_FIELDS[n] for n in fields or ELEMENT_FIELDS})
 
 
+#: Different keys that a task counts before they leave it.
+COUNTED_KEYS = 100_000
+_POSITION = re.compile(r"\[[0-9]+\]")
+
+
+def _counted(docs: DataFrame, keys_of: Callable[[str], dict[tuple, list[int]]], keys: list[str], sums: list[str]) -> DataFrame:
+    """(keys, docs, sums) of the documents of a task, counted before they leave it; ``keys_of`` is what one text has of each key."""
+    schema = pa.schema([*((k, pa.string()) for k in keys), *((n, pa.int64()) for n in ("docs", *sums))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*((*k, *v) for k, v in total.items()))) or [[]] * len(schema)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+            total.clear()
+            return batch
+
+        for b in batches:
+            for text in b.column("text"):
+                if not text.is_valid:
+                    continue
+                try:
+                    found = keys_of(text.as_py())
+                except Unreadable:
+                    continue
+                for key, values in found.items():
+                    held = total.get(key)
+                    if held is None:
+                        total[key] = [1, *values]
+                    else:
+                        held[0] += 1
+                        for i, v in enumerate(values, 1):
+                            held[i] += v
+                if len(total) >= COUNTED_KEYS:
+                    yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, ", ".join(f"{f.name} {_SPARK_TYPES[f.type]}" for f in schema))
+
+
+def json_path_counts(docs: DataFrame) -> DataFrame:
+    """r4: (path, kind, docs, nodes) of the JSON documents of each task; array positions are dropped from paths."""
+    steps: dict[str, str] = {}
+
+    def paths(text: str) -> dict[tuple, list[int]]:
+        found: dict[tuple, list[int]] = {}
+        stack = [(json_value(text), "$")]
+        while stack:
+            v, path = stack.pop()
+            kind = type(v)
+            found.setdefault((path, _KINDS.get(kind, "Other")), [0])[0] += 1
+            if kind is dict:
+                for k, child in v.items():
+                    if k not in steps:
+                        if len(steps) > COUNTED_KEYS:
+                            steps.clear()
+                        steps[k] = _POSITION.sub("[*]", step("", sound(str(k))))
+                    stack.append((child, path + steps[k]))
+            elif kind is list:
+                path += "[*]"
+                stack += [(child, path) for child in v]
+        return found
+
+    return _counted(docs, paths, ["path", "kind"], ["nodes"])
+
+
+def xml_tag_counts(docs: DataFrame) -> DataFrame:
+    """r3: (clean_tag, docs, elements, attributes, text_length) of the XML documents of each task."""
+
+    def tags(text: str) -> dict[tuple, list[int]]:
+        found: dict[tuple, list[int]] = {}
+        for e in _root(text).iter():
+            held = found.setdefault((e.tag.split("}", 1)[-1],), [0, 0, 0])
+            held[0] += 1
+            held[1] += len(e.attrib)
+            held[2] += len((e.text or "").strip())
+        return found
+
+    return _counted(docs, tags, ["clean_tag"], ["elements", "attributes", "text_length"])
+
+
 def with_trees(rows: DataFrame, reader: str = "reader", wanted: str | None = None, node_fields: list[str] | None = None,
-               element_fields: list[str] | None = None) -> DataFrame:
+               element_fields: list[str] | None = None, raw: str | None = None) -> DataFrame:
     """``rows`` (text and any other columns) with what one parser pass finds, beside each text:
 
     ``status`` (``ok``, ``noted``, ``malformed``; null for readers without a tree), ``error``, and ``nodes`` or ``elements`` as arrays in document
     order. ``reader`` is a column or one of the reader names; where the column ``wanted`` is false, only status and error are
-    found. Nothing is joined or shuffled, so ids may be null or repeated.
+    found. ``raw`` is a column of XML bytes that are not UTF-8; they are decoded as they declare, and ``text`` is set.
+
+    Nothing is joined or shuffled, so ids may be null or repeated. Only texts that have a tree go to Python, and their nodes come back
+    as soon as there are FLUSH_ROWS of them.
     """
     nodes, elements = node_fields or list(NODE_FIELDS), element_fields or list(ELEMENT_FIELDS)
     types = {"nodes": {n: NODE_FIELDS[n] for n in nodes}, "elements": {n: ELEMENT_FIELDS[n] for n in elements}}
     ddl = lambda fields: "array<struct<" + ",".join(f"{n}:{_SPARK_TYPES[t]}" for n, t in fields.items()) + ">>"
-    added = T.StructType.fromDDL("status string, error string, " + ", ".join(f"{n} {ddl(f)}" for n, f in types.items()))
-    kept = [c for c in rows.columns if c not in added.names]
+    found = T.StructType.fromDDL("status string, error string, " + ", ".join(f"{n} {ddl(f)}" for n, f in types.items()) + ", decoded string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            n = batch.num_rows
-            readers = batch.column(reader).to_pylist() if reader in kept else [reader] * n
-            asked = batch.column(wanted).to_pylist() if wanted else [True] * n
-            status: list = [None] * n
-            error: list = [None] * n
-            columns = {kind: {f: [] for f in fields} for kind, fields in types.items()}
-            sizes = {kind: [None] * n for kind in types}
-            for i, text in enumerate(batch.column("text")):
-                if not text.is_valid or readers[i] not in READERS:
-                    continue
-                kind = "elements" if readers[i] == "xml" else "nodes"
-                try:
-                    found = READERS[readers[i]](text.as_py(), columns[kind] if asked[i] else {})
-                    status[i], sizes[kind][i] = "ok", found if asked[i] else None
-                except Unreadable as e:
-                    status[i], error[i] = "noted" if e.noted else "malformed", str(e)
-            arrays = []
-            for kind, fields in types.items():
-                offsets = [0]
-                for size in sizes[kind]:
-                    offsets.append(offsets[-1] + (size or 0))
-                values = pa.StructArray.from_arrays([pa.array(columns[kind][f], t) for f, t in fields.items()], names=list(fields))
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([size is None for size in sizes[kind]])))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(status, pa.string()), pa.array(error, pa.string()), *arrays], names=[*kept, *added.names])
-
-    return rows.select(*kept).mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, *added.fields]))
-
-
-def decoded_xml(rows: DataFrame, column: str) -> DataFrame:
-    """rows with ``text`` of XML bytes in ``column`` (null elsewhere) decoded as they declare; no pass over rows without such bytes
-    but the one that Arrow makes."""
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(column)
-            if raw.null_count < b.num_rows:
-                texts = [xml_text(r.as_py()) if r.is_valid else x.as_py() for r, x in zip(raw, b.column("text"))]
-                b = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
-            yield b
-
-    return rows.mapInArrow(run, rows.schema)
+            held = _Parsed(types)
+            for kind, text, data, asked in zip(*batch):
+                if held.size >= FLUSH_ROWS:
+                    yield held.array()
+                    held = _Parsed(types)
+                held.add(kind.as_py(), text.as_py(), data.as_py(), asked.as_py())
+            if held.status:
+                yield held.array()
+
+    kept = [c for c in rows.columns if c not in found.names]
+    kind = F.col(reader) if reader in kept else F.lit(reader)
+    has_tree = kind.isin(*READERS)
+    asked = F.col(wanted) if wanted else F.lit(True)
+    data = F.when(has_tree, F.col(raw)) if raw else F.lit(None).cast("binary")
+    parsed = F.arrow_udf(parse, found)(F.when(has_tree, kind), F.when(has_tree, F.col("text")), data, asked)
+    with_found = computed(rows.select(*kept), {"__found": parsed})
+    text = {"text": F.coalesce("__found.decoded", "text")} if raw else {}
+    return with_found.withColumns(text | {n: F.col(f"__found.{n}") for n in found.names[:-1]}).drop("__found", *([raw] if raw else []))
+
+
+class _Parsed:
+    """Results of the documents of a batch so far."""
+
+    def __init__(self, types: dict[str, dict]):
+        self.types, self.size = types, 0
+        self.status: list[str | None] = []
+        self.error: list[str | None] = []
+        self.decoded: list[str | None] = []
+        self.columns = {kind: {f: [] for f in fields} for kind, fields in types.items()}
+        self.sizes: dict[str, list[int | None]] = {kind: [] for kind in types}
+
+    def add(self, reader: str | None, text: str | None, raw: bytes | None, asked: bool | None) -> None:
+        decoded = xml_text(raw) if raw is not None else None
+        text = decoded if raw is not None else text
+        status = error = None
+        sizes = dict.fromkeys(self.types)
+        if reader is not None and text is not None:
+            kind = "elements" if reader == "xml" else "nodes"
+            try:
+                n = READERS[reader](text, self.columns[kind] if asked else {})
+                status, sizes[kind] = "ok", n if asked else None
+                self.size += n
+            except Unreadable as e:
+                status, error = "noted" if e.noted else "malformed", str(e)
+        self.status.append(status)
+        self.error.append(error)
+        self.decoded.append(decoded)
+        for kind, size in sizes.items():
+            self.sizes[kind].append(size)
+
+    def array(self) -> pa.Array:
+        arrays = [pa.array(self.status, pa.string()), pa.array(self.error, pa.string())]
+        for kind, fields in self.types.items():
+            offsets = [0]
+            for size in self.sizes[kind]:
+                offsets.append(offsets[-1] + (size or 0))
+            values = pa.StructArray.from_arrays([pa.array(self.columns[kind][f], t) for f, t in fields.items()], names=list(fields))
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([size is None for size in self.sizes[kind]])))
+        return pa.StructArray.from_arrays([*arrays, pa.array(self.decoded, pa.string())], names=["status", "error", *self.types, "decoded"])
 
 
 def document_status(docs: DataFrame, reader: str) -> DataFrame:

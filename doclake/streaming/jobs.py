@@ -3,31 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from doclake.plans.process import process, rejects
+from doclake.plans.process import outcomes
 from doclake.sources import files as sf
 from doclake.sources import requests as rq
+from doclake.sources.objects import Store
 from doclake.sources.registry import DEFAULT, Registry
 
 
 def request_stream(
     spark: SparkSession, source: str, target: str, checkpoint: str, processed_at: str, registry: Registry = DEFAULT,
-    files: DataFrame | None = None,
+    files: DataFrame | None = None, store: Store | None = None,
 ) -> StreamingQuery:
-    """st1: JSON lines of requests → ``target/results`` and ``target/rejects``; ``files`` (path, content) holds stored objects.
+    """st1: JSON lines of requests → results and rejects under ``target``; ``store`` or ``files`` (path, content) has stored objects.
 
-    Every micro-batch owns its output folders and overwrites them, so a batch that is run again after a failure
-    leaves the same rows once.
+    Every micro-batch is parsed once and written once, results and rejects beside each other, and is visible from the moment when its
+    manifest is there. A batch that is run again after a failure replaces what it had written, or does nothing if it was visible.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        requests = rq.scan_requests(batch).persist()
-        try:
-            done = process(requests, processed_at, registry, files)
-            done.write.mode("overwrite").parquet(f"{target}/results/batch={batch_id}")
-            rejects(requests, registry, files).write.mode("overwrite").parquet(f"{target}/rejects/batch={batch_id}")
-        finally:
-            requests.unpersist()
+        if batch_id in visible_batches(spark, target):
+            return
+        done = outcomes(rq.scan_requests(batch), processed_at, registry, files, store)
+        kind = F.when(F.col("reason").isNull(), "results").otherwise("rejects")
+        done.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{target}/batches/batch={batch_id}")
+        make_visible(spark, target, batch_id)
 
     return (
         spark.readStream.text(source).writeStream.foreachBatch(run)
@@ -35,6 +36,31 @@ def request_stream(
     )
 
 
+def _manifests(spark: SparkSession, target: str):
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{target}/manifests")
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
+
+
+def visible_batches(spark: SparkSession, target: str) -> list[int]:
+    """Batches whose manifest is there."""
+    system, folder = _manifests(spark, target)
+    return sorted(int(f.getPath().getName()) for f in system.listStatus(folder)) if system.exists(folder) else []
+
+
+def make_visible(spark: SparkSession, target: str, batch_id: int) -> None:
+    """The manifest of a batch: an empty file with its number, which appears in one step."""
+    system, folder = _manifests(spark, target)
+    system.mkdirs(folder)
+    system.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, str(batch_id)), False).close()
+
+
+def read_batches(spark: SparkSession, target: str, kind: str) -> DataFrame:
+    """``results`` or ``rejects`` of all visible batches; there must be one."""
+    batches = [f"{target}/batches/batch={b}" for b in visible_batches(spark, target)]
+    return spark.read.option("basePath", f"{target}/batches").parquet(*batches).filter(F.col("kind") == kind).drop("kind", "batch")
+
+
 def arriving_files(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
     """st2: new files of a directory as a stream of documents (text, or the reason why not)."""
     reader = spark.readStream.format("binaryFile").schema(sf.FILE_SCHEMA).option("recursiveFileLookup", True)
