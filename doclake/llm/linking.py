@@ -3,7 +3,8 @@
 No bucket is expanded into all its pairs. In every round each open bucket names leaders, the leaders are compared with the members
 that are not yet connected to them, and links merge components. A bucket is closed when the members that have not led all lie
 in one component: every pair of its members has then been compared, or is connected already. The number of leaders grows 32-fold
-from round to round, so the number of rounds grows with the logarithm of a bucket's size, whatever the bucket holds.
+from round to round, so the number of rounds grows with the logarithm of a bucket's size, whatever the bucket holds. Where members of a
+large bucket are near each other but few are similar, that many leaders make many pairs; ``blocks`` then takes over after one round.
 """
 
 from __future__ import annotations
@@ -48,9 +49,13 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 def connect(
     members: DataFrame, verified: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column] | None = None,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, comp) of all items that are linked to another one.
 
+    With ``finish``, leaders meet members only once, and what is open then goes to it as a table (bucket, id, comp): it returns links
+    (a, b) that join all components with similar members in a bucket.
+
     ``members`` (bucket, id, and ``sketch`` with ``alike``) is a table of the buckets of each item; ``verified`` takes pairs (a, b) and returns
     those that are similar. ``alike`` compares two sketches while leaders meet members, and keeps pairs that cannot be similar from
     becoming rows.
@@ -77,4 +82,6 @@ def connect(
         state = written(rest.join(open_ones, "bucket"))
         if state.isEmpty():
             return labels
+        if finish is not None:
+            return components(links.union(written(finish(state).select("a", "b"))))
         per_bucket *= GROWTH

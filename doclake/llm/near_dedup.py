@@ -2,8 +2,9 @@
 
 Documents are weighted sets of five-word shingles: occurrences times the mean inverse document frequency of the shingle's words.
 Improved consistent weighted sampling draws samples whose collision probability is the weighted Jaccard similarity; bands of
-samples make buckets, candidates from buckets that agree in enough samples are verified by the exact weighted Jaccard similarity, and links are closed to
-classes. Equal texts are one item from the start.
+samples make buckets, candidates of a bucket are verified by the exact weighted Jaccard similarity, and links are closed to classes. A
+bucket's members first meet one of them; where that does not connect them all, the rest meet each other in blocks (``blocks``). Equal
+texts are one item from the start.
 
 Document frequencies are kept for a fixed number of word slots (words with one hash remainder share theirs), so the table that
 every task gets has the same size for any corpus, while the counts cover all documents.
@@ -20,15 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.llm import shingles
+from doclake.llm.blocks import block_links
 from doclake.llm.common import written
 from doclake.llm.linking import connect, shared_buckets
 
-SLOTS = 1 << 16
+#: Slots of words for document frequencies.
+SLOTS = 1 << 20
 #: Similarity from which two documents are near-duplicates; bands of samples.
 THRESHOLD, BANDS, ROWS = 0.8, 10, 4
 #: Samples that two documents must have in common before their texts are compared. A pair of similarity 0.8 has 32 of the 40 on
-#: average and fewer than 26 once in 200 times; one of 0.5 has 26 once in 25 times.
-AGREE = 26
+#: average and fewer than 20 five times in a million; one of 0.3 has 20 once in 160 times.
+AGREE = 20
 #: Shingles that are sampled at a time.
 BLOCK = 2048
 
@@ -52,15 +55,11 @@ def word_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(counts[used], rows), pa.int64())], names=["slot", "n"])
 
-    found = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most SLOTS + 1 rows
+    found = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS + 1 rows
+    slots, counts = (found.column(c).to_numpy() for c in ("slot", "n"))
     out = np.zeros(SLOTS, np.int64)
-    total = 0
-    for r in found:
-        if r["slot"] < 0:
-            total = r["n"]
-        else:
-            out[r["slot"]] = r["n"]
-    return out, total
+    out[slots[slots >= 0]] = counts[slots >= 0]
+    return out, int(counts[slots < 0].sum())
 
 
 def inverse(frequencies: np.ndarray, total: int) -> np.ndarray:
@@ -68,17 +67,30 @@ def inverse(frequencies: np.ndarray, total: int) -> np.ndarray:
     return (1 + np.log((1 + total) / (1 + frequencies))).astype(np.float32)
 
 
-def weighted(text: str, idf: np.ndarray, ids: shingles.WordIds) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a text in order, and their weights."""
+def _counted(text: str, idf: np.ndarray, ids: shingles.WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a text in order, how often each occurs, and its mean inverse document frequency."""
     words = shingles.word_hashes(text, ids)
     if not len(words):
-        return words, np.zeros(0, np.float32)
+        return words, np.zeros(0, np.int64), np.zeros(0, np.float32)
     all_ = shingles.of_words(words)
     size = min(shingles.SIZE, len(words))
     own = idf[(words % np.uint64(SLOTS)).astype(np.int64)]
     means = np.convolve(own, np.ones(size, np.float32) / size, "valid")
     found, first, counts = np.unique(all_, return_index=True, return_counts=True)
-    return found, (counts * means[first]).astype(np.float32)
+    return found, counts, means[first]
+
+
+def weighted(text: str, idf: np.ndarray, ids: shingles.WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a text in order, and their weights."""
+    found, counts, means = _counted(text, idf, ids)
+    return found, (counts * means).astype(np.float32)
+
+
+def occurrences(text: str, idf: np.ndarray, ids: shingles.WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """The same weighted set with an element for the first, second, … occurrence of each shingle, all of one weight."""
+    found, counts, means = _counted(text, idf, ids)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return shingles.mixed(np.repeat(found, counts) + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), np.repeat(means, counts)
 
 
 def _uniform(x: np.ndarray, shift: int) -> np.ndarray:
@@ -118,11 +130,14 @@ def bands(texts: DataFrame, idf: np.ndarray, n_bands: int = BANDS, rows: int = R
     """(bucket, id, sketch): the bucket keys of items (id, text) that have words, and a byte of each of their samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights = shingles.WordIds(), idf
+        ids, weights, seen = shingles.WordIds(), idf, set()
         salts = shingles.mixed(np.arange(1, n_bands + 1, dtype=np.uint64))
         for b in batches:
             keys, owners, sketches = [], [], []
             for owner, t in zip(b.column("id").to_pylist(), b.column("text")):
+                if owner in seen:  # an equal text of this task
+                    continue
+                seen.add(owner)
                 found, w = weighted(t.as_py() or "", weights, ids)
                 if not len(found):
                     continue
@@ -202,7 +217,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = shared_buckets(written(bands(own, idf).distinct()))
     wanted = members.select("id").distinct()
     texts = written(packed(own.join(wanted, "id", "left_semi").dropDuplicates(["id"])))
-    return connect(members, lambda pairs: similar_pairs(pairs, texts, idf, threshold), alike).withColumnRenamed("id", "item")
+
+    def vector():
+        ids, z = shingles.WordIds(), zstandard.ZstdDecompressor()
+        return lambda raw: occurrences(z.decompress(raw).decode(), idf, ids)
+
+    found = connect(members, lambda pairs: similar_pairs(pairs, texts, idf, threshold), alike,
+                    lambda open_ones: block_links(open_ones, texts, vector, threshold))
+    return found.withColumnRenamed("id", "item")
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
