@@ -26,7 +26,9 @@ from doclake.llm.shingles import mixed
 
 LENGTH = 400
 #: Bytes of an anchor; starts that are handled at a time; bytes of contexts in one suffix array; contexts of an anchor in one shard.
-ANCHOR, BATCH_BYTES, SHARD_BYTES, SHARD_CONTEXTS = 96, 2 << 20, 4 << 20, 2000
+ANCHOR, BATCH_BYTES, SHARD_BYTES, SHARD_CONTEXTS = 96, 2 << 20, 1 << 20, 2000
+#: Bytes of contexts that a task gathers before they leave it.
+FLUSH_BYTES = 4 << 20
 
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
@@ -201,17 +203,26 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
 def _contexts(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     """``wanted`` (k1, k2, a, n, fp, salts, single) with the bytes of each context."""
 
+    names = ["k1", "k2", "a", "n", "fp", "salt", "salts", "single", "bytes"]
+    types = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
+        rows, size = [], 0
         for b in batches:
-            rows = []
-            for k1, k2, marks, raw in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("marks").to_pylist(), b.column("z")):
+            for k1, k2, marks, raw in zip(*(b.column(c) for c in ("k1", "k2", "marks", "z"))):
                 text = z.decompress(raw.as_py())
-                rows += [(k1, k2, m["a"], m["n"], m["fp"], m["salt"], m["salts"], m["single"], text[m["a"] : m["a"] + m["n"] + length - 1]) for m in marks]
-            names = ["k1", "k2", "a", "n", "fp", "salt", "salts", "single", "bytes"]
-            types = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                for m in marks.as_py():
+                    rows.append((k1.as_py(), k2.as_py(), m["a"], m["n"], m["fp"], m["salt"], m["salts"], m["single"], text[m["a"] : m["a"] + m["n"] + length - 1]))
+                    size += len(rows[-1][-1])
+                    if size >= FLUSH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "n", "fp", "salt", "salts", "single")).alias("marks"))
     return by_doc.join(packed.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "marks", "z").mapInArrow(
@@ -230,7 +241,7 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
         held: list[dict] = []
         size = 0
         for b in batches:
-            for r in b.to_pylist():
+            for r in (row for at in range(0, len(b), 500) for row in b.slice(at, 500).to_pylist()):
                 if size >= SHARD_BYTES and (r["fp"], r["salt"]) != (held[-1]["fp"], held[-1]["salt"]):
                     yield judged(held)
                     held, size = [], 0
