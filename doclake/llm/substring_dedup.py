@@ -1,9 +1,14 @@
-"""Repeated passages: paragraphs that are near-copies of others, and runs of sentences found in other documents.
+"""Repeated passages: paragraphs that are near-copies of others, and runs of words that stand in an earlier document.
 
-A paragraph is a line of enough words. MinHash signatures of its five-word shingles are cut into bands tuned for high recall,
-colliding paragraphs are verified by their exact Jaccard similarity, and links are closed to classes, of which the first
-occurrence stays. A passage inside a larger paragraph makes no similar paragraphs; so sentences are also matched exactly, and a run of
-matched sentences of as many words as a paragraph needs is removed wherever an earlier document has it.
+A paragraph is a line of enough words, or neighbouring shorter lines. MinHash signatures of its five-word shingles are cut into bands
+tuned for high recall, colliding paragraphs are verified by their exact Jaccard similarity or by their edit distance in words, and links
+are closed to classes, of which the first occurrence stays.
+
+A passage inside larger paragraphs makes no similar paragraphs. So windows of WINDOW words are matched, too: of their hashes, the least of
+every STRETCH neighbours is kept, so a passage of PASSAGE words has a kept window in common wherever it stands, whatever surrounds it.
+Documents that share one are read again around it, all windows there are matched, and runs of PASSAGE words and more are cut exactly.
+
+Words are compared without case and without punctuation around them; nothing depends on sentences.
 """
 
 from __future__ import annotations
@@ -15,190 +20,375 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.llm import shingles
+from doclake.llm.blocks import block_links
 from doclake.llm.common import packed_rows, row_key, written
-from doclake.llm.linking import connect, shared_buckets
+from doclake.llm.linking import connect
+from doclake.llm.shingles import mixed
+from doclake.llm.suffix_dedup import sliding_minimum
+
+#: Words of a paragraph; words from which neighbouring short lines are cut into several paragraphs.
+MIN_WORDS, LONG_RUN = 40, 160
+#: Jaccard similarity or share of unedited words of near-copies; bands and rows: at 0.8 a pair shares a bucket with probability 0.999, at
+#: 0.7, as three edits in 90 words make it, with 0.986.
+THRESHOLD, UNEDITED, BANDS, ROWS = 0.8, 0.9, 10, 3
+#: Of 16 samples of four bits, those that must agree before words are compared: a pair of similarity 0.8 has fewer four times in
+#: a hundred thousand, one of 0.7 once in a thousand.
+AGREE = 6
+#: Words of a matched window, of a passage; neighbouring windows of which one is kept.
+WINDOW, PASSAGE = 40, 50
+STRETCH = PASSAGE - WINDOW + 1
+
+_AROUND = "!\"#%&'()*+,-./:;<=>?@[]^_`{|}~«»„“”‘’…–—¿¡"
+_TOKEN = re.compile(r"\S+")
+_BASE = 0x5851F42D4C957F2D
+
+
+class NormalIds(dict):
+    """Hash of each word without case and punctuation around it, zero if nothing is left; kept for words met before."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.LIMIT:
+            self.clear()
+        core = word.strip(_AROUND).lower()
+        value = self[word] = xxhash.xxh3_64_intdigest(core.encode("utf-8", "replace")) | 1 if core else 0
+        return value
+
+
+def words_of(text: str, ids: NormalIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes of the words of a text, their places among its tokens, their lines, and the number of lines."""
+    tokens: list[int] = []
+    counts: list[int] = []
+    for line in text.split("\n"):
+        found = line.split()
+        tokens += [ids[w] for w in found]
+        counts.append(len(found))
+    hashes = np.array(tokens, np.uint64)
+    places = np.flatnonzero(hashes)
+    return hashes[places], places, np.repeat(np.arange(len(counts)), counts)[places], len(counts)
+
+
+def paragraphs(hashes: np.ndarray, lines: np.ndarray, n_lines: int) -> list[tuple[int, int, int, int]]:
+    """First and last line, first word and end of each paragraph.
+
+    Lines of MIN_WORDS words are paragraphs. Shorter ones without an empty line between them are one; where they have over LONG_RUN
+    words, they are cut before lines whose hash is the least of five neighbours, so the cuts depend on what stands there alone.
+    """
+    counts = np.bincount(lines, minlength=n_lines)
+    ends = np.cumsum(counts)
+    out: list[tuple[int, int, int, int]] = []
+    run: list[int] = []
 
-#: Words of a paragraph or of a run of sentences that counts as a passage; words of a sentence that can be matched by itself.
-MIN_WORDS, MIN_SENTENCE = 40, 5
-#: Jaccard similarity of near-copies; bands and rows: at 0.8 a pair shares a bucket with probability 0.997.
-THRESHOLD, BANDS, ROWS = 0.8, 8, 3
-_ENDS = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
+    def unit(first: int, last: int) -> None:
+        out.append((first, last, int(ends[first] - counts[first]), int(ends[last])))
 
+    def close() -> None:
+        total = int(counts[run].sum()) if run else 0
+        if MIN_WORDS <= total <= LONG_RUN:
+            unit(run[0], run[-1])
+        elif total > LONG_RUN:
+            values = np.array([xxhash.xxh3_64_intdigest(hashes[ends[i] - counts[i] : ends[i]].tobytes()) for i in run], np.uint64)
+            parts, size = [[]], 0
+            for k, i in enumerate(run):
+                if size >= MIN_WORDS and values[k] == values[max(0, k - 2) : k + 3].min():
+                    parts.append([])
+                    size = 0
+                parts[-1].append(i)
+                size += int(counts[i])
+            if size < MIN_WORDS and len(parts) > 1:
+                parts[-2:] = [parts[-2] + parts[-1]]
+            for part in parts:
+                unit(part[0], part[-1])
+        run.clear()
 
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Bounds of the lines of a text."""
-    out, start = [], 0
-    for part in text.split("\n"):
-        out.append((start, start + len(part)))
-        start += len(part) + 1
+    for i, n in enumerate(counts.tolist()):
+        if n >= MIN_WORDS:
+            close()
+            unit(i, i)
+        elif n:
+            run.append(i)
+        else:
+            close()
+    close()
     return out
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """Bounds and words of the sentences of a text: they end after a full stop, question or exclamation mark before white space, or
-    with their line. Together with the white space after them they cover the text."""
-    out, start = [], 0
-    for m in _ENDS.finditer(text):
-        out.append((start, m.end(), len(text[start:m.end()].split())))
-        start = m.end()
-    if start < len(text):
-        out.append((start, len(text), len(text[start:].split())))
+def signatures(found: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
+    """Minima of ``count`` hash functions over segments (start, end) of a sequence of shingles."""
+    seeds = mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    padded = np.append(mixed(found), np.uint64(0xFFFFFFFFFFFFFFFF))
+    out = np.empty((len(bounds), count), np.uint64)
+    step = max(1, 400_000 // len(padded))
+    for at in range(0, count, step):
+        values = padded[:, None] * seeds[None, at : at + step]
+        out[:, at : at + step] = np.minimum.reduceat(values, bounds.ravel(), axis=0)[::2]
     return out
 
 
-def _digest(text: str) -> int:
-    """Signed 64-bit hash of the words of a text."""
-    value = xxhash.xxh3_64_intdigest(" ".join(text.split()).encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >> 63 else value
-
-
-def signature(found: np.ndarray, count: int) -> np.ndarray:
-    """Minimum of ``count`` hash functions over a set of shingles."""
-    seeds = shingles.mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    best = np.full(count, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for start in range(0, len(found), 4096):
-        best = np.minimum(best, shingles.mixed(found[start : start + 4096, None] ^ seeds[None, :]).min(axis=0))
-    return best
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, line, item) of every paragraph; items are hashes of its words."""
+def band_keys(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of each paragraph, and its 16 samples of four bits."""
+    drawn = mixed(signature).reshape(len(signature), BANDS, ROWS)
+    key = np.tile(mixed(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(signature), 1))
+    for k in range(ROWS):
+        key = mixed(key + drawn[:, :, k])
+    nibbles = drawn.reshape(len(signature), -1)[:, :16] & np.uint64(15)
+    sketch = np.zeros(len(signature), np.uint64)
+    for k in range(16):
+        sketch |= nibbles[:, k] << np.uint64(4 * k)
+    return key, sketch
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether two sketches agree in AGREE samples."""
+    x = a.bitwiseXOR(b)
+    for shift in (1, 2):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))) <= 16 - AGREE
+
+
+def window_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hash of every window of WINDOW words."""
+    if len(hashes) < WINDOW:
+        return np.zeros(0, np.uint64)
+    out, done, power, width = None, 0, mixed(hashes), 1
+    while True:
+        if WINDOW & width:
+            if out is None:
+                out, done = power, width
+            else:
+                n = len(hashes) - done - width + 1
+                out = out[:n] * np.uint64(pow(_BASE, width, 1 << 64)) + power[done : done + n]
+                done += width
+        if done == WINDOW:
+            return mixed(out[: len(hashes) - WINDOW + 1])
+        n = len(power) - width
+        power = power[:n] * np.uint64(pow(_BASE, width, 1 << 64)) + power[width : width + n]
+        width *= 2
+
+
+def kept_windows(hashes: np.ndarray) -> np.ndarray:
+    """Places of the least of every STRETCH neighbouring window hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    mask = np.uint64((1 << 32) - 1)
+    ranked = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
+    return np.unique((sliding_minimum(ranked, min(STRETCH, len(hashes))) & mask).astype(np.int64))
+
+
+MARKS = (
+    "k1 bigint, k2 bigint, t bigint, n_words bigint, paragraphs array<struct<line:bigint,item:bigint>>, "
+    "bands array<struct<item:bigint,sketch:bigint,keys:array<bigint>>>, windows array<struct<place:bigint,h:bigint>>"
+)
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: its paragraphs by first line and hash, bands of paragraphs new to the task, and kept windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, seen, known = NormalIds(), set(), set()
         for b in batches:
-            rows = []
-            for k1, k2, t in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text")):
-                text = t.as_py() or ""
-                for i, (x, y) in enumerate(paragraphs(text)):
-                    if y - x >= 2 * MIN_WORDS - 1 and len(text[x:y].split()) >= MIN_WORDS:
-                        rows.append((k1, k2, i, _digest(text[x:y])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["k1", "k2", "line", "item"])
-
-    return docs.select(*row_key("doc_id", "text"), "text").mapInArrow(run, "k1 bigint, k2 bigint, line bigint, item bigint")
-
-
-def _with_paragraphs(firsts: DataFrame, packed: DataFrame) -> DataFrame:
-    """(id, words): the word hashes of items given by one occurrence (k1, k2, line, item)."""
+            for at in range(0, len(b), 256):
+                yield marked(b.slice(at, 256), ids, seen, known)
+
+    def marked(b: pa.RecordBatch, ids: NormalIds, seen: set[int], known: set[int]) -> pa.RecordBatch:
+        out: dict[str, list] = {c: [] for c in ("n_words", "paragraphs", "bands", "windows")}
+        for text, t in zip(b.column("text"), b.column("t").to_pylist()):
+            hashes, _, lines, n_lines = words_of(text.as_py() or "", ids)
+            units = paragraphs(hashes, lines, n_lines)
+            items = [xxhash.xxh3_64_intdigest(hashes[s:e].tobytes()) for _, _, s, e in units]
+            signed = np.array(items, np.uint64).view(np.int64).tolist()
+            fresh = {x: k for k, x in enumerate(signed) if x not in seen}
+            bands = []
+            if fresh:
+                seen.update(fresh)
+                bounds = np.array([(units[k][2], units[k][3] - shingles.SIZE + 1) for k in fresh.values()])
+                keys, sketches = band_keys(signatures(shingles.of_words(hashes), bounds, BANDS * ROWS))
+                bands = [{"item": x, "sketch": s, "keys": k} for x, s, k in zip(fresh, sketches.view(np.int64).tolist(), keys.view(np.int64).tolist())]
+            windows = []
+            if t not in known:  # of equal texts, one row of a task has the windows
+                known.add(t)
+                whole = window_hashes(hashes)
+                places = kept_windows(whole)
+                windows = [{"place": p, "h": h} for p, h in zip(places.tolist(), whole[places].view(np.int64).tolist())]
+            for name, value in (("n_words", len(hashes)), ("paragraphs", [{"line": u[0], "item": x} for u, x in zip(units, signed)]),
+                                ("bands", bands), ("windows", windows)):
+                out[name].append(value)
+        types = [pa.int64(), *(pa.list_(pa.struct(f)) for f in (
+            [("line", pa.int64()), ("item", pa.int64())], [("item", pa.int64()), ("sketch", pa.int64()), ("keys", pa.list_(pa.int64()))],
+            [("place", pa.int64()), ("h", pa.int64())]))]
+        columns = [*(b.column(c) for c in ("k1", "k2", "t")), *(pa.array(v, t) for v, t in zip(out.values(), types))]
+        return pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "t", *out])
+
+    return docs.select(*row_key("doc_id", "text"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, MARKS)
+
+
+# ---- paragraphs ---------------------------------------------------------------------------------
+
+
+def _with_words(firsts: DataFrame, packed: DataFrame) -> DataFrame:
+    """(id, z): the word hashes of items given by one occurrence (k1, k2, line, item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, z = shingles.WordIds(), zstandard.ZstdDecompressor()
+        ids, z = NormalIds(), zstandard.ZstdDecompressor()
         for b in batches:
             items, words = [], []
-            for wanted, raw in zip(b.column("wanted").to_pylist(), b.column("z")):
-                text = z.decompress(raw.as_py()).decode("utf-8", "surrogatepass")
-                bounds = paragraphs(text)
-                for w in wanted:
-                    x, y = bounds[w["line"]]
+            for wanted, raw in zip(b.column("wanted"), b.column("z")):
+                hashes, _, lines, n_lines = words_of(z.decompress(raw.as_py()).decode("utf-8", "surrogatepass"), ids)
+                of_line = {u[0]: u for u in paragraphs(hashes, lines, n_lines)}
+                for w in wanted.as_py():
+                    _, _, s, e = of_line[w["line"]]
                     items.append(w["item"])
-                    words.append(shingles.word_hashes(text[x:y], ids).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(words, pa.binary())], names=["id", "words"])
+                    words.append(hashes[s:e].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(words, pa.binary())], names=["id", "z"])
 
     by_doc = firsts.groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "item")).alias("wanted"))
-    return by_doc.join(packed.dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("wanted", "z").mapInArrow(run, "id bigint, words binary")
-
-
-def _bands(docs: DataFrame) -> DataFrame:
-    """(bucket, id) of every paragraph."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shingles.WordIds()
-        salts = shingles.mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-        for b in batches:
-            keys, items, seen = [], [], set()
-            for t in b.column("text"):
-                text = t.as_py() or ""
-                for x, y in paragraphs(text):
-                    if y - x < 2 * MIN_WORDS - 1 or len(text[x:y].split()) < MIN_WORDS:
-                        continue
-                    item = _digest(text[x:y])
-                    if item in seen:
-                        continue
-                    seen.add(item)
-                    drawn = signature(shingles.of_words(shingles.word_hashes(text[x:y], ids)), BANDS * ROWS).reshape(BANDS, ROWS)
-                    key = salts
-                    for k in range(ROWS):
-                        key = shingles.mixed(key + drawn[:, k])
-                    keys.append(key)
-                    items += [item] * BANDS
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(items, pa.int64())], names=["bucket", "id"])
-
-    return docs.select("text").mapInArrow(run, "bucket bigint, id bigint").distinct()
+    return by_doc.join(packed, ["k1", "k2"]).select("wanted", "z").mapInArrow(run, "id bigint, z binary").dropDuplicates(["id"])
+
+
+def shingle_set(raw: bytes) -> np.ndarray:
+    """Distinct shingles of the words of a paragraph."""
+    return np.unique(shingles.of_words(np.frombuffer(raw, np.uint32).astype(np.uint64)))
+
+
+def edits(a: list[int], b: list[int]) -> int:
+    """Edit distance of two sequences of words, bit-parallel."""
+    if not a or not b:
+        return len(a) + len(b)
+    of: dict[int, int] = {}
+    for i, x in enumerate(a):
+        of[x] = of.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, score = full, 0, len(a)
+    for y in b:
+        x = of.get(y, 0) | minus
+        same = (((x & plus) + plus) ^ plus) | x
+        down, up = plus & same, minus | ~(plus | same) & full
+        score += bool(up & top) - bool(down & top)
+        up = up << 1 | 1
+        minus, plus = up & same & full, (down << 1 | ~(up | same)) & full
+    return score
+
+
+def similar(a: bytes, b: bytes, threshold: float) -> bool:
+    """Whether two paragraphs have this Jaccard similarity, or differ in few words."""
+    x, y = shingle_set(a), shingle_set(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    if both >= threshold * union:
+        return True
+    n, m = len(a) // 4, len(b) // 4
+    allowed = int((1 - UNEDITED) * max(n, m))
+    # an edit changes at most SIZE shingles of either side
+    if abs(n - m) > allowed or both < max(len(x), len(y)) - shingles.SIZE * allowed:
+        return False
+    return edits(np.frombuffer(a, np.uint32).tolist(), np.frombuffer(b, np.uint32).tolist()) <= allowed
 
 
 def similar_pairs(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets have at least this Jaccard similarity; ``items`` is (id, words)."""
-    left = items.select(F.col("id").alias("a"), F.col("words").alias("wa"))
-    right = items.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    """Those of ``pairs`` (a, b) that are near-copies; ``items`` is (id, z)."""
+    left = items.select(F.col("id").alias("a"), F.col("z").alias("za"))
+    right = items.select(F.col("id").alias("b"), F.col("z").alias("zb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda raw: np.unique(shingles.of_words(np.frombuffer(raw.as_py(), np.uint64)))
         for batch in batches:
-            same = []
-            for p, q in zip(batch.column("wa"), batch.column("wb")):
-                x, y = of(p), of(q)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same))
+            same = [similar(p.as_py(), q.as_py(), threshold) for p, q in zip(batch.column("za"), batch.column("zb"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
 
 
-def repeated_paragraphs(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """(k1, k2, line, comp) of every paragraph that is not the first of its class."""
-    members = shared_buckets(written(_bands(docs)))
+def repeated_paragraphs(marked: DataFrame, packed: DataFrame) -> DataFrame:
+    """(k1, k2, line, comp) of every paragraph that is not the first of its class; ``marked`` is the table of ``marks``."""
+    lines = marked.select("k1", "k2", F.inline("paragraphs"))
+    banded = marked.select(F.inline("bands")).select(F.explode("keys").alias("bucket"), F.col("item").alias("id"), "sketch")
+    met = written(banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("bucket"))
+    members = written(banded.join(met, "bucket").distinct())
     wanted = members.select(F.col("id").alias("item")).distinct()
-    lines = written(_lines(docs))
     firsts = lines.join(wanted, "item", "left_semi").groupBy("item").agg(F.min(F.struct("k1", "k2", "line")).alias("f")).select("item", "f.*")
-    items = written(_with_paragraphs(firsts, packed))
-    comps = connect(members, lambda pairs: similar_pairs(pairs, items, THRESHOLD)).withColumnRenamed("id", "item")
+    items = written(_with_words(firsts, packed))
+
+    def vector():
+        return lambda raw: (lambda found: (found, np.ones(len(found), np.float32)))(shingle_set(raw))
+
+    comps = connect(members, lambda pairs: similar_pairs(pairs, items, THRESHOLD), alike,
+                    lambda open_ones: block_links(open_ones, items, vector, THRESHOLD, lambda a, b: similar(a, b, THRESHOLD))).withColumnRenamed("id", "item")
     named = written(lines.join(comps, "item", "left").select("k1", "k2", "line", F.coalesce("comp", "item").alias("comp")))
     # tables on both sides, so that AQE can split a hot class
     heads = written(named.groupBy("comp").agg(F.min(F.struct("k1", "k2", "line")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     return named.join(heads, "comp").filter(F.struct("k1", "k2", "line") != F.col("head")).select("k1", "k2", "line", "comp")
 
 
-def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """(k1, k2, sentence) of every sentence of enough words that another document has, too, and has first."""
+# ---- passages -----------------------------------------------------------------------------------
+
+
+def _nearby(asked: DataFrame, packed: DataFrame) -> DataFrame:
+    """(k1, k2, place, h) of all windows less than STRETCH words from ``places`` of documents (k1, k2, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, z = NormalIds(), zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
-            for k1, k2, t in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text")):
-                text = t.as_py() or ""
-                rows += [(k1, k2, i, _digest(text[x:y])) for i, (x, y, n) in enumerate(sentences(text)) if n >= MIN_SENTENCE]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["k1", "k2", "sentence", "h"])
-
-    rows = written(docs.select(*row_key("doc_id", "text"), "text").mapInArrow(run, "k1 bigint, k2 bigint, sentence bigint, h bigint"))
-    ends = rows.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
-    firsts = written(ends.filter(F.col("lo") != F.col("hi")).select("h", "lo"))
-    return rows.join(firsts, "h").filter(F.struct("k1", "k2") != F.col("lo")).select("k1", "k2", "sentence")
-
-
-def spans_to_cut(text: str, lines: list[int], matched: list[int]) -> list[tuple[int, int]]:
-    """Bounds of what goes: whole paragraphs, and runs of matched sentences (shorter ones between them included) of MIN_WORDS words."""
-    bounds = paragraphs(text)
-    cut = [bounds[i] for i in lines]
-    found, hits = sentences(text), set(matched)
-    run: list[int] = []
+            for k1, k2, places, raw in zip(*(b.column(c) for c in ("k1", "k2", "places", "z"))):
+                whole = window_hashes(words_of(z.decompress(raw.as_py()).decode("utf-8", "surrogatepass"), ids)[0])
+                hit = np.zeros(len(whole) + 1, np.int64)
+                at = np.array(places.as_py())
+                np.add.at(hit, np.maximum(at - STRETCH + 1, 0), 1)
+                np.add.at(hit, np.minimum(at + STRETCH, len(whole)), -1)
+                near = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k1.as_py()] * len(near), pa.int64()), pa.array([k2.as_py()] * len(near), pa.int64()), pa.array(near),
+                     pa.array(whole[near].view(np.int64))], names=["k1", "k2", "place", "h"])
 
-    def close() -> None:
-        if run and sum(found[i][2] for i in range(run[0], run[-1] + 1)) >= MIN_WORDS:
-            cut.append((found[run[0]][0], found[run[-1]][1]))
-        run.clear()
+    return asked.join(packed, ["k1", "k2"]).select("k1", "k2", "places", "z").mapInArrow(
+        run, "k1 bigint, k2 bigint, place bigint, h bigint")
 
-    for i, (_, _, n) in enumerate(found):
-        if i in hits:
-            run.append(i)
-        elif n >= MIN_SENTENCE:
-            close()
-    close()
+
+def repeated_windows(marked: DataFrame, packed: DataFrame) -> DataFrame:
+    """(k1, k2, places, whole): places of windows that an earlier document has, too; of a text that an earlier row has, all of them.
+
+    ``marked`` is the table of ``marks``.
+    """
+    texts = written(marked.groupBy("t").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")))
+    again = written(texts.filter("lo != hi").select("t", "lo"))
+    copies = marked.filter(F.col("n_words") >= PASSAGE).select("k1", "k2", "t").join(again, "t").filter(
+        F.struct("k1", "k2") != F.col("lo")).select("k1", "k2").distinct()
+    # of equal texts one row of each task has the windows; they stand for the first row
+    kept = marked.filter(F.size("windows") > 0).join(texts.select("t", "lo"), "t").select("lo.*", F.inline("windows")).distinct()
+    kept = written(kept)
+    met = written(kept.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).filter("lo != hi").select("h"))
+    asked = kept.join(met, "h").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    near = written(_nearby(asked, packed))
+    ends = near.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
+    earlier = written(ends.filter(F.col("lo") != F.col("hi")).select("h", "lo"))
+    later = near.join(earlier, "h").filter(F.struct("k1", "k2") != F.col("lo")).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return later.withColumn("whole", F.lit(False)).unionByName(
+        copies.select("k1", "k2", F.array().cast("array<bigint>").alias("places"), F.lit(True).alias("whole")))
+
+
+def runs_of(places: list[int], n_words: int, whole: bool) -> list[tuple[int, int]]:
+    """First words and ends of runs of PASSAGE words whose windows are all matched."""
+    if whole:
+        return [(0, n_words)] if n_words >= PASSAGE else []
+    at = np.array(places, np.int64)
+    cuts = np.flatnonzero(np.diff(at) != 1) + 1
+    parts = [p for p in np.split(at, cuts) if len(p)]
+    return [(int(p[0]), int(p[-1]) + WINDOW) for p in parts if len(p) + WINDOW - 1 >= PASSAGE]
+
+
+def spans_to_cut(text: str, lines: list[int], places: list[int], whole: bool, ids: NormalIds) -> list[tuple[int, int]]:
+    """Bounds of what goes: whole paragraphs, by their first lines, and runs of matched words."""
+    hashes, tokens, of_line, n_lines = words_of(text, ids)
+    starts = np.cumsum([0, *(len(x) + 1 for x in text.split("\n"))]).tolist()
+    by_line = {u[0]: u for u in paragraphs(hashes, of_line, n_lines)} if lines else {}
+    cut = [(starts[i], starts[by_line[i][1] + 1] - 1) for i in lines]
+    runs = runs_of(places, len(hashes), whole)
+    if runs:
+        bounds = [m.span() for m in _TOKEN.finditer(text)]
+        cut += [(bounds[tokens[x]][0], bounds[tokens[y - 1]][1]) for x, y in runs]
     merged: list[tuple[int, int]] = []
     for x, y in sorted(cut):
         if merged and x <= merged[-1][1]:
@@ -217,18 +407,19 @@ def report(docs: DataFrame) -> DataFrame:
     """
     own = docs.select("doc_id", "text")
     packed = packed_rows(own)
-    lines = repeated_paragraphs(own, packed).groupBy("k1", "k2").agg(
+    marked = written(marks(own))
+    lines = repeated_paragraphs(marked, packed).groupBy("k1", "k2").agg(
         F.array_sort(F.collect_set(F.struct("line", "comp"))).alias("lines"))
-    matched = repeated_sentences(own).groupBy("k1", "k2").agg(F.collect_set("sentence").alias("matched"))
-    marks = lines.join(matched, ["k1", "k2"], "full_outer")
+    hits = lines.join(repeated_windows(marked, packed), ["k1", "k2"], "full_outer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
+        ids, z = NormalIds(), zstandard.ZstdDecompressor()
         for b in batches:
             counts, cuts, words, comps, texts = [], [], [], [], []
-            for raw, marked, hits in zip(b.column("z"), b.column("lines").to_pylist(), b.column("matched").to_pylist()):
+            for raw, classes, places, whole in zip(*(b.column(c) for c in ("z", "lines", "places", "whole"))):
                 text = z.decompress(raw.as_py()).decode("utf-8", "surrogatepass")
-                spans = spans_to_cut(text, [m["line"] for m in marked or []], hits or [])
+                classes = classes.as_py() or []
+                spans = spans_to_cut(text, [m["line"] for m in classes], places.as_py() or [], bool(whole.as_py()), ids) if classes or places.is_valid else []
                 kept, at = [], 0
                 for x, y in spans:
                     kept.append(text[at:x])
@@ -238,12 +429,12 @@ def report(docs: DataFrame) -> DataFrame:
                 counts.append(sum(bool(x.strip()) for x in text.split("\n")))
                 cuts.append(len(spans))
                 words.append(sum(len(text[x:y].split()) for x, y in spans))
-                comps.append([m["comp"] for m in marked or []])
+                comps.append([m["comp"] for m in classes])
                 texts.append("".join([*kept, text[at:]]))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(cuts, pa.int64()), pa.array(words, pa.int64()),
                  pa.array(comps, pa.list_(pa.int64())), pa.array(texts, pa.string())],
                 names=["doc_id", "n_paragraphs", "n_removed", "removed_words", "class_ids", "text"])
 
-    full = packed.join(marks, ["k1", "k2"], "left").select("doc_id", "z", "lines", "matched")
+    full = packed.join(hits, ["k1", "k2"], "left").select("doc_id", "z", "lines", "places", "whole")
     return full.mapInArrow(run, "doc_id bigint, n_paragraphs bigint, n_removed bigint, removed_words bigint, class_ids array<bigint>, text string")
