@@ -16,6 +16,7 @@ import re
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -27,6 +28,8 @@ from doclake.llm.common import with_fields
 #: A template is learnt from tokens that so many pages of a host have, three different ones among them, in classes of so many tokens. A class
 #: whose texts stand only inside articles may be an article that the host has several times; it counts where so large a share of its pages has it.
 MIN_PAGES, MIN_CLASS, MIN_SHARE = 4, 3, 0.5
+#: Hosts with over LARGE pages and over one in LARGE_HOSTS of all pages are dealt to SALTS tasks.
+LARGE, LARGE_HOSTS, SALTS = 200, 1000, 64
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose content is no markup.
@@ -85,29 +88,53 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool, tuple[int, ...]]]:
-    """(place, text, wanted, inside an article or main element, numbers of the marked elements around it) of every text block of a page, in
-    page order.
+class Block(NamedTuple):
+    """A text block of a page: the place (a digest of the chain of open block elements), the text, whether it is wanted, whether it stands
+    inside an article or main element, and the number of the innermost marked element around it (0: none)."""
 
-    The place is the chain of open block elements. Text inside an unwanted element is marked so, not left out. Unclosed, crossed and cut tags
-    are read as a browser would roughly do: an end tag closes what is open inside its element, one without a start is ignored.
+    place: int
+    text: str
+    wanted: bool
+    inside: bool
+    mark: int
+
+
+class Open(NamedTuple):
+    """An open element, with what holds for text inside it."""
+
+    tag: str
+    place: int
+    wanted: bool
+    inside: bool
+    mark: int
+
+
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """Every text block of a page, in page order, and the next marked element around each marked element (0: none).
+
+    Text inside an unwanted element is marked so, not left out. Unclosed, crossed and cut tags are read as a browser would roughly do:
+    an end tag closes what is open inside its element, one without a start is ignored. Time and memory are linear, however deep
+    elements nest.
     """
-    out: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, name, wanted, in article, marked
+    out: list[Block] = []
+    stack = [Open("", 0, True, False, 0)]
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    top, n_marked = (True, False, ()), 0
+    around = [0]
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(("/".join(x[1] for x in stack if x[0] in BLOCKS), text, *(stack[-1][2:] if stack else top)))
+                _, place, wanted, inside, mark = stack[-1]
+                out.append(Block(place, text, wanted, inside, mark))
             held.clear()
 
     def close(depth: int) -> None:
-        flush_needed = any(x[0] in BLOCKS or x[0] in RAW for x in stack[depth:]) or (stack and (not stack[-1][2] or stack[-1][4]))
-        if flush_needed:
+        if any(x.tag in BLOCKS or x.tag in RAW for x in stack[depth:]) or not stack[-1].wanted or stack[-1].mark:
             flush()
+        for x in stack[depth:]:
+            opened[x.tag] -= 1
         del stack[depth:]
 
     at = 0
@@ -124,42 +151,45 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, tuple[int, ...]]]:
             continue
         tag = tag.lower()
         if end:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            if opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
+            elif tag in BLOCKS:
+                flush()
             continue
         if tag == "br":
             held.append(" ")
             continue
-        parent_wanted, parent_inside, around = stack[-1][2:] if stack else top
-        wanted, marked = parent_wanted and not _unwanted(tag, attributes, parent_inside), _marked(tag, attributes, parent_inside)
-        if tag in BLOCKS or wanted != parent_wanted or marked:
+        parent = stack[-1]
+        wanted, marked = parent.wanted and not _unwanted(tag, attributes, parent.inside), _marked(tag, attributes, parent.inside)
+        if tag in BLOCKS or wanted != parent.wanted or marked:
             flush()
         if tag in BLOCKS:
-            open_tags = [x[0] for x in stack]
-            for depth in range(len(open_tags) - 1, -1, -1):
-                if open_tags[depth] == "p" or open_tags[depth] in _CLOSES.get(tag, ()):
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth].tag == "p" or stack[depth].tag in _CLOSES.get(tag, ()):
                     close(depth)
                     break
-                if open_tags[depth] in BLOCKS:
+                if stack[depth].tag in BLOCKS:
                     break
-            parent_wanted, parent_inside, around = stack[-1][2:] if stack else top
-            wanted, marked = parent_wanted and not _unwanted(tag, attributes, parent_inside), _marked(tag, attributes, parent_inside)
+            parent = stack[-1]
+            wanted, marked = parent.wanted and not _unwanted(tag, attributes, parent.inside), _marked(tag, attributes, parent.inside)
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
             continue
-        inside = parent_inside or (tag in ("article", "main") and wanted)
-        n_marked += marked
-        stack.append((tag, _marks(tag, attributes), wanted, inside, (*around, n_marked) if marked else around))
+        place = _digest(f"{parent.place}/{_marks(tag, attributes)}") if tag in BLOCKS else parent.place
+        mark = parent.mark
+        if marked:
+            around.append(mark)
+            mark = len(around) - 1
+        opened[tag] += 1
+        stack.append(Open(tag, place, wanted, parent.inside or (tag in ("article", "main") and wanted), mark))
     flush()
-    return out
+    return out, around
 
 
 def _digest(text: str) -> int:
@@ -167,14 +197,14 @@ def _digest(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def tokens(found: list[tuple[str, str, bool, bool, tuple[int, ...]]]) -> list[tuple[int, bool, bool]]:
+def tokens(found: list[Block]) -> list[tuple[int, bool, bool]]:
     """(token, is a text block, inside an article) in page order: each place when it is entered, and each text block at its place."""
     out, last, met = [], None, Counter()
     for place, text, _, inside, _ in found:
         if place != last:
-            out.append((_digest("<" + place), False, inside))
+            out.append((_digest(f"<{place}"), False, inside))
             last = place
-        own = place + ">" + text
+        own = f"{place}>{text}"
         met[own] += 1
         out.append((_digest(own if met[own] == 1 else f"{own}\0{met[own]}"), True, inside))
     return out
@@ -196,7 +226,7 @@ def occurrence_classes(pages: DataFrame) -> DataFrame:
         for b in batches:
             hosts, keys, counts, places, ids, inner = [], [], [], [], [], []
             for host, page_id, page in zip(b.column("host").to_pylist(), b.column("page_key").to_pylist(), b.column("html")):
-                own = tokens(blocks(page.as_py() or ""))
+                own = tokens(blocks(page.as_py() or "")[0])
                 first = {t: (i, inside or not is_text) for i, (t, is_text, inside) in reversed(list(enumerate(own)))}
                 for t, n in Counter(t for t, _, _ in own).items():
                     hosts.append(host), keys.append(t), counts.append(n), places.append(first[t][0] / len(own)), ids.append(page_id)
@@ -244,18 +274,22 @@ def template_tokens(found: list[int], template: list[list[int]]) -> set[int]:
 
 def _text(page: str, template: list[list[int]] | None) -> str:
     """Text of the slots of one page."""
-    found = blocks(page)
+    found, outer = blocks(page)
     own = tokens(found)
     fixed = template_tokens([t for t, _, _ in own], template or [])
     texts = [t for t, is_text, _ in own if is_text]
-    slots = [x for x, t in zip(found, texts) if x[2] and t not in fixed]
-    judged = [x for x in slots if x[3]] or slots
-    sizes: Counter[int] = Counter()
-    for _, text, _, _, around in judged:
-        for k in around:
-            sizes[k] += len(text)
-    most = sum(len(x[1]) for x in judged) / 2
-    return "\n\n".join(text for _, text, _, _, around in slots if all(sizes[k] > most for k in around))
+    slots = [x for x, t in zip(found, texts) if x.wanted and t not in fixed]
+    judged = [x for x in slots if x.inside] or slots
+    sizes = [0] * len(outer)
+    for x in judged:
+        sizes[x.mark] += len(x.text)
+    for k in range(len(outer) - 1, 0, -1):  # an element's number is above that of the one around it
+        sizes[outer[k]] += sizes[k]
+    most = sum(len(x.text) for x in judged) / 2
+    kept = [True] * len(outer)
+    for k in range(1, len(outer)):
+        kept[k] = kept[outer[k]] and sizes[k] > most
+    return "\n\n".join(x.text for x in slots if kept[x.mark])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -268,8 +302,15 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.withColumn("__host", _host(F.col("url")))
     own = keyed.select(F.col("__host").alias("host"), F.xxhash64("html").alias("page_key"), "html")
     templates = occurrence_classes(own).withColumnRenamed("host", "__host").withColumnRenamed("template", "__template")
-    # as a merge join, so that AQE splits a host with very many pages
-    joined = keyed.join(templates.hint("merge"), "__host", "left").select(*kept, "html", "__template")
+    # pages of a host with very many are dealt to SALTS tasks, each of which gets the host's template
+    total = own.count()
+    counts = own.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > max(LARGE, total // LARGE_HOSTS))
+    large = [r["host"] for r in counts.select("host").collect()]  # at most LARGE_HOSTS
+    salt = lambda value: F.when(F.col("__host").isin(large), value).otherwise(0) if large else F.lit(0)
+    keyed = keyed.withColumn("__salt", salt(F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int")))
+    every = F.sequence(F.lit(0), salt(F.lit(SALTS - 1)))
+    templates = templates.withColumn("__salt", F.explode(every))
+    joined = keyed.join(templates.hint("merge"), ["__host", "__salt"], "left").select(*kept, "html", "__template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
