@@ -8,6 +8,7 @@ a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,14 +45,14 @@ def features(text: str) -> list[float]:
     seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     size = len(raw)
     share = lambda characters: float(sum(seen[ord(c)] for c in characters)) / n
-    distinct = set(words)
+    counts = Counter(words)
     pairs = len(set(zip(words, words[1:]))) if n > 1 else 0
-    most = max(map(words.count, words[:: max(1, n // 8)][:8]))  # eight words of the whole text, counted in all of it
+    most = max(counts.values())
     lines = [x for x in text.split("\n") if x]
     ended = sum(x.rstrip()[-1:] in ".!?\"'»)" for x in lines)
     short = sum(len(x) < 40 for x in lines)
     return [
-        float(np.log1p(n)), len(text) / n, len(distinct) / n, 1 - pairs / max(1, n - 1), most / n,
+        float(np.log1p(n)), len(text) / n, len(counts) / n, 1 - pairs / max(1, n - 1), most / n,
         float(seen[65:91].sum()) / size, float(seen[48:58].sum()) / size, share("#*$%&<>{}[]\\^~=_"), share("|"), share("!"),
         share(".?"), share(",;:"), float(seen[32]) / size, len(lines) / n, len(set(lines)) / max(1, len(lines)),
         ended / max(1, len(lines)), short / max(1, len(lines)), float(seen[128:].sum()) / size,
@@ -156,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     free = _sample(ids.join(labels.select("doc_id"), "doc_id", "left_anti"), sample).withColumn("quality", F.lit(None).cast("int"))
     chosen = drawn.select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(free)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
-    got = _featured(rows.dropDuplicates(["doc_id"]), ["quality"]).collect()
+    # of the texts of a repeated id the smallest, and rows in the order of their ids: the same model every time
+    one = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = sorted(_featured(one, ["doc_id", "quality"]).collect(), key=lambda r: r["doc_id"])
     labelled = np.array([r["quality"] if r["quality"] is not None else -1 for r in got])
     x = np.array([r["f"] for r in got], np.float64).reshape(len(got), len(FEATURES))
     known = labelled[labelled >= 0]
