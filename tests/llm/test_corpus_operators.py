@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from conftest import SF_DIR
 
-from doclake.llm import linking, near_dedup, sharding, shingles, substring_dedup, suffix_dedup
+from doclake.llm import blocks, linking, near_dedup, sharding, shingles, substring_dedup, suffix_dedup
+from doclake.llm.common import written
 
 DOCS = "doc_id bigint, text string"
 
@@ -208,10 +209,106 @@ def test_passages_are_found_in_paragraphs_and_inside_them(spark):
     assert substring_dedup.report(df.limit(0)).count() == 0
 
 
-def test_signatures_estimate_jaccard():
-    x = np.arange(1, 301, dtype=np.uint64)
-    a, b = (substring_dedup.signature(shingles.mixed(s), 2000) for s in (x[:250], x[50:]))
+def hard_wrapped(words, size):
+    w = words.split()
+    return "\n".join(" ".join(w[i : i + size]) for i in range(0, len(w), size))
+
+
+def test_passages_in_the_middle_of_documents(spark):
+    """A passage of 55 words word for word in the middle of two texts, also with other case and punctuation, goes; 49 shared words stay."""
+    passage, short = prose(7, 55), prose(8, 49)
+    own = [prose(200 + i, 90) for i in range(14)]
+    loud = ", ".join(w.upper() for w in passage.split())
+    docs = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]} {passage} {own[3]}"), (3, hard_wrapped(f"{own[4]} {loud} {own[5]}", 7)),
+            (6, f"{own[10]} {short} {own[11]}"), (7, f"{own[12]} {short} {own[13]}")]
+    got = {r.doc_id: r for r in substring_dedup.report(spark.createDataFrame(docs, DOCS).repartition(4)).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 6, 7)] == [0, 1, 1, 0, 0]
+    assert got[2].text.split() == [*own[2].split(), *own[3].split()] and got[2].removed_words == 55
+    assert got[3].text.split() == [*own[4].split(), *own[5].split()]
+
+
+def test_recall_of_edited_lines(spark):
+    """Three lines of 30 words, a word edited in each: the shingles' Jaccard similarity is 0.7, and nine in ten are found."""
+    docs = []
+    for i in range(30):
+        words = prose(400 + i, 90)
+        docs.append((i, f"{prose(500 + i, 60)}\n\n{hard_wrapped(words, 30)}\n\n{prose(600 + i, 60)}"))
+        docs.append((100 + i, f"{prose(700 + i, 60)}\n\n{hard_wrapped(edited(words, 10, 45, 80), 30)}\n\n{prose(800 + i, 60)}"))
+    got = substring_dedup.report(spark.createDataFrame(docs, DOCS).repartition(4)).collect()
+    cuts = {r.doc_id: (r.n_removed, r.removed_words) for r in got}
+    assert all(cuts[i] == (0, 0) for i in range(30)) and {cuts[100 + i] for i in range(30)} <= {(0, 0), (1, 90)}
+    assert sum(cuts[100 + i] == (1, 90) for i in range(30)) >= 27
+
+
+def slow_cuts(docs):
+    """For each document, per word: whether it must go (in a passage of 50 words that one earlier document has), and whether it may (in
+    windows of 40 words that earlier documents have); documents without long or edited paragraphs."""
+    words = {d: [w.strip(".").lower() for w in t.split()] for d, t in docs}
+    grams = {d: {tuple(w[i : i + 50]) for i in range(len(w) - 49)} for d, w in words.items()}
+    parts = {d: {tuple(w[i : i + 40]) for i in range(len(w) - 39)} for d, w in words.items()}
+    out = {}
+    for d, w in words.items():
+        must, may = [False] * len(w), [False] * len(w)
+        for size, flags, sets in ((50, must, grams), (40, may, parts)):
+            for i in range(len(w) - size + 1):
+                if any(tuple(w[i : i + size]) in sets[e] for e in words if e < d):
+                    flags[i : i + size] = [True] * size
+        out[d] = (must, may)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_word_runs_against_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    passages = [prose(300 + i, int(n)) for i, n in enumerate(r.integers(20, 120, 9))]
+    docs = []
+    for d in range(24):
+        parts = []
+        for _ in range(int(r.integers(1, 5))):
+            parts.append(prose(int(r.integers(10**6)), int(r.integers(3, 60))))
+            chosen = passages[int(r.integers(len(passages)))].split()
+            at = int(r.integers(0, max(1, len(chosen) - 45)))
+            parts.append(" ".join(chosen[at : at + int(r.integers(30, 120))]))
+        docs.append((d, " ".join(parts)))  # one line: no paragraph but the whole text
+    docs.append((30, docs[3][1]))
+    got = {x.doc_id: x for x in substring_dedup.report(spark.createDataFrame(docs, DOCS).repartition(3)).collect()}
+    n = 0
+    for d, (must, may) in slow_cuts(docs).items():
+        whole, left = dict(docs)[d].split(), got[d].text.split()
+        assert len(whole) - len(left) == got[d].removed_words
+        # the words that are left, matched in order, tell which are gone
+        kept = [w for w, m in zip(whole, may) if not m]
+        rest = [w for w, m in zip(whole, must) if not m]
+        assert len(kept) <= len(left) <= len(rest), d
+        n += sum(must)
+    assert n > 500
+
+
+def test_edit_distance_of_words():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = r.integers(0, 6, r.integers(0, 30)).tolist(), r.integers(0, 6, r.integers(0, 30)).tolist()
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert substring_dedup.edits(a, b) == row[-1]
+
+
+def test_signatures_estimate_jaccard_and_kept_windows_meet():
+    x = shingles.mixed(np.arange(1, 301, dtype=np.uint64))
+    both = np.concatenate([x[:250], x[50:]])
+    a, b = substring_dedup.signatures(both, np.array([[0, 250], [250, 500]]), 2000)
     assert abs(np.mean(a == b) - 200 / 300) < 0.04
+    r = np.random.default_rng(6)
+    shared = r.integers(1, 1 << 60, 50).astype(np.uint64)
+    for _ in range(50):
+        one, two = (np.concatenate([r.integers(1, 1 << 60, int(k)).astype(np.uint64) for k in (0,)] + [
+            r.integers(1, 1 << 60, int(r.integers(0, 90))).astype(np.uint64), shared, r.integers(1, 1 << 60, int(r.integers(0, 90))).astype(np.uint64)]) for _ in "ab")
+        found = [set(w[substring_dedup.kept_windows(w)].tolist()) for w in (substring_dedup.window_hashes(one), substring_dedup.window_hashes(two))]
+        assert found[0] & found[1]
 
 
 # ---- pipeline ---------------------------------------------------------------------------------
@@ -240,3 +337,49 @@ def test_pipeline_stages_take_nulls_and_empty_tables(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
     for _, stage in p.STAGES:
         assert stage(spark, odd, SF_DIR).count() <= 3 and stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+# ---- blocks -----------------------------------------------------------------------------------
+
+
+def test_overlaps_equal_sums_of_minima():
+    ids, idf = shingles.WordIds(), near_dedup.inverse(np.arange(near_dedup.SLOTS) % 50, 50)
+    texts = [prose(i % 3, 60 + 7 * i) + " x y z x y z x y z x y z" * (i % 4) for i in range(9)] + ["", "one"]
+    both, whole = blocks.overlaps([near_dedup.occurrences(t, idf, ids) for t in texts])
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            if i == j:
+                continue  # what a set has alone is left out of its overlap with itself
+            x, y = near_dedup.weighted(a, idf, ids), near_dedup.weighted(b, idf, ids)
+            union = whole[i] + whole[j] - both[i, j]
+            assert abs((both[i, j] / union if union else 0) - near_dedup.jaccard(x, y)) < 1e-5
+
+
+def test_a_large_group_that_is_near_but_mostly_not_similar(spark, monkeypatch):
+    """Copies of one text with so many edits that few pairs reach the threshold: exactly those are linked, by blocks of any size."""
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    r = np.random.default_rng(8)
+    base = prose(77, 150)
+    texts = [edited(base, *r.choice(150, int(r.integers(1, 6)), replace=False).tolist()) + f" {i}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    counts, total = near_dedup.word_frequencies(docs.select("text"))
+    ids, idf = shingles.WordIds(), near_dedup.inverse(counts, total)
+    both, whole = blocks.overlaps([near_dedup.occurrences(t, idf, ids) for t in texts])
+    similar = both >= 0.8 * (whole[:, None] + whole[None, :] - both)
+    assert 0.02 < similar.mean() < 0.6
+    members = spark.createDataFrame([(1, i, i) for i in range(120)] + [(2, 5, 5)], "bucket bigint, id bigint, comp bigint")
+    packed = near_dedup.packed(docs.selectExpr("doc_id AS id", "text"))
+
+    def vector():
+        import zstandard
+
+        own, z = shingles.WordIds(), zstandard.ZstdDecompressor()
+        return lambda raw: near_dedup.occurrences(z.decompress(raw).decode(), idf, own)
+
+    links = [tuple(x) for x in blocks.block_links(written(members), written(packed), vector, 0.8).collect()]
+    label = list(range(120))
+    for i, j in zip(*np.nonzero(similar)):
+        label = [label[i] if x == label[j] else x for x in label]
+    found = dict(tuple(x) for x in linking.components(written(spark.createDataFrame(links, "a bigint, b bigint"))).collect())
+    want = {i: min(j for j in range(120) if label[j] == label[i]) for i in range(120)}
+    assert {i: found.get(i, i) for i in range(120)} == want and len(links) < 120 * 12

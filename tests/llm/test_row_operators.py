@@ -272,3 +272,46 @@ def test_sf_dir_queries_return_a_row_for_each_document(spark):
     for name, query in all_queries().items():
         if name != "op8_html_extract":
             assert query(spark, SF_DIR).count() == n, name
+
+
+def test_the_most_frequent_word_is_counted_wherever_it_stands():
+    """One word put in front changes no feature of a long text by much; a frequent word counts wherever it stands."""
+    at = quality_model.FEATURES.index("top_word")
+    words = [f"w{i}" for i in range(300)]
+    spots = list(range(0, 300, 3))
+    for k in spots:
+        words[k] = "same"
+    for text in (" ".join(words), "front " + " ".join(words), " ".join(words[1:])):
+        assert abs(quality_model.features(text)[at] - 1 / 3) < 0.01
+
+
+def test_one_model_of_repeated_ids(spark):
+    rows = [(i, ("good words in a line. " if i % 2 else "x# x# x# ") * (3 + i % 5)) for i in range(60)] * 2 + [(i, "another text") for i in range(0, 60, 7)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    models = [quality_model.train(spark.createDataFrame(rows[k:] + rows[:k], "doc_id bigint, text string").repartition(3 + k), labels) for k in (0, 5)]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
+
+
+def test_deeply_nested_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    for piece in ("<div>x", "<div class='ad'>x", "<b>x</i>", "<p class=menu>x"):
+        page = piece * 25_000
+        tracemalloc.start()
+        start = time.time()
+        text = html_extract._text(page, None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.time() - start < 60 and peak < 300 << 20, piece
+        assert set(text) <= set("x \n")
+
+
+def test_pages_of_a_large_host_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "LARGE", 5)
+    monkeypatch.setattr(html_extract, "SALTS", 4)
+    page = lambda i: f"<html><body><div>home</div><div>about us</div><div>mail</div><article><p>Story {i} of many.</p></article><div>end of page</div></body></html>"
+    pages = spark.createDataFrame([(i, f"http://big.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://s{i}.example/", page(i)) for i in range(4)],
+                                  "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.report(pages).collect()}
+    assert all(got[i] == f"Story {i} of many." for i in range(40)) and all(f"Story {i} of many." in got[100 + i] for i in range(4)) and len(got) == 44
