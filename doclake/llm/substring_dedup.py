@@ -42,6 +42,9 @@ AGREE = 6
 WINDOW, PASSAGE = 40, 50
 STRETCH = PASSAGE - WINDOW + 1
 
+#: Words of texts that are marked together.
+TOGETHER = 30_000
+
 _AROUND = "!\"#%&'()*+,-./:;<=>?@[]^_`{|}~«»„“”‘’…–—¿¡"
 _TOKEN = re.compile(r"\S+")
 _BASE = 0x5851F42D4C957F2D
@@ -55,20 +58,24 @@ class NormalIds(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > self.LIMIT:
             self.clear()
-        core = word.strip(_AROUND).lower()
-        value = self[word] = xxhash.xxh3_64_intdigest(core.encode("utf-8", "replace")) | 1 if core else 0
+        core = (word if word.isalnum() else word.strip(_AROUND)).lower()
+        try:
+            value = xxhash.xxh3_64_intdigest(core) | 1 if core else 0
+        except UnicodeEncodeError:  # a lone surrogate
+            value = xxhash.xxh3_64_intdigest(core.encode("utf-8", "replace")) | 1
+        self[word] = value
         return value
 
 
 def words_of(text: str, ids: NormalIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Hashes of the words of a text, their places among its tokens, their lines, and the number of lines."""
-    tokens: list[int] = []
+    tokens: list[str] = []
     counts: list[int] = []
     for line in text.split("\n"):
         found = line.split()
-        tokens += [ids[w] for w in found]
+        tokens += found
         counts.append(len(found))
-    hashes = np.array(tokens, np.uint64)
+    hashes = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
     places = np.flatnonzero(hashes)
     return hashes[places], places, np.repeat(np.arange(len(counts)), counts)[places], len(counts)
 
@@ -171,13 +178,21 @@ def window_hashes(hashes: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def kept_windows(hashes: np.ndarray) -> np.ndarray:
-    """Places of the least of every STRETCH neighbouring window hashes."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
+def kept_windows(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places of the least of every STRETCH neighbouring window hashes of texts laid end to end.
+
+    ``bounds`` are the first place and the end of each text's own windows; those of two texts are at least STRETCH places apart.
+    """
     mask = np.uint64((1 << 32) - 1)
-    ranked = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
-    return np.unique((sliding_minimum(ranked, min(STRETCH, len(hashes))) & mask).astype(np.int64))
+    at = np.arange(len(hashes), dtype=np.uint64)
+    # +1 at the first place of a text, -1 behind its last one
+    edge = lambda first, end: np.cumsum(np.bincount(first, minlength=len(hashes) + 1) - np.bincount(end, minlength=len(hashes) + 1))[:-1] > 0
+    bounds = bounds[bounds[:, 0] < bounds[:, 1]]
+    own = edge(bounds[:, 0], bounds[:, 1])
+    ranked = np.where(own, (hashes & ~mask) | at, np.uint64(0xFFFFFFFFFFFFFFFF))
+    whole = edge(bounds[:, 0], np.maximum(bounds[:, 0] + 1, bounds[:, 1] - STRETCH + 1))
+    least = sliding_minimum(np.append(ranked, np.full(STRETCH, np.uint64(0xFFFFFFFFFFFFFFFF))), STRETCH)[: len(hashes)]
+    return np.unique((least[whole] & mask).astype(np.int64))
 
 
 MARKS = (
@@ -192,37 +207,55 @@ def marks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, seen, known = NormalIds(), set(), set()
         for b in batches:
-            for at in range(0, len(b), 256):
-                yield marked(b.slice(at, 256), ids, seen, known)
-
-    def marked(b: pa.RecordBatch, ids: NormalIds, seen: set[int], known: set[int]) -> pa.RecordBatch:
-        out: dict[str, list] = {c: [] for c in ("n_words", "paragraphs", "bands", "windows")}
-        for text, t in zip(b.column("text"), b.column("t").to_pylist()):
-            hashes, _, lines, n_lines = words_of(text.as_py() or "", ids)
-            units = paragraphs(hashes, lines, n_lines)
-            items = [xxhash.xxh3_64_intdigest(hashes[s:e].tobytes()) for _, _, s, e in units]
-            signed = np.array(items, np.uint64).view(np.int64).tolist()
-            fresh = {x: k for k, x in enumerate(signed) if x not in seen}
-            bands = []
-            if fresh:
-                seen.update(fresh)
-                bounds = np.array([(units[k][2], units[k][3] - shingles.SIZE + 1) for k in fresh.values()])
-                keys, sketches = band_keys(signatures(shingles.of_words(hashes), bounds, BANDS * ROWS))
-                bands = [{"item": x, "sketch": s, "keys": k} for x, s, k in zip(fresh, sketches.view(np.int64).tolist(), keys.view(np.int64).tolist())]
-            windows = []
+            held, size, at = [], 0, 0
+            for i, text in enumerate(b.column("text")):
+                held.append(words_of(text.as_py() or "", ids))
+                size += len(held[-1][0])
+                if size >= TOGETHER or len(held) == 256:
+                    yield marked(b.slice(at, len(held)), held, seen, known)
+                    held, size, at = [], 0, i + 1
+            if held:
+                yield marked(b.slice(at, len(held)), held, seen, known)
+
+    def marked(b: pa.RecordBatch, texts: list[tuple], seen: set[int], known: set[int]) -> pa.RecordBatch:
+        sizes = np.array([len(x[0]) for x in texts])
+        begin = np.cumsum(sizes) - sizes
+        hashes = np.concatenate([x[0] for x in texts])
+        lines, items, owners, fresh, bounds, windowed = [], [], [], [], [], []
+        for k, ((own, _, of_line, n_lines), start, t) in enumerate(zip(texts, begin.tolist(), b.column("t").to_pylist())):
+            for first, _, s, e in paragraphs(own, of_line, n_lines):
+                item = xxhash.xxh3_64_intdigest(own[s:e].tobytes())
+                lines.append(first)
+                owners.append(k)
+                items.append(item)
+                if item not in seen:
+                    seen.add(item)
+                    fresh.append(len(items) - 1)
+                    bounds.append((start + s, start + e - shingles.SIZE + 1))
             if t not in known:  # of equal texts, one row of a task has the windows
                 known.add(t)
-                whole = window_hashes(hashes)
-                places = kept_windows(whole)
-                windows = [{"place": p, "h": h} for p, h in zip(places.tolist(), whole[places].view(np.int64).tolist())]
-            for name, value in (("n_words", len(hashes)), ("paragraphs", [{"line": u[0], "item": x} for u, x in zip(units, signed)]),
-                                ("bands", bands), ("windows", windows)):
-                out[name].append(value)
-        types = [pa.int64(), *(pa.list_(pa.struct(f)) for f in (
-            [("line", pa.int64()), ("item", pa.int64())], [("item", pa.int64()), ("sketch", pa.int64()), ("keys", pa.list_(pa.int64()))],
-            [("place", pa.int64()), ("h", pa.int64())]))]
-        columns = [*(b.column(c) for c in ("k1", "k2", "t")), *(pa.array(v, t) for v, t in zip(out.values(), types))]
-        return pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "t", *out])
+                windowed.append((start, start + len(own) - WINDOW + 1))
+        signed, owners = np.array(items, np.uint64).view(np.int64), np.array(owners, np.int64)
+        keys, sketches = np.zeros((0, BANDS), np.uint64), np.zeros(0, np.uint64)
+        if fresh:
+            keys, sketches = band_keys(signatures(shingles.of_words(hashes), np.array(bounds), BANDS * ROWS))
+        whole, places = window_hashes(hashes), np.zeros(0, np.int64)
+        if len(whole) and windowed:
+            places = kept_windows(whole, np.array(windowed))
+        holder = np.searchsorted(begin, places, side="right") - 1
+        columns = [
+            pa.array(sizes), lists(owners, len(texts), {"line": np.array(lines, np.int64), "item": signed}),
+            lists(owners[fresh], len(texts), {"item": signed[fresh], "sketch": sketches.view(np.int64), "keys": pa.ListArray.from_arrays(
+                pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))}),
+            lists(holder, len(texts), {"place": places - begin[holder], "h": whole[places].view(np.int64)})]
+        names = ["k1", "k2", "t", "n_words", "paragraphs", "bands", "windows"]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:3]), *columns], names=names)
+
+    def lists(owner: np.ndarray, n: int, fields: dict) -> pa.ListArray:
+        """Structs of each of ``n`` rows; ``owner`` rises."""
+        ends = np.cumsum(np.bincount(owner, minlength=n))
+        values = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in fields.values()], names=list(fields))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
 
     return docs.select(*row_key("doc_id", "text"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, MARKS)
 

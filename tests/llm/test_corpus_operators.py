@@ -307,8 +307,20 @@ def test_signatures_estimate_jaccard_and_kept_windows_meet():
     for _ in range(50):
         one, two = (np.concatenate([r.integers(1, 1 << 60, int(k)).astype(np.uint64) for k in (0,)] + [
             r.integers(1, 1 << 60, int(r.integers(0, 90))).astype(np.uint64), shared, r.integers(1, 1 << 60, int(r.integers(0, 90))).astype(np.uint64)]) for _ in "ab")
-        found = [set(w[substring_dedup.kept_windows(w)].tolist()) for w in (substring_dedup.window_hashes(one), substring_dedup.window_hashes(two))]
-        assert found[0] & found[1]
+        kept = lambda w: set(w[substring_dedup.kept_windows(w, np.array([[0, len(w)]]))].tolist())
+        assert kept(substring_dedup.window_hashes(one)) & kept(substring_dedup.window_hashes(two))
+    # texts laid end to end have the windows that each has by itself
+    texts = [r.integers(1, 1 << 60, int(n)).astype(np.uint64) for n in (0, 30, 40, 45, 300, 39, 51, 1000, 7)]
+    sizes = np.array([len(x) for x in texts])
+    begin = np.cumsum(sizes) - sizes
+    whole = substring_dedup.window_hashes(np.concatenate(texts))
+    places = substring_dedup.kept_windows(whole, np.stack([begin, begin + sizes - 39], axis=1))
+    want = []
+    for x, at in zip(texts, begin.tolist()):
+        w = substring_dedup.window_hashes(x)
+        n = min(11, len(w))
+        want += sorted({at + i + int((w[i : i + n] >> np.uint64(32)).argmin()) for i in range(len(w) - n + 1)} if n else ())
+    assert places.tolist() == want
 
 
 # ---- pipeline ---------------------------------------------------------------------------------
