@@ -454,11 +454,18 @@ def code_blocks_from(lines: Column, codes: Column) -> Column:
     return tx.joined(F.transform(lines, rule))
 
 
+#: A text without such a line has no code: one begins like code, or has a colon and two quotes. More lines match than are code.
+MAY_START = (
+    rf"(?m)^[{tx._WS_BODY}]*+(?:[{{\[\"]|<[a-zA-Z]|(?:POST|GET|PUT|DELETE|PATCH|HEAD|OPTIONS)[{tx._WS_BODY}]|HTTP/"
+    rf"|[A-Za-z][-\p{{L}}\p{{N}}_]*+:[{tx._WS_BODY}])|^(?=[^\n]*:)[^\n\"]*+\"[^\n\"]*+\""
+)
+
+
 def code_blocks(docs: DataFrame) -> DataFrame:
     """m9: fence lines that look like JSON, XML, HTTP or headers."""
     rest = [c for c in docs.columns if c != "text"]
     lines, features = F.col("_lines"), F.col("_features")
-    may_start = F.col("text").rlike(r"[:{\[<]|HTTP/|POST|GET|PUT|DELETE|PATCH|HEAD|OPTIONS")
+    may_start = F.col("text").rlike(MAY_START)
     scanned = docs.withColumn("_lines", F.when(may_start, tx.lines_of(F.col("text")))).withColumn(
         "_features", F.transform(lines, code_features)
     )

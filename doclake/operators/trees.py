@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doclake import fixed
 from doclake.functions import text as tx
-from doclake.functions.frames import computed, let
+from doclake.functions.frames import let
 from doclake.sources import trees as src
 
 STAT_FIELDS = ["depth", "kind", "n_children"]
@@ -185,26 +185,9 @@ def _present(array: Column) -> Column:
     return F.filter(array, lambda x: x.isNotNull())
 
 
-def array_stats(nodes: Column) -> dict[str, Column]:
-    """n2, n3 of one document from its array of nodes."""
-    keys = F.aggregate(nodes, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["kind"] == "Object", x["n_children"]).otherwise(0))
-    return {
-        "root_type": F.get(nodes, F.lit(0))["type_name"],
-        "max_depth": F.array_max(F.transform(nodes, lambda x: x["depth"])),
-        "total_keys": keys,
-        "kinds": F.array_sort(F.array_distinct(_present(F.transform(nodes, lambda x: reported_kind(x["kind"]))))),
-    }
-
-
-def with_structure(rows: DataFrame, when: Column | None = None) -> DataFrame:
-    """rows + ``_t``, the statistics of ``nodes``, once per row; null where ``when`` does not hold."""
-    stats = F.struct(*[e.alias(n) for n, e in array_stats(F.col("nodes")).items()])
-    return computed(rows, {"_t": stats if when is None else F.when(when, stats)})
-
-
 def json_report_expr() -> Column:
-    """n5 for JSON: structure header, outline and content, from ``_t``, ``nodes``, ``file_name`` and ``text``."""
-    t = F.col("_t")
+    """n5 for JSON: structure header, outline and content, from ``tree``, ``nodes``, ``file_name`` and ``text``."""
+    t = F.col("tree")
     return F.concat(
         F.lit("## 📊 JSON Structure Analysis\n- **File:** "), tx.base_name(F.col("file_name")),
         F.lit("\n- **Root Type:** "), t["root_type"],
@@ -219,7 +202,7 @@ def json_report_expr() -> Column:
 
 def yaml_report_expr() -> Column:
     """n5 for YAML: structure header, configuration types, top level and content."""
-    t, nodes = F.col("_t"), F.col("nodes")
+    t, nodes = F.col("tree"), F.col("nodes")
     found = F.array_sort(F.array_distinct(_present(F.transform(nodes, lambda x: config_pattern(lambda n: x[n])))))
     tops = F.array_sort(F.transform(F.filter(nodes, lambda x: is_top(lambda n: x[n])), lambda x: F.struct(
         x["ordinal"].alias("ordinal"), x["key"].alias("key"), top_description(lambda n: x[n]).alias("description"))))
@@ -240,14 +223,14 @@ def yaml_report_expr() -> Column:
 
 def json_report(docs: DataFrame) -> DataFrame:
     """n5 for JSON, row by row. Malformed documents have no report."""
-    parsed = src.with_trees(docs, "json", node_fields=REPORT_FIELDS, element_fields=["depth"]).filter("status = 'ok'")
-    return with_structure(parsed).select("doc_id", json_report_expr().alias("report"))
+    parsed = src.with_trees(docs, "json", node_fields=REPORT_FIELDS, summary=True).filter("status = 'ok'")
+    return parsed.select("doc_id", json_report_expr().alias("report"))
 
 
 def yaml_report(docs: DataFrame) -> DataFrame:
     """n5 for YAML, row by row. Unreadable documents have no report."""
-    parsed = src.with_trees(docs, "yaml", node_fields=YAML_FIELDS, element_fields=["depth"]).filter("status = 'ok'")
-    return with_structure(parsed).select("doc_id", yaml_report_expr().alias("report"))
+    parsed = src.with_trees(docs, "yaml", node_fields=YAML_FIELDS, summary=True).filter("status = 'ok'")
+    return parsed.select("doc_id", yaml_report_expr().alias("report"))
 
 
 # ---- XML -------------------------------------------------------------------------------------
@@ -312,64 +295,36 @@ def tag_summary(elements: DataFrame) -> DataFrame:
     )
 
 
-def _tag_lines(elements: Column) -> Column:
-    """x3 as lines of one document, in order of appearance.
-
-    Elements are sorted by tag as themselves and by their parent's tag as children; a fold over that order closes a line whenever
-    the tag changes, so the work does not grow with the number of tags times the number of elements.
-    """
-    own = F.transform(elements, lambda e: F.struct(
-        e["clean_tag"].alias("t"), F.lit(0).alias("k"), e["ord"].alias("o"), (e["n_attributes"] > 0).alias("attrs"),
-        (e["text_length"] > 0).alias("text"), F.lit("").alias("child")))
-    children = F.array_distinct(F.transform(F.filter(elements, lambda e: e["parent_tag"].isNotNull()), lambda e: F.struct(
-        e["parent_tag"].alias("t"), F.lit(1).alias("k"), F.lit(0).cast("bigint").alias("o"), F.lit(False).alias("attrs"), F.lit(False).alias("text"),
-        e["clean_tag"].alias("child"))))
-    ordered = F.sort_array(F.concat(own, children))
-    # first of each tag, number of its elements, and where its children are
-    firsts = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(
-        x["o"].alias("o"), i.alias("i"), x["t"].alias("t"),
-        F.coalesce(F.get(s, i - 1)["t"] != x["t"], F.lit(True)).alias("new"))), lambda x: x["new"])
-
-    def lines(s: Column) -> Column:
-        return let(firsts(s), lambda f: F.transform(f, lambda x, j: let(
-            F.slice(s, x["i"] + 1, F.coalesce(F.get(f, j + 1)["i"], F.size(s)) - x["i"]), lambda group: F.struct(x["o"].alias("o"), _tag_line(group).alias("line")))))
-
-    return F.transform(F.array_sort(let(ordered, lines)), lambda x: x["line"])
-
-
-def _tag_line(group: Column) -> Column:
-    children = F.transform(F.filter(group, lambda x: x["k"] == 1), lambda x: x["child"])
+def _tag_line(x: Column) -> Column:
+    """x3 as a line of a report."""
     return F.concat(
-        F.lit("- **"), F.get(group, F.lit(0))["t"], F.lit("** ("), F.size(F.filter(group, lambda x: x["k"] == 0)).cast("string"), F.lit("x)"),
-        F.when(F.exists(group, lambda x: x["attrs"]), " (with attributes)").otherwise(""),
-        F.when(F.exists(group, lambda x: x["text"]), " (contains text)").otherwise(""),
-        F.when(F.size(children) > 0, F.concat(F.lit(" → "), F.array_join(children, ", "))).otherwise(""),
+        F.lit("- **"), x["tag"], F.lit("** ("), x["n"].cast("string"), F.lit("x)"),
+        F.when(x["attrs"], " (with attributes)").otherwise(""), F.when(x["text"], " (contains text)").otherwise(""),
+        F.when(F.size(x["children"]) > 0, F.concat(F.lit(" → "), F.array_join(x["children"], ", "))).otherwise(""),
     )
 
 
 def xml_report_expr() -> Column:
-    """x5 of a well-formed document from ``elements``, ``file_name`` and ``text``."""
-    e = F.col("elements")
-    total = lambda field: F.aggregate(e, F.lit(0).cast("bigint"), lambda a, x: a + x[field])
-    root = F.get(e, F.lit(0))["tag"]
-    ns = namespace_of(root)
+    """x5 of a well-formed document from ``xml``, ``file_name`` and ``text``."""
+    x = F.col("xml")
+    ns = namespace_of(x["root"])
     return F.concat(
         F.lit("## 🔧 XML Document Analysis\n- **File:** "), tx.base_name(F.col("file_name")),
-        F.lit("\n- **Root Element:** "), root,
+        F.lit("\n- **Root Element:** "), x["root"],
         F.lit("\n- **Namespace:** "), F.when(ns == "", "None").otherwise(ns),
-        F.lit("\n- **Total Elements:** "), F.size(e).cast("string"),
-        F.lit("\n- **Unique Tags:** "), F.size(F.array_distinct(F.transform(e, lambda x: x["clean_tag"]))).cast("string"),
-        F.lit("\n- **Max Depth:** "), F.array_max(F.transform(e, lambda x: x["depth"])).cast("string"),
-        F.lit("\n- **Attributes:** "), total("n_attributes").cast("string"),
-        F.lit("\n- **Text Content:** "), total("text_length").cast("string"),
+        F.lit("\n- **Total Elements:** "), x["total"].cast("string"),
+        F.lit("\n- **Unique Tags:** "), F.size(x["tags"]).cast("string"),
+        F.lit("\n- **Max Depth:** "), x["max_depth"].cast("string"),
+        F.lit("\n- **Attributes:** "), x["attributes"].cast("string"),
+        F.lit("\n- **Text Content:** "), x["text_length"].cast("string"),
         F.lit(" characters\n\n### 🗂️ XML Structure Overview\n"),
-        F.array_join(_tag_lines(e), "\n"),
+        F.array_join(F.transform(x["tags"], _tag_line), "\n"),
         F.lit("\n\n### 📋 Raw XML Content\n```xml\n"), F.col("text"), F.lit("\n```"),
     )
 
 
 def xml_report(docs: DataFrame) -> DataFrame:
     """x5: report of every XML document, row by row; malformed ones keep their raw text, without enrichment."""
-    parsed = src.with_trees(docs, "xml", node_fields=["kind"])
+    parsed = src.with_trees(docs, "xml", node_fields=["kind"], summary=True)
     ok = F.col("status") == "ok"
     return parsed.select("doc_id", F.coalesce(ok, F.lit(False)).alias("well_formed"), F.when(ok, xml_report_expr()).otherwise(F.col("text")).alias("report"))

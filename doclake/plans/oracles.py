@@ -778,6 +778,35 @@ LINT = f"""i0 AS (SELECT *, contains(line, '|') AND NOT starts_with(s, '```') AS
         AND length(line) - length(replace(line, '```', '')) <> 3)"""
 
 
+#: A fence is a start if it is a candidate and the fence before it, if only entries and empty lines stand between them, is none; then it
+#: ends that one's list.
+CONTENTS = f"""tf AS (SELECT *, CASE WHEN starts_with(s, '```json') THEN 'j' WHEN starts_with(s, '```') THEN 'f'
+      WHEN {matches('s', fixed.TOC_ENTRY)} THEN 't' WHEN s = '' THEN 'e' ELSE 'n' END AS f FROM ml),
+    tn AS (SELECT *, lead(f, 1) OVER w AS n1, lead(f, 2) OVER w AS n2, count(*) FILTER (f = 'n') OVER w AS part FROM tf WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    tc AS (SELECT *, f = 'j' AND n1 = 't' AND n2 IS NOT NULL AS cand FROM tn WHERE f IN ('j', 'f')),
+    ti AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, part, cand ORDER BY pos) AS island FROM tc),
+    ts AS (SELECT *, cand AND row_number() OVER (PARTITION BY doc_id, part, cand, island ORDER BY pos) % 2 = 1 AS starts FROM ti),
+    te AS (SELECT *, coalesce(lag(starts) OVER (PARTITION BY doc_id, part ORDER BY pos), false) AS ends FROM ts),
+    tl AS (SELECT tn.*, starts, ends, last_value(CASE WHEN starts THEN tn.pos WHEN starts IS NOT NULL THEN -1 END IGNORE NULLS)
+      OVER (PARTITION BY tn.doc_id, tn.part ORDER BY tn.pos) AS block FROM tn LEFT JOIN te ON te.doc_id = tn.doc_id AND te.pos = tn.pos),
+    tb AS (SELECT *, coalesce(block, -1) >= 0 AND (coalesce(starts, false) OR f IN ('t', 'e')) AS inside FROM tl),
+    tp AS (SELECT *, concat(CASE WHEN inside AND starts THEN concat({lit(fixed.TOC_TITLE)}, chr(10), chr(10)) WHEN inside AND f = 't' THEN concat('- ', s, chr(10))
+        WHEN inside OR coalesce(ends, false) THEN '' ELSE concat(line, chr(10)) END,
+      CASE WHEN inside AND pos = max(pos) FILTER (inside) OVER (PARTITION BY doc_id, block) THEN chr(10) ELSE '' END) AS piece FROM tb)"""
+_IN_URL = f"[^{WHITESPACE}<>)]"
+
+
+def links_sql(x: str) -> str:
+    """Bare URLs as links. An ``h`` behind a bracket, and that of what is linked already, is hidden as chr(1); a URL before a closing bracket
+    loses its last character that is no square bracket, and what follows that."""
+    hidden = r"\1" + "\x01" + r"\2"
+    x = replaced(x, r"([\[(])h(ttps?://)", hidden)
+    linked = "[\x01" + r"\1](" + "\x01" + r"\1)\2"
+    x = replaced(x, rf"h(ttps?://{_IN_URL}+)([^\]{WHITESPACE}<>)]\]*\))", linked)
+    x = replaced(x, rf"h(ttps?://{_IN_URL}+)([{WHITESPACE}<>]|$)", linked)
+    return f"replace({replaced(x, rf'{chr(92)}[([^{chr(92)}]]+){chr(92)}][{WHITESPACE}]*{chr(92)}(([^)]+){chr(92)})', r'[' + chr(92) + '1](' + chr(92) + '2)')}, chr(1), 'h')"
+
+
 def markdown_oracles() -> dict[str, str]:
     base = (MDOCS, MLINES, MS)
     quality = (
@@ -791,6 +820,10 @@ def markdown_oracles() -> dict[str, str]:
         "m2_headers": with_(
             *base, "mn AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM ml)",
             select=rejoined(header_sql()).replace("FROM ml", "FROM mn")),
+        "m3_toc": with_(
+            *base, CONTENTS, select="""SELECT doc_id, CASE WHEN contains(text, '```json') THEN left(whole, length(whole) - 1) ELSE text END AS text
+            FROM md JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS whole FROM tp GROUP BY doc_id) USING (doc_id)"""),
+        "m8_links": with_(MDOCS, select=f"SELECT doc_id, {links_sql('text')} AS text FROM md"),
         "m6_pipe_tables": with_(*base, PIPE_TABLES, select="SELECT doc_id, string_agg(out, chr(10) ORDER BY pos) AS text FROM t5 GROUP BY doc_id"),
         "m7_lists": with_(*base, select=rejoined(
             """CASE WHEN regexp_matches(s, '^([0-9]+)\\\\\\.\\s*(.+)') THEN regexp_replace(s, '^([0-9]+)\\\\\\.\\s*(.+)', '\\1. \\2')

@@ -81,7 +81,7 @@ def admitted(
     routed = routing.with_reader(
         loaded.withColumn("ended", ended).withColumn("ext", F.lower("ext")).drop("error"), registry)
     read = _with_text(routed).withColumn("ai", F.col("output_format") == "markdown_ai")
-    parsed = src.with_trees(read, wanted="ai", node_fields=NODE_FIELDS, raw="undecoded")
+    parsed = src.with_trees(read, wanted="ai", node_fields=NODE_FIELDS, raw="undecoded", summary=True)
     refused = (
         F.when(F.col("text").isNull() & F.col("as_text"), "invalid_utf8")
         .when(F.col("reader").isin("json", "yaml") & (F.col("status") == "malformed"), "malformed")
@@ -102,7 +102,7 @@ def _custom(rows: DataFrame, registry: Registry) -> DataFrame | None:
     if not own:
         return None
     folder = shared.new_folder(rows.sparkSession)
-    kept = rows.filter(F.startswith("reader", F.lit("custom:"))).drop("nodes", "elements").withColumn("doc_id", F.monotonically_increasing_id())
+    kept = rows.filter(F.startswith("reader", F.lit("custom:"))).drop("nodes", "tree", "xml").withColumn("doc_id", F.monotonically_increasing_id())
     kept.write.parquet(folder)  # the row numbers must not change between the reader and the join
     staged = rows.sparkSession.read.schema(kept.schema).parquet(folder)
     out = None
@@ -132,16 +132,14 @@ def _shown(mine: DataFrame, r: Reader) -> DataFrame:
         full = clean.join(markdown.quality(clean.select("doc_id", "text", "file_name")).select("doc_id", "full_header"), "doc_id")
         return full.withColumn("content_out", F.when(F.col("ai"), F.concat("full_header", "text")).otherwise(F.col("text"))).select("*", parsed)
     as_tree = docs.withColumns({"reader": F.lit(r.output), "content": F.lit(None).cast("binary")})
-    return _read(src.with_trees(as_tree, wanted="ai", node_fields=NODE_FIELDS)).withColumn("reader", F.lit(r.reader))
+    return _read(src.with_trees(as_tree, wanted="ai", node_fields=NODE_FIELDS, summary=True)).withColumn("reader", F.lit(r.reader))
 
 
 def _read(rows: DataFrame) -> DataFrame:
     """rows + ``content_out`` and ``action`` of the built-in readers."""
     ai, reader = F.col("ai"), F.col("reader")
     parsed = F.coalesce(F.col("status") == "ok", F.lit(False))
-    with_tree = reader.isin("json", "yaml") & ai & parsed
-    prepared = trees.with_structure(rows, with_tree)
-    prepared = csvdocs.profile(prepared.withColumn("whole", F.col("text")).withColumn(
+    prepared = csvdocs.profile(rows.withColumn("whole", F.col("text")).withColumn(
         "text", F.when(reader == "csv", F.col("text"))))
     csv_out = computed(prepared, {"csv_out": F.when(reader == "csv", csvdocs.content_expr(F.col("output_format")))})
     plain = csv_out.select(*[c for c in prepared.columns if c not in ("text", "whole", *csvdocs.PROFILE_COLUMNS)], "csv_out", F.col("whole").alias("text"))
@@ -166,7 +164,7 @@ def _read(rows: DataFrame) -> DataFrame:
     )
     ok = F.when(reader.isin(*NOT_PARSED), F.lit(False)).when(reader.isin("json", "yaml", "xml"), parsed).otherwise(F.lit(True))
     return reported.select(
-        *[c for c in rows.columns if c not in ("text", "content", "nodes", "elements")],
+        *[c for c in rows.columns if c not in ("text", "content", "nodes", "tree", "xml")],
         content.alias("content_out"), F.when(ok, "parsed").otherwise(F.col("on_error")).alias("action"))
 
 

@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from doclake import fixed
 from doclake.functions.frames import computed
 
 FLUSH_ROWS = 50_000
@@ -165,9 +167,9 @@ def json_columns(text: str, out: dict[str, list]) -> int:
     return node_columns(json_value(text), out, len(text) + 1)
 
 
-def yaml_columns(text: str, out: dict[str, list]) -> int:
-    """Append the nodes of a YAML text. A key near the root that is not text makes the document unreadable, as does a value that
-    its own type refuses (a date that does not exist)."""
+def yaml_value(text: str):
+    """The value of a YAML text. A key near the root that is not text makes the document unreadable, as does a value that its own
+    type refuses (a date that does not exist)."""
     import yaml
 
     sys.set_int_max_str_digits(0)
@@ -184,7 +186,12 @@ def yaml_columns(text: str, out: dict[str, list]) -> int:
     size, most = spelled_out(root), max(SPELLED_OUT, SPELLED_TIMES * len(text))
     if size is None or size > most:
         raise Unreadable("references repeat more than the text spells out")
-    return node_columns(root, out, most)
+    return root
+
+
+def yaml_columns(text: str, out: dict[str, list]) -> int:
+    """Append the nodes of a YAML text."""
+    return node_columns(yaml_value(text), out, max(SPELLED_OUT, SPELLED_TIMES * len(text)))
 
 
 #: A YAML text may spell out so many nodes and characters by its references, or so many times its length where that is more.
@@ -208,7 +215,7 @@ def spelled_out(root) -> int | None:
             sizes[id(v)] = None
             stack.append((v, True))
             stack.extend((c, False) for c in parts(v))
-        elif sizes[id(v)] is None and any(o is v and d for o, d in stack):
+        elif sizes[id(v)] is None:  # still open: what is met now stands inside it
             return None
     return sizes.get(id(root), 1)
 
@@ -235,11 +242,14 @@ def xml_text(raw: bytes) -> str | None:
         return None
 
 
+def _undeclared(text: str) -> str:
+    """The text without its declaration, as it has no bytes left that this could be about."""
+    return re.sub(r"^\s*<\?xml[^>]*\?>", "", text.removeprefix("\ufeff"), count=1)
+
+
 def _root(text: str):
-    # a decoded text has no bytes left that its declaration could be about
-    bare = re.sub(r"^\s*<\?xml[^>]*\?>", "", text.removeprefix("\ufeff"), count=1)
     try:
-        return ET.fromstring(bare if bare != text else text)
+        return ET.fromstring(_undeclared(text))
     except (ET.ParseError, ValueError) as e:
         raise Unreadable(str(e)) from None
 
@@ -268,6 +278,151 @@ def xml_columns(text: str, out: dict[str, list]) -> int:
 
 READERS: dict[str, Callable[[str, dict[str, list]], int]] = {"json": json_columns, "yaml": yaml_columns, "xml": xml_columns}
 
+# ---- summaries ----------------------------------------------------------------------------------
+
+#: What a report says of a whole tree, and of a whole XML document.
+TREE = "struct<root_type:string,max_depth:bigint,total_keys:bigint,kinds:array<string>>"
+XML = (
+    "struct<root:string,total:bigint,max_depth:bigint,attributes:bigint,text_length:bigint,"
+    "tags:array<struct<tag:string,n:bigint,attrs:boolean,text:boolean,children:array<string>>>>"
+)
+#: Characters of an XML text that are parsed at a time.
+CHUNK = 1 << 16
+
+#: Whether a report shows a node with this depth, object depth, key rank and item rank; nothing below a hidden node is shown.
+_SHOWN: dict[str, Callable[[int, int, int, int], bool]] = {
+    "json": lambda depth, objects, key, item: key < fixed.OUTLINE_KEYS and item == 0 and objects <= fixed.OUTLINE_DEPTH + 1,
+    "yaml": lambda depth, objects, key, item: depth <= fixed.CONFIG_KEY_DEPTH + 1,
+}
+
+
+def _branch_depth(v, objects: int) -> int | None:
+    """Object depth of the first object with several keys along first children."""
+    while type(v) in (dict, list) and v:
+        if type(v) is dict and len(v) > 1:
+            return objects
+        objects += type(v) is dict
+        v = next(iter(v.values())) if type(v) is dict else v[0]
+    return None
+
+
+def tree_summary(root, reader: str, out: dict[str, list]) -> tuple[int, dict]:
+    """Append the shown nodes of a value tree to the wanted columns; returns their number and the statistics of all nodes.
+
+    What is not shown is counted level by level and never becomes a node.
+    """
+    shown = _SHOWN[reader]
+    deepest = keys = count = kept = 0
+    types: set[type] = set()
+
+    def hidden(level: list, depth: int) -> int:
+        nonlocal deepest, keys
+        n = 0
+        while level:
+            n += len(level)
+            deepest = max(deepest, depth)
+            found = set(map(type, level))
+            types.update(found)
+            if dict not in found and list not in found:
+                break
+            below: list = []
+            for v in level:
+                if type(v) is dict:
+                    keys += len(v)
+                    below.extend(v.values())
+                elif type(v) is list:
+                    below.extend(v)
+            level, depth = below, depth + 1
+        return n
+
+    stack: list[tuple] = [(root, 0, 0, None, 0, None, 0, 0)]
+    while stack:
+        node = stack.pop()
+        if len(node) == 2:  # all below a shown node has been met, but for what is hidden
+            at, rest = node
+            count += rest
+            if "last_id" in out:
+                out["last_id"][at] = count - 1
+            continue
+        v, depth, objects, key, ordinal, parent_kind, key_rank, item_rank = node
+        kind = type(v)
+        types.add(kind)
+        deepest = max(deepest, depth)
+        if kind is dict:
+            keys += len(v)
+            below = [(c, depth + 1, objects + 1, sound(str(k)), i, "Object", max(i, key_rank), item_rank) for i, (k, c) in enumerate(v.items())]
+        elif kind is list and shown(depth + 1, objects, key_rank, max(1, item_rank)):
+            below = [(c, depth + 1, objects, None, i, "Array", key_rank, max(i, item_rank)) for i, c in enumerate(v)]
+        elif kind is list:
+            below = [(c, depth + 1, objects, None, 0, "Array", key_rank, item_rank) for c in v[:1]]
+        else:
+            below = []
+        seen = [c for c in below if shown(c[1], c[2], c[6], c[7])]
+        whole = list(v.values()) if kind is dict else v if kind is list else []
+        # ranks only rise along a container, so what is shown comes first
+        rest = hidden(whole[len(seen):], depth + 1) if len(seen) < len(whole) else 0
+        value = None if v is None or kind in (dict, list) else sound(str(v))
+        text = sound(str(v)) if "object_text" in out and kind is dict and parent_kind == "Object" and depth <= SHALLOW else None
+        fields = {
+            "node_id": count, "depth": depth, "object_depth": objects, "key": key, "ordinal": ordinal, "kind": _KINDS.get(kind, "Other"),
+            "parent_kind": parent_kind, "type_name": kind.__name__, "n_children": len(whole), "value": value, "key_rank": key_rank,
+            "item_rank": item_rank, "last_id": count, "branch_depth": _branch_depth(v, objects) if "branch_depth" in out else None, "object_text": text,
+        }
+        for name in out:
+            out[name].append(fields[name])
+        at = len(out["last_id"]) - 1 if "last_id" in out else 0
+        count += 1
+        kept += 1
+        stack.append((at, rest))
+        stack.extend(reversed(seen))
+    names = {_KINDS.get(t, "Other") for t in types}
+    reported = sorted({"Number" if n == "Boolean" else n for n in names} - {"Other"})
+    return kept, {"root_type": type(root).__name__, "max_depth": deepest, "total_keys": keys, "kinds": reported}
+
+
+def xml_summary(text: str) -> dict:
+    """Totals of an XML document and of each tag, in order of appearance; elements are dropped as soon as they end."""
+    parser = ET.XMLPullParser(("start", "end"))
+    stack: list = []
+    tags: dict[str, list] = {}
+    root, total, deepest, attributes, length = None, 0, 0, 0, 0
+
+    def read() -> None:
+        nonlocal root, total, deepest, attributes, length
+        for event, e in parser.read_events():
+            clean = e.tag.split("}", 1)[-1]
+            if event == "start":
+                root = e.tag if root is None else root
+                total += 1
+                deepest = max(deepest, len(stack))
+                attributes += len(e.attrib)
+                held = tags.setdefault(clean, [0, False, False, set()])
+                held[0] += 1
+                held[1] |= bool(e.attrib)
+                if stack:
+                    tags[stack[-1].tag.split("}", 1)[-1]][3].add(clean)
+                stack.append(e)
+            else:
+                own = len((e.text or "").strip())
+                length += own
+                tags[clean][2] |= own > 0
+                stack.pop()
+                e.clear()
+                if stack:
+                    stack[-1].remove(e)
+
+    bare = _undeclared(text)
+    try:
+        for at in range(0, len(bare), CHUNK):
+            parser.feed(bare[at : at + CHUNK])
+            read()
+        parser.close()
+        read()
+    except (ET.ParseError, ValueError) as e:
+        raise Unreadable(str(e)) from None
+    return {"root": root, "total": total, "max_depth": deepest, "attributes": attributes, "text_length": length, "tags": [
+        {"tag": t, "n": n, "attrs": a, "text": x, "children": sorted(c)} for t, (n, a, x, c) in tags.items()]}
+
 
 def _exploded(docs: DataFrame, append: Callable[[str, dict[str, list]], int], fields: dict) -> DataFrame:
     """Apply ``append`` to every text and emit what it gathers in Arrow batches of bounded size."""
@@ -399,28 +554,33 @@ def xml_tag_counts(docs: DataFrame) -> DataFrame:
 
 
 def with_trees(rows: DataFrame, reader: str = "reader", wanted: str | None = None, node_fields: list[str] | None = None,
-               element_fields: list[str] | None = None, raw: str | None = None) -> DataFrame:
+               element_fields: list[str] | None = None, raw: str | None = None, summary: bool = False) -> DataFrame:
     """``rows`` (text and any other columns) with what one parser pass finds, beside each text:
 
     ``status`` (``ok``, ``noted``, ``malformed``; null for readers without a tree), ``error``, and ``nodes`` or ``elements`` as arrays in document
     order. ``reader`` is a column or one of the reader names; where the column ``wanted`` is false, only status and error are
-    found. ``raw`` is a column of XML bytes that are not UTF-8; they are decoded as they declare, and ``text`` is set.
+    found. ``raw`` is a column of XML bytes that are not UTF-8; they are decoded as they declare, and ``text`` is set. With ``summary``,
+    ``nodes`` has only what a report shows, and ``tree`` or ``xml`` the statistics of the whole; nothing else is kept of a document.
 
     Nothing is joined or shuffled, so ids may be null or repeated. Only texts that have a tree go to Python, and their nodes come back
     as soon as there are FLUSH_ROWS of them.
     """
-    nodes, elements = node_fields or list(NODE_FIELDS), element_fields or list(ELEMENT_FIELDS)
-    types = {"nodes": {n: NODE_FIELDS[n] for n in nodes}, "elements": {n: ELEMENT_FIELDS[n] for n in elements}}
+    fields = {n: NODE_FIELDS[n] for n in node_fields or NODE_FIELDS}
+    types = {"nodes": fields} if summary else {"nodes": fields, "elements": {n: ELEMENT_FIELDS[n] for n in element_fields or ELEMENT_FIELDS}}
     ddl = lambda fields: "array<struct<" + ",".join(f"{n}:{_SPARK_TYPES[t]}" for n, t in fields.items()) + ">>"
-    found = T.StructType.fromDDL("status string, error string, " + ", ".join(f"{n} {ddl(f)}" for n, f in types.items()) + ", decoded string")
+    whole = f", tree {TREE}, xml {XML}" if summary else ""
+    found = T.StructType.fromDDL("status string, error string, " + ", ".join(f"{n} {ddl(f)}" for n, f in types.items()) + whole + ", decoded string")
+
+    # of the driver, as workers cannot read a DDL string
+    wholes = {n: to_arrow_type(found[n].dataType) for n in ("tree", "xml")} if summary else {}
 
     def parse(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            held = _Parsed(types)
+            held = _Parsed(types, wholes)
             for kind, text, data, asked in zip(*batch):
                 if held.size >= FLUSH_ROWS:
                     yield held.array()
-                    held = _Parsed(types)
+                    held = _Parsed(types, wholes)
                 held.add(kind.as_py(), text.as_py(), data.as_py(), asked.as_py())
             if held.status:
                 yield held.array()
@@ -439,30 +599,45 @@ def with_trees(rows: DataFrame, reader: str = "reader", wanted: str | None = Non
 class _Parsed:
     """Results of the documents of a batch so far."""
 
-    def __init__(self, types: dict[str, dict]):
-        self.types, self.size = types, 0
+    def __init__(self, types: dict[str, dict], wholes: dict[str, pa.DataType]):
+        self.types, self.wholes, self.size = types, wholes, 0
         self.status: list[str | None] = []
         self.error: list[str | None] = []
         self.decoded: list[str | None] = []
         self.columns = {kind: {f: [] for f in fields} for kind, fields in types.items()}
         self.sizes: dict[str, list[int | None]] = {kind: [] for kind in types}
+        self.tree: list[dict | None] = []
+        self.xml: list[dict | None] = []
 
     def add(self, reader: str | None, text: str | None, raw: bytes | None, asked: bool | None) -> None:
         decoded = xml_text(raw) if raw is not None else None
         text = decoded if raw is not None else text
-        status = error = None
+        status = error = tree = xml = None
         sizes = dict.fromkeys(self.types)
         if reader is not None and text is not None:
-            kind = "elements" if reader == "xml" else "nodes"
             try:
-                n = READERS[reader](text, self.columns[kind] if asked else {})
-                status, sizes[kind] = "ok", n if asked else None
-                self.size += n
+                if reader == "xml" and self.wholes:
+                    xml = xml_summary(text)
+                    self.size += len(xml["tags"])
+                    xml = xml if asked else None
+                elif self.wholes:
+                    root = json_value(text) if reader == "json" else yaml_value(text)
+                    if asked:
+                        sizes["nodes"], tree = tree_summary(root, reader, self.columns["nodes"])
+                        self.size += sizes["nodes"]
+                else:
+                    kind = "elements" if reader == "xml" else "nodes"
+                    n = READERS[reader](text, self.columns[kind] if asked else {})
+                    sizes[kind] = n if asked else None
+                    self.size += n
+                status = "ok"
             except Unreadable as e:
                 status, error = "noted" if e.noted else "malformed", str(e)
         self.status.append(status)
         self.error.append(error)
         self.decoded.append(decoded)
+        self.tree.append(tree)
+        self.xml.append(xml)
         for kind, size in sizes.items():
             self.sizes[kind].append(size)
 
@@ -474,7 +649,11 @@ class _Parsed:
                 offsets.append(offsets[-1] + (size or 0))
             values = pa.StructArray.from_arrays([pa.array(self.columns[kind][f], t) for f, t in fields.items()], names=list(fields))
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([size is None for size in self.sizes[kind]])))
-        return pa.StructArray.from_arrays([*arrays, pa.array(self.decoded, pa.string())], names=["status", "error", *self.types, "decoded"])
+        names = ["status", "error", *self.types]
+        for name, kind in self.wholes.items():
+            arrays.append(pa.array(getattr(self, name), kind))
+            names.append(name)
+        return pa.StructArray.from_arrays([*arrays, pa.array(self.decoded, pa.string())], names=[*names, "decoded"])
 
 
 def document_status(docs: DataFrame, reader: str) -> DataFrame:

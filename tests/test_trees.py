@@ -90,3 +90,101 @@ def test_yaml_anchors_may_spell_out_more_than_the_text():
     for bad in (bomb, "a: &a [*a]\n", "a: &a {b: {c: [1, *a]}}\n"):
         with pytest.raises(src.Unreadable):
             src.yaml_columns(bad, {"path": []})
+
+
+# ---- summaries --------------------------------------------------------------------------------
+
+
+def random_tree(r, depth=0):
+    kind = r.random()
+    if depth > 6 or kind < 0.35:
+        return r.choice([None, True, 1, 2.5, "", "text" * 12, "two\nlines", []])
+    if kind < 0.7:
+        return {r.choice("abcdefghij") + str(i): random_tree(r, depth + 1) for i in range(r.randrange(0, 8))}
+    return [random_tree(r, depth + 1) for _ in range(r.randrange(0, 5))]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_summary_has_the_shown_nodes_and_the_statistics_of_all(seed):
+    import random
+
+    root = random_tree(random.Random(seed))
+    names = [n for n in src.NODE_FIELDS if n not in ("parent_id", "path")]
+    full = {n: [] for n in names}
+    n = src.node_columns(root, full, 10**6)
+    keys = sum(c for k, c in zip(full["kind"], full["n_children"]) if k == "Object")
+    kinds = sorted({"Number" if k == "Boolean" else k for k in full["kind"]})
+    for reader, shown in src._SHOWN.items():
+        out = {n: [] for n in names}
+        kept, tree = src.tree_summary(root, reader, out)
+        hit = [i for i in range(n) if shown(*(full[f][i] for f in ("depth", "object_depth", "key_rank", "item_rank")))]
+        assert kept == len(hit) and all(out[f] == [full[f][i] for i in hit] for f in names)
+        assert tree == {"root_type": type(root).__name__, "max_depth": max(full["depth"]), "total_keys": keys, "kinds": kinds}
+
+
+def test_summary_of_a_large_document_keeps_little():
+    import tracemalloc
+
+    root = {"rows": [{"k": i, "v": [i, str(i)]} for i in range(200_000)], "m": {str(i): i for i in range(100_000)}}
+    out = {n: [] for n in src.NODE_FIELDS if n not in ("parent_id", "path", "object_text")}
+    tracemalloc.start()
+    kept, tree = src.tree_summary(root, "json", out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept < 20 and tree["total_keys"] == 500_002 and tree["max_depth"] == 4 and peak < 60 << 20
+
+
+def test_xml_summary_equals_the_elements(monkeypatch):
+    import random
+
+    def element(r, depth=0):
+        tag = r.choice(["a", "b", "n:c", "d"])
+        inner = "".join(element(r, depth + 1) + r.choice(["", " tail ", "\n"]) for _ in range(r.randrange(0, 4))) if depth < 5 else ""
+        return f"<{tag}{r.choice(['', ' x=\"1\"', ' x=\"1\" y=\"2\"'])}>{r.choice(['', ' ', 'text', ' ñ &amp; '])}{inner}<!-- c --></{tag}>"
+
+    for seed in range(30):
+        r = random.Random(seed)
+        text = f"<?xml version='1.0'?>\n<root xmlns:n='urn:n'>{''.join(element(r) for _ in range(3))}</root>"
+        rows = src._elements(text)
+        tags = {}
+        for parent, depth, tag, clean, parent_tag, n_attributes, length in rows:
+            held = tags.setdefault(clean, [0, False, False, set()])
+            held[0] += 1
+            held[1] |= n_attributes > 0
+            held[2] |= length > 0
+            if parent_tag is not None:
+                tags[parent_tag][3].add(clean)
+        want = {"root": rows[0][2], "total": len(rows), "max_depth": max(x[1] for x in rows), "attributes": sum(x[5] for x in rows),
+                "text_length": sum(x[6] for x in rows), "tags": [
+                    {"tag": t, "n": n, "attrs": a, "text": x, "children": sorted(c)} for t, (n, a, x, c) in tags.items()]}
+        for chunk in (1, 7, 1 << 16):
+            monkeypatch.setattr(src, "CHUNK", chunk)
+            assert src.xml_summary(text) == want
+    for bad in ("", "<a>", "<a></b>", "<a/><b/>", "text"):
+        with pytest.raises(src.Unreadable):
+            src.xml_summary(bad)
+
+
+def test_xml_summary_of_a_large_document_keeps_little():
+    import tracemalloc
+
+    text = "<r>" + "<row id='1'><v>text</v></row>\n" * 100_000 + "</r>"
+    tracemalloc.start()
+    found = src.xml_summary(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["total"] == 200_001 and peak < 20 << 20
+
+
+def test_counted_paths_and_tags_leave_a_task_when_there_are_many(spark, monkeypatch):
+    from doclake.operators import rollups
+
+    monkeypatch.setattr(src, "COUNTED_KEYS", 3)
+    docs = [(1, '{"a":[1,{"b":2}],"x[0]":null}'), (2, '{"a":[],"c":{"a":1}}'), (3, "{"), (4, None), (5, '[[1],[2]]')]
+    got = {(r.path, r.kind): (r.docs, r.nodes) for r in rollups.key_inventory(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)).collect()}
+    assert got == {("$", "Object"): (2, 2), ("$.a", "Array"): (2, 2), ("$.a[*]", "Number"): (1, 1), ("$.a[*]", "Object"): (1, 1), ("$.a[*].b", "Number"): (1, 1),
+                   ('$."x[*]"', "Null"): (1, 1), ("$.c", "Object"): (1, 1), ("$.c.a", "Number"): (1, 1), ("$", "Array"): (1, 1), ("$[*]", "Array"): (1, 2),
+                   ("$[*][*]", "Number"): (1, 2)}
+    xml = [(1, "<r a='1'><x>t</x><x/></r>"), (2, "<n:x xmlns:n='u'/>"), (3, "<r>")]
+    tags = {r.clean_tag: tuple(r)[1:] for r in rollups.tag_inventory(spark.createDataFrame(xml, "doc_id bigint, text string")).collect()}
+    assert tags == {"r": (1, 1, 1, 0), "x": (2, 3, 0, 1)}
