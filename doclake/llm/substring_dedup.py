@@ -389,11 +389,11 @@ def repeated_windows(marked: DataFrame, packed: DataFrame) -> DataFrame:
     again = written(texts.filter("lo != hi").select("t", "lo"))
     copies = marked.filter(F.col("n_words") >= PASSAGE).select("k1", "k2", "t").join(again, "t").filter(
         F.struct("k1", "k2") != F.col("lo")).select("k1", "k2").distinct()
-    # of equal texts one row of each task has the windows; they stand for the first row
-    kept = marked.filter(F.size("windows") > 0).join(texts.select("t", "lo"), "t").select("lo.*", F.inline("windows")).distinct()
-    kept = written(kept)
-    met = written(kept.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).filter("lo != hi").select("h"))
-    asked = kept.join(met, "h").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    # windows are those of texts, whichever rows have them; only texts that share one are then looked up by their first row
+    windows = marked.select("t", F.inline("windows"))
+    met = written(windows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select("h"))
+    shared = written(windows.join(met, "h").groupBy("t").agg(F.collect_set("place").alias("places")))
+    asked = shared.join(texts, "t").select("lo.*", "places")
     near = written(_nearby(asked, packed))
     ends = near.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
     earlier = written(ends.filter(F.col("lo") != F.col("hi")).select("h", "lo"))
