@@ -61,9 +61,32 @@ def read_batches(spark: SparkSession, target: str, kind: str) -> DataFrame:
     return spark.read.option("basePath", f"{target}/batches").parquet(*batches).filter(F.col("kind") == kind).drop("kind", "batch")
 
 
+#: Arriving files that one micro-batch takes, which bounds what the driver holds of them.
+BATCH_FILES = 50_000
+#: What opening a file counts as when files are packed into tasks: a thousand small ones share a task.
+OPEN_COST = 128 << 10
+
+
+def _of_small_files(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` that lists and reads many small files in few tasks.
+
+    Every file of a batch is a path of its own. By default Spark lists such paths in up to 10,000 tasks and reads 32 of them in one.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST))
+    return own
+
+
 def arriving_files(spark: SparkSession, source: str, glob: str | None = None) -> DataFrame:
     """st2: new files of a directory as a stream of documents (text, or the reason why not)."""
-    reader = spark.readStream.format("binaryFile").schema(sf.FILE_SCHEMA).option("recursiveFileLookup", True)
+    reader = (
+        _of_small_files(spark).readStream.format("binaryFile").schema(sf.FILE_SCHEMA).option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", BATCH_FILES)
+    )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return rq.decode_text(sf.with_names(reader.load(source)))
