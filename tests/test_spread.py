@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from doclake.functions import cells
 from doclake.plans import corpora
 
 
@@ -20,3 +22,9 @@ def test_one_row_group_is_worked_on_by_many_tasks(unset, tmp_path):
     docs = corpora.documents(unset, str(tmp_path))
     sizes = docs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 4000 and len(sizes) >= unset.sparkContext.defaultParallelism and max(sizes) <= 2 * 4000 / len(sizes)
+
+
+def test_cell_text_is_cleaned_once(spark):
+    df = spark.createDataFrame([("  a | \"b\"\n" + "c" * 30,), ("x",), (None,)], "value string").select(cells.escape_cell(F.col("value"), 12).alias("c"))
+    assert [r.c for r in df.collect()] == ['a \\| \\"b\\"...'[:9] + "...", "x", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
