@@ -6,6 +6,7 @@ import csv
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from doclake.sources import csvfiles, files
@@ -93,3 +94,22 @@ def test_empty_file_and_bytes_that_are_no_text(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"")
     (tmp_path / "b.csv").write_bytes(b'h\n\xff"x\n"\xfe\ny"\n')
     assert sorted(r.value for r in csvfiles.csv_records(spark, str(tmp_path)).collect()) == ['"�\ny"', '�"x']
+
+
+def test_ends_of_many_lines_equal_those_of_one():
+    r = np.random.default_rng(5)
+    lines = ["".join(r.choice(list('",a\ré'), k)) for k in range(12) for _ in range(1500)] + ["", '"' * 9, 'x"' * 50_000, ',"a""b"' * 20_000]
+    outside, inside = csvfiles.line_ends(pa.array(lines))
+    assert outside.tolist() == [csvfiles.ends_inside(x, False) for x in lines] and inside.tolist() == [csvfiles.ends_inside(x, True) for x in lines]
+    for begins in (False, True):
+        state, want = begins, [begins]
+        for line in lines[:5000]:
+            state = csvfiles.ends_inside(line, state)
+            want.append(state)
+        assert csvfiles.states(outside[:5000], inside[:5000], begins).tolist() == want
+    assert csvfiles.states(outside[:0], inside[:0], True).tolist() == [True]
+
+
+def test_rows_carry_no_paths_to_python(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2\n")
+    assert dict(csvfiles._lines(spark, str(tmp_path)).dtypes) == {"value": "string", "file": "bigint", "start": "bigint", "split": "bigint"}
