@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doclake.functions import predicates as pr
 from doclake.functions import text as tx
-from doclake.operators import lines, text
+from doclake.operators import lines, tabular, text
 
 
 def column(spark, values, expr):
@@ -122,3 +122,13 @@ def test_text_operators_do_not_shuffle(docs_of):
     for op in [lines.key_sections, lines.lists, lines.paragraphs, lines.text_report, text.metric_mentions]:
         plan = op(docs)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+
+
+def test_cells_are_classified_in_one_look(spark):
+    rows = [(" 1,5 ", " 2024-01-02x", " ", "7\n", None), ("\n-2e3 ", "01/02/2024", "　", "2024-01-01", ""), ("", None, None, "8", "")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string")
+    types = tabular.column_types(df, sample_rows=None)
+    assert [r.data_type for r in types.orderBy("col_idx").collect()] == ["Numeric", "Date", "Numeric", "Text", "Numeric"]
+    assert [r.data_type for r in tabular.column_types(df.limit(0), sample_rows=None).collect()] == ["Numeric"] * 5
+    plan = types._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim" not in plan and "bool_and" not in plan and plan.count("RLIKE") <= 15
