@@ -36,7 +36,7 @@ def column_types(df: DataFrame, sample_rows: int | None = fixed.TYPE_SAMPLE_ROWS
 
     def seen(cell: Column) -> Column:
         """What a cell is, as a bit: 1 number, 2 date, 4 text. No number is a date; blank cells are nothing."""
-        return F.when(pr.is_number(cell), 1).when(pr.is_date(cell), 2).when(cell.rlike(tx.NOT_WS), 4)
+        return F.when(pr.is_number(cell), 1).when(pr.is_date(cell), 2).when(cell.rlike(tx.NOT_SPACE), 4)
 
     bits = sample.agg(*[F.coalesce(F.bit_or(seen(F.col(c))), F.lit(0)).alias(c) for c in names])
     verdicts = bits.select(*[

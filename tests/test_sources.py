@@ -297,3 +297,13 @@ def test_every_result_is_registered_and_written_as_it_is_rendered(spark):
     for name in ("s9_written_results", "st1_stream_results"):
         rows = queries[name](spark, SF_DIR).collect()
         assert len(rows) == len(sizes) and all(want[r.req_id] == r.result for r in rows), name
+
+
+def test_clean_base64_is_looked_at_once(spark):
+    from doclake.sources import requests as rq
+
+    rows = [("aGk=",), ("aG\r\nk=",), ("a-G.k=é",), ("aGk",), ("",), ("***",), ("aGk=aGk=",), ("aGkx",), (None,), ("aGkx\n",)]
+    df = spark.createDataFrame(rows, "c string").select(rq.decoded(F.col("c")).alias("b"))
+    assert [None if r.b is None else bytes(r.b) for r in df.collect()] == [b"hi", b"hi", b"hi", None, b"", b"", b"hi", b"hi1", None, b"hi1"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "A-Z" not in plan and "CASE WHEN RLIKE" in plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from doclake import fixed
 from doclake.functions import predicates as pr
 from doclake.functions import text as tx
 from doclake.operators import lines, tabular, text
@@ -132,3 +133,24 @@ def test_cells_are_classified_in_one_look(spark):
     assert [r.data_type for r in tabular.column_types(df.limit(0), sample_rows=None).collect()] == ["Numeric"] * 5
     plan = types._jdf.queryExecution().optimizedPlan().toString()
     assert "trim" not in plan and "bool_and" not in plan and plan.count("RLIKE") <= 15
+
+
+def test_white_space_classes_hold_every_white_space_character(spark):
+    chars = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    got = df.select("c", F.col("c").rlike(rf"\A{tx.SPACE}\z").alias("ws"), F.col("c").rlike(rf"\A{tx.NOT_SPACE}\z").alias("other")).collect()
+    assert {r.c for r in got if r.ws} == set(tx.WHITESPACE) and all(r.ws != r.other for r in got)
+
+
+def test_metrics_equal_the_plain_patterns(spark):
+    import random
+
+    r = random.Random(3)
+    parts = ["1", "22", "333", "4444", "٣", ",", ".", "%", "$", " ", "\n", "\xa0", "mil", "Millones", "thousand", "años", "AÑO", "year", "meses", "x"]
+    df = spark.createDataFrame([("".join(r.choices(parts, k=r.randint(0, 25))),) for _ in range(6000)], "text string")
+    for kind, pattern in fixed.METRIC_PATTERNS.items():
+        plain = F.regexp_extract_all("text", F.lit("(?iu)" + tx.unicode_regex(pattern)), F.lit(1))
+        both = df.select(plain.alias("plain"), tx.metric_matches(F.col("text"), kind).alias("got"))
+        assert both.filter("plain <> got").count() == 0 and both.filter("size(plain) > 0").count() > 100
+        # a number is tried from its first digit only
+        assert kind == "money" or "(?<!" in both._jdf.queryExecution().optimizedPlan().toString()
