@@ -15,17 +15,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.llm import shingles
 from doclake.llm.blocks import block_links
-from doclake.llm.common import packed_rows, row_key, written
+from doclake.llm.common import row_key, settled, written
 from doclake.llm.linking import connect
 from doclake.llm.shingles import mixed
 from doclake.llm.suffix_dedup import sliding_minimum
@@ -42,42 +42,109 @@ AGREE = 6
 WINDOW, PASSAGE = 40, 50
 STRETCH = PASSAGE - WINDOW + 1
 
-#: Words of texts that are marked together.
-TOGETHER = 30_000
+#: Characters of texts that are marked together, of what is cut into words at a time.
+TOGETHER, PIECE = 200_000, 1 << 20
 
 _AROUND = "!\"#%&'()*+,-./:;<=>?@[]^_`{|}~«»„“”‘’…–—¿¡"
-_TOKEN = re.compile(r"\S+")
+# white space is 1, what may stand around words 2; no such character is beyond the last place
+_KINDS = np.zeros(0x3002, np.uint8)
+_KINDS[[c for c in range(len(_KINDS)) if chr(c).isspace()]] = 1
+_KINDS[[ord(c) for c in _AROUND]] = 2
+_SPACE = re.compile(r"\s")
 _BASE = 0x5851F42D4C957F2D
 
 
-class NormalIds(dict):
-    """Hash of each word without case and punctuation around it, zero if nothing is left; kept for words met before."""
+class NormalIds:
+    """Hash of each word without case and punctuation around it, kept for words met before.
 
-    LIMIT = 400_000
+    A word has one place by a hash of its characters as they are; another word of this place takes it over.
+    """
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-        core = (word if word.isalnum() else word.strip(_AROUND)).lower()
+    PLACES = 20  # a power of two
+
+    def __init__(self) -> None:
+        self.words, self.values = np.zeros(1 << self.PLACES, np.uint64), np.zeros(1 << self.PLACES, np.uint64)
+        self.letters = mixed(np.arange(1, 0x110001, dtype=np.uint64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, text: str, codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``first`` to ``end`` of a text with these characters."""
+        if len(self.up) < len(codes):
+            grown = np.full(2 * len(codes), pow(_BASE, -1, 1 << 64), np.uint64)
+            grown[0] = 1
+            self.down = np.cumprod(grown)
+            grown[1:] = _BASE
+            self.up = np.cumprod(grown)
+        sums = np.append(np.uint64(0), np.cumsum(self.letters[codes] * self.down[: len(codes)]))
+        found = mixed((sums[end] - sums[first]) * self.up[first]) | np.uint64(1)
+        place = found >> np.uint64(64 - self.PLACES)
+        out = self.values[place]
+        new = np.flatnonzero(self.words[place] != found)
+        if len(new):
+            words, at, again = np.unique(found[new], return_index=True, return_inverse=True)
+            values = np.array([self.hashed(text[x:y]) for x, y in zip(first[new][at].tolist(), end[new][at].tolist())], np.uint64)
+            out[new] = values[again]
+            self.words[place[new][at]], self.values[place[new][at]] = words, values
+        return out
+
+    @staticmethod
+    def hashed(core: str) -> int:
+        core = core.lower()
         try:
-            value = xxhash.xxh3_64_intdigest(core) | 1 if core else 0
+            return xxhash.xxh3_64_intdigest(core) | 1
         except UnicodeEncodeError:  # a lone surrogate
-            value = xxhash.xxh3_64_intdigest(core.encode("utf-8", "replace")) | 1
-        self[word] = value
-        return value
+            return xxhash.xxh3_64_intdigest(core.encode("utf-8", "replace")) | 1
+
+
+def kinds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a text, and which are white space (1) or what may stand around words (2)."""
+    if text.isascii():
+        codes = np.frombuffer(text.encode(), np.uint8)
+        return codes, _KINDS[codes]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, _KINDS[np.minimum(codes, len(_KINDS) - 1)]
+
+
+def words_within(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First characters and ends of words, and of what is between punctuation around them; a word has more than punctuation."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], kinds == 1, [True]])))
+    first, end = edges[::2], edges[1::2]
+    solid = np.flatnonzero(kinds == 0)
+    before = np.append(0, np.cumsum(kinds == 0))
+    words = before[end] > before[first]
+    first, end = first[words], end[words]
+    return first, end, solid[before[first]], solid[before[end] - 1] + 1
+
+
+def words_of(texts: list[str], ids: NormalIds) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Hashes of the words of each text, their lines, and the number of lines."""
+    whole = "\n".join(texts)
+    starts, hashes, lines, at, line = [], [], [], 0, 0
+    while at < len(whole):
+        cut = _SPACE.search(whole, at + PIECE)
+        piece = whole[at : cut.end() if cut else len(whole)]
+        codes, kinds = kinds_of(piece)
+        first, _, core, core_end = words_within(kinds)
+        ends = np.flatnonzero(codes == 10)
+        hashes.append(ids.of(piece, codes, core, core_end))
+        starts.append(first + at)
+        lines.append(np.searchsorted(ends, first) + line)
+        at, line = at + len(piece), line + len(ends)
+    if not starts:
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.int64), x.count("\n") + 1) for x in texts]
+    start, found, line_of = np.concatenate(starts), np.concatenate(hashes), np.concatenate(lines)
+    out, s, at, line = [], 0, 0, 0
+    for x in texts:
+        at += len(x) + 1
+        e, n = int(np.searchsorted(start, at)), x.count("\n") + 1
+        out.append((found[s:e], line_of[s:e] - line, n))
+        s, line = e, line + n
+    return out
 
 
-def words_of(text: str, ids: NormalIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes of the words of a text, their places among its tokens, their lines, and the number of lines."""
-    tokens: list[str] = []
-    counts: list[int] = []
-    for line in text.split("\n"):
-        found = line.split()
-        tokens += found
-        counts.append(len(found))
-    hashes = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
-    places = np.flatnonzero(hashes)
-    return hashes[places], places, np.repeat(np.arange(len(counts)), counts)[places], len(counts)
+def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First characters and ends of the words of a text."""
+    return words_within(kinds_of(text)[1])[:2]
 
 
 def paragraphs(hashes: np.ndarray, lines: np.ndarray, n_lines: int) -> list[tuple[int, int, int, int]]:
@@ -196,36 +263,37 @@ def kept_windows(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 MARKS = (
-    "k1 bigint, k2 bigint, t bigint, n_words bigint, paragraphs array<struct<line:bigint,item:bigint>>, "
+    "k1 bigint, k2 bigint, t bigint, n_words bigint, paragraphs array<struct<line:bigint,last:bigint,item:bigint>>, "
     "bands array<struct<item:bigint,sketch:bigint,keys:array<bigint>>>, windows array<struct<place:bigint,h:bigint>>"
 )
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: its paragraphs by first line and hash, bands of paragraphs new to the task, and kept windows."""
+    """One row per row of ``docs``: its paragraphs by first and last line and hash, bands of paragraphs new to the task, and kept windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, seen, known = NormalIds(), set(), set()
         for b in batches:
             held, size, at = [], 0, 0
             for i, text in enumerate(b.column("text")):
-                held.append(words_of(text.as_py() or "", ids))
-                size += len(held[-1][0])
+                held.append(text.as_py() or "")
+                size += len(held[-1])
                 if size >= TOGETHER or len(held) == 256:
-                    yield marked(b.slice(at, len(held)), held, seen, known)
+                    yield marked(b.slice(at, len(held)), words_of(held, ids), seen, known)
                     held, size, at = [], 0, i + 1
             if held:
-                yield marked(b.slice(at, len(held)), held, seen, known)
+                yield marked(b.slice(at, len(held)), words_of(held, ids), seen, known)
 
     def marked(b: pa.RecordBatch, texts: list[tuple], seen: set[int], known: set[int]) -> pa.RecordBatch:
         sizes = np.array([len(x[0]) for x in texts])
         begin = np.cumsum(sizes) - sizes
         hashes = np.concatenate([x[0] for x in texts])
-        lines, items, owners, fresh, bounds, windowed = [], [], [], [], [], []
-        for k, ((own, _, of_line, n_lines), start, t) in enumerate(zip(texts, begin.tolist(), b.column("t").to_pylist())):
-            for first, _, s, e in paragraphs(own, of_line, n_lines):
+        lines, ends, items, owners, fresh, bounds, windowed = [], [], [], [], [], [], []
+        for k, ((own, of_line, n_lines), start, t) in enumerate(zip(texts, begin.tolist(), b.column("t").to_pylist())):
+            for first, last, s, e in paragraphs(own, of_line, n_lines):
                 item = xxhash.xxh3_64_intdigest(own[s:e].tobytes())
                 lines.append(first)
+                ends.append(last)
                 owners.append(k)
                 items.append(item)
                 if item not in seen:
@@ -244,7 +312,7 @@ def marks(docs: DataFrame) -> DataFrame:
             places = kept_windows(whole, np.array(windowed))
         holder = np.searchsorted(begin, places, side="right") - 1
         columns = [
-            pa.array(sizes), lists(owners, len(texts), {"line": np.array(lines, np.int64), "item": signed}),
+            pa.array(sizes), lists(owners, len(texts), {"line": np.array(lines, np.int64), "last": np.array(ends, np.int64), "item": signed}),
             lists(owners[fresh], len(texts), {"item": signed[fresh], "sketch": sketches.view(np.int64), "keys": pa.ListArray.from_arrays(
                 pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))}),
             lists(holder, len(texts), {"place": places - begin[holder], "h": whole[places].view(np.int64)})]
@@ -263,31 +331,36 @@ def marks(docs: DataFrame) -> DataFrame:
 # ---- paragraphs ---------------------------------------------------------------------------------
 
 
-def _with_words(firsts: DataFrame, packed: DataFrame) -> DataFrame:
-    """(id, z): the word hashes of items given by one occurrence (k1, k2, line, item)."""
+def _with_words(firsts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, z): the word hashes of items given by one occurrence (k1, k2, line, last, item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, z = NormalIds(), zstandard.ZstdDecompressor()
+        ids = NormalIds()
         for b in batches:
             items, words = [], []
-            for wanted, raw in zip(b.column("wanted"), b.column("z")):
-                hashes, _, lines, n_lines = words_of(z.decompress(raw.as_py()).decode("utf-8", "surrogatepass"), ids)
-                of_line = {u[0]: u for u in paragraphs(hashes, lines, n_lines)}
+            for wanted, text in zip(b.column("wanted"), b.column("text")):
+                lines = text.as_py().split("\n")
                 for w in wanted.as_py():
-                    _, _, s, e = of_line[w["line"]]
                     items.append(w["item"])
-                    words.append(hashes[s:e].astype(np.uint32).tobytes())
+                    words.append(words_of(["\n".join(lines[w["line"] : w["last"] + 1])], ids)[0][0].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(words, pa.binary())], names=["id", "z"])
 
-    by_doc = firsts.groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "item")).alias("wanted"))
-    return by_doc.join(packed, ["k1", "k2"]).select("wanted", "z").mapInArrow(run, "id bigint, z binary").dropDuplicates(["id"])
+    by_doc = firsts.groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "last", "item")).alias("wanted"))
+    return by_doc.join(texts, ["k1", "k2"]).select("wanted", "text").mapInArrow(run, "id bigint, z binary").dropDuplicates(["id"])
 
 
 def shingle_set(raw: bytes) -> np.ndarray:
-    """Distinct shingles of the words of a paragraph."""
+    """Distinct shingles of the words of a paragraph; those of usual paragraphs are kept, as one is compared with many."""
+    return _kept_set(raw) if len(raw) <= 4 * LONG_RUN * 4 else _shingle_set(raw)
+
+
+def _shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(shingles.of_words(np.frombuffer(raw, np.uint32).astype(np.uint64)))
 
 
+_kept_set = lru_cache(2048)(_shingle_set)
+
+
 def edits(a: list[int], b: list[int]) -> int:
     """Edit distance of two sequences of words, bit-parallel."""
     if not a or not b:
@@ -335,38 +408,38 @@ def similar_pairs(pairs: DataFrame, items: DataFrame, threshold: float) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
 
 
-def repeated_paragraphs(marked: DataFrame, packed: DataFrame) -> DataFrame:
-    """(k1, k2, line, comp) of every paragraph that is not the first of its class; ``marked`` is the table of ``marks``."""
+def repeated_paragraphs(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k1, k2, line, last, comp) of every paragraph that is not the first of its class; ``marked`` is the table of ``marks``."""
     lines = marked.select("k1", "k2", F.inline("paragraphs"))
     banded = marked.select(F.inline("bands")).select(F.explode("keys").alias("bucket"), F.col("item").alias("id"), "sketch")
     met = written(banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("bucket"))
     members = written(banded.join(met, "bucket").distinct())
     wanted = members.select(F.col("id").alias("item")).distinct()
-    firsts = lines.join(wanted, "item", "left_semi").groupBy("item").agg(F.min(F.struct("k1", "k2", "line")).alias("f")).select("item", "f.*")
-    items = written(_with_words(firsts, packed))
+    firsts = lines.join(wanted, "item", "left_semi").groupBy("item").agg(F.min(F.struct("k1", "k2", "line", "last")).alias("f")).select("item", "f.*")
+    items = written(_with_words(firsts, texts))
 
     def vector():
         return lambda raw: (lambda found: (found, np.ones(len(found), np.float32)))(shingle_set(raw))
 
     comps = connect(members, lambda pairs: similar_pairs(pairs, items, THRESHOLD), alike,
                     lambda open_ones: block_links(open_ones, items, vector, THRESHOLD, lambda a, b: similar(a, b, THRESHOLD))).withColumnRenamed("id", "item")
-    named = written(lines.join(comps, "item", "left").select("k1", "k2", "line", F.coalesce("comp", "item").alias("comp")))
+    named = written(lines.join(comps, "item", "left").select("k1", "k2", "line", "last", F.coalesce("comp", "item").alias("comp")))
     # tables on both sides, so that AQE can split a hot class
     heads = written(named.groupBy("comp").agg(F.min(F.struct("k1", "k2", "line")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return named.join(heads, "comp").filter(F.struct("k1", "k2", "line") != F.col("head")).select("k1", "k2", "line", "comp")
+    return named.join(heads, "comp").filter(F.struct("k1", "k2", "line") != F.col("head")).select("k1", "k2", "line", "last", "comp")
 
 
 # ---- passages -----------------------------------------------------------------------------------
 
 
-def _nearby(asked: DataFrame, packed: DataFrame) -> DataFrame:
+def _nearby(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """(k1, k2, place, h) of all windows less than STRETCH words from ``places`` of documents (k1, k2, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, z = NormalIds(), zstandard.ZstdDecompressor()
+        ids = NormalIds()
         for b in batches:
-            for k1, k2, places, raw in zip(*(b.column(c) for c in ("k1", "k2", "places", "z"))):
-                whole = window_hashes(words_of(z.decompress(raw.as_py()).decode("utf-8", "surrogatepass"), ids)[0])
+            for k1, k2, places, text in zip(*(b.column(c) for c in ("k1", "k2", "places", "text"))):
+                whole = window_hashes(words_of([text.as_py()], ids)[0][0])
                 hit = np.zeros(len(whole) + 1, np.int64)
                 at = np.array(places.as_py())
                 np.add.at(hit, np.maximum(at - STRETCH + 1, 0), 1)
@@ -376,25 +449,25 @@ def _nearby(asked: DataFrame, packed: DataFrame) -> DataFrame:
                     [pa.array([k1.as_py()] * len(near), pa.int64()), pa.array([k2.as_py()] * len(near), pa.int64()), pa.array(near),
                      pa.array(whole[near].view(np.int64))], names=["k1", "k2", "place", "h"])
 
-    return asked.join(packed, ["k1", "k2"]).select("k1", "k2", "places", "z").mapInArrow(
+    return asked.join(texts, ["k1", "k2"]).select("k1", "k2", "places", "text").mapInArrow(
         run, "k1 bigint, k2 bigint, place bigint, h bigint")
 
 
-def repeated_windows(marked: DataFrame, packed: DataFrame) -> DataFrame:
+def repeated_windows(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """(k1, k2, places, whole): places of windows that an earlier document has, too; of a text that an earlier row has, all of them.
 
     ``marked`` is the table of ``marks``.
     """
-    texts = written(marked.groupBy("t").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")))
-    again = written(texts.filter("lo != hi").select("t", "lo"))
+    holders = written(marked.groupBy("t").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")))
+    again = written(holders.filter("lo != hi").select("t", "lo"))
     copies = marked.filter(F.col("n_words") >= PASSAGE).select("k1", "k2", "t").join(again, "t").filter(
         F.struct("k1", "k2") != F.col("lo")).select("k1", "k2").distinct()
     # windows are those of texts, whichever rows have them; only texts that share one are then looked up by their first row
     windows = marked.select("t", F.inline("windows"))
     met = written(windows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select("h"))
     shared = written(windows.join(met, "h").groupBy("t").agg(F.collect_set("place").alias("places")))
-    asked = shared.join(texts, "t").select("lo.*", "places")
-    near = written(_nearby(asked, packed))
+    asked = shared.join(holders, "t").select("lo.*", "places")
+    near = written(_nearby(asked, texts))
     ends = near.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
     earlier = written(ends.filter(F.col("lo") != F.col("hi")).select("h", "lo"))
     later = near.join(earlier, "h").filter(F.struct("k1", "k2") != F.col("lo")).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("place")).alias("places"))
@@ -412,16 +485,13 @@ def runs_of(places: list[int], n_words: int, whole: bool) -> list[tuple[int, int
     return [(int(p[0]), int(p[-1]) + WINDOW) for p in parts if len(p) + WINDOW - 1 >= PASSAGE]
 
 
-def spans_to_cut(text: str, lines: list[int], places: list[int], whole: bool, ids: NormalIds) -> list[tuple[int, int]]:
-    """Bounds of what goes: whole paragraphs, by their first lines, and runs of matched words."""
-    hashes, tokens, of_line, n_lines = words_of(text, ids)
+def spans_to_cut(text: str, lines: list[tuple[int, int]], places: list[int], whole: bool) -> list[tuple[int, int]]:
+    """Bounds of what goes: whole paragraphs, by their first and last lines, and runs of matched words."""
     starts = np.cumsum([0, *(len(x) + 1 for x in text.split("\n"))]).tolist()
-    by_line = {u[0]: u for u in paragraphs(hashes, of_line, n_lines)} if lines else {}
-    cut = [(starts[i], starts[by_line[i][1] + 1] - 1) for i in lines]
-    runs = runs_of(places, len(hashes), whole)
-    if runs:
-        bounds = [m.span() for m in _TOKEN.finditer(text)]
-        cut += [(bounds[tokens[x]][0], bounds[tokens[y - 1]][1]) for x, y in runs]
+    cut = [(starts[i], starts[j + 1] - 1) for i, j in lines]
+    if whole or places:
+        first, end = word_bounds(text)
+        cut += [(int(first[x]), int(end[y - 1])) for x, y in runs_of(places, len(first), whole)]
     merged: list[tuple[int, int]] = []
     for x, y in sorted(cut):
         if merged and x <= merged[-1][1]:
@@ -439,20 +509,20 @@ def report(docs: DataFrame) -> DataFrame:
     nothing to cut, a null text counts as empty.
     """
     own = docs.select("doc_id", "text")
-    packed = packed_rows(own)
     marked = written(marks(own))
-    lines = repeated_paragraphs(marked, packed).groupBy("k1", "k2").agg(
-        F.array_sort(F.collect_set(F.struct("line", "comp"))).alias("lines"))
-    hits = lines.join(repeated_windows(marked, packed), ["k1", "k2"], "full_outer")
+    # plain, as a way through Python that compresses a text costs more than shuffling it
+    texts = own.select(*row_key("doc_id", "text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = settled(lambda: repeated_paragraphs(marked, texts).groupBy("k1", "k2").agg(
+        F.array_sort(F.collect_set(F.struct("line", "last", "comp"))).alias("lines")))
+    hits = lines.join(settled(lambda: repeated_windows(marked, texts)), ["k1", "k2"], "full_outer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, z = NormalIds(), zstandard.ZstdDecompressor()
         for b in batches:
-            counts, cuts, words, comps, texts = [], [], [], [], []
-            for raw, classes, places, whole in zip(*(b.column(c) for c in ("z", "lines", "places", "whole"))):
-                text = z.decompress(raw.as_py()).decode("utf-8", "surrogatepass")
+            counts, cuts, words, comps, left = [], [], [], [], []
+            for text, classes, places, whole in zip(*(b.column(c) for c in ("text", "lines", "places", "whole"))):
+                text = text.as_py()
                 classes = classes.as_py() or []
-                spans = spans_to_cut(text, [m["line"] for m in classes], places.as_py() or [], bool(whole.as_py()), ids) if classes or places.is_valid else []
+                spans = spans_to_cut(text, [(m["line"], m["last"]) for m in classes], places.as_py() or [], bool(whole.as_py()))
                 kept, at = [], 0
                 for x, y in spans:
                     kept.append(text[at:x])
@@ -463,11 +533,11 @@ def report(docs: DataFrame) -> DataFrame:
                 cuts.append(len(spans))
                 words.append(sum(len(text[x:y].split()) for x, y in spans))
                 comps.append([m["comp"] for m in classes])
-                texts.append("".join([*kept, text[at:]]))
+                left.append("".join([*kept, text[at:]]))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(cuts, pa.int64()), pa.array(words, pa.int64()),
-                 pa.array(comps, pa.list_(pa.int64())), pa.array(texts, pa.string())],
+                 pa.array(comps, pa.list_(pa.int64())), pa.array(left, pa.string())],
                 names=["doc_id", "n_paragraphs", "n_removed", "removed_words", "class_ids", "text"])
 
-    full = packed.join(hits, ["k1", "k2"], "left").select("doc_id", "z", "lines", "places", "whole")
+    full = texts.join(hits, ["k1", "k2"], "left").select("doc_id", "text", "lines", "places", "whole")
     return full.mapInArrow(run, "doc_id bigint, n_paragraphs bigint, n_removed bigint, removed_words bigint, class_ids array<bigint>, text string")

@@ -395,3 +395,36 @@ def test_a_large_group_that_is_near_but_mostly_not_similar(spark, monkeypatch):
     found = dict(tuple(x) for x in linking.components(written(spark.createDataFrame(links, "a bigint, b bigint"))).collect())
     want = {i: min(j for j in range(120) if label[j] == label[i]) for i in range(120)}
     assert {i: found.get(i, i) for i in range(120)} == want and len(links) < 120 * 12
+
+
+def test_words_of_many_texts_at_once(monkeypatch):
+    import re
+
+    r = np.random.default_rng(5)
+    letters = list("abAB ΣςσİıẞÀ«»„“ \x1c\x85\n\n\t .,!…-_漢😀      ")
+    texts = ["", "\n", "... \n", *("".join(r.choice(letters, int(n))) for n in r.integers(0, 300, 200))]
+    for piece in (1 << 20, 37):
+        monkeypatch.setattr(substring_dedup, "PIECE", piece)
+        ids = substring_dedup.NormalIds()
+        for text, (hashes, lines, n_lines) in zip(texts, substring_dedup.words_of(texts, ids)):
+            expected = [(i, m.span(), core) for i, line in enumerate(text.split("\n")) for m in re.finditer(r"\S+", line)
+                        if (core := m.group().strip(substring_dedup._AROUND).lower())]
+            assert hashes.tolist() == [substring_dedup.NormalIds.hashed(core) for _, _, core in expected]
+            assert lines.tolist() == [i for i, _, _ in expected] and n_lines == text.count("\n") + 1
+            first, end = substring_dedup.word_bounds(text)
+            at = np.cumsum([0, *(len(x) + 1 for x in text.split("\n"))])
+            assert list(zip(first.tolist(), end.tolist())) == [(at[i] + x, at[i] + y) for i, (x, y), _ in expected]
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import os
+
+    from doclake.llm.common import settled, written
+
+    ways = []
+
+    def build():
+        ways.append(written(spark.range(7)))
+        return ways[0].filter("id > 2")
+
+    assert settled(build).count() == 4 and not os.path.exists(ways[0]._folder)
