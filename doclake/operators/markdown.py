@@ -1,9 +1,11 @@
 """Markdown clean-up of a corpus (``m*``): text → text, row-local, built-in functions only.
 
-Line rules are transforms of the line array. Rules about blocks of lines (contents lists, fences, tables) first give
-every line a one-letter flag, join the flagged lines and let one regular expression cut the text into blocks; scanning
-left to right, a match consumes its lines exactly like a reader would. The quantifiers are possessive, so matching is
-linear and needs no stack. Only code detection counts braces, which no regular expression can; it folds over the lines.
+Rules about lines and blocks of lines (headers, contents lists, fences, tables, code) let one regular expression cut the
+text into blocks and, as one part each, the runs of lines between them; scanning left to right, a match consumes its lines
+exactly like a reader would, and only the blocks are looked at line by line. The quantifiers over lines are possessive, so
+they need no stack. The lint rule gives every line a one-letter flag instead and cuts the flagged lines. Only code detection
+counts braces, which no regular expression can: it counts them in blocks of JSON, and folds over all lines of a text where
+such a block leaves other code or a fence behind it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from doclake.functions import text as tx
 from doclake.functions.frames import let
 
 LINE = r"[^\n]*+\n"
+#: white space within a line, a character that is none, and a line of white space alone
+GAP, SOLID = rf"[[^!-~\n]&&{tx.WS}]", tx.NOT_SPACE
+BLANK = rf"{GAP}*+\n"
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -42,6 +47,21 @@ def blocks(flagged_text: Column, block: str) -> Column:
     return F.regexp_extract_all(flagged_text, F.lit(f"{block}|{LINE}"), F.lit(0))
 
 
+def parts_of(text: Column, block: str, start: str) -> Column:
+    """Cut a text into blocks that match ``block``, runs of lines that do not begin like ``start``, and single lines for
+    the rest. Each part ends with a newline."""
+    return F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(f"{block}|(?:(?!{start}){LINE})++|{LINE}"), F.lit(0))
+
+
+def begins(part: Column, start: str) -> Column:
+    return part.rlike(f"^(?:{start})")
+
+
+def part_lines(part: Column) -> Column:
+    """Lines of a part."""
+    return tx.lines_of(F.substr(part, F.lit(1), F.char_length(part) - 1))
+
+
 def block_lines(block: Column) -> Column:
     """Lines of a block without their flags."""
     return F.transform(F.split(F.rtrim(block, F.lit("\n")), "\n", -1), lambda x: F.substr(x, F.lit(2)))
@@ -83,12 +103,15 @@ def per_line(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 def clean_characters(text: Column) -> Column:
     """m1: hard spaces, needless escapes, repeated blanks, line ends."""
-    c = F.replace(text, F.lit("\xa0"), F.lit(" "))
-    c = F.regexp_replace(c, r"\\([().,;:{}\[\]])", "$1")
-    c = F.regexp_replace(c, r"\\([-.])", "$1")
-    c = F.regexp_replace(c, rf"\\#(?![#{tx._WS_BODY}])", "#")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    return F.regexp_replace(c, r"(?dm)[ \t]+$", "")
+    soft = F.replace(text, F.lit("\xa0"), F.lit(" "))
+    # without a pair of backslashes no rule makes work for the next one, so all go in one pass
+    c = F.regexp_replace(soft, rf"\\([().,;:{{}}\[\]]|[-.]|#(?![#{tx._WS_BODY}]))", "$1")
+    by_rule = F.regexp_replace(soft, r"\\([().,;:{}\[\]])", "$1")
+    by_rule = F.regexp_replace(by_rule, r"\\([-.])", "$1")
+    by_rule = F.regexp_replace(by_rule, rf"\\#(?![#{tx._WS_BODY}])", "#")
+    c = F.when(~has("\\")(text), soft).when(~has("\\\\")(text), c).otherwise(by_rule)
+    c = F.regexp_replace(c, r"[ \t](?:(?<=\t)|[ \t])[ \t]*+", " ")  # one blank is left alone
+    return F.regexp_replace(c, "(?dm) $", "")
 
 
 def headers(text: Column) -> Column:
@@ -100,42 +123,44 @@ def headers(text: Column) -> Column:
         tidy = F.when(s.rlike(header), F.concat(F.regexp_extract(s, header, 1), F.lit(" "), title)).otherwise(x)
         promoted = (
             s.rlike(r"^\p{IsUppercase}") & (F.char_length(s) <= 80) & ~F.endswith(s, F.lit("."))
-            & (F.regexp_count(s, F.lit(fixed.PROMOTE_SPECIALS)) <= 2) & ~F.startswith(tx.strip(following), F.lit("#"))
+            & (F.regexp_count(s, F.lit(fixed.PROMOTE_SPECIALS)) <= 2) & ~begins(following, f"{GAP}*+#")
         )
         level = F.when(s.rlike("(?iu)" + "|".join(fixed.TITLE_LEVEL_ONE)), "# ").otherwise("## ")
         return F.when(F.startswith(s, F.lit("#")), tidy).when(promoted, F.concat(level, s)).otherwise(x)
 
-    def each(lines: Column) -> Column:
-        following = lambda i: F.coalesce(F.get(lines, i + 1), F.lit(""))
-        return tx.joined(F.transform(lines, lambda x, i: let(tx.strip(x), lambda s: rule(x, s, following(i)))))
+    start = rf"{GAP}*+[#\p{{IsUppercase}}]"
+
+    def each(parts: Column) -> Column:
+        def rewrite(part: Column, i: Column) -> Column:
+            x, following = F.rtrim(part, F.lit("\n")), F.coalesce(F.get(parts, i + 1), F.lit(""))
+            line = let(tx.strip(x), lambda s: rule(x, s, following))
+            return F.when(begins(part, start), F.concat(line, F.lit("\n"))).otherwise(part)
 
-    return let(tx.lines_of(text), each)
+        return glued(F.transform(parts, rewrite))
+
+    return let(parts_of(text, start + LINE, start), each)
 
 
 # ---- m3, m4: fenced blocks -------------------------------------------------------------------
 
 
+_JSON_FENCE = rf"{GAP}*+```json"
+_TOC_LINE = rf"{GAP}*+\[[^\n]*\]\(#[^\n]*\){GAP}*+\n"
+
+
 def _contents_list(text: Column) -> Column:
     """m3: a ``json`` fence that starts with ``[x](#a)`` entries becomes a contents list."""
-    def flag(x: Column) -> Column:
-        s = tx.strip(x)
-        return (
-            F.when(F.startswith(s, F.lit("```json")), "j").when(F.startswith(s, F.lit("```")), "f")
-            .when(s.rlike(_regex(fixed.TOC_ENTRY)), "t").when(s == "", "e").otherwise("n")
-        )
-
-    toc = rf"j{LINE}(?=t{LINE}[a-z])(?:[te]{LINE})*+(?:[jf]{LINE})?+"
-    parts = blocks(flagged(tx.lines_of(text), flag), toc)
+    toc = rf"{_JSON_FENCE}{LINE}(?={_TOC_LINE}(?!\z))(?:{_TOC_LINE}|{BLANK})*+(?:{GAP}*+```{LINE})?+"
 
     def rewrite(part: Column) -> Column:
-        rest = tail(F.split(F.rtrim(part, F.lit("\n")), "\n"))
-        entries = F.filter(rest, lambda x: F.startswith(x, F.lit("t")))
-        shown = F.transform(entries, lambda x: F.concat(F.lit("- "), tx.strip(unflagged(x)), F.lit("\n")))
+        entries = F.filter(F.transform(tail(part_lines(part)), tx.strip), lambda s: F.startswith(s, F.lit("[")))
+        shown = F.transform(entries, lambda s: F.concat(F.lit("- "), s, F.lit("\n")))
         return F.when(
-            is_block(part), F.concat(F.lit(fixed.TOC_TITLE + "\n\n"), F.array_join(shown, ""), F.lit("\n"))
-        ).otherwise(unflagged(part))
+            is_block(part) & begins(part, _JSON_FENCE),
+            F.concat(F.lit(fixed.TOC_TITLE + "\n\n"), F.array_join(shown, ""), F.lit("\n")),
+        ).otherwise(part)
 
-    return glued(F.transform(parts, rewrite))
+    return glued(F.transform(parts_of(text, toc, _JSON_FENCE), rewrite))
 
 
 contents_list = where(has("```json"), _contents_list)
@@ -146,27 +171,21 @@ def _merge_fences(text: Column) -> Column:
 
     A chain of fences separated by blank lines is one block; a fold over its fences decides which belong together.
     """
-    def flag(x: Column) -> Column:
-        s = tx.strip(x)
-        opens = F.startswith(s, F.lit("```json")) | F.startswith(s, F.lit("```yaml"))
-        return F.when(opens, "o").when(s == "```", "c").when(s == "", "e").otherwise("n")
-
-    fence = rf"o{LINE}(?:[oen]{LINE})*+(?:c{LINE})?+(?:e{LINE})*+"
-    parts = blocks(flagged(tx.lines_of(text), flag), f"(?:{fence})++")
+    opening, closing_line = rf"{GAP}*+```(?:json|yaml)", rf"{GAP}*+```{BLANK}"
+    fence = rf"{opening}{LINE}(?:(?!{closing_line}){LINE})*+(?:{closing_line})?+(?:{BLANK})*+"
+    parts = parts_of(text, f"(?:{fence})++", opening)
 
     def parsed(one: Column) -> Column:
         """A fence as its type, content lines, original text and number of lines."""
         def fields(rows: Column) -> Column:
-            closing = F.array_position(F.transform(rows, lambda x: F.substr(x, F.lit(1), F.lit(1))), "c")
-            body = F.when(closing > 0, F.slice(rows, 2, (closing - 2).cast("int"))).otherwise(tail(rows))
+            closing = F.array_position(F.transform(rows, lambda x: tx.strip(x) == "```"), True)
             return F.struct(
-                F.replace(tx.strip(unflagged(F.get(rows, F.lit(0)))), F.lit("```"), F.lit("")).alias("type"),
-                F.transform(body, unflagged).alias("content"),
-                F.array_join(F.transform(rows, lambda x: F.concat(unflagged(x), F.lit("\n"))), "").alias("raw"),
-                F.size(rows).alias("n"),
+                F.replace(tx.strip(F.get(rows, F.lit(0))), F.lit("```"), F.lit("")).alias("type"),
+                F.when(closing > 0, F.slice(rows, 2, (closing - 2).cast("int"))).otherwise(tail(rows)).alias("content"),
+                one.alias("raw"), F.size(rows).alias("n"),
             )
 
-        return let(F.split(F.rtrim(one, F.lit("\n")), "\n", -1), fields)
+        return let(part_lines(one), fields)
 
     def brackets(lines: Column) -> Column:
         return F.exists(F.slice(lines, 1, 2), lambda x: x.rlike(r"[{\[]"))
@@ -230,7 +249,7 @@ def _merge_fences(text: Column) -> Column:
             let(F.transform(F.regexp_extract_all(part, F.lit(fence), F.lit(0)), parsed), grouped),
             lambda groups: F.array_join(F.transform(groups, lambda g, k: shown(g, last_part & (k == F.size(groups) - 1))), ""),
         )
-        return F.when(F.startswith(part, F.lit("o")), texts).otherwise(unflagged(part))
+        return F.when(begins(part, opening), texts).otherwise(part)
 
     return glued(let(parts, lambda ps: F.transform(ps, lambda part, i: rewrite(part, i == F.size(ps) - 1))))
 
@@ -270,20 +289,30 @@ def row_of(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n"))
 
 
-def _text_tables(text: Column) -> Column:
-    """m5: a header line of marked names and the rows that follow become a pipe table."""
-    def flag(x: Column) -> Column:
-        def kind(s: Column) -> Column:
-            row = row_values(s).isNotNull()
-            return (
-                F.when(s == "", "e").when(table_headers(s).isNotNull(), F.when(row, "b").otherwise("h"))
-                .when(row, "r").otherwise("n")
-            )
+def _two_names(name: str, blank: str) -> str:
+    """A line in which two matches of ``name`` are not ``blank``, as a reader finds them from left to right."""
+    another = rf"(?:(?:(?!{name})[^\n])*+{blank})*+(?:(?!{name})[^\n])*+{name}"
+    return another * 2
+
+
+_UNDERLINED, _STARRED = r"__[^_\n]+__", r"\*[^*\n]+\*"
+#: the lines that ``table_headers`` finds names in
+HEADER_START = (
+    rf"(?=[^_*\n]*+[_*])(?=[^\n]*?(?:{'|'.join(fixed.TABLE_HEADERS)}))".replace("[^_]", r"[^_\n]").replace("[^*]", r"[^*\n]")
+    + rf"(?={_two_names(_UNDERLINED, f'__{GAP}+__')}|(?![^\n]*__){_two_names(_STARRED, rf'[*]{GAP}+[*]')})"
+)
+#: the lines that ``row_values`` finds cells in: two starred texts, two words with a wide gap, or two texts at a pipe
+ROW_START = (
+    rf"(?=(?:(?:(?!{_STARRED})[^\n])*+{_STARRED}){{2}}"
+    rf"|{GAP}*+{SOLID}++(?:(?!{GAP}?\t|  |{GAP}{{3}}){GAP}{{1,2}}+{SOLID}++)*+{GAP}++{SOLID}"
+    rf"|[|{GAP}]*+[^|\n]++\|[|{GAP}]*+[^\n])"
+)
 
-        return let(tx.strip(x), kind)
 
-    table = rf"[hb]{LINE}(?:[rb]{LINE})++(?:e{LINE})?+"
-    parts = blocks(flagged(tx.lines_of(text), flag), table)
+def _text_tables(text: Column) -> Column:
+    """m5: a header line of marked names and the rows that follow become a pipe table."""
+    table = rf"{HEADER_START}{LINE}(?:{ROW_START}{LINE})++(?:{BLANK})?+"
+    parts = parts_of(text, table, HEADER_START)
 
     def converted(rows: Column, names: Column) -> Column:
         n = F.size(names)
@@ -293,9 +322,9 @@ def _text_tables(text: Column) -> Column:
         return F.concat(row_of(names), rule, F.array_join(body, ""), F.lit("\n"))
 
     def rewrite(part: Column) -> Column:
-        rows = F.filter(F.transform(block_lines(part), tx.strip), lambda x: x != "")
+        rows = _filled(part_lines(part))
         table_text = let(rows, lambda r: let(table_headers(F.get(r, F.lit(0))), lambda names: converted(r, names)))
-        return F.when(is_block(part), table_text).otherwise(unflagged(part))
+        return F.when(is_block(part) & begins(part, HEADER_START), table_text).otherwise(part)
 
     return glued(F.transform(parts, rewrite))
 
@@ -305,17 +334,13 @@ text_tables = where(lambda text: tx.any_of(text.rlike(p) for p in fixed.TABLE_HE
 
 def _pipe_tables(text: Column) -> Column:
     """m6: pipe tables get a separator row and evenly spaced pipes; the blank line after them goes."""
-    def flag(x: Column) -> Column:
-        s = tx.strip(x)
-        starts = (count_of(s, "|") >= 2) & (F.char_length(s) > 5)
-        return F.when(starts, "s").when(F.contains(x, F.lit("|")), "p").when(s == "", "e").otherwise("n")
+    start = rf"(?=[^|\n]*+\|[^|\n]*+\|)(?={GAP}*+[^\n]{{5,}}{SOLID})"
+    parts = parts_of(text, rf"{start}{LINE}(?:[^|\n]*+\|{LINE})++(?:{BLANK})?+", start)
 
-    table = rf"s{LINE}(?:[sp]{LINE})++(?:e{LINE})?+"
-    parts = blocks(flagged(tx.lines_of(text), flag), table)
-
-    def tidy(x: Column) -> Column:
-        c = F.regexp_replace(F.regexp_replace(x, r"\\([*_])", "$1"), f"{tx.SPACE}+", " ")
-        return F.concat(tx.strip(F.regexp_replace(c, rf"{tx.SPACE}*\|{tx.SPACE}*", " | ")), F.lit("\n"))
+    def tidy(rows: Column) -> Column:
+        c = F.regexp_replace(tx.joined(rows), r"\\([*_])", "$1")
+        c = F.regexp_replace(c, rf"{GAP}(?:(?<! )|{GAP}){GAP}*+", " ")  # one blank is left alone
+        return F.concat(F.regexp_replace(F.regexp_replace(c, r" ?\| ?", " | "), "(?dm)^ | $", ""), F.lit("\n"))
 
     def converted(rows: Column) -> Column:
         first = tx.strip(F.get(rows, F.lit(0)))
@@ -324,11 +349,11 @@ def _pipe_tables(text: Column) -> Column:
         ruled = F.exists(F.slice(rows, 1, 3), lambda x: tx.contains_any(x, fixed.SEPARATOR_MARKS))
         rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), columns.cast("int")))
         all_rows = F.when(ruled, rows).otherwise(F.concat(F.slice(rows, 1, 1), F.array(rule), tail(rows)))
-        return F.array_join(F.transform(all_rows, tidy), "")
+        return tidy(all_rows)
 
     def rewrite(part: Column) -> Column:
-        rows = F.filter(block_lines(part), lambda x: F.contains(x, F.lit("|")))
-        return F.when(is_block(part), let(rows, converted)).otherwise(unflagged(part))
+        rows = F.filter(part_lines(part), lambda x: F.contains(x, F.lit("|")))
+        return F.when(is_block(part) & begins(part, start), let(rows, converted)).otherwise(part)
 
     return glued(F.transform(parts, rewrite))
 
@@ -351,12 +376,25 @@ def list_line(x: Column) -> Column:
     )
 
 
-lists = where(has("•", "·", "\\."), per_line(list_line))
+def _lists(text: Column) -> Column:
+    """``list_line`` for all lines at once; an indent of other white space than blanks is left to it."""
+    rest = rf"{GAP}*+({SOLID}(?:[^\n]*{SOLID})?+){GAP}*+$"
+    numbered = F.when(
+        has("\\.")(text), F.regexp_replace(text, rf"(?dm)^{GAP}*+(\p{{Nd}}++)\\\.{rest}", "$1. $2")
+    ).otherwise(text)
+    bullets = F.regexp_replace(numbered, rf"(?dm)^( *+)[•·](?:{rest}|{GAP}*+$)", "$1- $2")
+    return F.when(text.rlike(rf"(?dm)^ *+(?! ){GAP}++[•·]"), per_line(list_line)(text)).otherwise(bullets)
+
+
+lists = where(has("•", "·", "\\."), _lists)
 
 
 def links(text: Column) -> Column:
     """m8: bare URLs become links, and no gap between the two parts of a link."""
-    return F.regexp_replace(F.regexp_replace(text, _regex(fixed.BARE_URL), "[$1]($1)"), _regex(fixed.SPACED_LINK), "[$1]($2)")
+    # the first letter is told before what stands in front of it
+    bare = _regex(fixed.BARE_URL.replace(r"(?<![\[\(])(h", r"(h(?<![\[\(]h)"))
+    linked = F.when(F.contains(text, F.lit("http")), F.regexp_replace(text, bare, "[$1]($1)")).otherwise(text)
+    return F.regexp_replace(linked, _regex(fixed.SPACED_LINK), "[$1]($2)")
 
 
 # ---- m9: code --------------------------------------------------------------------------------
@@ -374,16 +412,20 @@ def _stripped_features(s: Column) -> Column:
         s.rlike("|".join(_regex(p) for p in fixed.CODE_STARTS))
         | (F.contains(s, F.lit(":")) & (count_of(s, '"') >= 2))
     )
-    lang = (
-        F.when(s.rlike(r"^[{\[]"), "j").when(F.startswith(s, F.lit("<")), "m").when(s.rlike(_regex(fixed.CODE_HTTP)), "h")
-        .when(F.contains(s, F.lit(":")) & ~F.contains(s, F.lit("=")) & ~F.startswith(s, F.lit("http")), "y").otherwise("o")
-    )
     return F.struct(
-        F.startswith(s, F.lit("```")).alias("fence"), F.when(starts, lang).alias("starts"), (s == "").alias("blank"),
+        F.startswith(s, F.lit("```")).alias("fence"), F.when(starts, language_letter(s)).alias("starts"), (s == "").alias("blank"),
         balance(s, "{", "}").alias("braces"), balance(s, "[", "]").alias("brackets"),
     )
 
 
+def language_letter(s: Column) -> Column:
+    """Language of the code that starts with a line (stripped)."""
+    return (
+        F.when(s.rlike(r"^[{\[]"), "j").when(F.startswith(s, F.lit("<")), "m").when(s.rlike(_regex(fixed.CODE_HTTP)), "h")
+        .when(F.contains(s, F.lit(":")) & ~F.contains(s, F.lit("=")) & ~F.startswith(s, F.lit("http")), "y").otherwise("o")
+    )
+
+
 def balance(s: Column, opening: str, closing: str) -> Column:
     count = count_of(s, opening) - count_of(s, closing)
     return F.when(tx.contains_any(s, [opening, closing]), count).otherwise(F.lit(0).cast("bigint"))
@@ -454,25 +496,70 @@ def code_blocks_from(lines: Column, codes: Column) -> Column:
     return tx.joined(F.transform(lines, rule))
 
 
-#: A text without such a line has no code: one begins like code, or has a colon and two quotes. More lines match than are code.
-MAY_START = (
-    rf"(?m)^[{tx._WS_BODY}]*+(?:[{{\[\"]|<[a-zA-Z]|(?:POST|GET|PUT|DELETE|PATCH|HEAD|OPTIONS)[{tx._WS_BODY}]|HTTP/"
-    rf"|[A-Za-z][-\p{{L}}\p{{N}}_]*+:[{tx._WS_BODY}])|^(?=[^\n]*:)[^\n\"]*+\"[^\n\"]*+\""
+#: the lines that ``code_features`` says code starts in
+CODE_START = (
+    rf"(?!{GAP}*+```){GAP}*+(?=[^\n]{GAP}*+{SOLID})(?:[{{\[]|<[a-zA-Z][^>\n]*+>|(?:POST|GET|PUT|DELETE|PATCH|HEAD|OPTIONS){GAP}++/"
+    rf"|HTTP/[0-9]\.[0-9]|[A-Za-z][-\p{{L}}\p{{N}}_]*+:{GAP}++[^\n]|\"[^\"\n]++\"{GAP}*+:|(?=[^:\n]*+:)[^\"\n]*+\"[^\"\n]*+\")"
 )
+FENCE_START = rf"{GAP}*+```"
+
+
+def _coded(text: Column) -> Column:
+    """Text with its code fenced; null where a block of JSON ends before lines that hold other code or a fence."""
+    fenced = rf"{FENCE_START}{LINE}(?:(?!{FENCE_START}){LINE})*+(?:{FENCE_START}{LINE})?+"
+    # a block ends with a blank line, or as long as it may be; JSON ends earlier where its brackets do
+    block = rf"{CODE_START}{LINE}(?:(?!{BLANK}){LINE}){{0,{fixed.CODE_BLOCK_LINES - 2}}}+(?:{LINE})?+"
+    parts = parts_of(text, f"{fenced}|{block}", f"{FENCE_START}|{CODE_START}")
+
+    def json_lines(rows: Column) -> Column:
+        """Number of lines until the brackets are closed, from the second line on."""
+        def step(st: Column, x: Column) -> Column:
+            braces, brackets = st["braces"] + balance(x, "{", "}"), st["brackets"] + balance(x, "[", "]")
+            closed = (st["n"] > 0) & (braces <= 0) & (brackets <= 0)
+            more = F.struct(braces.alias("braces"), brackets.alias("brackets"), (st["n"] + 1).alias("n"), closed.alias("closed"))
+            return F.when(st["closed"], st).otherwise(more)
+
+        zero = F.lit(0).cast("bigint")
+        start = F.struct(zero.alias("braces"), zero.alias("brackets"), F.lit(0).alias("n"), F.lit(False).alias("closed"))
+        return F.aggregate(rows, start, step, lambda st: st["n"])
+
+    def shown(letter: Column, rows: Column, n: Column) -> Column:
+        name = F.lit("")
+        for known, language in LANGUAGES.items():
+            name = F.when(letter == known, language).otherwise(name)
+        code, rest = F.slice(rows, F.lit(1), n), F.slice(rows, n + 1, F.size(rows))
+        follows = F.exists(rest, lambda x: begins(F.concat(x, F.lit("\n")), f"{FENCE_START}|{CODE_START}"))
+        return F.when(~follows, F.concat(
+            F.lit("```"), name, F.lit("\n"), tx.joined(code), F.lit("\n```\n"), F.array_join(F.transform(rest, lambda x: F.concat(x, F.lit("\n"))), ""),
+        ))
+
+    def rewrite(part: Column, last_part: Column) -> Column:
+        def block_of(letter: Column) -> Column:
+            # one line of no known language at the end stays as it is
+            return F.when((letter == "o") & last_part & ~is_block(part), part).otherwise(let(part_lines(part), lambda rows: let(
+                F.when(letter == "j", json_lines(rows)).otherwise(F.size(rows)), lambda n: shown(letter, rows, n),
+            )))
+
+        first = tx.strip(F.substring_index(part, "\n", 1))
+        return F.when(begins(part, CODE_START), let(language_letter(first), block_of)).otherwise(part)
+
+    def whole(ps: Column) -> Column:
+        texts = F.transform(ps, lambda part, i: rewrite(part, i == F.size(ps) - 1))
+        return let(texts, lambda ts: F.when(~F.exists(ts, lambda x: x.isNull()), glued(ts)))
+
+    return let(parts, whole)
+
+
+def _coded_by_lines(text: Column) -> Column:
+    """``_coded`` of any text, by a fold over its lines."""
+    return let(tx.lines_of(text), lambda lines: let(
+        F.split(code_codes(F.transform(lines, code_features)), ""), lambda codes: code_blocks_from(lines, codes)
+    ))
 
 
 def code_blocks(docs: DataFrame) -> DataFrame:
     """m9: fence lines that look like JSON, XML, HTTP or headers."""
-    rest = [c for c in docs.columns if c != "text"]
-    lines, features = F.col("_lines"), F.col("_features")
-    may_start = F.col("text").rlike(MAY_START)
-    scanned = docs.withColumn("_lines", F.when(may_start, tx.lines_of(F.col("text")))).withColumn(
-        "_features", F.transform(lines, code_features)
-    )
-    found = F.coalesce(F.exists(features, lambda f: f["starts"].isNotNull()), F.lit(False))
-    coded = scanned.withColumn("_codes", F.when(found, F.split(code_codes(features), "")))
-    text = F.when(F.col("_codes").isNotNull(), code_blocks_from(lines, F.col("_codes"))).otherwise(F.col("text"))
-    return coded.select(*rest, text.alias("text"))
+    return docs.transform(apply(lambda text: F.coalesce(_coded(text), _coded_by_lines(text))))
 
 
 # ---- m10 to m14 ------------------------------------------------------------------------------
@@ -488,7 +575,14 @@ def escape_line(x: Column) -> Column:
     ).otherwise(c)
 
 
-escapes = where(has("\\"), per_line(escape_line))
+def _escapes(text: Column) -> Column:
+    """``escape_line`` for all lines at once; escaped colons and slashes are left to it."""
+    return F.when(has("\\:", "\\/")(text), per_line(escape_line)(text)).otherwise(
+        F.regexp_replace(text, rf"(?dm)^({GAP}*+#[^\n]*+)|\\([#.@])", "$1$2")
+    )
+
+
+escapes = where(has("\\"), _escapes)
 
 
 def final_format(text: Column) -> Column:
