@@ -11,6 +11,7 @@ from doclake.sources import files as sf
 from doclake.sources import requests as rq
 from doclake.sources.objects import Store
 from doclake.sources.registry import DEFAULT, Registry
+from doclake.streaming import arrivals
 
 
 def request_stream(
@@ -93,11 +94,19 @@ def arriving_files(spark: SparkSession, source: str, glob: str | None = None) ->
 
 
 def file_stream(spark: SparkSession, source: str, target: str, checkpoint: str, glob: str | None = None) -> StreamingQuery:
-    """st2: documents of arriving files appended to ``target``."""
-    docs = arriving_files(spark, source, glob).select("path", "file_name", "ext", "length", "text", "reason")
+    """st2: documents of arriving files appended to ``target``, each file once.
+
+    New files of a local or shared folder are listed by a task and noted under ``checkpoint`` (``arrivals``), so the driver holds a name for
+    each BATCH_FILES of them. Other sources, and checkpoints that were begun without notes, are listed by Spark, whose driver holds all files.
+    """
+    root = arrivals.walkable(spark, source, checkpoint)
+    if root is None:
+        found = arriving_files(spark, source, glob)
+    else:
+        noted = arrivals.note(spark, root, checkpoint, BATCH_FILES, glob)
+        found = rq.decode_text(sf.with_names(arrivals.noted_files(spark, noted)))
+    docs = found.select("path", "file_name", "ext", "length", "text", "reason")
     return (
         docs.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-
-
